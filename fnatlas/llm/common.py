@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Most bytes and rows that Python workers get at once; long texts then come in small batches.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
 #: Rows up to which a small side may be broadcast; its count is always taken first.
 BROADCAST_ROWS = 500_000
 
@@ -64,7 +66,9 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once for each application."""
+    """Sends this package to the executors' Python workers, once for each application, and bounds their batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     app = f"ship-{spark.sparkContext.applicationId}"
     if app in _OWN:
         return

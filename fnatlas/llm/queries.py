@@ -6,21 +6,49 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing
+from . import decontam, hnsw, langid, lm, minhash, mixing, pii, secret_scan, token_store
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+def op2_hnsw_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.neighbours(_read(spark, sf_dir, "embeddings"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(_read(spark, sf_dir, "documents"))
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_read(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("h")
 
 
+def op7_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.token_tables(_read(spark, sf_dir, "documents"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(_read(spark, sf_dir, "documents"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(_read(spark, sf_dir, "documents"))
+
+
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(_read(spark, sf_dir, "documents"))
+
+
 OP6_SQL = r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
@@ -43,7 +71,7 @@ FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_decontamination, op8_source_mixing)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_hnsw_neighbours, op4_language_id, op5_personal_data, op6_decontamination, op7_token_tables, op8_source_mixing, op9_secret_scan, op10_lm_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
