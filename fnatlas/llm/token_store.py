@@ -27,11 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, ship, stored
+from .spans import batch
 
 END_ID = 1
 BLOCK_BYTES = 64 << 10
@@ -107,20 +109,15 @@ class Encoder:
         """The ids of each text, with the end id."""
         kind, known = f"<u{self.width}", self.known
         end = np.array([END_ID], kind).tobytes()
-        out = []
-        for text in texts:
-            chunks = text.encode("utf-8", "surrogatepass").split() if text else []
-            try:
-                out.append(b"".join(map(known.__getitem__, chunks)) + end)
-            except KeyError:
-                new = list(set(chunks) - known.keys())
-                if len(known) + len(new) > CHUNKS_KEPT:
-                    known.clear()
-                    new = list(set(chunks))
-                for chunk, e in zip(new, self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in new], add_special_tokens=False), strict=True):
-                    known[chunk] = np.array(e.ids, kind).tobytes()
-                out.append(b"".join(map(known.__getitem__, chunks)) + end)
-        return out
+        cut = [text.encode("utf-8", "surrogatepass").split() if text else [] for text in texts]
+        every = set().union(*cut)
+        new = [c for c in every if c not in known]
+        if len(known) + len(new) > CHUNKS_KEPT:
+            known.clear()
+            new = list(every)
+        for chunk, e in zip(new, self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in new], add_special_tokens=False), strict=True):
+            known[chunk] = np.array(e.ids, kind).tobytes()
+        return [b"".join(map(known.__getitem__, chunks)) + end for chunks in cut]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -241,30 +238,33 @@ class TableReader:
         self.file.close()
 
 
+_MANIFEST = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
+
+
 def write_tables(documents: DataFrame, folder: str, vocabulary: str | None = None) -> DataFrame:
     """Writes all documents' ids to shards in folder. The stored manifest: part, seq, path, first_id, last_id, n_docs, n_tokens."""
     ship(documents.sparkSession)
     vocabulary = vocabulary or default_vocabulary()
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex[:12]
         encode, table, rows = encoder(vocabulary), None, []
-        for pdf in batches:
-            for lo in range(0, len(pdf), 256):
-                some = pdf.iloc[lo : lo + 256]
-                for doc_id, value in zip(some["doc_id"], encode(some["text"].tolist()), strict=True):
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                some = b.slice(lo, 256)
+                for doc_id, value in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist()), strict=True):
                     table = table or TableWriter(f"{folder}/{part:06d}-{len(rows):04d}-{attempt}.sst", encode.width)
-                    table.add(key_of(None if pd.isna(doc_id) else int(doc_id)), value)
+                    table.add(key_of(doc_id), value)
                     if table.size >= SHARD_BYTES:
                         rows.append((part, len(rows), *table.close()))
                         table = None
         if table:
             rows.append((part, len(rows), *table.close()))
-        yield pd.DataFrame(rows, columns=["part", "seq", "path", "first_id", "last_id", "n_docs", "n_tokens"]).astype({"first_id": "Int64", "last_id": "Int64"})
+        yield batch(_MANIFEST, rows)
 
     d = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     d = d.repartitionByRange("doc_id", "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h").select("doc_id", "text")
-    return stored(d.mapInPandas(write, "part int, seq int, path string, first_id long, last_id long, n_docs long, n_tokens long"), "manifest")
+    return stored(d.mapInArrow(write, "part int, seq int, path string, first_id long, last_id long, n_docs long, n_tokens long"), "manifest")
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
