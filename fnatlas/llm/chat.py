@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship, stored
@@ -109,11 +109,10 @@ def piece(text: str | None, before: int, after: int, action: int, last: bool) ->
     return out, n
 
 
-def role_number(role):
-    low = F.lower(F.trim(role))
-    for a, b in ALIASES.items():
-        low = F.when(low == a, F.lit(b)).otherwise(low)
-    return F.coalesce(*[F.when(low == n, F.lit(i)) for i, n in enumerate(NAMES) if n], F.lit(0))
+def role_number(role: Column) -> Column:
+    known = {n: i for i, n in enumerate(NAMES) if n} | {a: NAMES.index(n) for a, n in ALIASES.items()}
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, F.lower(F.trim(role))), F.lit(0))
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, hnsw, langid, lm, minhash, mixing, pii, secret_scan, token_store
+from . import chat, decontam, hnsw, langid, lm, minhash, mixing, pii, secret_scan, token_store
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_hnsw_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.neighbours(_read(spark, sf_dir, "embeddings"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(_read(spark, sf_dir, "conversations")).drop("at")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(_read(spark, sf_dir, "documents"))
 
@@ -71,7 +75,7 @@ FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_hnsw_neighbours, op4_language_id, op5_personal_data, op6_decontamination, op7_token_tables, op8_source_mixing, op9_secret_scan, op10_lm_scores)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_hnsw_neighbours, op3_chat_format, op4_language_id, op5_personal_data, op6_decontamination, op7_token_tables, op8_source_mixing, op9_secret_scan, op10_lm_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
