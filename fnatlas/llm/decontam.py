@@ -96,6 +96,6 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, share: int = 20) -
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """documents without the contaminated ones."""
-    bad = decontaminate(documents, benchmark).filter("contaminated").select("doc_id", "h").distinct()
-    d = documents.withColumn("h", F.xxhash64("text"))
-    return d.join(bad, d["doc_id"].eqNullSafe(bad["doc_id"]) & (d["h"] == bad["h"]), "left_anti").select(documents.columns)
+    bad = decontaminate(documents, benchmark).filter("contaminated").select(F.col("doc_id").alias("_fn_id"), F.col("h").alias("_fn_bad")).distinct()
+    d = documents.withColumn("_fn_h", F.xxhash64("text"))
+    return d.join(bad, d["doc_id"].eqNullSafe(bad["_fn_id"]) & (d["_fn_h"] == bad["_fn_bad"]), "left_anti").select(documents.columns)

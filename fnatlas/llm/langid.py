@@ -205,10 +205,11 @@ def identified(documents: DataFrame, net: ByteNet | None = None, *keep: str) ->
     return d.mapInArrow(predict, out)
 
 
-def accepted(documents: DataFrame, least: float = 0.4) -> DataFrame:
+def accepted(documents: DataFrame, times_chance: float = 1.2) -> DataFrame:
     """documents but those whose language can't be told: no letters, or a score that is close to chance."""
     ship(documents.sparkSession)
     net, columns = trained(documents), documents.columns
+    least = times_chance / len(net.languages) if net and len(net.languages) > 1 else 0.0
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

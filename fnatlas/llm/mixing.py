@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, small, stored, word_count
+from .common import SPACE, small, stored, word_count
 
 #: Fixed values of the contract.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -142,10 +142,12 @@ def mixed_documents(documents: DataFrame, block_words: int = BLOCK_WORDS) -> Dat
     p = p.groupBy(*keys, "size", "pass_no").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct(F.col("at").cast("int").alias("at"), F.col("n").cast("int").alias("n")))).alias("parts"))
     p = p.withColumn("parts", F.when(F.col("n") == F.col("size"), None).otherwise(F.col("parts")))
     p = p.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pass_no", "parts"))).alias("passes"))
-    d = documents.withColumn("h", F.xxhash64("text"))
-    d = d.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "h").orderBy(F.col("source").asc_nulls_last())))
-    j = d.join(p, d["doc_id"].eqNullSafe(p["doc_id"]) & (d["h"] == p["h"]) & (d["copy"] == p["copy"])).select(d["*"], p["passes"])
-    words = F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
-    line = lambda x: F.when(x["parts"].isNull(), F.col("text")).otherwise(F.array_join(F.transform(x["parts"], lambda y: F.array_join(F.slice("words", y["at"] + 1, y["n"]), " ")), " "))
-    j = j.withColumn("words", words).withColumn("text", F.array_join(F.transform("passes", line), "\n"))
+    p = p.select(F.col("doc_id").alias("_fn_id"), F.col("h").alias("_fn_ph"), F.col("copy").alias("_fn_pc"), F.col("passes").alias("_fn_passes"))
+    d = documents.withColumn("_fn_h", F.xxhash64("text"))
+    d = d.withColumn("_fn_c", F.row_number().over(Window.partitionBy("doc_id", "_fn_h").orderBy(F.col("source").asc_nulls_last())))
+    j = d.join(p, d["doc_id"].eqNullSafe(p["_fn_id"]) & (d["_fn_h"] == p["_fn_ph"]) & (d["_fn_c"] == p["_fn_pc"]))
+    j = j.withColumn("_fn_words", F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), SPACE))
+    part = lambda y: F.array_join(F.slice("_fn_words", y["at"] + 1, y["n"]), " ")
+    line = lambda x: F.when(x["parts"].isNull(), F.col("text")).otherwise(F.array_join(F.transform(x["parts"], part), " "))
+    j = j.withColumn("text", F.array_join(F.transform("_fn_passes", line), "\n"))
     return j.select([F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in documents.columns])
