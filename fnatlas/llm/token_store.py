@@ -10,7 +10,7 @@ fixed size at the file's end, gives places, counts and a magic number.
 Rows are range-partitioned and sorted by document id; each partition streams its shards to the shared folder, cuts
 them at SHARD_BYTES, and returns a manifest row for each. A file's name is its attempt's own, so a task that runs
 twice leaves an unnamed file and no half-read one. White space never joins tokens in this vocabulary, so a chunk
-between ASCII white space is encoded once and remembered, up to CHUNKS_KEPT chunks.
+between ASCII white space is encoded once and remembered, about 2 * CHUNKS_KEPT chunks at most.
 
 Defined cases: a null text has the end id only; a null doc_id sorts first; repeated rows are entries of their own, next
 to each other; an empty table writes no shard and gives no rows; other columns are ignored.
@@ -19,6 +19,7 @@ to each other; an empty table writes no shard and gives no rows; other columns a
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -38,9 +39,10 @@ from .spans import batch
 END_ID = 1
 BLOCK_BYTES = 64 << 10
 SHARD_BYTES = 64 << 20
-CHUNKS_KEPT = 600_000
+CHUNKS_KEPT = 450_000
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 MAGIC = b"FNSST001"
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _FOOTER = struct.Struct("<QQQQQQB7x8s")
 _BIAS = 1 << 63
 
@@ -95,7 +97,12 @@ def open_store(uri: str) -> tuple:
 
 
 class Encoder:
-    """Chunks between white space to their ids as bytes."""
+    """Chunks between white space to their ids as bytes.
+
+    Letters of one case that ASCII punctuation follows are split by the tokenizer at the punctuation, whatever their case, so
+    such a chunk's ids are those of its lower-cased letters and of its punctuation, and letters are encoded once
+    for all their chunks. Chunks live in two generations, so memory is bounded and frequent ones stay.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -103,21 +110,53 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.known: dict[bytes, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _encoded(self, chunks: list[bytes]) -> None:
+        kind = f"<u{self.width}"
+        for chunk, e in zip(chunks, self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False), strict=True):
+            self.young[chunk] = np.array(e.ids, kind).tobytes()
+
+    def _learn(self, chunks: set[bytes]) -> None:
+        """Puts all of chunks into the young generation."""
+        young, old = self.young, self.old
+        simple, direct = [], set()
+        for c in chunks:
+            if c in young:
+                continue
+            if (v := old.get(c)) is not None:
+                young[c] = v
+                continue
+            m = _SIMPLE.fullmatch(c.decode("utf-8", "replace"))
+            parts = (m[1].lower().encode(), m[2].encode()) if m else None
+            if not m or parts == (c, b""):
+                direct.add(c)
+                continue
+            simple.append((c, parts))
+            for p in parts:
+                if p and p not in young:
+                    if (v := old.get(p)) is not None:
+                        young[p] = v
+                    else:
+                        direct.add(p)
+        self._encoded(list(direct))
+        for c, (letters, rest) in simple:
+            young[c] = young[letters] + (young[rest] if rest else b"")
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, with the end id."""
-        kind, known = f"<u{self.width}", self.known
-        end = np.array([END_ID], kind).tobytes()
+        end = np.array([END_ID], f"<u{self.width}").tobytes()
         cut = [text.encode("utf-8", "surrogatepass").split() if text else [] for text in texts]
-        every = set().union(*cut)
-        new = [c for c in every if c not in known]
-        if len(known) + len(new) > CHUNKS_KEPT:
-            known.clear()
-            new = list(every)
-        for chunk, e in zip(new, self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in new], add_special_tokens=False), strict=True):
-            known[chunk] = np.array(e.ids, kind).tobytes()
-        return [b"".join(map(known.__getitem__, chunks)) + end for chunks in cut]
+        got = [list(map(self.young.get, chunks)) for chunks in cut]
+        new = [i for i, g in enumerate(got) if None in g]
+        if new:
+            if len(self.young) > CHUNKS_KEPT:
+                self.young, self.old = {}, self.young
+            self._learn(set().union(*(cut[i] for i in new)))
+            for i in new:
+                got[i] = list(map(self.young.__getitem__, cut[i]))
+        return [b"".join(g) + end for g in got]
 
 
 _encoders: dict[str, Encoder] = {}
