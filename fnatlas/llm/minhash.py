@@ -9,9 +9,9 @@ agreements is as concentrated as if coordinates were independent.
 Steps: documents with the same set are one node. Bands of ROWS coordinates give buckets; every member is paired
 with the bucket's smallest node only, so pairs grow with members. Pairs are confirmed on the full sets of their
 texts. Buckets whose other members are still in several components are gone through again, exactly: members
-outside the bucket's largest component meet all members, in cells of two bounded blocks; pairs of different
-components whose sketches agree enough (more than seven standard deviations below the threshold's mean) are
-confirmed too. A pair at the threshold shares no bucket with probability below (1 - 0.85^5)^25 = 5e-7.
+outside the bucket's largest component meet members of other components, in cells of two bounded blocks, which
+compare full sets and return links only. A pair at the threshold shares no bucket with probability below
+(1 - 0.85^5)^25 = 5e-7.
 
 Defined cases: a null or wordless text has the empty set and links with nothing; with fewer than five words the
 whole sequence is the one shingle; a null doc_id takes no part (its component is null and it is kept); repeated
@@ -26,21 +26,22 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small, ship, stored
 from .graph import components
+from .spans import batch
 
 SHINGLE_WORDS = 5
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 85
 T, ROWS = 128, 5
 BANDS = T // ROWS
-#: Agreements out of T below which a pair can't be linked, but for a chance of one in 10^11.
-LEAST_AGREE = 80
-BLOCK = 256
+#: Members of a block; two blocks make a cell. Elements whose 0/1 columns are held at once.
+BLOCK, SLICE = 256, 8192
 WORDS_KEPT = 600_000
 
 _U = np.uint64
@@ -104,23 +105,26 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return full
 
 
-def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
+_SKETCHED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
         rows = []
-        for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             s = shingles(text)
             if not len(s):
-                rows.append((doc_id, 0, None, None, None))
+                rows.append((doc_id, 0, None, None))
                 continue
             k = sketch(s)
             bands = _mixed(reduce(np.add, (k[i : BANDS * ROWS : ROWS] * _STEP[i] for i in range(ROWS))) + np.arange(BANDS, dtype=np.uint64))
-            rows.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), bands.view(np.int64), (k & _U(0xFFFF)).astype("<u2").tobytes()))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "digest", "bands", "sketch"]).astype({"doc_id": "Int64"})
+            rows.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), bands.view(np.int64)))
+        yield batch(_SKETCHED, rows)
 
 
 def sketches(documents: DataFrame) -> DataFrame:
     ship(documents.sparkSession)
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_sketched, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketched, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
 def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,39 +142,70 @@ def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
+def texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, text of the stored ids, stored."""
+    d = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return stored(d.join(small(ids, ids.count()), d["doc_id"] == ids["id"], "left_semi"), "texts")
+
+
 def confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     """The stored pairs (a, b) whose full sets are similar enough."""
-    ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    d = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = stored(d.join(small(ids, ids.count()), d["doc_id"] == ids["id"], "left_semi"), "texts")
+    texts = texts_of(documents, stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids"))
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"))
     rows = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
     return stored(rows.mapInPandas(_linked, "a long, b long"), "confirmed")
 
 
-def _close(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of the members of a cell: unlinked pairs of a member of the rest and any member, whose sketches agree."""
-    k = np.frombuffer(b"".join(pdf["sketch"]), "<u2").reshape(len(pdf), T)
-    keys = np.array(pdf["bands"].tolist(), np.int64)
-    node, comp, rest, key = (pdf[c].to_numpy() for c in ("node", "comp", "rest", "key"))
-    i, j, blk = int(pdf["i"].iat[0]), int(pdf["j"].iat[0]), pdf["blk"].to_numpy()
-    out = []
-    for x in np.flatnonzero(rest & (blk == i)):
-        other = np.flatnonzero((comp != comp[x]) & (~rest | (node > node[x]) | (i != j)) & ((blk == j) if j >= 0 else ~rest))
-        other = other[(k[other] == k[x]).sum(1) >= LEAST_AGREE]
-        if len(other):
-            first = (keys[other] == keys[x]).argmax(1)  # the pair counts in the first bucket that it shares
-            other = other[keys[x][first] == key[x]]
-            out += [(int(node[x]), int(node[y])) for y in other]
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-
-def remaining_pairs(buckets: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs that buckets hold besides those with their smallest node, where they can still join components."""
-    b = buckets.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    other = F.when(F.col("node") != F.col("pivot"), F.col("comp"))
-    mixed = b.groupBy("key").agg(F.min(other).alias("lo"), F.max(other).alias("hi")).filter("lo <> hi").select("key")
-    b = stored(b.filter(F.col("node") != F.col("pivot")).join(mixed, "key", "left_semi"), "mixed")
+def common_counts(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """The sizes of the intersections of the sets in rows with all sets, by products of 0/1 matrices over slices of the elements."""
+    x = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(x, kind="stable")
+    x, owner = x[order], owner[order]
+    at = np.cumsum(np.r_[False, x[1:] != x[:-1]])
+    shared = np.bincount(at)[at] > 1
+    owner, at = owner[shared], at[shared]
+    out = np.zeros((len(rows), len(sets)), np.float32)
+    if len(at):
+        at = np.cumsum(np.r_[False, at[1:] != at[:-1]])
+        for lo in range(0, int(at[-1]) + 1, SLICE):
+            here = slice(*np.searchsorted(at, (lo, lo + SLICE)))
+            m = np.zeros((len(sets), SLICE), np.float32)
+            m[owner[here], at[here] - lo] = 1
+            out += m[rows] @ m.T
+    return out
+
+
+_LINKS_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _cell_links(cell: pa.Table) -> pa.Table:
+    """The links of a cell between a member of the rest and any member of another component, confirmed on full sets."""
+    node, comp, blk, rest = (cell.column(c).to_numpy() for c in ("node", "comp", "blk", "rest"))
+    i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
+    rows = np.flatnonzero(rest & (blk == i))
+    if not len(rows) or len(rows) == len(node) == 1:
+        return _LINKS_ARROW.empty_table()
+    sets = [shingles(t) for t in cell.column("text").to_pylist()]
+    n = np.array([len(s) for s in sets])
+    both = common_counts(sets, rows)
+    near = 100 * both >= PERCENT * (n[rows][:, None] + n[None] - both)
+    near &= (comp[rows][:, None] != comp[None]) & ((rest & (blk == j)) if j >= 0 else ~rest)[None]
+    x, y = np.nonzero(near)
+    return pa.table({"a": node[rows[x]], "b": node[y]}, schema=_LINKS_ARROW)
+
+
+def remaining_links(buckets: DataFrame, labels: DataFrame, documents: DataFrame) -> DataFrame:
+    """The links that buckets hold besides those with their smallest node, where they can still join components.
+
+    Buckets with the same members count once. A cell is two blocks of a bucket, so it is bounded whatever the
+    bucket's size; cells return links, not pairs.
+    """
+    b = buckets.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")).filter(F.col("node") != F.col("pivot"))
+    members = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("y"))
+    mixed = b.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), members.alias("members")).filter("lo <> hi")
+    mixed = mixed.groupBy("members").agg(F.min("key").alias("key")).select("key")
+    b = stored(b.join(mixed, "key", "left_semi"), "mixed")
     sizes = b.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n"))
     b = b.join(sizes.select("key", F.col("top.comp").alias("core"), (F.col("n") - F.col("top.n")).alias("n_rest"), F.col("top.n").alias("n_core")), "key")
     b = b.withColumn("rest", F.col("comp") != F.col("core"))
@@ -184,8 +219,9 @@ def remaining_pairs(buckets: DataFrame, labels: DataFrame, nodes: DataFrame) ->
     )
     core_cells = F.transform(F.sequence(F.lit(0), F.col("rb") - 1), lambda x: F.struct(x.alias("i"), (-1 - own).alias("j")))
     cells = b.withColumn("cell", F.explode(F.when(F.col("rest"), rest_cells).otherwise(core_cells))).select("key", "node", "comp", "rest", "blk", "cell.i", "cell.j")
-    cells = cells.join(nodes.select("node", "bands", "sketch"), "node")
-    return cells.groupBy("key", "i", "j").applyInPandas(_close, "a long, b long").distinct()
+    ids = stored(b.select(F.col("node").alias("id")).distinct(), "ids")
+    texts = texts_of(documents, ids).withColumnRenamed("doc_id", "node")
+    return stored(cells.join(texts, "node").groupBy("key", "i", "j").applyInArrow(_cell_links, "a long, b long").distinct(), "remaining")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -193,18 +229,17 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     s = stored(sketches(documents), "sketches")
     groups = s.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
     g = s.join(groups, "digest")
-    nodes = stored(g.filter("doc_id = node").select("node", "bands", "sketch").dropDuplicates(["node"]), "nodes")
+    nodes = stored(g.filter("doc_id = node").select("node", "bands").dropDuplicates(["node"]), "nodes")
     rows = nodes.select("node", F.explode("bands").alias("key"))
     pivots = rows.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select("key", "pivot")
     buckets = stored(rows.join(pivots, "key"), "buckets")
     pairs = stored(buckets.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
     links = confirmed(pairs, documents)
-    more = stored(remaining_pairs(buckets, components(links), nodes), "more")
-    if not more.isEmpty():
-        links = links.union(confirmed(more, documents))
     labels = components(links)
+    more = remaining_links(buckets, labels, documents)
+    labels = components(links.union(more))
     of = s.select("doc_id", "n_shingles", "digest").join(groups, "digest", "left").withColumn("node", F.coalesce("node", "doc_id"))
-    out = of.join(labels, "node", "left").withColumn("component_id", F.coalesce("comp", "node"))
+    out = of.join(labels, "node", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "node")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
