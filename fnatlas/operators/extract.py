@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,3 +89,18 @@ def with_ast_features(df: DataFrame, code: str = "function_code") -> DataFrame:
     ship(df.sparkSession)
     f = F.pandas_udf(lambda s: s.map(ast_features), "array<double>")
     return df.withColumn("ast_features", f(F.col(code)))
+
+
+def with_shape(df: DataFrame, code: str = "function_code") -> DataFrame:
+    """df with shape: how many calls, ifs and returns a function has, its cyclomatic number and its depths."""
+    from ..functions.ctokens import shape
+
+    ship(df.sparkSession)
+    names = ("n_calls", "n_ifs", "n_returns", "cyclomatic", "loop_depth", "branch_depth")
+
+    def shapes(codes: pd.Series) -> pd.DataFrame:
+        got = [shape(c or "") for c in codes]
+        return pd.DataFrame([(s.counts["call"], s.counts["if"], s.counts["return"], s.cyclomatic, s.loops, s.branches) for s in got], columns=names)
+
+    f = F.pandas_udf(shapes, ", ".join(f"{n} int" for n in names))
+    return df.withColumn("shape", f(F.col(code)))

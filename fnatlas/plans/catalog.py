@@ -26,11 +26,11 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        QUERIES[name or f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = sql
+            ORACLES[name or f.__name__] = sql
         return f
 
     return add
@@ -325,6 +325,31 @@ def ast_features(spark, sf):
     return d.select("fn_id", *[F.round(F.get("ast_features", F.lit(i)), 6).alias(n) for i, n in enumerate(AST_NAMES)])
 
 
+#: What each statement of the derived functions adds, counted by hand: modulus, remainder, calls, ifs, returns, decisions, loop depth, branch depth.
+_ADDS = (
+    (7, 2, 1, 0, 0, 0, 0, 0), (11, 3, 1, 0, 0, 0, 0, 0), (13, 4, 1, 0, 0, 0, 0, 0), (13, 5, 1, 0, 0, 0, 0, 0), (13, 6, 1, 0, 0, 0, 0, 0), (17, 1, 2, 0, 0, 0, 0, 0),
+    (17, 2, 1, 0, 0, 0, 0, 0), (17, 4, 2, 0, 0, 0, 0, 0), (17, 5, 1, 0, 0, 0, 0, 0), (17, 6, 1, 0, 0, 0, 0, 0), (17, 7, 2, 0, 0, 0, 0, 0), (17, 8, 3, 0, 0, 0, 0, 0),
+    (17, 9, 2, 0, 0, 0, 0, 0), (17, 10, 1, 0, 0, 0, 0, 0), (17, 11, 1, 0, 0, 0, 0, 0), (17, 12, 2, 0, 0, 0, 0, 0), (17, 13, 1, 0, 0, 0, 0, 0), (17, 14, 1, 0, 0, 0, 0, 0),
+    (17, 15, 1, 0, 0, 0, 0, 0), (17, 16, 1, 1, 0, 1, 0, 1), (19, 1, 2, 0, 0, 0, 0, 0), (19, 2, 1, 0, 0, 0, 0, 0), (19, 5, 1, 0, 0, 0, 0, 0), (19, 6, 1, 0, 0, 0, 0, 0), (19, 7, 1, 0, 0, 0, 0, 0),
+    (23, 1, 0, 0, 0, 1, 1, 0), (23, 2, 0, 0, 0, 1, 1, 0), (23, 3, 0, 2, 0, 4, 2, 2), (23, 4, 0, 0, 0, 3, 0, 1), (23, 5, 0, 0, 0, 2, 1, 0), (23, 6, 0, 2, 0, 2, 0, 2),
+    (29, 1, 0, 1, 1, 1, 0, 1), (29, 2, 0, 1, 1, 1, 0, 1), (29, 3, 0, 1, 1, 1, 0, 1), (29, 6, 0, 0, 1, 0, 0, 0), (29, 8, 1, 0, 0, 0, 0, 0), (29, 9, 2, 0, 0, 0, 0, 0),
+)
+
+
+def _added(column: int, join: str = " + ", first: str = "0") -> str:
+    parts = [f"CASE WHEN p_partkey % {a[0]} = {a[1]} THEN {a[column]} ELSE 0 END" for a in _ADDS if a[column]]
+    return join.join([first, *parts])
+
+
+@query(f"""SELECT CAST(p_partkey AS BIGINT) AS fn_id, CAST({_added(2)} AS INT) AS n_calls, CAST({_added(3)} AS INT) AS n_ifs, CAST({_added(4)} + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS INT) AS n_returns,
+ CAST({_added(5, first="1")} AS INT) AS cyclomatic, CAST(greatest({_added(6, ", ")}) AS INT) AS loop_depth, CAST(greatest({_added(7, ", ")}) AS INT) AS branch_depth FROM part""")
+def ast_counts(spark, sf):
+    from ..operators.extract import with_shape
+
+    d = with_shape(c_functions(spark, sf))
+    return d.select("fn_id", *[F.col(f"shape.{c}").alias(c) for c in ("n_calls", "n_ifs", "n_returns", "cyclomatic", "loop_depth", "branch_depth")])
+
+
 @query()
 def hashed_embedding(spark, sf):
     d = with_embeddings(table(spark, sf, "documents").select("doc_id", "text"), "text")
@@ -337,7 +362,7 @@ _LINE_COUNT = "(length(function_code) - length(replace(function_code, chr(10), '
 _PLACED = f"placed AS (SELECT *, {D.HEADER_LINES} + 1 + coalesce(sum({_LINE_COUNT} + 1) OVER (PARTITION BY file_path ORDER BY fn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM f)"
 
 
-@query(f"WITH {_FNS}, {_PLACED} SELECT function_name, function_code, file_path, CAST(first AS INT) AS start_line, CAST(first + {_LINE_COUNT} - 1 AS INT) AS end_line FROM placed")
+@query(f"WITH {_FNS}, {_PLACED} SELECT function_name, function_code, file_path, CAST(first AS INT) AS start_line, CAST(first + {_LINE_COUNT} - 1 AS INT) AS end_line FROM placed", "extract_functions")
 def extract_functions_tokens(spark, sf):
     return extract_functions(c_files(spark, sf))
 
@@ -347,7 +372,7 @@ def extract_functions_pattern(spark, sf):
     return extract_functions(c_files(spark, sf), "pattern")
 
 
-@query(f"WITH {_FNS} SELECT file_path, count(*) AS n_functions FROM f GROUP BY file_path")
+@query(f"WITH {_FNS} SELECT file_path, count(*) AS n_functions FROM f GROUP BY file_path", "functions_per_file")
 def functions_by_file(spark, sf):
     return functions_per_file(extract_functions(c_files(spark, sf)))
 
@@ -464,7 +489,7 @@ def feature_concat(spark, sf):
     return j.select("fn_id", F.size("all").alias("dims"), F.round(F.aggregate("all", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
-@query("SELECT vec_id, CASE WHEN vec_id % 10 < 3 THEN 'test' ELSE 'train' END AS split FROM embeddings")
+@query("SELECT vec_id, CASE WHEN vec_id % 10 < 3 THEN 'test' ELSE 'train' END AS split FROM embeddings", "hash_split")
 def modulo_split(spark, sf):
     return vectors(spark, sf).select("vec_id", M.modulo_split(F.col("vec_id")).alias("split"))
 
@@ -502,6 +527,37 @@ def overfit_status(spark, sf):
     return a.select(F.round("tr", 6).alias("train_score"), F.round("te", 6).alias("test_score"), E.overfit_status(F.col("tr"), F.col("te")).alias("status"))
 
 
+@query(_ONE.replace("p AS (", "p0 AS (") + """, p AS (SELECT *, CASE WHEN vec_id % 10 < 3 THEN 'test' ELSE 'train' END AS split FROM p0),
+cls AS (SELECT DISTINCT split, c FROM (SELECT split, label AS c FROM p UNION ALL SELECT split, predicted FROM p)),
+cnt AS (SELECT p.split, c, 2.0 * sum(CASE WHEN label = c AND predicted = c THEN 1 ELSE 0 END) AS t2, sum(CASE WHEN (label = c) <> (predicted = c) THEN 1 ELSE 0 END) AS miss FROM p JOIN cls ON p.split = cls.split GROUP BY p.split, c),
+f AS (SELECT split, avg(coalesce(t2 / nullif(t2 + miss, 0), 0)) AS f1 FROM cnt GROUP BY split)
+SELECT f.split, round(f1, 6) AS f1_macro, round(avg(CASE WHEN label = predicted THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM f JOIN p ON p.split = f.split GROUP BY f.split, f1""")
+def split_metrics(spark, sf):
+    """Macro F1 and accuracy of a single label on the training and the test part."""
+    p = _sets(spark, sf).withColumn("split", M.modulo_split(F.col("vec_id")))
+    out = None
+    for part in ("test", "train"):
+        d = p.filter(F.col("split") == part)
+        f = E.classification_report(d).filter("class = 'macro avg'").select(F.lit(part).alias("split"), F.round("f1", 6).alias("f1_macro"))
+        f = f.crossJoin(E.subset_accuracy(d).select(F.round("accuracy", 6).alias("accuracy")))  # one row each
+        out = f if out is None else out.unionByName(f)
+    return out
+
+
+@query()
+def silhouette_by_k(spark, sf):
+    got = M.silhouette_sweep(vectors(spark, sf), "vec_id", "embedding", 4, 1)
+    return spark.createDataFrame([(k, round(s, 6)) for k, s in got], "k int, silhouette double")
+
+
+@query()
+def sampled_overlap(spark, sf):
+    """Overlap of ten hashed queries, the way the report samples."""
+    u = units(spark, sf)
+    labels = vectors(spark, sf).select(F.col("vec_id").alias("id"), F.array(F.col("label").cast("string")).alias("tags"))
+    return S.overlap_at_k(S.top_k(E.hashed_sample(u, "id"), u, 5, digits=6), labels).select("q", F.round("overlap", 6).alias("overlap"))
+
+
 # ---------------------------------------------------------------- models (rows only)
 
 
