@@ -39,10 +39,13 @@ from .spans import batch
 END_ID = 1
 BLOCK_BYTES = 64 << 10
 SHARD_BYTES = 64 << 20
-CHUNKS_KEPT = 450_000
+CHUNKS_KEPT = 600_000
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 MAGIC = b"FNSST001"
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Characters that stand for bytes in byte-level models: printable ones for themselves, the others from 256 on.
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 _FOOTER = struct.Struct("<QQQQQQB7x8s")
 _BIAS = 1 << 63
 
@@ -99,9 +102,10 @@ def open_store(uri: str) -> tuple:
 class Encoder:
     """Chunks between white space to their ids as bytes.
 
-    Letters of one case that ASCII punctuation follows are split by the tokenizer at the punctuation, whatever their case, so
-    such a chunk's ids are those of its lower-cased letters and of its punctuation, and letters are encoded once
-    for all their chunks. Chunks live in two generations, so memory is bounded and frequent ones stay.
+    Latin letters that ASCII punctuation without apostrophes follows are split at the punctuation, so such a chunk's ids
+    are those of its lower-cased letters and of its punctuation. Both are single pieces for the BPE model, which is
+    called for them directly, and letters are encoded once for all their chunks. Other chunks go through
+    the whole tokenizer. Chunks live in two generations, so memory is bounded and frequent ones stay.
     """
 
     def __init__(self, path: str) -> None:
@@ -110,6 +114,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self.piece = self.tokenizer.model.tokenize
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -118,44 +123,43 @@ class Encoder:
         for chunk, e in zip(chunks, self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False), strict=True):
             self.young[chunk] = np.array(e.ids, kind).tobytes()
 
+    def _part(self, part: str) -> bytes:
+        """The ids of lower-case letters or punctuation, one piece for the model."""
+        key = part.encode()
+        v = self.young.get(key)
+        if v is None:
+            v = self.old.get(key)
+            if v is None:
+                v = np.array([t.id for t in self.piece(key.decode("latin-1").translate(_BYTE_CHARS))], f"<u{self.width}").tobytes()
+            self.young[key] = v
+        return v
+
     def _learn(self, chunks: set[bytes]) -> None:
         """Puts all of chunks into the young generation."""
-        young, old = self.young, self.old
-        simple, direct = [], set()
+        young, old, direct = self.young, self.old, []
         for c in chunks:
-            if c in young:
-                continue
             if (v := old.get(c)) is not None:
                 young[c] = v
-                continue
-            m = _SIMPLE.fullmatch(c.decode("utf-8", "replace"))
-            parts = (m[1].lower().encode(), m[2].encode()) if m else None
-            if not m or parts == (c, b""):
-                direct.add(c)
-                continue
-            simple.append((c, parts))
-            for p in parts:
-                if p and p not in young:
-                    if (v := old.get(p)) is not None:
-                        young[p] = v
-                    else:
-                        direct.add(p)
-        self._encoded(list(direct))
-        for c, (letters, rest) in simple:
-            young[c] = young[letters] + (young[rest] if rest else b"")
+            elif m := _SIMPLE.fullmatch(c.decode("utf-8", "replace")):
+                letters = self._part(m[1].lower())
+                young[c] = letters + self._part(m[2]) if m[2] else letters
+            else:
+                direct.append(c)
+        self._encoded(direct)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, with the end id."""
         end = np.array([END_ID], f"<u{self.width}").tobytes()
         cut = [text.encode("utf-8", "surrogatepass").split() if text else [] for text in texts]
         got = [list(map(self.young.get, chunks)) for chunks in cut]
-        new = [i for i, g in enumerate(got) if None in g]
-        if new:
+        gaps = [(chunks, g, [i for i, v in enumerate(g) if v is None]) for chunks, g in zip(cut, got, strict=True) if None in g]
+        if gaps:
             if len(self.young) > CHUNKS_KEPT:
                 self.young, self.old = {}, self.young
-            self._learn(set().union(*(cut[i] for i in new)))
-            for i in new:
-                got[i] = list(map(self.young.__getitem__, cut[i]))
+            self._learn({chunks[i] for chunks, _, at in gaps for i in at})
+            for chunks, g, at in gaps:
+                for i in at:
+                    g[i] = self.young[chunks[i]]
         return [b"".join(g) + end for g in got]
 
 
