@@ -65,31 +65,31 @@ def pca_projected(df: DataFrame, vec: str, dims: int, fit_on: DataFrame | None =
 
 
 def classifier(kind: str, features: int, classes: int, **options):
-    """An estimator by kind: lr, svm, rf or mlp. Columns: features, label, weight."""
+    """An estimator by kind: lr, svm, rf or mlp, of the columns _features, _label and _weight."""
     if kind == "svm":
-        svc = LinearSVC(regParam=options.get("reg", 0.01), maxIter=options.get("max_iter", 50), featuresCol="features", labelCol="label", weightCol="weight")
-        return svc if classes <= 2 else OneVsRest(classifier=svc, featuresCol="features", labelCol="label", weightCol="weight")
+        svc = LinearSVC(regParam=options.get("reg", 0.01), maxIter=options.get("max_iter", 50), featuresCol="_features", labelCol="_label", weightCol="_weight")
+        return svc if classes <= 2 else OneVsRest(classifier=svc, featuresCol="_features", labelCol="_label", weightCol="_weight")
     if kind == "rf":
         depth = options.get("max_depth", 20) or 30
-        return RandomForestClassifier(numTrees=options.get("trees", 100), maxDepth=min(30, depth), minInstancesPerNode=options.get("min_leaf", 1), featureSubsetStrategy="sqrt", seed=options.get("seed", 42), featuresCol="features", labelCol="label", weightCol="weight")
+        return RandomForestClassifier(numTrees=options.get("trees", 100), maxDepth=min(30, depth), minInstancesPerNode=options.get("min_leaf", 1), featureSubsetStrategy="sqrt", seed=options.get("seed", 42), featuresCol="_features", labelCol="_label", weightCol="_weight")
     if kind == "mlp":
-        return MultilayerPerceptronClassifier(layers=[features, *options.get("layers", (256, 128)), max(2, classes)], maxIter=options.get("max_iter", 50), seed=options.get("seed", 42), featuresCol="features", labelCol="label")
-    return LogisticRegression(regParam=options.get("reg", 0.01), elasticNetParam=0.0, standardization=False, maxIter=options.get("max_iter", 100), featuresCol="features", labelCol="label", weightCol="weight")
+        return MultilayerPerceptronClassifier(layers=[features, *options.get("layers", (256, 128)), max(2, classes)], maxIter=options.get("max_iter", 50), seed=options.get("seed", 42), featuresCol="_features", labelCol="_label")
+    return LogisticRegression(regParam=options.get("reg", 0.01), elasticNetParam=0.0, standardization=False, maxIter=options.get("max_iter", 100), featuresCol="_features", labelCol="_label", weightCol="_weight")
 
 
 def train_single(df: DataFrame, vec: str, label: str, kind: str = "lr", balanced: bool = True, **options) -> PipelineModel:
     """A model of one label: indexes the classes by name, fits, and writes `predicted` as a class name."""
-    d = df.withColumn("features", array_to_vector(doubles(F.col(vec))))
-    d = d.join(F.broadcast(class_weights(df, label).select(label, "weight")), label) if balanced else d.withColumn("weight", F.lit(1.0))
-    indexer = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="keep").fit(d)
+    d = df.withColumn("_features", array_to_vector(doubles(F.col(vec))))
+    d = d.join(F.broadcast(class_weights(df, label).select(label, F.col("weight").alias("_weight"))), label) if balanced else d.withColumn("_weight", F.lit(1.0))
+    indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="keep").fit(d)
     names = indexer.labels
-    size = d.select(F.size(vec)).first()[0]
+    size = df.select(F.size(vec)).first()[0]
     model = classifier(kind, size, len(names), **options).fit(indexer.transform(d))
     return PipelineModel(stages=[model, IndexToString(inputCol="prediction", outputCol="predicted", labels=[*names, "?"])])
 
 
 def predict_single(model: PipelineModel, df: DataFrame, vec: str, out: str = "predicted") -> DataFrame:
-    d = model.transform(df.withColumn("features", array_to_vector(doubles(F.col(vec)))))
+    d = model.transform(df.withColumn("_features", array_to_vector(doubles(F.col(vec)))))
     return d.select(*df.columns, F.col("predicted").alias(out))
 
 
@@ -116,9 +116,9 @@ def predict_multilabel(models: dict[str, PipelineModel], df: DataFrame, vec: str
 
 def kmeans(df: DataFrame, vec: str, k: int, seed: int = 42, n_init: int = 10, out: str = "cluster") -> DataFrame:
     """df with clusters of the best of n_init starts."""
-    d = df.withColumn("features", array_to_vector(doubles(F.col(vec)))).cache()
-    best = min((KMeans(k=k, seed=seed + i, maxIter=50).fit(d) for i in range(n_init)), key=lambda m: m.summary.trainingCost)
-    result = best.transform(d).select(*df.columns, F.col("prediction").alias(out))
+    d = df.withColumn("_features", array_to_vector(doubles(F.col(vec)))).cache()
+    best = min((KMeans(k=k, seed=seed + i, maxIter=50, featuresCol="_features").fit(d) for i in range(n_init)), key=lambda m: m.summary.trainingCost)
+    result = best.transform(d).select(*[c for c in df.columns if c != out], F.col("prediction").alias(out))
     d.unpersist()
     return result
 

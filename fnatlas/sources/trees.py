@@ -14,7 +14,7 @@ LABELED_SCHEMA = f"function_name string, function_code string, file_path string,
 
 def normalised(content: Column) -> Column:
     """As a reader of text that drops invalid bytes and folds line ends gives it."""
-    return F.replace(F.replace(content, F.lit("�"), F.lit("")), F.lit("\r\n"), F.lit("\n"))
+    return F.replace(F.replace(F.make_valid_utf8(content), F.lit("�"), F.lit("")), F.lit("\r\n"), F.lit("\n"))
 
 
 def read_tree(spark: SparkSession, path: str, glob: str = "*.c") -> DataFrame:
