@@ -27,7 +27,6 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -310,17 +309,20 @@ def write_tables(documents: DataFrame, folder: str, vocabulary: str | None = Non
     return stored(d.mapInArrow(write, "part int, seq int, path string, first_id long, last_id long, n_docs long, n_tokens long"), "manifest")
 
 
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for path, start in zip(pdf["path"], pdf["base"], strict=True):
+_ENTRIES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for path, start in zip(b.column("path").to_pylist(), b.column("base").to_pylist(), strict=True):
             table, rows = TableReader(path), []
             for doc_id, ids in table:
                 rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                 start += len(ids)
                 if len(rows) == 10_000:
-                    yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
+                    yield batch(_ENTRIES, rows)
                     rows = []
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
+            yield batch(_ENTRIES, rows)
             table.close()
 
 
@@ -328,7 +330,7 @@ def read_tables(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every entry, from the shards' files."""
     base = F.sum("n_tokens").over(Window.orderBy("part", "seq")) - F.col("n_tokens")
     shards = manifest.select("part", "path", base.alias("base"))
-    return shards.repartition(max(1, manifest.count()), "path").mapInPandas(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.repartition(max(1, manifest.count()), "path").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_tables(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
