@@ -33,7 +33,7 @@ from .spans import batch
 NAMES = ("", "system", "user", "assistant")
 #: Other names of the roles.
 ALIASES = {"human": "user", "prompter": "user", "customer": "user", "bot": "assistant", "gpt": "assistant", "model": "assistant", "ai": "assistant", "agent": "assistant", "developer": "system", "instruction": "system"}
-MERGE, RELABEL, GUESS, INSERT = 1, 2, 1, 3
+MERGE, RELABEL, GUESS, INSERT = 1, 4, 1, 2
 CHUNK = 4096
 _INF = 1 << 40
 #: Empty turns to insert between a state and a turn of a role; those not here can't follow.
