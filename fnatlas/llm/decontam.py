@@ -24,7 +24,8 @@ from .common import ascii_lower, small, stored
 WINDOW_WORDS = 13
 SHINGLE_WORDS = 3
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The same words before letters are folded; Java finds them several times as fast as the complement of the separators.
+WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 
 def folded(text: Column) -> Column:
