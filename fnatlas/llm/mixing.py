@@ -85,12 +85,13 @@ def slots(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int =
     t = t.withColumn("n_slots", F.col("passes") * F.col("blocks") + F.ceil(F.col("rest") / b).cast("long"))
     t = t.withColumn("first", F.sum("n_slots").over(Window.orderBy("sid")) - F.col("n_slots")).withColumn("all_slots", F.sum("n_slots").over(Window.partitionBy()))
     known = t.select("sid", "source_size", "passes", "rest", "blocks", "whole")
-    x = t.select("sid", "first", "n_slots", "all_slots", F.explode(F.expr(f"sequence(0L, (n_slots - 1) div {CHUNK})")).alias("chunk")).repartition("sid", "chunk")
+    tasks = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: few rows here make many slots
+    x = t.select("sid", "first", "n_slots", "all_slots", F.explode(F.expr(f"sequence(0L, (n_slots - 1) div {CHUNK})")).alias("chunk")).repartition(tasks, "sid", "chunk")
     x = x.select("sid", "all_slots", F.explode(F.expr(f"sequence(first + chunk * {CHUNK}, first + least(n_slots, (chunk + 1) * {CHUNK}) - 1)")).alias("x"))
     shard = F.floor(permuted(F.col("x"), F.col("all_slots"), F.lit(seed)) / F.lit(shard_slots)).alias("shard")
     drawn = x.select("sid", shard).groupBy("shard", "sid").agg(F.count("*").alias("n"))
     base = F.sum("n").over(Window.partitionBy("sid").orderBy("shard")) - F.col("n")
-    s = drawn.withColumn("base", base).select("shard", "sid", F.explode(F.sequence("base", F.col("base") + F.col("n") - 1)).alias("k"))
+    s = drawn.withColumn("base", base).repartition(tasks, "shard", "sid").select("shard", "sid", F.explode(F.sequence("base", F.col("base") + F.col("n") - 1)).alias("k"))
     s = s.join(known, "sid").withColumn("pass_no", F.expr("k div blocks")).withColumn("i", F.col("k") % F.col("blocks"))
     block = F.when(F.col("i") < F.col("whole"), permuted(F.col("i"), F.greatest(F.col("whole"), F.lit(1)), F.lit(seed), F.col("sid"), F.col("pass_no"))).otherwise(F.col("i"))
     take = F.when(F.col("pass_no") < F.col("passes"), b.cast("long")).otherwise(F.least(b.cast("long"), F.col("rest") - F.col("i") * b))
