@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import sys
 import tempfile
@@ -40,7 +41,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/fnatlas/{uuid.uuid4().hex}-{name}"
+    """A path of this application's own, which goes when the driver ends."""
+    app = spark.sparkContext.applicationId
+    top = f"{shared_dir(spark)}/fnatlas-{app}"
+    if f"top-{app}" not in _OWN:
+        _OWN[f"top-{app}"] = top
+        atexit.register(_swept, spark, top)
+    return f"{top}/{uuid.uuid4().hex}-{name}"
+
+
+def _swept(spark: SparkSession, top: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        delete(spark, top)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
