@@ -175,6 +175,7 @@ def built(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     ship(vectors.sparkSession)
     shards = max(1, -(-vectors.count() // shard_rows))
     v = vectors.withColumn("dim", F.size("vec")).withColumn("shard", F.pmod(F.xxhash64("vec_id", "vec"), F.lit(shards)).cast("int"))
+    v = v.repartition(min(3 * shards, 10_000), "dim", "shard")  # small rows, much work: more tasks than bytes ask for
     return stored(v.groupBy("dim", "shard").applyInPandas(_build, _INDEX), "hnsw")
 
 
