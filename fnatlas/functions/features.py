@@ -6,9 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .labels import matches
-
-_FLAGS = "(?Ud)"
+from .labels import is_ascii, matches
 
 
 def distinct_hits(code: Column, patterns: list[str]) -> Column:
@@ -20,7 +18,7 @@ def distinct_hits(code: Column, patterns: list[str]) -> Column:
 
 
 def occurrences(code: Column, pattern: str) -> Column:
-    return F.regexp_count(code, F.lit(_FLAGS + pattern))
+    return F.when(is_ascii(code), F.regexp_count(code, F.lit(f"(?d){pattern}"))).otherwise(F.regexp_count(code, F.lit(f"(?Ud){pattern}")))
 
 
 def capped(x: Column, n: int) -> Column:
@@ -33,7 +31,7 @@ def flag(x: Column) -> Column:
 
 def parameter_count(code: Column) -> Column:
     """Commas and one in the first parameter list before a brace; 0 for (void), () or none."""
-    params = F.regexp_extract(code, _FLAGS + P.PARAMETERS, 0)
+    params = F.regexp_extract(code, "(?Ud)" + P.PARAMETERS, 0)
     none = (params == "") | F.contains(params, F.lit("(void)")) | F.contains(params, F.lit("()"))
     return F.when(none, 0).otherwise(F.regexp_count(params, F.lit(",")) + 1)
 
