@@ -42,7 +42,7 @@ T, ROWS = 128, 5
 BANDS = T // ROWS
 #: Members of a block; two blocks make a cell. Elements whose 0/1 columns are held at once.
 BLOCK, SLICE = 256, 8192
-WORDS_KEPT = 600_000
+WORDS_KEPT = 200_000
 
 _U = np.uint64
 _STEP = [_U(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
