@@ -6,13 +6,18 @@ words share input vector and class by the power of two of their count; unseen wo
 is that of its class, a softmax of the recurrent state, times that of the word in its class, a softmax of biases
 only, whose best values are the relative counts; so a token costs the same whatever the vocabulary's size.
 
-Training: truncated backpropagation over STEPS tokens with the state carried on, by Adam, on windows of at most
-SAMPLE_TOKENS words from hashed places of at most SAMPLE_DOCS training documents, those of the smallest hash. Half of
-the words seen once count as unseen there. The bound makes this cost the same at any size; counts cover all documents.
+Encoding: documents are dealt by hash to blocks of about BLOCK_BYTES. Each block asks the table of counts for the words
+it uses, so no task holds the vocabulary, and keeps two bytes a token (its input, which tells its class) and the sums of
+what the network has no part in.
 
-Scoring: documents are dealt by hash to blocks of about BLOCK_BYTES. Each block asks the table of counts for the words
-it uses, so no task holds the vocabulary, and scores its documents in step, longest first, over windows of WINDOW tokens;
-the state is carried from window to window to the document's end.
+Training: truncated backpropagation over STEPS tokens with the state carried on, by Adam, on every token of every training
+document. The network starts from a bounded sample (windows of SAMPLE_TOKENS from SAMPLE_DOCS documents of the smallest
+hash), so that blocks agree on what a unit means. Then in ROUNDS rounds each training document is gone through once, in
+blocks of about TRAIN_BYTES: those of a round begin with the same parameters, and their results are averaged by tokens. Half of
+the words seen once count as unseen there.
+
+Scoring: documents go forward in step, longest first, over windows of WINDOW tokens; the state is carried from window to
+window to the document's end.
 
 Defined cases: a null text counts as empty and has the end token only; without training documents all counts are 0
 and scores are those of an empty model, 0; repeated rows get the same result each; an empty table gives no rows;
@@ -21,6 +26,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import copy
 import zlib
 from collections.abc import Iterator
 
@@ -29,16 +35,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, small, stored
+from .common import ship, stored
 from .langid import held_out
 from .spans import batch
 
+NAMES = ("x", "u", "b", "w", "c")  # of the parameters
 END = b""  # no word is empty
 TOP_WORDS, TOP_CLASSES, TAIL = 1000, 48, 48
 HIDDEN, STREAMS, STEPS = 24, 64, 24
 SAMPLE_DOCS, SAMPLE_TOKENS = 1024, 400
 EPOCHS, RATE = 3, 0.006
+#: Of the passes over all training documents. Blocks have up to BLOCK_STREAMS streams, fewer if that leaves under LEAST_STEPS updates.
+ROUNDS, TRAIN_BYTES, BLOCK_STREAMS, LEAST_STEPS, BLOCK_RATE = 4, 4 << 20, 256, 64, 0.003
+#: Groups in which a round's parameters are summed before the driver gets them.
+SUMS = 16
 BLOCK_BYTES = 16 << 20
+SCORE_TOKENS = 2 << 20
 WINDOW = 32
 FLOOR = 0.02
 FLUSH = 400_000
@@ -47,6 +59,7 @@ UNSEEN = 0  # input and class of unseen words; then the end, the tail's powers o
 _END_IN = 1
 _TAIL_IN = 2
 _TOP_IN = _TAIL_IN + TAIL
+_ONCE = _TOP_IN + TOP_WORDS  # a code only: a word seen once that counts as unseen in training
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -81,6 +94,7 @@ class Model:
     def __init__(self, n: int, v: int, top: list[tuple[bytes, int]], end: int, tail: np.ndarray, once: int, seed: int = 10) -> None:
         """tail: by power of two, the counts of all words but the end. once: how many words have count 1."""
         self.n, self.v, self.end = n, v, end
+        self.learned = 0  # tokens of the passes over all training documents
         tail = tail.astype(float)
         for _, c in top:
             tail[c.bit_length() - 1] -= c
@@ -106,6 +120,9 @@ class Model:
         self.b[:HIDDEN] = 1
         self.w = r.normal(0, 0.1, (HIDDEN, classes)).astype(np.float32)
         self.c = np.log(self.prior)
+        self.class_of = np.arange(inputs, dtype=np.int32)  # by input
+        for i, k, _ in self.top.values():
+            self.class_of[i] = k
 
     def of(self, word: bytes, c: int) -> tuple[int, int, float]:
         """Input, class, and log10 of the probability in its class, of a word with count c."""
@@ -141,11 +158,10 @@ class Model:
         n = np.tanh(x[:, 2 * HIDDEN :] + r * un)
         return n + z * (h - n), z, r, un, n
 
-    def fit(self, inputs: np.ndarray, classes: np.ndarray, epochs: int = EPOCHS) -> list[float]:
+    def fit(self, inputs: np.ndarray, classes: np.ndarray, epochs: int = EPOCHS, rate: float = RATE) -> list[float]:
         """Truncated backpropagation through (streams, time) arrays, inputs[:, t] coming before classes[:, t]."""
-        names = ("x", "u", "b", "w", "c")
-        m = {k: np.zeros_like(getattr(self, k)) for k in names}
-        v = {k: np.zeros_like(getattr(self, k)) for k in names}
+        m = {k: np.zeros_like(getattr(self, k)) for k in NAMES}
+        v = {k: np.zeros_like(getattr(self, k)) for k in NAMES}
         count, losses = 0, []
         streams, length = inputs.shape
         for _ in range(epochs):
@@ -167,9 +183,9 @@ class Model:
                 total -= float(np.log(p[np.arange(len(y)), y] + 1e-30).sum())
                 p[np.arange(len(y)), y] -= 1
                 p /= streams
-                grads = {"w": hs.T @ p, "c": p.sum(0), "x": np.zeros_like(self.x), "u": np.zeros_like(self.u), "b": np.zeros_like(self.b)}
                 dhs = (p @ self.w.T).reshape(len(kept), streams, HIDDEN)
                 dh = np.zeros_like(h)
+                dxs, dus = [None] * len(kept), [None] * len(kept)
                 for i in range(len(kept) - 1, -1, -1):
                     h0, z, r, un, n, _ = kept[i]
                     dh = dh + dhs[i]
@@ -177,20 +193,44 @@ class Model:
                     dx = np.concatenate([dh * (h0 - n) * z * (1 - z), dn * un * r * (1 - r), dn], 1)
                     du = dx.copy()
                     du[:, 2 * HIDDEN :] *= r
-                    np.add.at(grads["x"], inputs[:, lo + i], dx)
-                    grads["u"] += h0.T @ du
-                    grads["b"] += du.sum(0)
+                    dxs[i], dus[i] = dx, du
                     dh = (dh * z + du @ self.u.T) * (inputs[:, lo + i] != _END_IN)[:, None]
-                norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+                dx, du = np.concatenate(dxs), np.concatenate(dus)
+                used = np.concatenate([inputs[:, t] for t in at])
+                order = np.argsort(used, kind="stable")
+                used = used[order]
+                first = np.flatnonzero(np.r_[True, used[1:] != used[:-1]])
+                grads = {"w": hs.T @ p, "c": p.sum(0), "x": np.zeros_like(self.x), "u": np.concatenate([k[0] for k in kept]).T @ du, "b": du.sum(0)}
+                grads["x"][used[first]] = np.add.reduceat(dx[order], first, 0)
+                norm = float(np.sqrt(sum(float((g * g).sum()) for g in grads.values())))
                 count += 1
-                for k in names:
+                for k in NAMES:
                     g = grads[k] * min(1.0, 5 / max(norm, 1e-9))
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v[k] = 0.999 * v[k] + 0.001 * g * g
-                    setattr(self, k, getattr(self, k) - (RATE * (m[k] / (1 - 0.9**count)) / (np.sqrt(v[k] / (1 - 0.999**count)) + 1e-8)).astype(np.float32))
+                    setattr(self, k, getattr(self, k) - (rate * (m[k] / (1 - 0.9**count)) / (np.sqrt(v[k] / (1 - 0.999**count)) + 1e-8)).astype(np.float32))
             losses.append(total / inputs.size)
         return losses
 
+    def parameters(self) -> np.ndarray:
+        return np.concatenate([getattr(self, k).ravel() for k in NAMES])
+
+    def with_parameters(self, flat: np.ndarray) -> Model:
+        """A copy with these parameters, as parameters() gives them."""
+        out, at = copy.copy(self), 0
+        for k in NAMES:
+            old = getattr(self, k)
+            setattr(out, k, flat[at : at + old.size].reshape(old.shape).astype(np.float32))
+            at += old.size
+        return out
+
+    def learn(self, codes: np.ndarray, streams: int, epochs: int, rate: float) -> None:
+        """Fits to all codes of documents that follow one another; the last stream is filled up from the start."""
+        y = np.where(codes == _ONCE, UNSEEN, codes).astype(np.int32)
+        x = np.r_[np.int32(_END_IN), y[:-1]]
+        shape = streams, -(-len(y) // streams)
+        self.fit(np.resize(x, shape), np.resize(self.class_of[y], shape), epochs, rate)
+
     def class_scores(self, inputs: list[np.ndarray], classes: list[np.ndarray]) -> list[np.ndarray]:
         """log10 P(class) of each token of each document; all documents go forward in step, longest first."""
         order = sorted(range(len(inputs)), key=lambda i: -len(inputs[i]))
@@ -230,21 +270,8 @@ class Model:
         return out
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("at", pa.int64()), ("words", pa.list_(pa.binary()))])
-    for b in batches:
-        rows = []
-        for text in b.column(0).to_pylist():
-            w = [*words_of(text), END]
-            h = zlib.crc32((text or "").encode("utf-8", "surrogatepass"))
-            a = h % max(1, len(w) - SAMPLE_TOKENS + 1)
-            rows.append((h, w[a : a + SAMPLE_TOKENS]))
-        yield batch(schema, rows)
-
-
-def trained(documents: DataFrame, counts: DataFrame, remainder: int = 1) -> Model:
-    """The model of the stored counts, its network fitted to a bounded sample."""
-    spark = documents.sparkSession
+def untrained(counts: DataFrame) -> Model:
+    """The model of the stored counts, before its network has learned."""
     power = F.least(F.lit(TAIL), F.length(F.bin("c"))).alias("power")
     tail, end, n, v, once = np.zeros(TAIL, np.int64), 0, 0, 0, 0
     for r in counts.groupBy(power, (F.col("word") == F.lit(END)).alias("is_end")).agg(F.sum("c").alias("c"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once")).collect():
@@ -255,32 +282,67 @@ def trained(documents: DataFrame, counts: DataFrame, remainder: int = 1) -> Mode
             tail[r["power"] - 1] += r["c"]
             once += r["once"]
     top = counts.filter(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(TOP_WORDS).collect()
-    model = Model(n, v, [(bytes(r["word"]), r["c"]) for r in top if r["c"] > 1], end, tail, once)
-    d = documents.filter(~held_out(F.col("doc_id"), 5, remainder))
-    h = F.xxhash64("doc_id", "text")
-    last = d.select(h.alias("h")).orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h").alias("top")).first()["top"]
-    if last is None:
-        return model
-    rows = d.filter(h <= last).select("doc_id", "text").dropDuplicates().select("text").limit(SAMPLE_DOCS).mapInArrow(_sampled, "at long, words array<binary>").collect()
-    texts = [[bytes(w) for w in r["words"]] for r in sorted(rows, key=lambda r: (r["at"], r["words"]))]
-    vocabulary = sorted({w for t in texts for w in t})
-    asked = spark.createDataFrame([(w,) for w in vocabulary], "word binary")
-    known = {bytes(r["word"]): r["c"] for r in counts.join(small(asked, len(vocabulary)), "word").collect()}
-    inputs, classes = [], []
-    for t in texts:
-        for w in t:
-            c = known.get(w, 0)
-            i, k, _ = model.of(w, 0 if c == 1 and zlib.crc32(w) & 1 else c)
-            inputs.append(i)
-            classes.append(k)
-        if t[-1] != END:  # a window that ends within its text: the next one starts anew
-            inputs.append(_END_IN)
-            classes.append(_END_IN)
-    streams = min(STREAMS, max(1, len(inputs) // (2 * STEPS)))
-    width = len(inputs) // streams
-    y = np.array(classes[: streams * width]).reshape(streams, width)
-    x = np.array([_END_IN, *inputs[: streams * width - 1]]).reshape(streams, width)
-    model.fit(x, y)
+    return Model(n, v, [(bytes(r["word"]), r["c"]) for r in top if r["c"] > 1], end, tail, once)
+
+
+def _window(codes: bytes) -> np.ndarray:
+    """At most SAMPLE_TOKENS codes from a hashed place; a window that ends within its text gets an end."""
+    w = np.frombuffer(codes, np.uint16)
+    a = zlib.crc32(codes) % max(1, len(w) - SAMPLE_TOKENS + 1)
+    w = w[a : a + SAMPLE_TOKENS]
+    return w if w[-1] == _END_IN else np.r_[w, np.uint16(_END_IN)]
+
+
+def started(model: Model, training: DataFrame) -> Model:
+    """The model fitted to a bounded sample of the encoded training documents; trained() goes on from it."""
+    h = F.xxhash64("doc_id", "codes")
+    rows = training.select(h.alias("h"), "codes").orderBy("h", "codes").limit(SAMPLE_DOCS).collect()
+    if rows:
+        codes = np.concatenate([_window(bytes(r["codes"])) for r in sorted(rows, key=lambda r: (r["h"], bytes(r["codes"])))])
+        model.learn(codes, min(STREAMS, max(1, len(codes) // (2 * STEPS))), EPOCHS, RATE)
+    return model
+
+
+_SUMS = "part int, n long, total binary"
+_SUMS_ARROW = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("total", pa.binary())])
+
+
+def _learning(begin, rounds: int):
+    def learn(docs: pa.Table) -> pa.Table:
+        rows = sorted(zip(docs.column("doc_id").to_pylist(), docs.column("codes").to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        codes = np.frombuffer(b"".join(r[1] for r in rows), np.uint16)
+        model = copy.copy(begin.value)  # fit() puts new arrays in the place of the parameters
+        model.learn(codes, min(BLOCK_STREAMS, max(1, len(codes) // (STEPS * LEAST_STEPS))), 1, BLOCK_RATE)
+        total = model.parameters().astype(np.float64) * len(codes)
+        return pa.Table.from_pylist([{"part": docs.column("block")[0].as_py() // rounds % SUMS, "n": len(codes), "total": total.tobytes()}], _SUMS_ARROW)
+
+    return learn
+
+
+def _summed(some: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x, np.float64) for x in sorted(some.column("total").to_pylist()))
+    return pa.Table.from_pylist([{"part": some.column("part")[0].as_py(), "n": sum(some.column("n").to_pylist()), "total": total.tobytes()}], _SUMS_ARROW)
+
+
+def trained(model: Model, encoded: DataFrame, size: int) -> Model:
+    """The model after a pass over all encoded training documents; size: bytes of all texts."""
+    spark = encoded.sparkSession
+    training = encoded.filter("not held_out")
+    model = started(model, training)
+    blocks = max(1, -(-size // TRAIN_BYTES))
+    rounds = min(ROUNDS, blocks)
+    block = F.pmod(F.xxhash64("doc_id", "codes", F.lit(1)), F.lit(blocks)).cast("int").alias("block")
+    d = training.select("doc_id", "codes", block)
+    for k in range(rounds):
+        begin = spark.sparkContext.broadcast(model)  # of fixed size
+
+        mine = d.filter(F.col("block") % rounds == k).repartition(-(-blocks // rounds), "block")
+        sums = mine.groupBy("block").applyInArrow(_learning(begin, rounds), _SUMS).groupBy("part").applyInArrow(_summed, _SUMS).collect()
+        if n := sum(r["n"] for r in sums):
+            total = sum(np.frombuffer(r["total"], np.float64) for r in sorted(sums, key=lambda r: r["part"]))
+            learned = model.learned + n
+            model = model.with_parameters(total / n)
+            model.learned = learned
     return model
 
 
@@ -307,36 +369,72 @@ class _Known(dict):
         return 0
 
 
-def score_block(model: Model, docs: list[tuple], counts: dict[bytes, int]) -> list[tuple]:
-    """Result rows of docs (doc_id, held_out, text), given the counts of their words that were seen."""
+_CODED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, share double, codes binary"
+_CODED_ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("share", pa.float64()), ("codes", pa.binary())])
+
+
+def encode_block(model: Model, docs: list[tuple], counts: dict[bytes, int]) -> list[tuple]:
+    """Encoded rows of docs (doc_id, held_out, text), given the counts of their words that were seen."""
     words, c = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
     index = _Known(zip(words, range(1, len(words) + 1), strict=True))
-    to_in, to_class, to_log = model.of_all(words, c)
+    to_in, _, to_log = model.of_all(words, c)
+    code = to_in.astype(np.uint16)
+    for n in np.flatnonzero((c == 1) & (to_in[1:] == _TAIL_IN)).tolist():
+        if zlib.crc32(words[n]) & 1:
+            code[n + 1] = _ONCE
     to_base = np.log10((np.r_[0, c] + 0.5) / (model.n + 0.5 * (model.v + 1)))
-    ids = []
-    for _, _, text in docs:
+    out = []
+    for d, held, text in docs:
         w = words_of(text)
         w.append(END)
-        ids.append(np.fromiter(map(index.__getitem__, w), np.int32, len(w)))
-    scores = model.class_scores([to_in[i] for i in ids], [to_class[i] for i in ids]) if model.n else [np.zeros(len(i)) for i in ids]
-    return [(d, held, len(i), int((i > 0).sum()), model.n, float(to_base[i].sum()), float(s.sum(dtype=np.float64) + to_log[i].sum())) for (d, held, _), i, s in zip(docs, ids, scores, strict=True)]
+        i = np.fromiter(map(index.__getitem__, w), np.int32, len(w))
+        out.append((d, held, len(i), int((i > 0).sum()), float(to_base[i].sum()), float(to_log[i].sum()), code[i].tobytes()))
+    return out
 
 
-def scored(documents: DataFrame, remainder: int = 1) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each document."""
-    spark = documents.sparkSession
-    ship(spark)
-    counts = counted(documents, remainder)
-    model = spark.sparkContext.broadcast(trained(documents, counts, remainder))  # of fixed size
-    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def encoded(documents: DataFrame, counts: DataFrame, model: Model, size: int, remainder: int = 1) -> DataFrame:
+    """The documents' tokens as codes, stored."""
+    held = documents.sparkSession.sparkContext.broadcast(model)  # of fixed size
     blocks = max(1, -(-size // BLOCK_BYTES))
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block")
     d = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), 5, remainder).alias("held_out"), "text", block).repartition(blocks, "block")
     asked = d.mapInArrow(_asked, "block int, word binary").join(counts, "word").repartition(blocks, "block")
 
-    def score(docs: pa.Table, words: pa.Table) -> pa.Table:
+    def encode(docs: pa.Table, words: pa.Table) -> pa.Table:
         known = dict(zip(words.column("word").to_pylist(), words.column("c").to_pylist(), strict=True))
         rows = list(zip(*(docs.column(c).to_pylist() for c in ("doc_id", "held_out", "text")), strict=True))
-        return pa.Table.from_batches([batch(_OUT_ARROW, score_block(model.value, rows, known))])
+        return pa.Table.from_batches([batch(_CODED_ARROW, encode_block(held.value, rows, known))])
+
+    return stored(d.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(encode, _CODED), "encoded")
 
-    return d.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(score, _OUT)
+
+def scored(documents: DataFrame, remainder: int = 1) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each document."""
+    spark = documents.sparkSession
+    ship(spark)
+    counts = counted(documents, remainder)
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    model = untrained(counts)
+    coded = encoded(documents, counts, model, size, remainder)
+    model = spark.sparkContext.broadcast(trained(model, coded, size))
+
+    def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+        m = model.value
+        ids = [np.frombuffer(r[6], np.uint16).astype(np.int32) for r in rows]
+        ids = [np.where(i == _ONCE, _TAIL_IN, i) for i in ids]
+        scores = m.class_scores(ids, [m.class_of[i] for i in ids]) if m.n else [np.zeros(len(i)) for i in ids]
+        return batch(_OUT_ARROW, [(d, held, n, known, m.n, base, float(s.sum(dtype=np.float64) + share)) for (d, held, n, known, base, share, _), s in zip(rows, scores, strict=True)])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, tokens = [], 0
+        for b in batches:
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                rows.append(r)
+                tokens += r[2]
+                if tokens >= SCORE_TOKENS:
+                    yield rows_of(rows)
+                    rows, tokens = [], 0
+        if rows:
+            yield rows_of(rows)
+
+    return coded.mapInArrow(score, _OUT)

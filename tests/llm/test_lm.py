@@ -106,3 +106,24 @@ def test_gradient_descends(model):
     y = np.roll(x, -1, 1)
     losses = m.fit(x, y, epochs=30)
     assert losses[-1] < losses[0] / 2
+
+
+def test_learns_from_all_documents(spark, monkeypatch):
+    """What follows what is seen in few tokens of the sample, but in every training document, in blocks of several rounds."""
+    monkeypatch.setattr(lm, "SAMPLE_DOCS", 1)
+    monkeypatch.setattr(lm, "TRAIN_BYTES", 20_000, raising=False)
+    r = np.random.default_rng(7)
+    ring = [f"w{i:02d}" for i in range(40)]  # each word tells the next
+    rows = [(i, " ".join(ring[(a + j) % 40] for j in range(100))) for i, a in enumerate(r.integers(0, 40, 900))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = lm.scored(d).collect()
+    check(got, rows)
+    held = [x for x in got if x["held_out"]]
+    assert sum(x["score"] for x in held) > 0.7 * sum(x["base_score"] for x in held)
+
+
+def test_every_training_token_is_gone_through(spark, docs):
+    counts = lm.counted(docs)
+    model = lm.untrained(counts)
+    size = 400_000
+    assert lm.trained(model, lm.encoded(docs, counts, model, size), size).learned == model.n > 0
