@@ -1,7 +1,7 @@
 """Embedders: a registry of pluggable models, and a deterministic hashed one that needs no model file.
 
-An embedder is any object with `name`, `dim`, `max_length` and `embed_batch(codes) -> array (n, dim)`. Its factory runs
-once in each Python worker, and codes reach it in Arrow batches.
+An embedder is any object with `name`, `dim`, `max_length` (its limit of context in tokens, None for none) and
+`embed_batch(codes) -> array (n, dim)`. Its factory runs once in each Python worker, and codes reach it in Arrow batches.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ _TOKEN = re.compile(r"\w+|[^\w\s]")
 
 @dataclass
 class HashedEmbedder:
-    """Signed hashing of tokens, mean-pooled over the first max_length tokens, of unit length."""
+    """Signed hashing of all tokens, mean-pooled, of unit length; it has no limit of context."""
 
     dim: int = 64
-    max_length: int = 512
+    max_length: int | None = None
     name: str = "hashed"
 
     def embed_batch(self, codes: list[str | None]) -> np.ndarray:
@@ -34,8 +34,8 @@ class HashedEmbedder:
 
         out = np.zeros((len(codes), self.dim))
         for i, code in enumerate(codes):
-            for t in _TOKEN.findall(code or "")[: self.max_length]:
-                h = zlib.crc32(t.encode())
+            for m in _TOKEN.finditer(code or ""):
+                h = zlib.crc32(m[0].encode())
                 out[i, h % self.dim] += 1 if h >> 31 else -1
         n = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(n > 0, n, 1)

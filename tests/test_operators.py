@@ -198,3 +198,10 @@ def test_stream(spark, tree, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("files").count() == 16
+
+
+def test_whole_texts_are_embedded(spark):
+    same = "x = y + 1; " * 400
+    rows = [(1, same), (2, same + "later words differ"), (3, same + "in other ways")]
+    got = [r["e"] for r in spark.createDataFrame(rows, "i int, t string").select("i", embedding(F.col("t")).alias("e")).orderBy("i").collect()]
+    assert got[0] != got[1] and got[1] != got[2] and got[0] != got[2]
