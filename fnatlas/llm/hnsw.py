@@ -143,6 +143,8 @@ def _build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     ids = pdf["vec_id"].to_numpy(np.int64)
     order = np.lexsort((ids, *x.T[::-1]))
     x, ids = x[order], ids[order]
+    new = np.r_[True, (ids[1:] != ids[:-1]) | (x[1:] != x[:-1]).any(1)]  # a row that is repeated counts once
+    x, ids = x[new], ids[new]
     first = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]).any(1)])
     shuffle = np.random.default_rng(len(first)).permutation(len(first))  # sorted vectors would be inserted along a line
     ends = np.r_[first[1:], len(x)]
@@ -163,6 +165,27 @@ def loaded(row) -> tuple[Graph, np.ndarray, np.ndarray]:
     return g, np.frombuffer(row["ids"], np.int64), np.r_[0, np.frombuffer(row["ends"], np.int64)]
 
 
+def nearest_ids(g: Graph, ids: np.ndarray, start: np.ndarray, vec: np.ndarray, own: int, k: int, ef: int) -> list[tuple[float, int]]:
+    """(distance, id) of the k nearest distinct ids but the query's own; ids with many vectors make the search wider."""
+    while True:
+        vs = np.array(g.nearest(vec, ef))
+        ds = np.sqrt(((g.x[vs] - vec) ** 2).sum(1))
+        best: dict[int, float] = {}
+        last = math.inf
+        for n in np.argsort(ds, kind="stable").tolist():
+            v, d = vs[n], float(ds[n])
+            if d > last:
+                break
+            for i in ids[start[v] : min(start[v] + k + 1, start[v + 1])].tolist():  # distinct, the smaller first
+                if i != own:
+                    best.setdefault(i, d)
+            if len(best) >= k and last == math.inf:
+                last = d
+        if len(best) >= k or len(vs) < ef or ef >= len(g.x):
+            return sorted((d, i) for i, d in best.items())[:k]
+        ef *= 2
+
+
 def usable(embeddings: DataFrame) -> DataFrame:
     """vec_id and vec (doubles) of the vectors that take part."""
     e = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec")).filter("vec_id is not null and vec is not null")
@@ -195,11 +218,7 @@ def searched(index: DataFrame, queries: DataFrame, k: int = K, ef: int = SEARCH,
                 out = []
                 for one in row["queries"]:
                     own, vec = one["query_id"], np.array(one["vec"], np.float64)
-                    found = []
-                    for v in g.nearest(vec, ef)[: 2 * k + 2]:
-                        d = float(np.sqrt(((g.x[v] - vec) ** 2).sum()))
-                        found += [(d, int(i)) for i in ids[start[v] : start[v] + min(k + 1, start[v + 1] - start[v])] if i != own]
-                    out += [(own, i, d) for d, i in sorted(found)[:k]]
+                    out += [(own, i, d) for d, i in nearest_ids(g, ids, start, vec, own, k, ef)]
                 yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     found = cells.repartition("dim", "shard", "block").mapInPandas(search, "query_id long, vec_id long, score double")

@@ -43,3 +43,18 @@ def test_awkward_vectors(spark):
 
 def test_empty(spark):
     assert hnsw.neighbours(frame(spark, [])).collect() == []
+
+
+def test_repeated_rows_and_ids(spark):
+    """Copies take no places: each row twelve times, and a near id with 300 vectors of its own."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(20, 6)).astype(np.float32)
+    rows = [(i * 50, a.tolist()) for i, a in enumerate(x) for _ in range(12)]
+    d = lambda q, t: np.sqrt(((x[q].astype(float) - x[t].astype(float)) ** 2).sum())
+    got = {}
+    for g in sorted(hnsw.neighbours(frame(spark, rows)).collect(), key=lambda g: (g["query_id"], g["rank"])):
+        got.setdefault(g["query_id"], []).append(g["vec_id"])
+    assert got == {q * 50: [t * 50 for t in sorted(set(range(20)) - {q}, key=lambda t: d(q, t))[:10]] for q in range(0, 20, 2)}
+    crowd = [(7, (x[0] + 1e-3 * r.normal(size=6)).astype(np.float32).tolist()) for _ in range(300)]
+    one = sorted((g for g in hnsw.neighbours(frame(spark, rows + crowd)).collect() if g["query_id"] == 0), key=lambda g: g["rank"])
+    assert [g["vec_id"] for g in one] == [7, *got[0][:9]]
