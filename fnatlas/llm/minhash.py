@@ -10,8 +10,8 @@ Steps: documents with the same set are one node. Bands of ROWS coordinates give
 with the bucket's smallest node only, so pairs grow with members. Pairs are confirmed on the full sets of their
 texts. Buckets whose other members are still in several components are gone through again, exactly: members
 outside the bucket's largest component meet members of other components, in cells of two bounded blocks, which
-compare full sets and return links only. A pair at the threshold shares no bucket with probability below
-(1 - 0.85^5)^25 = 5e-7.
+compare full sets and return links only. The rows of a band follow from the threshold (band_rows): a pair at it shares
+no bucket with probability (1 - 0.85^5)^25 = 5e-7 at 85 percent, (1 - 0.8^4)^32 = 5e-8 at 80.
 
 Defined cases: a null or wordless text has the empty set and links with nothing; with fewer than five words the
 whole sequence is the one shingle; a null doc_id takes no part (its component is null and it is kept); repeated
@@ -36,10 +36,11 @@ from .graph import components
 from .spans import batch
 
 SHINGLE_WORDS = 5
-#: Linked if 100 * intersection >= PERCENT * union.
+#: Linked if 100 * intersection >= percent * union; this is the default.
 PERCENT = 85
-T, ROWS = 128, 5
-BANDS = T // ROWS
+T = 128
+#: The largest probability that a pair at the threshold shares no bucket.
+MISSED = 1e-6
 #: Members of a block; two blocks make a cell. Elements whose 0/1 columns are held at once.
 BLOCK, SLICE = 256, 8192
 WORDS_KEPT = 200_000
@@ -57,6 +58,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def band_rows(percent: int) -> int:
+    """The most coordinates of a band by which at most MISSED of the pairs at the threshold share no bucket, 1 if none do."""
+    return max((r for r in range(1, len(_STEP) + 1) if (1 - (percent / 100) ** r) ** (T // r) <= MISSED), default=1)
+
+
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= WORDS_KEPT:
@@ -108,38 +114,43 @@ def sketch(s: np.ndarray) -> np.ndarray:
 _SKETCHED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = []
-        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            s = shingles(text)
-            if not len(s):
-                rows.append((doc_id, 0, None, None))
-                continue
-            k = sketch(s)
-            bands = _mixed(reduce(np.add, (k[i : BANDS * ROWS : ROWS] * _STEP[i] for i in range(ROWS))) + np.arange(BANDS, dtype=np.uint64))
-            rows.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), bands.view(np.int64)))
-        yield batch(_SKETCHED, rows)
-
-
-def sketches(documents: DataFrame) -> DataFrame:
+def sketches(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     ship(documents.sparkSession)
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketched, "doc_id long, n_shingles long, digest binary, bands array<long>")
-
-
-def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    near: dict[int, np.ndarray] = {}
-    for pdf in batches:
-        out = []
-        for a, b, ta, tb in zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"], strict=True):
-            if b not in near:
-                near.clear()  # rows come by b
-                near[b] = shingles(tb)
-            x, y = shingles(ta), near[b]
-            both = np.intersect1d(x, y, assume_unique=True).size
-            if both and 100 * both >= PERCENT * (len(x) + len(y) - both):
-                out.append((a, b))
-        yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+    size = band_rows(percent)
+    n = T // size
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                s = shingles(text)
+                if not len(s):
+                    rows.append((doc_id, 0, None, None))
+                    continue
+                k = sketch(s)
+                bands = _mixed(reduce(np.add, (k[i : n * size : size] * _STEP[i] for i in range(size))) + np.arange(n, dtype=np.uint64))
+                rows.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), bands.view(np.int64)))
+            yield batch(_SKETCHED, rows)
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketched, "doc_id long, n_shingles long, digest binary, bands array<long>")
+
+
+def _linking(percent: int):
+    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        near: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            out = []
+            for a, b, ta, tb in zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"], strict=True):
+                if b not in near:
+                    near.clear()  # rows come by b
+                    near[b] = shingles(tb)
+                x, y = shingles(ta), near[b]
+                both = np.intersect1d(x, y, assume_unique=True).size
+                if both and 100 * both >= percent * (len(x) + len(y) - both):
+                    out.append((a, b))
+            yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return linked
 
 
 def texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
@@ -148,12 +159,12 @@ def texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
     return stored(d.join(small(ids, ids.count()), d["doc_id"] == ids["id"], "left_semi"), "texts")
 
 
-def confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The stored pairs (a, b) whose full sets are similar enough."""
     texts = texts_of(documents, stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids"))
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"))
     rows = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
-    return stored(rows.mapInPandas(_linked, "a long, b long"), "confirmed")
+    return stored(rows.mapInPandas(_linking(percent), "a long, b long"), "confirmed")
 
 
 def common_counts(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
@@ -179,7 +190,7 @@ def common_counts(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
 _LINKS_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _cell_links(cell: pa.Table) -> pa.Table:
+def _cell_links(cell: pa.Table, percent: int) -> pa.Table:
     """The links of a cell between a member of the rest and any member of another component, confirmed on full sets."""
     node, comp, blk, rest = (cell.column(c).to_numpy() for c in ("node", "comp", "blk", "rest"))
     i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
@@ -189,13 +200,13 @@ def _cell_links(cell: pa.Table) -> pa.Table:
     sets = [shingles(t) for t in cell.column("text").to_pylist()]
     n = np.array([len(s) for s in sets])
     both = common_counts(sets, rows)
-    near = 100 * both >= PERCENT * (n[rows][:, None] + n[None] - both)
+    near = 100 * both >= percent * (n[rows][:, None] + n[None] - both)
     near &= (comp[rows][:, None] != comp[None]) & ((rest & (blk == j)) if j >= 0 else ~rest)[None]
     x, y = np.nonzero(near)
     return pa.table({"a": node[rows[x]], "b": node[y]}, schema=_LINKS_ARROW)
 
 
-def remaining_links(buckets: DataFrame, labels: DataFrame, documents: DataFrame) -> DataFrame:
+def remaining_links(buckets: DataFrame, labels: DataFrame, documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The links that buckets hold besides those with their smallest node, where they can still join components.
 
     Buckets with the same members count once. A cell is two blocks of a bucket, so it is bounded whatever the
@@ -221,12 +232,16 @@ def remaining_links(buckets: DataFrame, labels: DataFrame, documents: DataFrame)
     cells = b.withColumn("cell", F.explode(F.when(F.col("rest"), rest_cells).otherwise(core_cells))).select("key", "node", "comp", "rest", "blk", "cell.i", "cell.j")
     ids = stored(b.select(F.col("node").alias("id")).distinct(), "ids")
     texts = texts_of(documents, ids).withColumnRenamed("doc_id", "node")
-    return stored(cells.join(texts, "node").groupBy("key", "i", "j").applyInArrow(_cell_links, "a long, b long").distinct(), "remaining")
+
+    def cell_links(cell: pa.Table) -> pa.Table:
+        return _cell_links(cell, percent)
+
+    return stored(cells.join(texts, "node").groupBy("key", "i", "j").applyInArrow(cell_links, "a long, b long").distinct(), "remaining")
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
+def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document."""
-    s = stored(sketches(documents), "sketches")
+    s = stored(sketches(documents, percent), "sketches")
     groups = s.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
     g = s.join(groups, "digest")
     nodes = stored(g.filter("doc_id = node").select("node", "bands").dropDuplicates(["node"]), "nodes")
@@ -234,18 +249,18 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     pivots = rows.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select("key", "pivot")
     buckets = stored(rows.join(pivots, "key"), "buckets")
     pairs = stored(buckets.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
-    links = confirmed(pairs, documents)
+    links = confirmed(pairs, documents, percent)
     labels = components(links)
-    more = remaining_links(buckets, labels, documents)
+    more = remaining_links(buckets, labels, documents, percent)
     labels = components(links.union(more))
     of = s.select("doc_id", "n_shingles", "digest").join(groups, "digest", "left").withColumn("node", F.coalesce("node", "doc_id"))
     out = of.join(labels, "node", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "node")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def deduplicated(documents: DataFrame) -> DataFrame:
+def deduplicated(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """documents with one document of each component; of rows with one doc_id, one."""
-    found = stored(near_duplicates(documents), "components")
+    found = stored(near_duplicates(documents, percent), "components")
     kept = found.filter("kept").groupBy("doc_id").agg(F.count("*").alias("n"))
     gone = stored(found.filter("not kept").select("doc_id").distinct(), "gone")
     out = documents.join(small(gone, gone.count()), "doc_id", "left_anti")

@@ -85,3 +85,22 @@ def test_components_of_a_path_and_cycle(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 102), (102, 100), (7, 7)]
     got = {r["node"]: r["comp"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_threshold_is_a_parameter(spark):
+    """Pairs with 0.80 <= J < 0.85 are linked at 80 percent and not at 85; pairs below 0.80 at neither."""
+    rows, want = [], set()
+    for i in range(20):
+        w = prose(900 + i, 1004).split()  # 1000 shingles
+        cut = 905 if i % 2 else 870
+        tail = prose(950 + i, 1004 - cut).split()
+        a, b = " ".join(w), " ".join(w[:cut] + tail)
+        x, y = (set(minhash.shingles(t).tolist()) for t in (a, b))
+        j = len(x & y) / len(x | y)
+        assert 0.81 < j < 0.83 if i % 2 else 0.74 < j < 0.78, j
+        rows += [(2 * i, a), (2 * i + 1, b)]
+        want |= {2 * i} if i % 2 else {2 * i, 2 * i + 1}
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"] for r in minhash.deduplicated(d, 80).collect()} == want
+    assert {r["doc_id"] for r in minhash.deduplicated(d).collect()} == {d for d, _ in rows}
+    assert minhash.band_rows(85) == 5 and minhash.band_rows(80) == 4
