@@ -546,7 +546,7 @@ def split_metrics(spark, sf):
 
 @query()
 def silhouette_by_k(spark, sf):
-    got = M.silhouette_sweep(vectors(spark, sf), "vec_id", "embedding", 4, 1)
+    got = M.silhouette_sweep(vectors(spark, sf), "vec_id", "embedding")
     return spark.createDataFrame([(k, round(s, 6)) for k, s in got], "k int, silhouette double")
 
 
@@ -564,7 +564,7 @@ def sampled_overlap(spark, sf):
 @query()
 def kmeans_clusters(spark, sf):
     v = vectors(spark, sf)
-    return M.kmeans(v, "embedding", 4, n_init=3).select("vec_id", "cluster")
+    return M.kmeans(v, "embedding", 4).select("vec_id", "cluster")
 
 
 @query()
@@ -582,7 +582,7 @@ def _trained(kind: str, **options) -> Query:
     return run
 
 
-for _kind, _options in (("lr", {}), ("svm", {"max_iter": 10}), ("rf", {"trees": 20, "max_depth": 8}), ("mlp", {"layers": (32,), "max_iter": 30})):
+for _kind, _options in (("lr", {}), ("svm", {}), ("rf", {}), ("mlp", {"max_iter": 500})):
     QUERIES[f"train_{_kind}"] = _trained(_kind, **_options)
 
 

@@ -52,3 +52,35 @@ assert e.queries() and not [k for k in e.queries() if k.startswith("op") or k ==
 """
     root = __file__.rsplit("/tests/", 1)[0]
     assert subprocess.run([sys.executable, "-c", code], cwd=root, timeout=120).returncode == 0
+
+
+def test_sweep_has_every_k(spark, sf):
+    assert sorted(r["k"] for r in catalog.QUERIES["silhouette_by_k"](spark, sf).collect()) == list(range(2, 9))
+
+
+def test_models_are_of_full_size(spark, sf, monkeypatch):
+    """Ten starts, and the forest, the network and the machine as large and as long as in production."""
+    made, starts = {}, []
+
+    class Stop(Exception):
+        pass
+
+    def classifier(kind, *a, make=catalog.M.classifier, **options):
+        made[kind] = make(kind, *a, **options)
+        raise Stop
+
+    class KMeans(catalog.M.KMeans):
+        def fit(self, d):
+            starts.append(self.getSeed())
+            return super().fit(d)
+
+    monkeypatch.setattr(catalog.M, "classifier", classifier)
+    monkeypatch.setattr(catalog.M, "KMeans", KMeans)
+    for kind in ("svm", "rf", "mlp"):
+        with pytest.raises(Stop):
+            catalog.QUERIES[f"train_{kind}"](spark, sf)
+    svm = made["svm"].getClassifier() if hasattr(made["svm"], "getClassifier") else made["svm"]
+    assert svm.getMaxIter() == 50 and (made["rf"].getNumTrees(), made["rf"].getMaxDepth()) == (100, 20)
+    assert list(made["mlp"].getLayers())[1:-1] == [256, 128] and made["mlp"].getMaxIter() == 500
+    catalog.QUERIES["kmeans_clusters"](spark, sf)
+    assert len(set(starts)) == 10
