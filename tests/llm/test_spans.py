@@ -128,3 +128,10 @@ def test_em_finds_the_reliable_labeler():
         v[:, j] = np.where(y == right, 1, -1)
     p, table, _ = pii.reliabilities(np.zeros(4000, int), v, np.ones(4000))
     assert ((p > 0.5) == y).mean() > 0.93 and table[1, 0, 2] > table[1, 4, 2]
+
+
+def test_long_runs_are_judged_by_all_characters():
+    r = random.Random(3)
+    token = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(4096))
+    assert secret_scan.randomness(token) > 2
+    assert secret_scan.randomness("a".join(token)) < -5  # every second one is the same
