@@ -1,24 +1,10 @@
 """The regular expressions and word lists that define labels and features.
 
-They must equal those that the results are defined by, so they are stated plainly. `word(x)` is \\bx\\b and `call(x)` is
-\\bx\\s*\\(.
+They must equal those that the results are defined by, so each list is written out, in its natural order.
 """
 
 from __future__ import annotations
 
-
-def word(*names: str) -> list[str]:
-    return [rf"\b{n}\b" for n in names]
-
-
-def call(*names: str) -> list[str]:
-    return [rf"\b{n}\s*\(" for n in names]
-
-
-def names(text: str) -> list[str]:
-    return text.split()
-
-
 # Closed vocabularies and defaults.
 CONTROL_FLOW = ("if", "for", "while", "switch", "goto", "return")
 SIDE_EFFECTS = ("io", "memory", "hardware", "network", "global_state")
@@ -28,18 +14,30 @@ NO_EFFECT, NO_ERRORS, NO_COMPLEXITY = "none", "none", "medium"
 
 # Side effects, case-insensitive; one match suffices.
 EFFECT_PATTERNS = {
-    "io": word(*names("printf scanf fprintf fscanf fopen fclose fread fwrite puts gets fgets fputs perror getchar putchar")),
-    "memory": word(*names("malloc calloc realloc free memcpy memset memmove strdup kmalloc kfree vmalloc alloca")),
-    "hardware": [*word(*names("inb outb inw outw readl writel ioread iowrite irq interrupt DMA PCI GPIO")), r"volatile\s+\w+\s*\*", r"->regs", r"__iomem"],
-    "network": [*word(*names("socket connect bind listen accept send recv sendto recvfrom getaddrinfo gethostbyname htons ntohs")), r"\binet_\w+\b"],
+    "io": [
+        r"\bprintf\b", r"\bscanf\b", r"\bfprintf\b", r"\bfscanf\b", r"\bfopen\b", r"\bfclose\b", r"\bfread\b", r"\bfwrite\b",
+        r"\bputs\b", r"\bgets\b", r"\bfgets\b", r"\bfputs\b", r"\bperror\b", r"\bgetchar\b", r"\bputchar\b",
+    ],
+    "memory": [
+        r"\bmalloc\b", r"\bcalloc\b", r"\brealloc\b", r"\bfree\b", r"\bmemcpy\b", r"\bmemset\b", r"\bmemmove\b", r"\bstrdup\b",
+        r"\bkmalloc\b", r"\bkfree\b", r"\bvmalloc\b", r"\balloca\b",
+    ],
+    "hardware": [
+        r"\binb\b", r"\boutb\b", r"\binw\b", r"\boutw\b", r"\breadl\b", r"\bwritel\b", r"\bioread\b", r"\biowrite\b",
+        r"\birq\b", r"\binterrupt\b", r"volatile\s+\w+\s*\*", r"->regs", r"__iomem", r"\bDMA\b", r"\bPCI\b", r"\bGPIO\b",
+    ],
+    "network": [
+        r"\bsocket\b", r"\bconnect\b", r"\bbind\b", r"\blisten\b", r"\baccept\b", r"\bsend\b", r"\brecv\b", r"\bsendto\b",
+        r"\brecvfrom\b", r"\bgetaddrinfo\b", r"\bgethostbyname\b", r"\binet_\w+\b", r"\bhtons\b", r"\bntohs\b",
+    ],
     "global_state": [r"\bstatic\s+\w+\s+\w+\s*=", r"\bextern\b", r"\bg_\w+\b", r"\bs_\w+\b"],
-}
+}
 
 # Error handling, case-insensitive, the first class with a match.
 ERROR_PATTERNS = {
     "returns_code": [r"return\s+-1\b", r"return\s+NULL\b", r"return\s+0\b.*error", r"return\s+ERROR", r"return\s+FAIL", r"return\s+false\b"],
-    "uses_errno": word("errno", "perror", "strerror"),
-    "assertions": word("assert", "ASSERT", "BUG_ON", "WARN_ON"),
+    "uses_errno": [r"\berrno\b", r"\bperror\b", r"\bstrerror\b"],
+    "assertions": [r"\bassert\b", r"\bASSERT\b", r"\bBUG_ON\b", r"\bWARN_ON\b"],
 }
 
 # What a function's name says of its purpose, first hit first.
@@ -47,13 +45,23 @@ PURPOSE_VERBS = (("init", "Initializes"), ("get", "Retrieves"), ("set", "Sets"),
 PURPOSE_FREE, PURPOSE_ALLOC = ("free", "destroy", "cleanup"), ("create", "alloc")
 
 # Base features, case-sensitive.
-MEMORY = [*call(*names("malloc calloc realloc free memset memcpy memmove strdup")), *word("new", "delete")]
-IO = [*call(*names("printf fprintf sprintf snprintf puts fputs putchar scanf fscanf sscanf fopen fclose fread fwrite fgets fgetc getchar open close read write")), r"\bFILE\s*\*"]
-HARDWARE = [*call(*names("ioctl mmap munmap inb outb inw outw")), *word(*names("volatile register port hardware device")), r"->.*reg"]
-GLOBAL = [r"\bstatic\s+[^(]+;", *word("global", "extern"), r"\bg_\w+", r"\bs_\w+"]
+MEMORY = [
+    r"\bmalloc\s*\(", r"\bcalloc\s*\(", r"\brealloc\s*\(", r"\bfree\s*\(", r"\bmemset\s*\(", r"\bmemcpy\s*\(", r"\bmemmove\s*\(", r"\bstrdup\s*\(",
+    r"\bnew\b", r"\bdelete\b",
+]
+IO = [
+    r"\bprintf\s*\(", r"\bfprintf\s*\(", r"\bsprintf\s*\(", r"\bsnprintf\s*\(", r"\bputs\s*\(", r"\bfputs\s*\(", r"\bputchar\s*\(",
+    r"\bscanf\s*\(", r"\bfscanf\s*\(", r"\bsscanf\s*\(", r"\bfopen\s*\(", r"\bfclose\s*\(", r"\bfread\s*\(", r"\bfwrite\s*\(",
+    r"\bfgets\s*\(", r"\bfgetc\s*\(", r"\bgetchar\s*\(", r"\bopen\s*\(", r"\bclose\s*\(", r"\bread\s*\(", r"\bwrite\s*\(", r"\bFILE\s*\*",
+]
+HARDWARE = [
+    r"\bioctl\s*\(", r"\bmmap\s*\(", r"\bmunmap\s*\(", r"\binb\s*\(", r"\boutb\s*\(", r"\binw\s*\(", r"\boutw\s*\(",
+    r"\bvolatile\b", r"\bregister\b", r"->.*reg", r"\bport\b", r"\bhardware\b", r"\bdevice\b",
+]
+GLOBAL = [r"\bstatic\s+[^(]+;", r"\bglobal\b", r"\bextern\b", r"\bg_\w+", r"\bs_\w+"]
 ERROR = [
-    *word("errno"), *call(*names("perror strerror assert abort exit")), r"\breturn\s+-1\b", r"\breturn\s+NULL\b", r"\breturn\s+0\b",
-    r"if\s*\([^)]*==\s*NULL", r"if\s*\([^)]*<\s*0", r"if\s*\(\s*!\w+\s*\)",
+    r"\berrno\b", r"\bperror\s*\(", r"\bstrerror\s*\(", r"\breturn\s+-1\b", r"\breturn\s+NULL\b", r"\breturn\s+0\b",
+    r"\bassert\s*\(", r"\babort\s*\(", r"\bexit\s*\(", r"if\s*\([^)]*==\s*NULL", r"if\s*\([^)]*<\s*0", r"if\s*\(\s*!\w+\s*\)",
 ]
 FUNC_CALL = r"\w+\s*\([^)]*\)"
 CONTROL = r"\b(?:if|else|for|while|switch|case)\b"
@@ -63,22 +71,56 @@ RETURN = r"\breturn\b"
 HAS_NULL, HAS_SIZEOF, HAS_STRUCT, HAS_ARRAY = r"\bNULL\b", r"\bsizeof\s*\(", r"\w+\.\w+|\w+->\w+", r"\w+\s*\[[^\]]+\]"
 
 # Hardware features, case-sensitive.
-MMIO = [*call(*(f"{a}{b}" for a in ("read", "write") for b in "lwbq"), *(f"io{a}{b}" for a in ("read", "write") for b in (32, 16, 8))), *word("__iomem")]
-REGMAP = call(*(f"regmap_{x}" for x in names("read write update_bits bulk_read bulk_write set_bits clear_bits test_bits")))
-IRQ = [*call(*names("request_irq free_irq devm_request_irq devm_request_threaded_irq enable_irq disable_irq disable_irq_nosync irq_set_irq_type irq_to_desc")), *word("handle_level_irq", "handle_edge_irq")]
+MMIO = [
+    r"\breadl\s*\(", r"\bwritel\s*\(", r"\breadw\s*\(", r"\bwritew\s*\(", r"\breadb\s*\(", r"\bwriteb\s*\(", r"\breadq\s*\(", r"\bwriteq\s*\(",
+    r"\bioread32\s*\(", r"\biowrite32\s*\(", r"\bioread16\s*\(", r"\biowrite16\s*\(", r"\bioread8\s*\(", r"\biowrite8\s*\(", r"\b__iomem\b",
+]
+REGMAP = [
+    r"\bregmap_read\s*\(", r"\bregmap_write\s*\(", r"\bregmap_update_bits\s*\(", r"\bregmap_bulk_read\s*\(", r"\bregmap_bulk_write\s*\(",
+    r"\bregmap_set_bits\s*\(", r"\bregmap_clear_bits\s*\(", r"\bregmap_test_bits\s*\(",
+]
+IRQ = [
+    r"\brequest_irq\s*\(", r"\bfree_irq\s*\(", r"\bdevm_request_irq\s*\(", r"\bdevm_request_threaded_irq\s*\(", r"\benable_irq\s*\(", r"\bdisable_irq\s*\(",
+    r"\bdisable_irq_nosync\s*\(", r"\birq_set_irq_type\s*\(", r"\birq_to_desc\s*\(", r"\bhandle_level_irq\b", r"\bhandle_edge_irq\b",
+]
 SYNC = [
-    *call(*names("spin_lock spin_unlock spin_lock_irqsave spin_unlock_irqrestore spin_lock_irq spin_unlock_irq mutex_lock mutex_unlock")),
-    *call(*names("atomic_read atomic_set barrier mb wmb rmb smp_mb smp_wmb smp_rmb")), *word("atomic_inc", "atomic_dec"),
+    r"\bspin_lock\s*\(", r"\bspin_unlock\s*\(", r"\bspin_lock_irqsave\s*\(", r"\bspin_unlock_irqrestore\s*\(", r"\bspin_lock_irq\s*\(", r"\bspin_unlock_irq\s*\(",
+    r"\bmutex_lock\s*\(", r"\bmutex_unlock\s*\(", r"\batomic_read\s*\(", r"\batomic_set\s*\(", r"\batomic_inc\b", r"\batomic_dec\b",
+    r"\bbarrier\s*\(", r"\bmb\s*\(", r"\bwmb\s*\(", r"\brmb\s*\(", r"\bsmp_mb\s*\(", r"\bsmp_wmb\s*\(", r"\bsmp_rmb\s*\(",
+]
+DEVM = [
+    r"\bdevm_kzalloc\s*\(", r"\bdevm_kmalloc\s*\(", r"\bdevm_kcalloc\s*\(", r"\bdevm_ioremap\s*\(", r"\bdevm_ioremap_resource\s*\(",
+    r"\bdevm_clk_get\s*\(", r"\bdevm_clk_get_enabled\s*\(", r"\bdevm_gpiod_get\s*\(", r"\bdevm_gpio_request\s*\(", r"\bdevm_regulator_get\s*\(",
+    r"\bdevm_reset_control_get\s*\(", r"\bdevm_pinctrl_get\s*\(",
+]
+SPI = [
+    r"\bspi_transfer\b", r"\bspi_message\b", r"\bspi_sync\s*\(", r"\bspi_write\s*\(", r"\bspi_read\s*\(", r"\bspi_write_then_read\s*\(",
+    r"\bspi_register_driver\s*\(", r"\bspi_unregister_driver\s*\(",
+]
+I2C = [
+    r"\bi2c_transfer\s*\(", r"\bi2c_master_send\s*\(", r"\bi2c_master_recv\s*\(", r"\bi2c_smbus_read_byte\s*\(", r"\bi2c_smbus_write_byte\s*\(",
+    r"\bi2c_smbus_read_byte_data\s*\(", r"\bi2c_smbus_write_byte_data\s*\(", r"\bi2c_smbus_read_word_data\s*\(", r"\bi2c_smbus_write_word_data\s*\(",
+    r"\bi2c_add_driver\s*\(", r"\bi2c_del_driver\s*\(",
+]
+GPIO = [
+    r"\bgpio_get_value\s*\(", r"\bgpio_set_value\s*\(", r"\bgpio_direction_input\s*\(", r"\bgpio_direction_output\s*\(",
+    r"\bgpiod_get_value\s*\(", r"\bgpiod_set_value\s*\(", r"\bgpiod_direction_input\s*\(", r"\bgpiod_direction_output\s*\(",
+    r"\bgpiochip_get_data\s*\(", r"\bgpiochip_add_data\s*\(", r"\bdevm_gpiochip_add_data\s*\(",
+]
+WATCHDOG = [
+    r"\bwatchdog_init_timeout\s*\(", r"\bwatchdog_register_device\s*\(", r"\bdevm_watchdog_register_device\s*\(", r"\bwatchdog_set_drvdata\s*\(",
+    r"\bwatchdog_get_drvdata\s*\(", r"\bwatchdog_stop_on_reboot\s*\(", r"\bmod_timer\s*\(", r"\bsetup_timer\s*\(", r"\btimer_setup\s*\(",
+    r"\bhrtimer_start\s*\(", r"\bhrtimer_init\s*\(",
 ]
-DEVM = call(*(f"devm_{x}" for x in names("kzalloc kmalloc kcalloc ioremap ioremap_resource clk_get clk_get_enabled gpiod_get gpio_request regulator_get reset_control_get pinctrl_get")))
-SPI = [*word("spi_transfer", "spi_message"), *call(*names("spi_sync spi_write spi_read spi_write_then_read spi_register_driver spi_unregister_driver"))]
-I2C = call("i2c_transfer", *(f"i2c_master_{x}" for x in ("send", "recv")), *(f"i2c_smbus_{a}_{b}" for b in ("byte", "byte_data", "word_data") for a in ("read", "write")), "i2c_add_driver", "i2c_del_driver")
-GPIO = [*call(*(f"{a}_{b}" for a in ("gpio", "gpiod") for b in names("get_value set_value direction_input direction_output"))), *call(*names("gpiochip_get_data gpiochip_add_data devm_gpiochip_add_data"))]
-WATCHDOG = [*call(*(f"watchdog_{x}" for x in names("init_timeout register_device set_drvdata get_drvdata stop_on_reboot"))), *call(*names("devm_watchdog_register_device mod_timer setup_timer timer_setup hrtimer_start hrtimer_init"))]
 BITWISE = [r"(?:<<|>>)\s*\d+", r"[&|]\s*0x[0-9a-fA-F]+", r"\bBIT\s*\(", r"\bGENMASK\s*\("]
 LIFECYCLE = r"\b(?:probe|remove|suspend|resume|shutdown|init|exit|attach|detach)\s*\("
-DEVICE_STRUCT = word(*names("platform_device pci_dev i2c_client spi_device usb_device platform_driver i2c_driver spi_driver"))
-MODULE_MACRO = call(*names("module_init module_exit MODULE_LICENSE MODULE_AUTHOR MODULE_DESCRIPTION module_platform_driver module_i2c_driver module_spi_driver"))
+DEVICE_STRUCT = [
+    r"\bplatform_device\b", r"\bpci_dev\b", r"\bi2c_client\b", r"\bspi_device\b", r"\busb_device\b", r"\bplatform_driver\b", r"\bi2c_driver\b", r"\bspi_driver\b",
+]
+MODULE_MACRO = [
+    r"\bmodule_init\s*\(", r"\bmodule_exit\s*\(", r"\bMODULE_LICENSE\s*\(", r"\bMODULE_AUTHOR\s*\(", r"\bMODULE_DESCRIPTION\s*\(",
+    r"\bmodule_platform_driver\s*\(", r"\bmodule_i2c_driver\s*\(", r"\bmodule_spi_driver\s*\(",
+]
 INLINE_ASM = [r"\b(?:__asm__|asm\s+volatile|__asm)\b"]
 COMPILER_ATTR = [r"__attribute__\s*\(\(", "__packed", "__aligned", "__section", r"\blikely\s*\(", r"\bunlikely\s*\(", r"__force\b", r"__user\b", r"__kernel\b"]
 
