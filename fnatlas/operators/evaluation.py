@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import doubles
-from ..session import ship
+from ..session import blas_threads, ship
 from .similarity import BLOCK, _blocks, _matrix
 
 
@@ -114,6 +114,7 @@ def silhouette_rows(df: DataFrame, key: str, vec: str, cluster: str) -> DataFram
     schema = pa.schema([("id", pa.int64()), ("other", pa.int32()), ("total", pa.float64()), ("n", pa.int64())])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blas_threads(1)  # a task has one core
         for b in batches:
             for i in range(b.num_rows):
                 qi, qm = _matrix(b.column("rows_qb")[i].values)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import doubles, jaccard, unit
-from ..session import ship
+from ..session import blas_threads, ship
 
 BLOCK = 2048
 #: Digits that similarities are rounded to before ties go to the smaller key.
@@ -53,6 +53,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, pairs_once: bool = False,
     cells = q.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(nr - 1)))).join(r, "rb").repartition(max(1, min(nq * nr, 4096)), "qb", "rb")
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blas_threads(1)  # a task has one core
         for b in batches:
             for i in range(b.num_rows):
                 qi, qm = _matrix(b.column("rows_qb")[i].values)

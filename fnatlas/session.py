@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import shutil
 import sys
 import tempfile
@@ -45,3 +47,26 @@ def ship(spark: SparkSession) -> None:
     before = list(sys.path)
     spark.sparkContext.addPyFile(target)
     sys.path[:] = before
+
+
+@functools.cache
+def _blas() -> list:
+    """The functions of numpy's own OpenBLAS that set and get its number of threads; none if numpy has another library."""
+    import numpy as np
+
+    for path in sorted(Path(np.__file__).resolve().parents[1].glob("numpy.libs/*openblas*")):
+        lib = ctypes.CDLL(str(path))
+        for form in ("scipy_openblas_{}_num_threads64_", "scipy_openblas_{}_num_threads", "openblas_{}_num_threads64_", "openblas_{}_num_threads"):
+            if hasattr(lib, form.format("set")) and hasattr(lib, form.format("get")):
+                return [getattr(lib, form.format("set")), getattr(lib, form.format("get"))]
+    return []
+
+
+def blas_threads(n: int) -> int:
+    """Sets how many threads a matrix product takes in this process; the number before. Small products only wait for each other."""
+    if not _blas():
+        return n
+    set_threads, get_threads = _blas()
+    before = get_threads()
+    set_threads(n)
+    return before
