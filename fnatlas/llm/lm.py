@@ -1,18 +1,20 @@
 """Language-model scoring: a gated recurrent network with a class-factored output, in numpy.
 
-Counting: the training documents' words are counted, all of them, in partial sums of each task and then by word. The
-TOP_WORDS most frequent words have an input vector each and are dealt to output classes of about equal mass; other
-words share input vector and class by the power of two of their count; unseen words are one class. A word's probability
-is that of its class, a softmax of the recurrent state, times that of the word in its class, a softmax of biases
-only, whose best values are the relative counts; so a token costs the same whatever the vocabulary's size.
+Lexing: each task cuts its documents into blocks of about BLOCK_BYTES, numbers a block's words, and stores the documents as
+these numbers and the block's words with their counts in training documents. A window over a word's rows, one for each
+block, sums all counts and gives each block the sums of its own words, so no task holds the vocabulary.
 
-Encoding: documents are dealt by hash to blocks of about BLOCK_BYTES. Each block asks the table of counts for the words
-it uses, so no task holds the vocabulary, and keeps two bytes a token (its input, which tells its class) and the sums of
-what the network has no part in.
+Units: the TOP_WORDS most frequent words are a unit each; other words share one by the power of two of their count and by
+SUBS groups of their last two bytes; the end and unseen words are units too. Units are dealt to classes, frequent
+words to classes of about equal mass, the others by power. A word's probability is that of its class, a softmax of the
+recurrent state, times that of its unit in the class, another softmax of the state, times the word's share of its
+unit; so a token costs the same whatever the vocabulary's size. Each unit has an input vector.
+
+Encoding: a block's sums meet its documents; two bytes a token stay (its unit), and the sums of what the network has no part in.
 
 Training: truncated backpropagation over STEPS tokens with the state carried on, by Adam, on every token of every training
 document. The network starts from a bounded sample (windows of SAMPLE_TOKENS from SAMPLE_DOCS documents of the smallest
-hash), so that blocks agree on what a unit means. Then in ROUNDS rounds each training document is gone through once, in
+hash), so that blocks agree on what a hidden state means. Then in ROUNDS rounds each training document is gone through once, in
 blocks of about TRAIN_BYTES: those of a round begin with the same parameters, and their results are averaged by tokens. Half of
 the words seen once count as unseen there.
 
@@ -20,8 +22,9 @@ Scoring: documents go forward in step, longest first, over windows of WINDOW tok
 window to the document's end.
 
 Defined cases: a null text counts as empty and has the end token only; without training documents all counts are 0
-and scores are those of an empty model, 0; repeated rows get the same result each; an empty table gives no rows;
-other columns are ignored.
+and scores are those of an empty model, 0; repeated rows get the same result each; very long texts are blocks of their own
+and are scored whole; an empty table gives no rows; other columns are ignored, whatever their names; a null doc_id counts
+as training.
 """
 
 from __future__ import annotations
@@ -29,103 +32,203 @@ from __future__ import annotations
 import copy
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, stored
+from ..session import blas_threads
+from .common import drop_stored, ship, stored
 from .langid import held_out
 from .spans import batch
 
-NAMES = ("x", "u", "b", "w", "c")  # of the parameters
+NAMES = ("x", "u", "b", "w", "c", "w2", "c2")  # of the parameters
 END = b""  # no word is empty
-TOP_WORDS, TOP_CLASSES, TAIL = 1000, 48, 48
+#: TAIL: powers of two that are told apart; tails beyond the largest one that occurs have no units.
+TOP_WORDS, TOP_CLASSES, TAIL, SUBS = 1000, 48, 48, 32
 HIDDEN, STREAMS, STEPS = 24, 64, 24
 SAMPLE_DOCS, SAMPLE_TOKENS = 1024, 400
 EPOCHS, RATE = 3, 0.006
 #: Of the passes over all training documents. Blocks have up to BLOCK_STREAMS streams, fewer if that leaves under LEAST_STEPS updates.
-ROUNDS, TRAIN_BYTES, BLOCK_STREAMS, LEAST_STEPS, BLOCK_RATE = 4, 4 << 20, 256, 64, 0.003
+ROUNDS, TRAIN_BYTES, BLOCK_STREAMS, LEAST_STEPS, BLOCK_RATE = 4, 8 << 20, 256, 64, 0.003
+#: Windows of a block's pass whose gradients go into one update.
+BLOCK_WINDOWS = 2
 #: Groups in which a round's parameters are summed before the driver gets them.
-SUMS = 16
+SUMS = 8
 BLOCK_BYTES = 16 << 20
-SCORE_TOKENS = 2 << 20
+SCORE_TOKENS = 4 << 20
 WINDOW = 32
+#: Documents that go in step, and rows of a softmax at once, to stay in the CPU's cache.
+SCORE_DOCS, SCORE_ROWS = 512, 8192
 FLOOR = 0.02
-FLUSH = 400_000
 
-UNSEEN = 0  # input and class of unseen words; then the end, the tail's powers of two, and the top
+UNSEEN = 0  # unit and class of unseen words; then the end, the tail by power, and the top
 _END_IN = 1
 _TAIL_IN = 2
-_TOP_IN = _TAIL_IN + TAIL
-_ONCE = _TOP_IN + TOP_WORDS  # a code only: a word seen once that counts as unseen in training
 
 
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from collections import Counter
+def sub_of(word: bytes) -> int:
+    return zlib.crc32(word[-2:]) % SUBS
+
+
+def softmax(s: np.ndarray) -> np.ndarray:
+    """Of each column, in place; states lie between -1 and 1, so only weights of no use could reach the bound of the exponent."""
+    np.minimum(s, 80, out=s)
+    np.exp(s, out=s)
+    s /= s.sum(0) + 1e-30
+    return s
+
+
+class _Index(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def planes(numbers: np.ndarray) -> bytes:
+    """int32 numbers, first all their first bytes, then the second ones and so on, which Spark packs well."""
+    return numbers.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unplaned(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
 
-    schema = pa.schema([("word", pa.binary()), ("c", pa.int64())])
-    seen: Counter = Counter()
-    for b in batches:
-        for text in b.column(0).to_pylist():
-            seen.update(words_of(text))
-            seen[END] += 1
-            if len(seen) >= FLUSH:
-                yield batch(schema, list(seen.items()))
-                seen.clear()
-    yield batch(schema, list(seen.items()))
 
+_PARTS = "block long, doc_id long, held_out boolean, codes binary, idx int, word binary, c long"
+_PARTS_ARROW = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("codes", pa.binary()), ("idx", pa.int32()), ("word", pa.binary()), ("c", pa.int64())])
 
-def counted(documents: DataFrame, remainder: int = 1) -> DataFrame:
-    """word, c: the training documents' tokens, stored."""
+
+def _parts_of(block: int, docs: list[tuple], index: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+    yield batch(_PARTS_ARROW, [(block, d, held, planes(codes), None, None, None) for d, held, codes in docs])
+    training = [codes for _, held, codes in docs if not held]
+    counts = np.bincount(np.concatenate(training), minlength=len(index)) if training else np.zeros(len(index), np.int64)
+    words = pa.array(list(index), pa.binary())
+    for lo in range(0, len(index), 100_000):
+        n = min(100_000, len(index) - lo)
+        nulls = [pa.nulls(n, _PARTS_ARROW.field(c).type) for c in ("doc_id", "held_out", "codes")]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), *nulls, pa.array(np.arange(lo, lo + n, dtype=np.int32)), words.slice(lo, n), pa.array(counts[lo : lo + n].astype(np.int64))], schema=_PARTS_ARROW)
+
+
+def _lex(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    block = TaskContext.get().partitionId() << 32
+    docs, index, size = [], _Index({END: 0}), 0
+    for b in batches:
+        for doc_id, held, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            words = words_of(text)
+            words.append(END)
+            docs.append((doc_id, held, np.fromiter(map(index.__getitem__, words), np.int32, len(words))))
+            size += len(text or "")
+            if size >= BLOCK_BYTES:
+                yield from _parts_of(block, docs, index)
+                block, docs, index, size = block + 1, [], _Index({END: 0}), 0
+    if docs:
+        yield from _parts_of(block, docs, index)
+
+
+def lexed(documents: DataFrame, remainder: int = 1) -> DataFrame:
+    """Rows of documents (block, doc_id, held_out, codes) and of words (block, idx, word, c), stored."""
     ship(documents.sparkSession)
-    d = documents.filter(~held_out(F.col("doc_id"), 5, remainder)).select("text")
-    return stored(d.mapInArrow(_partial, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
+    d = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), 5, remainder).alias("held_out"), "text")
+    return stored(d.mapInArrow(_lex, _PARTS), "lexed")
+
+
+@dataclass
+class Counts:
+    """parts: as lexed() gives them. words: of (the block), idx, c (the sum), key (a hash), sub, and the word itself in one row of it."""
+
+    parts: DataFrame
+    words: DataFrame
+
+
+def counted(documents: DataFrame, remainder: int = 1) -> Counts:
+    """The training documents' tokens by word, and by block; both stored."""
+    parts = lexed(documents, remainder)
+    one = Window.partitionBy("word")  # a row for each block at most
+    w = parts.filter("word is not null").select(F.col("block").alias("of"), "idx", "word", F.sum("c").over(one).alias("c"), F.min("block").over(one).alias("first"))
+    key = (F.crc32("word") - 2**31).cast("int").alias("key")
+    sub = (F.crc32(F.substring("word", -2, 2)) % SUBS).cast("byte").alias("sub")
+    w = w.filter("c > 0").select("of", "idx", "c", key, sub, F.when(F.col("of") == F.col("first"), F.col("word")).alias("word"))
+    return Counts(parts, stored(w, "counts"))
+
+
+def _key(word: bytes) -> int:
+    return zlib.crc32(word) - 2**31
+
+
+def _marks(counts: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """A number for each pair; equal ones are compared again."""
+    return counts.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ keys.astype(np.uint64)
 
 
 class Model:
-    """Sizes of the training text, classes of words, and the network's parameters."""
+    """Sizes of the training text, units and classes of words, and the network's parameters."""
 
-    def __init__(self, n: int, v: int, top: list[tuple[bytes, int]], end: int, tail: np.ndarray, once: int, seed: int = 10) -> None:
-        """tail: by power of two, the counts of all words but the end. once: how many words have count 1."""
+    def __init__(self, n: int, v: int, top: list[tuple[bytes, int]], end: int, tail: np.ndarray, once: int, subs: np.ndarray | None = None, seed: int = 10) -> None:
+        """tail: by power of two, the counts of all words but the end; subs: the same by group too. once: how many words have count 1."""
         self.n, self.v, self.end = n, v, end
         self.learned = 0  # tokens of the passes over all training documents
         tail = tail.astype(float)
-        for _, c in top:
+        subs = np.repeat(tail[:, None] / SUBS, SUBS, 1) if subs is None else subs.astype(float)
+        for w, c in top:
             tail[c.bit_length() - 1] -= c
-        mass, before, total = np.zeros(2 + TAIL + TOP_CLASSES), 0, max(1, sum(c for _, c in top))
+            subs[c.bit_length() - 1, sub_of(w)] -= c
+        self.tails = int(np.flatnonzero(np.r_[1.0, tail > 0])[-1]) or 1
+        self.top_in = _TAIL_IN + self.tails * SUBS
+        first_top, total, before = 2 + self.tails, max(1, sum(c for _, c in top)), 0
+        mass = np.zeros(first_top + TOP_CLASSES)
+        units = self.top_in + len(top)
+        self.class_of = np.zeros(units, np.int32)  # by unit
+        self.unit_mass = np.zeros(units)
         self.top: dict[bytes, tuple[int, int, int]] = {}
         for i, (w, c) in enumerate(top):
-            k = 2 + TAIL + min(TOP_CLASSES - 1, before * TOP_CLASSES // total)
-            self.top[w] = (_TOP_IN + i, k, c)
+            k = first_top + min(TOP_CLASSES - 1, before * TOP_CLASSES // total)
+            self.top[w] = (self.top_in + i, k, c)
+            self.class_of[self.top_in + i], self.unit_mass[self.top_in + i] = k, c
             mass[k] += c
             before += c
-        mass[_END_IN], mass[_TAIL_IN : _TAIL_IN + TAIL], mass[UNSEEN] = end, np.maximum(tail, 0), 0
+        self.class_of[_END_IN], self.unit_mass[_END_IN], mass[_END_IN] = _END_IN, end, end
+        self.class_of[_TAIL_IN : self.top_in] = _TAIL_IN + np.repeat(np.arange(self.tails), SUBS)
+        self.unit_mass[_TAIL_IN : self.top_in] = np.maximum(subs[: self.tails].ravel(), 0)
+        mass[_TAIL_IN:first_top] = np.maximum(tail[: self.tails], 0)
         self.mass = mass  # of the words of a class, which share it by their counts
+        #: The units of class k are those from edges[k] to edges[k + 1].
+        self.edges = np.searchsorted(self.class_of, np.arange(len(mass) + 1))
         prior = mass.copy()
         prior[UNSEEN] = once / 2 + 0.5
         prior[_TAIL_IN] = max(prior[_TAIL_IN] - once / 2, 0)
         prior += 1e-3
         self.prior = (prior / prior.sum()).astype(np.float32)
+        of_class = np.maximum(np.bincount(self.class_of, self.unit_mass + 1e-3, len(mass)), 1e-3)
+        self.unit_prior = ((self.unit_mass + 1e-3) / of_class[self.class_of]).astype(np.float32)
+        #: log10 of a unit's share of its class.
+        self.unit_share = np.log10(np.maximum(self.unit_mass, 1e-9) / np.maximum(mass[self.class_of], 1e-9))
+        self.unit_share[UNSEEN] = 0
         r = np.random.default_rng(seed)
-        classes, inputs = len(mass), _TOP_IN + TOP_WORDS
-        self.x = r.normal(0, 0.1, (inputs, 3 * HIDDEN)).astype(np.float32)
+        self.x = r.normal(0, 0.1, (units, 3 * HIDDEN)).astype(np.float32)
         self.u = r.normal(0, HIDDEN**-0.5, (HIDDEN, 3 * HIDDEN)).astype(np.float32)
         self.b = np.zeros(3 * HIDDEN, np.float32)
         self.b[:HIDDEN] = 1
-        self.w = r.normal(0, 0.1, (HIDDEN, classes)).astype(np.float32)
+        self.w = r.normal(0, 0.1, (HIDDEN, len(mass))).astype(np.float32)
         self.c = np.log(self.prior)
-        self.class_of = np.arange(inputs, dtype=np.int32)  # by input
-        for i, k, _ in self.top.values():
-            self.class_of[i] = k
+        self.w2 = r.normal(0, 0.1, (units, HIDDEN)).astype(np.float32)
+        self.c2 = np.log(self.unit_prior)
+
+    @property
+    def once_in(self) -> int:
+        """Codes from here on: words seen once that count as unseen in training, by group."""
+        return len(self.class_of)
 
     def of(self, word: bytes, c: int) -> tuple[int, int, float]:
-        """Input, class, and log10 of the probability in its class, of a word with count c."""
+        """Unit, class, and log10 of the share in its class, of a word with count c."""
         if c <= 0:
             return UNSEEN, UNSEEN, 0.0
         if word == END:
@@ -133,82 +236,146 @@ class Model:
         if word in self.top:
             i, k, _ = self.top[word]
         else:
-            i = k = _TAIL_IN + min(TAIL, c.bit_length()) - 1
+            power = min(self.tails, c.bit_length()) - 1
+            i, k = _TAIL_IN + power * SUBS + sub_of(word), _TAIL_IN + power
         return i, k, float(np.log10(min(1.0, c / max(self.mass[k], c))))
 
     def of_all(self, words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The same of many words whose counts aren't 0, after the unseen word's at place 0."""
-        bits = np.frexp(counts.astype(float))[1]
-        k = np.r_[UNSEEN, _TAIL_IN + np.minimum(TAIL, bits) - 1]
-        i = k.copy()
-        at = {w: n for n, w in enumerate(words, 1)}
-        for w, (x, y, _) in self.top.items():
-            if n := at.get(w):
-                i[n], k[n] = x, y
-        share = np.r_[1.0, counts / np.maximum(self.mass[k[1:]], counts)]
-        if n := at.get(END):
-            i[n] = k[n] = _END_IN
-            share[n] = 1.0
-        return i.astype(np.int32), k.astype(np.int32), np.log10(share)
+        got = [(UNSEEN, UNSEEN, 0.0), *(self.of(w, int(c)) for w, c in zip(words, counts, strict=True))]
+        i, k, share = zip(*got, strict=True)
+        return np.array(i, np.int32), np.array(k, np.int32), np.array(share)
 
     def step(self, inputs: np.ndarray, h: np.ndarray) -> tuple:
-        x, u = self.x[inputs], h @ self.u + self.b
-        zr = 1 / (1 + np.exp(-(x[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])))
+        return self.gated(self.x[inputs], h)
+
+    def gated(self, x: np.ndarray, h: np.ndarray) -> tuple:
+        """The new state, its gates, and what the gradient needs; sigmoids by tanh, which numpy has in vector form."""
+        u = h @ self.u
+        u += self.b
+        zr = x[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN]
+        zr *= 0.5
+        np.tanh(zr, out=zr)
+        zr += 1
+        zr *= 0.5
         z, r, un = zr[:, :HIDDEN], zr[:, HIDDEN:], u[:, 2 * HIDDEN :]
-        n = np.tanh(x[:, 2 * HIDDEN :] + r * un)
-        return n + z * (h - n), z, r, un, n
-
-    def fit(self, inputs: np.ndarray, classes: np.ndarray, epochs: int = EPOCHS, rate: float = RATE) -> list[float]:
-        """Truncated backpropagation through (streams, time) arrays, inputs[:, t] coming before classes[:, t]."""
-        m = {k: np.zeros_like(getattr(self, k)) for k in NAMES}
-        v = {k: np.zeros_like(getattr(self, k)) for k in NAMES}
+        n = r * un
+        n += x[:, 2 * HIDDEN :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return new, z, r, un, n
+
+    def within(self, hs: np.ndarray, units: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
+        """By class with several units: the places of its tokens, its first unit, the tokens' units in it, and all units' probabilities, a column for each token."""
+        classes = self.class_of[units]
+        order = np.argsort(classes.astype(np.uint16), kind="stable")
+        ends = np.searchsorted(classes[order], np.arange(len(self.mass) + 1))
+        for k in np.flatnonzero((np.diff(ends) > 0) & (np.diff(self.edges) > 1)):
+            at, lo, hi = order[ends[k] : ends[k + 1]], self.edges[k], self.edges[k + 1]
+            s = self.w2[lo:hi] @ hs[at].T
+            s += self.c2[lo:hi, None]
+            yield at, lo, units[at] - lo, softmax(s)
+
+    def gradients(self, inputs: np.ndarray, classes: np.ndarray, units: np.ndarray | None, h: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
+        """Loss (natural logarithm, summed), its gradients over the number of streams, and the last state, of (streams, time) arrays."""
+        streams, steps = inputs.shape
+        used = np.ascontiguousarray(inputs.T)
+        xs, goes_on = self.x[used], (used != _END_IN).astype(np.float32)[:, :, None]
+        kept, hs = [], np.empty((steps, streams, HIDDEN), self.u.dtype)
+        for t in range(steps):
+            h0 = h * goes_on[t]
+            h, z, r, un, n = self.gated(xs[t], h0)
+            kept.append((h0, z, r, un, n))
+            hs[t] = h
+        flat, y = hs.reshape(-1, HIDDEN), np.ascontiguousarray(classes.T).ravel()
+        p = self.w.T @ flat.T
+        p += self.c[:, None]
+        softmax(p)
+        each = np.arange(len(y))
+        loss = -float(np.log(p[y, each] + 1e-30).sum())
+        p[y, each] -= 1
+        dhs = p.T @ self.w.T
+        grads = {"w": (p @ flat).T, "c": p.sum(1), "w2": np.zeros_like(self.w2), "c2": np.zeros_like(self.c2)}
+        if units is not None:
+            for at, lo, own, q in self.within(flat, np.ascontiguousarray(units.T).ravel()):
+                mine = np.arange(len(own))
+                loss -= float(np.log(q[own, mine] + 1e-30).sum())
+                q[own, mine] -= 1
+                grads["w2"][lo : lo + len(q)] = q @ flat[at]
+                grads["c2"][lo : lo + len(q)] = q.sum(1)
+                dhs[at] += q.T @ self.w2[lo : lo + len(q)]
+        dhs = dhs.reshape(steps, streams, HIDDEN)
+        dx, du = (np.empty((steps, streams, 3 * HIDDEN), self.u.dtype) for _ in range(2))
+        dh = np.zeros((streams, HIDDEN), self.u.dtype)
+        for t in range(steps - 1, -1, -1):
+            h0, z, r, un, n = kept[t]
+            dh += dhs[t]
+            dn = dh * (1 - z)
+            dn *= 1 - n * n
+            g = dx[t]
+            g[:, :HIDDEN] = dh * (h0 - n) * z * (1 - z)
+            g[:, HIDDEN : 2 * HIDDEN] = dn * un * r * (1 - r)
+            g[:, 2 * HIDDEN :] = dn
+            du[t] = g
+            du[t, :, 2 * HIDDEN :] *= r
+            dh *= z
+            dh += du[t] @ self.u.T
+            dh *= goes_on[t]
+        flat_in, dx, du = used.ravel(), dx.reshape(-1, 3 * HIDDEN), du.reshape(-1, 3 * HIDDEN)
+        order = np.argsort(flat_in.astype(np.uint16), kind="stable")
+        by = flat_in[order]
+        first = np.flatnonzero(np.r_[True, by[1:] != by[:-1]])
+        grads["x"] = np.zeros_like(self.x)
+        grads["x"][by[first]] = np.add.reduceat(dx[order], first, 0)
+        grads["u"] = np.concatenate([k[0] for k in kept]).T @ du
+        grads["b"] = du.sum(0)
+        for g in grads.values():
+            g /= streams
+        return loss, grads, h
+
+    def fit(self, inputs: np.ndarray, classes: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, units: np.ndarray | None = None, windows: int = 1) -> list[float]:
+        """Truncated backpropagation through (streams, time) arrays, inputs[:, t] coming before classes[:, t] and units[:, t]; an update for so many windows."""
+        for k in NAMES:
+            setattr(self, k, getattr(self, k).copy())
+        names = [k for k in NAMES if units is not None or k not in ("w2", "c2")]
+        m = {k: np.zeros_like(getattr(self, k)) for k in names}
+        v = {k: np.zeros_like(getattr(self, k)) for k in names}
         count, losses = 0, []
         streams, length = inputs.shape
         for _ in range(epochs):
-            h, total = np.zeros((streams, HIDDEN), np.float32), 0.0
+            h, total, held = np.zeros((streams, HIDDEN), np.float32), 0.0, None
             for lo in range(0, length, STEPS):
-                at = range(lo, min(length, lo + STEPS))
-                kept = []
-                for t in at:
-                    h = h * (inputs[:, t] != _END_IN)[:, None]
-                    new, z, r, un, n = self.step(inputs[:, t], h)
-                    kept.append((h, z, r, un, n, new))
-                    h = new
-                hs = np.concatenate([k[5] for k in kept])
-                y = np.concatenate([classes[:, t] for t in at])
-                s = hs @ self.w + self.c
-                s -= s.max(1, keepdims=True)
-                p = np.exp(s)
-                p /= p.sum(1, keepdims=True)
-                total -= float(np.log(p[np.arange(len(y)), y] + 1e-30).sum())
-                p[np.arange(len(y)), y] -= 1
-                p /= streams
-                dhs = (p @ self.w.T).reshape(len(kept), streams, HIDDEN)
-                dh = np.zeros_like(h)
-                dxs, dus = [None] * len(kept), [None] * len(kept)
-                for i in range(len(kept) - 1, -1, -1):
-                    h0, z, r, un, n, _ = kept[i]
-                    dh = dh + dhs[i]
-                    dn = dh * (1 - z) * (1 - n * n)
-                    dx = np.concatenate([dh * (h0 - n) * z * (1 - z), dn * un * r * (1 - r), dn], 1)
-                    du = dx.copy()
-                    du[:, 2 * HIDDEN :] *= r
-                    dxs[i], dus[i] = dx, du
-                    dh = (dh * z + du @ self.u.T) * (inputs[:, lo + i] != _END_IN)[:, None]
-                dx, du = np.concatenate(dxs), np.concatenate(dus)
-                used = np.concatenate([inputs[:, t] for t in at])
-                order = np.argsort(used, kind="stable")
-                used = used[order]
-                first = np.flatnonzero(np.r_[True, used[1:] != used[:-1]])
-                grads = {"w": hs.T @ p, "c": p.sum(0), "x": np.zeros_like(self.x), "u": np.concatenate([k[0] for k in kept]).T @ du, "b": du.sum(0)}
-                grads["x"][used[first]] = np.add.reduceat(dx[order], first, 0)
-                norm = float(np.sqrt(sum(float((g * g).sum()) for g in grads.values())))
+                at = slice(lo, min(length, lo + STEPS))
+                loss, grads, h = self.gradients(inputs[:, at], classes[:, at], None if units is None else units[:, at], h)
+                total += loss
+                if held:
+                    for k in names:
+                        grads[k] += held[k]
+                held = grads
+                if lo // STEPS % windows < windows - 1 and lo + STEPS < length:
+                    continue
+                held = None
+                norm = float(np.sqrt(sum(float(np.vdot(grads[k], grads[k])) for k in names)))
+                cut = min(1.0, 5 / max(norm, 1e-9))
                 count += 1
-                for k in NAMES:
-                    g = grads[k] * min(1.0, 5 / max(norm, 1e-9))
-                    m[k] = 0.9 * m[k] + 0.1 * g
-                    v[k] = 0.999 * v[k] + 0.001 * g * g
-                    setattr(self, k, getattr(self, k) - (rate * (m[k] / (1 - 0.9**count)) / (np.sqrt(v[k] / (1 - 0.999**count)) + 1e-8)).astype(np.float32))
+                up, root = rate / (1 - 0.9**count), (1 - 0.999**count) ** -0.5
+                for k in names:
+                    g = grads[k]
+                    g *= cut
+                    m[k] *= 0.9
+                    m[k] += 0.1 * g
+                    v[k] *= 0.999
+                    g *= g
+                    g *= 0.001
+                    v[k] += g
+                    np.sqrt(v[k], out=g)
+                    g *= root
+                    g += 1e-8
+                    np.divide(m[k], g, out=g)
+                    g *= up
+                    getattr(self, k)[...] -= g
             losses.append(total / inputs.size)
         return losses
 
@@ -224,23 +391,32 @@ class Model:
             at += old.size
         return out
 
-    def learn(self, codes: np.ndarray, streams: int, epochs: int, rate: float) -> None:
+    def learn(self, codes: np.ndarray, streams: int, epochs: int, rate: float, windows: int = 1) -> None:
         """Fits to all codes of documents that follow one another; the last stream is filled up from the start."""
-        y = np.where(codes == _ONCE, UNSEEN, codes).astype(np.int32)
+        y = np.where(codes >= self.once_in, UNSEEN, codes).astype(np.int32)
         x = np.r_[np.int32(_END_IN), y[:-1]]
         shape = streams, -(-len(y) // streams)
-        self.fit(np.resize(x, shape), np.resize(self.class_of[y], shape), epochs, rate)
+        self.fit(np.resize(x, shape), np.resize(self.class_of[y], shape), epochs, rate, np.resize(y, shape), windows)
+
+    def class_scores(self, inputs: list[np.ndarray], classes: list[np.ndarray], units: list[np.ndarray] | None = None) -> list[np.ndarray]:
+        """log10 P(class) of each token of each document; all documents go forward in step, longest first.
 
-    def class_scores(self, inputs: list[np.ndarray], classes: list[np.ndarray]) -> list[np.ndarray]:
-        """log10 P(class) of each token of each document; all documents go forward in step, longest first."""
+        With units, what the state says of the unit in its class comes to it: log10 of P(unit | class) over its share.
+        """
         order = sorted(range(len(inputs)), key=lambda i: -len(inputs[i]))
-        lengths = np.array([len(inputs[i]) for i in order])
         out: list = [None] * len(inputs)
-        if not len(order):
-            return out
+        for lo in range(0, len(order), SCORE_DOCS):
+            some = order[lo : lo + SCORE_DOCS]
+            for i, got in zip(some, self._in_step(some, inputs, classes, units), strict=True):
+                out[i] = got
+        return out
+
+    def _in_step(self, order: list[int], inputs: list[np.ndarray], classes: list[np.ndarray], units: list[np.ndarray] | None) -> list[np.ndarray]:
+        lengths = np.array([len(inputs[i]) for i in order])
         starts = np.r_[0, np.cumsum(lengths)[:-1]]
         flat_in = np.concatenate([np.r_[_END_IN, inputs[i][:-1]] for i in order]).astype(np.int32)
         flat_out = np.concatenate([classes[i] for i in order]).astype(np.int32)
+        flat_unit = np.concatenate([units[i] for i in order]).astype(np.int32) if units is not None else None
         got = np.empty(len(flat_in), np.float32)
         h = np.zeros((len(order), HIDDEN), np.float32)
         active, t = len(order), 0
@@ -258,31 +434,36 @@ class Model:
             if hs:
                 at = np.concatenate(places)
                 states = np.concatenate(hs)
-                for lo in range(0, len(at), 16384):
-                    s = states[lo : lo + 16384] @ self.w + self.c
-                    y = flat_out[at[lo : lo + 16384]]
-                    s -= s.max(1, keepdims=True)
-                    e = np.exp(s)
-                    p = e[np.arange(len(y)), y] / e.sum(1)
-                    got[at[lo : lo + 16384]] = np.log10((1 - FLOOR) * p + FLOOR * self.prior[y])
-        for i, a, n in zip(order, starts.tolist(), lengths.tolist(), strict=True):
-            out[i] = got[a : a + n]
-        return out
-
-
-def untrained(counts: DataFrame) -> Model:
-    """The model of the stored counts, before its network has learned."""
+                for lo in range(0, len(at), SCORE_ROWS):
+                    here, some = at[lo : lo + SCORE_ROWS], states[lo : lo + SCORE_ROWS]
+                    s = self.w.T @ some.T
+                    s += self.c[:, None]
+                    y = flat_out[here]
+                    p = softmax(s)[y, np.arange(len(y))]
+                    got[here] = np.log10((1 - FLOOR) * p + FLOOR * self.prior[y])
+                    if flat_unit is not None:
+                        for mine, first, own, q in self.within(some, flat_unit[here]):
+                            best = (1 - FLOOR) * q[own, np.arange(len(own))] + FLOOR * self.unit_prior[first + own]
+                            got[here[mine]] += np.log10(best) - self.unit_share[first + own]
+        return [got[a : a + n] for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+
+
+def untrained(counts: Counts) -> Model:
+    """The model of the counts, before its network has learned."""
+    words = counts.words.filter("word is not null")
     power = F.least(F.lit(TAIL), F.length(F.bin("c"))).alias("power")
-    tail, end, n, v, once = np.zeros(TAIL, np.int64), 0, 0, 0, 0
-    for r in counts.groupBy(power, (F.col("word") == F.lit(END)).alias("is_end")).agg(F.sum("c").alias("c"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once")).collect():
+    tail, subs, end, n, v, once = np.zeros(TAIL, np.int64), np.zeros((TAIL, SUBS), np.int64), 0, 0, 0, 0
+    groups = words.groupBy(power, "sub", (F.col("word") == F.lit(END)).alias("is_end"))
+    for r in groups.agg(F.sum("c").alias("c"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once")).collect():  # at most 2 * TAIL * SUBS rows
         n, v = n + r["c"], v + r["v"]
         if r["is_end"]:
             end = r["c"]
         else:
             tail[r["power"] - 1] += r["c"]
+            subs[r["power"] - 1, r["sub"]] += r["c"]
             once += r["once"]
-    top = counts.filter(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(TOP_WORDS).collect()
-    return Model(n, v, [(bytes(r["word"]), r["c"]) for r in top if r["c"] > 1], end, tail, once)
+    top = words.filter(F.col("word") != F.lit(END)).select("word", "c").orderBy(F.desc("c"), "word").limit(TOP_WORDS).collect()
+    return Model(n, v, [(bytes(r["word"]), r["c"]) for r in top if r["c"] > 1], end, tail, once, subs)
 
 
 def _window(codes: bytes) -> np.ndarray:
@@ -299,7 +480,9 @@ def started(model: Model, training: DataFrame) -> Model:
     rows = training.select(h.alias("h"), "codes").orderBy("h", "codes").limit(SAMPLE_DOCS).collect()
     if rows:
         codes = np.concatenate([_window(bytes(r["codes"])) for r in sorted(rows, key=lambda r: (r["h"], bytes(r["codes"])))])
+        before = blas_threads(1)
         model.learn(codes, min(STREAMS, max(1, len(codes) // (2 * STEPS))), EPOCHS, RATE)
+        blas_threads(before)
     return model
 
 
@@ -307,21 +490,26 @@ _SUMS = "part int, n long, total binary"
 _SUMS_ARROW = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("total", pa.binary())])
 
 
-def _learning(begin, rounds: int):
-    def learn(docs: pa.Table) -> pa.Table:
-        rows = sorted(zip(docs.column("doc_id").to_pylist(), docs.column("codes").to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        codes = np.frombuffer(b"".join(r[1] for r in rows), np.uint16)
-        model = copy.copy(begin.value)  # fit() puts new arrays in the place of the parameters
-        model.learn(codes, min(BLOCK_STREAMS, max(1, len(codes) // (STEPS * LEAST_STEPS))), 1, BLOCK_RATE)
-        total = model.parameters().astype(np.float64) * len(codes)
-        return pa.Table.from_pylist([{"part": docs.column("block")[0].as_py() // rounds % SUMS, "n": len(codes), "total": total.tobytes()}], _SUMS_ARROW)
+def _learning(begin):
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A partition is a block: its documents by id, so that a task that runs twice learns the same."""
+        rows = sorted(((d, c) for b in batches for d, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        if rows:
+            blas_threads(1)  # a task has one core
+            codes = np.frombuffer(b"".join(r[1] for r in rows), np.uint16)
+            model = copy.copy(begin.value)  # fit() puts new arrays in the place of the parameters
+            model.learn(codes, min(BLOCK_STREAMS, max(1, len(codes) // (STEPS * LEAST_STEPS))), 1, BLOCK_RATE, BLOCK_WINDOWS)
+            yield batch(_SUMS_ARROW, [(TaskContext.get().partitionId() % SUMS, len(codes), model.parameters().tobytes())])
 
     return learn
 
 
 def _summed(some: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, np.float64) for x in sorted(some.column("total").to_pylist()))
-    return pa.Table.from_pylist([{"part": some.column("part")[0].as_py(), "n": sum(some.column("n").to_pylist()), "total": total.tobytes()}], _SUMS_ARROW)
+    """The mean of some blocks' parameters, by their tokens."""
+    blocks = sorted(zip(some.column("total").to_pylist(), some.column("n").to_pylist(), strict=True))
+    n = sum(b[1] for b in blocks)
+    mean = sum(np.frombuffer(x, np.float32).astype(np.float64) * (k / n) for x, k in blocks).astype(np.float32)
+    return pa.Table.from_pylist([{"part": some.column("part")[0].as_py(), "n": n, "total": mean.tobytes()}], _SUMS_ARROW)
 
 
 def trained(model: Model, encoded: DataFrame, size: int) -> Model:
@@ -331,81 +519,59 @@ def trained(model: Model, encoded: DataFrame, size: int) -> Model:
     model = started(model, training)
     blocks = max(1, -(-size // TRAIN_BYTES))
     rounds = min(ROUNDS, blocks)
-    block = F.pmod(F.xxhash64("doc_id", "codes", F.lit(1)), F.lit(blocks)).cast("int").alias("block")
-    d = training.select("doc_id", "codes", block)
+    d = training.select("doc_id", "codes", F.xxhash64("doc_id", "codes", F.lit(1)).alias("h"))
     for k in range(rounds):
         begin = spark.sparkContext.broadcast(model)  # of fixed size
-
-        mine = d.filter(F.col("block") % rounds == k).repartition(-(-blocks // rounds), "block")
-        sums = mine.groupBy("block").applyInArrow(_learning(begin, rounds), _SUMS).groupBy("part").applyInArrow(_summed, _SUMS).collect()
+        mine = d.filter(F.pmod("h", F.lit(rounds)) == k).repartition(-(-blocks // rounds))  # document by document in turn, so blocks are even
+        sums = mine.mapInArrow(_learning(begin), _SUMS).groupBy("part").applyInArrow(_summed, _SUMS).collect()
         if n := sum(r["n"] for r in sums):
-            total = sum(np.frombuffer(r["total"], np.float64) for r in sorted(sums, key=lambda r: r["part"]))
             learned = model.learned + n
-            model = model.with_parameters(total / n)
+            model = model.with_parameters(sum(np.frombuffer(r["total"], np.float32).astype(np.float64) * (r["n"] / n) for r in sorted(sums, key=lambda r: r["part"])))
             model.learned = learned
     return model
 
 
 _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 _OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-
-
-def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct words of each block; rows of a block may come in several batches."""
-    schema = pa.schema([("block", pa.int32()), ("word", pa.binary())])
-    words: dict[int, set] = {}
-    for b in batches:
-        for block, text in zip(b.column("block").to_pylist(), b.column("text").to_pylist(), strict=True):
-            words.setdefault(block, {END}).update(words_of(text))
-        while sum(map(len, words.values())) >= 2 * FLUSH:
-            block = max(words, key=lambda k: len(words[k]))
-            yield batch(schema, [(block, w) for w in words.pop(block)])
-    for block, some in words.items():
-        yield batch(schema, [(block, w) for w in some])
-
-
-class _Known(dict):
-    def __missing__(self, word: bytes) -> int:
-        return 0
-
-
 _CODED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, share double, codes binary"
 _CODED_ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("share", pa.float64()), ("codes", pa.binary())])
 
 
-def encode_block(model: Model, docs: list[tuple], counts: dict[bytes, int]) -> list[tuple]:
-    """Encoded rows of docs (doc_id, held_out, text), given the counts of their words that were seen."""
-    words, c = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
-    index = _Known(zip(words, range(1, len(words) + 1), strict=True))
-    to_in, _, to_log = model.of_all(words, c)
-    code = to_in.astype(np.uint16)
-    for n in np.flatnonzero((c == 1) & (to_in[1:] == _TAIL_IN)).tolist():
-        if zlib.crc32(words[n]) & 1:
-            code[n + 1] = _ONCE
-    to_base = np.log10((np.r_[0, c] + 0.5) / (model.n + 0.5 * (model.v + 1)))
-    out = []
-    for d, held, text in docs:
-        w = words_of(text)
-        w.append(END)
-        i = np.fromiter(map(index.__getitem__, w), np.int32, len(w))
-        out.append((d, held, len(i), int((i > 0).sum()), float(to_base[i].sum()), float(to_log[i].sum()), code[i].tobytes()))
-    return out
-
-
-def encoded(documents: DataFrame, counts: DataFrame, model: Model, size: int, remainder: int = 1) -> DataFrame:
+def encode_block(model: Model, docs: list[tuple], idx: np.ndarray, counts: np.ndarray, keys: np.ndarray, subs: np.ndarray) -> list[tuple]:
+    """Encoded rows of docs (doc_id, held_out, numbers of words); of numbers that training documents have, their words' counts, keys and groups. Number 0 is the end."""
+    numbers = [unplaned(d[2]) for d in docs]
+    size = 1 + max((int(x.max()) for x in numbers), default=0)
+    c, key, sub = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size, np.int64)
+    c[idx], key[idx], sub[idx] = counts, keys, subs
+    power = np.minimum(model.tails, np.frexp(c.astype(float))[1])
+    unit = np.where(c > 0, _TAIL_IN + (power - 1) * SUBS + sub, UNSEEN)
+    if model.top:  # a word of the top is known by its count and its key
+        names = np.array([(k, _key(w), i) for w, (i, _, k) in model.top.items()], np.int64)
+        marks = _marks(names[:, 0], names[:, 1])
+        names, marks = names[np.argsort(marks)], np.sort(marks)
+        at = np.minimum(np.searchsorted(marks, _marks(c, key)), len(marks) - 1)
+        found = (names[at, 0] == c) & (names[at, 1] == key)
+        unit[found] = names[at[found], 2]
+    unit[0], c[0] = (_END_IN, model.end) if model.end else (UNSEEN, 0)
+    share = np.where(c > 0, np.log10(np.maximum(c, 1) / np.maximum(np.maximum(model.mass[model.class_of[unit]], c), 1)), 0.0)
+    share[0] = 0.0
+    code = np.where((c == 1) & (key & 1 == 1) & (unit >= _TAIL_IN), model.once_in + sub, unit).astype(np.uint16)
+    base = np.log10((c + 0.5) / (model.n + 0.5 * (model.v + 1)))
+    return [(d, held, len(x), int((c[x] > 0).sum()), float(base[x].sum()), float(share[x].sum()), code[x].tobytes()) for (d, held, _), x in zip(docs, numbers, strict=True)]
+
+
+def encoded(documents: DataFrame, counts: Counts, model: Model, size: int) -> DataFrame:
     """The documents' tokens as codes, stored."""
     held = documents.sparkSession.sparkContext.broadcast(model)  # of fixed size
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block")
-    d = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), 5, remainder).alias("held_out"), "text", block).repartition(blocks, "block")
-    asked = d.mapInArrow(_asked, "block int, word binary").join(counts, "word").repartition(blocks, "block")
 
     def encode(docs: pa.Table, words: pa.Table) -> pa.Table:
-        known = dict(zip(words.column("word").to_pylist(), words.column("c").to_pylist(), strict=True))
-        rows = list(zip(*(docs.column(c).to_pylist() for c in ("doc_id", "held_out", "text")), strict=True))
-        return pa.Table.from_batches([batch(_CODED_ARROW, encode_block(held.value, rows, known))])
+        rows = list(zip(*(docs.column(c).to_pylist() for c in ("doc_id", "held_out", "codes")), strict=True))
+        known = [words.column(c).to_numpy() for c in ("idx", "c", "key", "sub")]
+        return pa.Table.from_batches([batch(_CODED_ARROW, encode_block(held.value, rows, *known))])
 
-    return stored(d.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(encode, _CODED), "encoded")
+    d = counts.parts.filter("codes is not null").select("block", "doc_id", "held_out", "codes")
+    w = counts.words.select("of", "idx", "c", "key", "sub")
+    return stored(d.groupBy("block").cogroup(w.groupBy("of")).applyInArrow(encode, _CODED), "encoded")
 
 
 def scored(documents: DataFrame, remainder: int = 1) -> DataFrame:
@@ -415,14 +581,16 @@ def scored(documents: DataFrame, remainder: int = 1) -> DataFrame:
     counts = counted(documents, remainder)
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     model = untrained(counts)
-    coded = encoded(documents, counts, model, size, remainder)
+    coded = encoded(documents, counts, model, size)
+    drop_stored(counts.parts, counts.words)
     model = spark.sparkContext.broadcast(trained(model, coded, size))
 
     def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+        blas_threads(1)  # a task has one core
         m = model.value
-        ids = [np.frombuffer(r[6], np.uint16).astype(np.int32) for r in rows]
-        ids = [np.where(i == _ONCE, _TAIL_IN, i) for i in ids]
-        scores = m.class_scores(ids, [m.class_of[i] for i in ids]) if m.n else [np.zeros(len(i)) for i in ids]
+        units = [np.frombuffer(r[6], np.uint16).astype(np.int32) for r in rows]
+        units = [np.where(i >= m.once_in, i - m.once_in + _TAIL_IN, i) for i in units]
+        scores = m.class_scores(units, [m.class_of[i] for i in units], units) if m.n else [np.zeros(len(i)) for i in units]
         return batch(_OUT_ARROW, [(d, held, n, known, m.n, base, float(s.sum(dtype=np.float64) + share)) for (d, held, n, known, base, share, _), s in zip(rows, scores, strict=True)])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -127,3 +127,53 @@ def test_every_training_token_is_gone_through(spark, docs):
     model = lm.untrained(counts)
     size = 400_000
     assert lm.trained(model, lm.encoded(docs, counts, model, size), size).learned == model.n > 0
+
+
+def test_units_sum_to_one(model):
+    """With the state-dependent softmax within classes too, over all words, the end and the unseen word."""
+    m, c = model
+    words = [(w, *m.of(w, k)) for w, k in c.items()] + [(lm.END, 1, 1, 0.0), (b"new", 0, 0, 0.0)]
+    for first in (5, 40, 300):  # the token before, which tells the state
+        units = [np.array([first, u]) for _, u, _, _ in words]
+        got = m.class_scores(units, [m.class_of[u] for u in units], units)
+        total = sum(10 ** (g[1] + share) for g, (_, _, _, share) in zip(got, words, strict=True))
+        empty = sum(m.prior[k] for k in range(2, len(m.mass)) if m.mass[k] <= 0)
+        assert total == pytest.approx(1 - empty, abs=0.02)
+    spread = [10 ** float(g[1]) for g in got]
+    assert len(set(np.round(spread, 9))) > 100
+
+
+def test_gradients_match_differences(model):
+    m = model[0].with_parameters(model[0].parameters())
+    for k in lm.NAMES:
+        setattr(m, k, getattr(m, k).astype(np.float64))
+    r = np.random.default_rng(3)
+    units = r.choice(np.r_[1:60, len(m.class_of) - 300 : len(m.class_of)], (3, 7))
+    x = np.roll(units, 1, 1)
+    h = r.normal(0, 0.3, (3, lm.HIDDEN))
+    _, grads, _ = m.gradients(x, m.class_of[units], units, h)
+    for k in lm.NAMES:
+        a = getattr(m, k)
+        flat = grads[k].ravel()
+        for i in np.r_[np.argsort(-np.abs(flat))[:3], r.integers(0, a.size, 2)].tolist():
+            at = np.unravel_index(i, a.shape)
+            old, loss = a[at], []
+            for d in (1e-5, -1e-5):
+                a[at] = old + d
+                loss.append(m.gradients(x, m.class_of[units], units, h)[0])
+            a[at] = old
+            assert flat[i] == pytest.approx((loss[0] - loss[1]) / 2e-5 / 3, rel=1e-4, abs=1e-7), k
+
+
+def test_lexing_and_blocks(spark, docs, texts, monkeypatch):
+    """Numbers come back as they went, and scores of words don't depend on how documents are dealt to blocks."""
+    n = np.array([0, 1, 255, 256, 70_000, 2**24 + 5], np.int32)
+    assert (lm.unplaned(lm.planes(n)) == n).all()
+    monkeypatch.setattr(lm, "SAMPLE_DOCS", 4)
+    counts = lm.counted(docs.repartition(7))
+    model = lm.untrained(counts)
+    one = sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["share"], 9), bytes(r["codes"])) for r in lm.encoded(docs, counts, model, 10).collect())
+    counts = lm.counted(docs.coalesce(1))
+    assert [sorted(model.top), model.n, model.v] == [sorted(lm.untrained(counts).top), lm.untrained(counts).n, lm.untrained(counts).v]
+    two = sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["share"], 9), bytes(r["codes"])) for r in lm.encoded(docs, counts, model, 10).collect())
+    assert one == two and len(one) == len(texts)
