@@ -4,8 +4,10 @@ Vectors are hashed to shards of about SHARD_ROWS rows. A shard's graph is built
 drawn from its hash, the graph is searched from the top for close vectors, and links are chosen by the diversity
 rule and cut to M (2 M at the bottom). It is stored as one row of flat arrays: ids, vectors, offsets of each vector's
 rows, and neighbours, -1 for none. Equal vectors of a shard are one vertex with a list of ids, so that a
-common vector makes no clique. Queries go in blocks to every shard; each returns its nearest, and the merge keeps
-the K nearest of all. Distances are recomputed in double precision on the original vectors.
+common vector makes no clique. Queries go in blocks to every shard, and a shard goes once to each SLICE of these blocks;
+each returns its nearest, and the merge keeps the K nearest of all. Distances are recomputed in double precision on the
+original vectors. A search whose K-th distance is also that of the farthest vertex it kept is widened, at last to the whole
+shard, so that of equally near vectors the smaller ids are taken, however many they are.
 
 Defined cases: vectors that are null, empty, zero or have null or non-finite parts take no part; vectors of another
 length are searched among their own kind; repeated ids count once, at their smallest distance; with fewer
@@ -23,12 +25,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, stored
+from ..session import blas_threads
+from .common import ship, small, stored
 
-SHARD_ROWS = 2048
+SHARD_ROWS = 8192
 M, BUILD, SEARCH = 16, 80, 160
 K = 10
-QUERY_BLOCK = 512
+#: Queries of a block, and blocks that a copy of a shard serves.
+QUERY_BLOCK, SLICE = 256, 4
 
 
 class Graph:
@@ -139,6 +143,7 @@ _INDEX = "dim int, shard int, ids binary, ends binary, vectors binary, levels bi
 
 
 def _build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    blas_threads(1)  # a task has one core
     x = np.array(pdf["vec"].tolist(), np.float64) + 0.0
     ids = pdf["vec_id"].to_numpy(np.int64)
     order = np.lexsort((ids, *x.T[::-1]))
@@ -166,9 +171,9 @@ def loaded(row) -> tuple[Graph, np.ndarray, np.ndarray]:
 
 
 def nearest_ids(g: Graph, ids: np.ndarray, start: np.ndarray, vec: np.ndarray, own: int, k: int, ef: int) -> list[tuple[float, int]]:
-    """(distance, id) of the k nearest distinct ids but the query's own; ids with many vectors make the search wider."""
+    """(distance, id) of the k nearest distinct ids but the query's own; ids with many vectors and ties make the search wider."""
+    vs = np.array(g.nearest(vec, ef))
     while True:
-        vs = np.array(g.nearest(vec, ef))
         ds = np.sqrt(((g.x[vs] - vec) ** 2).sum(1))
         best: dict[int, float] = {}
         last = math.inf
@@ -181,9 +186,11 @@ def nearest_ids(g: Graph, ids: np.ndarray, start: np.ndarray, vec: np.ndarray, o
                     best.setdefault(i, d)
             if len(best) >= k and last == math.inf:
                 last = d
-        if len(best) >= k or len(vs) < ef or ef >= len(g.x):
+        if len(vs) == len(g.x) or (len(vs) >= ef and ds.max() > last):
             return sorted((d, i) for i, d in best.items())[:k]
+        whole = len(vs) < ef or 8 * ef > len(g.x)  # vertices that no link reaches, or ties of much of the shard: all are compared
         ef *= 2
+        vs = np.arange(len(g.x)) if whole else np.array(g.nearest(vec, ef))
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
@@ -206,22 +213,27 @@ def searched(index: DataFrame, queries: DataFrame, k: int = K, ef: int = SEARCH,
     """query_id, rank, vec_id, score: the k nearest found of each query (vec_id, vec)."""
     blocks = max(1, -(-queries.count() // block))
     q = queries.select(F.col("vec_id").alias("query_id"), "vec", F.size("vec").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
-    q = q.groupBy("dim", "block").agg(F.collect_list(F.struct("query_id", "vec")).alias("queries"))
-    shards = index.agg(F.max("shard")).first()[0]
-    q = q.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards or 0))))  # every block goes to every shard
-    cells = index.join(q, ["dim", "shard"])
+    q = q.groupBy("dim", "block").agg(F.collect_list(F.struct("query_id", "vec")).alias("queries")).withColumn("slice", F.expr(f"block div {SLICE}").cast("int"))
+    names = index.select("dim", "shard")  # a row of 8 bytes for each SHARD_ROWS vectors
+    n = names.count()
+    copies = index.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // SLICE))))
+    tasks, keys = max(1, min(n * (1 + (blocks - 1) // SLICE), 10_000)), ["dim", "shard", "slice"]
+    cells = q.join(small(names, n), "dim").repartition(tasks, *keys).join(copies.repartition(tasks, *keys).hint("merge"), keys)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        blas_threads(1)  # a task has one core
+        at, shard = None, None
         for pdf in batches:
             for row in pdf.to_dict("records"):
-                g, ids, start = loaded(row)
+                if at != (row["dim"], row["shard"]):
+                    at, shard = (row["dim"], row["shard"]), loaded(row)
                 out = []
                 for one in row["queries"]:
                     own, vec = one["query_id"], np.array(one["vec"], np.float64)
-                    out += [(own, i, d) for d, i in nearest_ids(g, ids, start, vec, own, k, ef)]
+                    out += [(own, i, d) for d, i in nearest_ids(*shard, vec, own, k, ef)]
                 yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    found = cells.repartition("dim", "shard", "block").mapInPandas(search, "query_id long, vec_id long, score double")
+    found = cells.mapInPandas(search, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

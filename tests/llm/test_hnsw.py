@@ -58,3 +58,24 @@ def test_repeated_rows_and_ids(spark):
     crowd = [(7, (x[0] + 1e-3 * r.normal(size=6)).astype(np.float32).tolist()) for _ in range(300)]
     one = sorted((g for g in hnsw.neighbours(frame(spark, rows + crowd)).collect() if g["query_id"] == 0), key=lambda g: g["rank"])
     assert [g["vec_id"] for g in one] == [7, *got[0][:9]]
+
+
+def test_many_ties(spark):
+    """398 candidates at distance exactly 1: the smallest ids, nearest ones first."""
+    r = np.random.default_rng(5)
+    axes = [(s * np.eye(200)[i]).tolist() for i in range(200) for s in (1.0, -1.0)]
+    rows = [(int(i), np.add(v, np.ones(200) * 3).tolist()) for i, v in zip(r.permutation(np.arange(1, 401)), axes)]
+    rows = [(i if i % 100 else i + 1000, v) for i, v in rows] + [(100, [3.0] * 200), (777, np.r_[3.5, [3.0] * 199].tolist())]
+    got = sorted(hnsw.neighbours(frame(spark, rows), 100).collect(), key=lambda g: (g["query_id"], g["rank"]))
+    one = [(g["vec_id"], g["score"]) for g in got if g["query_id"] == 100]
+    assert one == [(777, 0.5), *((i, 1.0) for i in range(1, 10))]
+
+
+def test_recall_on_a_table(spark):
+    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r["vec_id"], np.array(r["embedding"], float)) for r in v.collect()]
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    got, hit = hnsw.neighbours(v).toPandas(), 0
+    for q, g in got.groupby("query_id"):
+        hit += len(set(brute(x, ids, q)) & set(g["vec_id"]))
+    assert hit >= 0.9 * len(got) and len(got) == 10 * sum(i % 100 == 0 for i in ids)
