@@ -4,14 +4,17 @@ Every benchmark window (13 consecutive words; a shorter item is one window) is a
 A document holds it only if it holds all of them, so the prefix that has to match is one shingle: the rarest
 over all documents. The first scan counts the windows' shingles in the documents; the second joins document
 shingles to the rarest ones, drops places where the window would leave the document (position and length
-bounds) and compares all words of the window there.
+bounds) and compares all words of the window there. Up to BROADCAST_BYTES the windows go to the documents; beyond, only
+places (document, position, key) are shuffled, counted by key before they are joined, and the texts of documents with
+places come back for the comparison.
 
 Both scans fold letters with lower(), which is fast and finds at least the places that match after lower-casing
 A-Z; texts that are not all ASCII are compared again under the exact rule.
 
 Defined cases: null and wordless texts and items have no words, windows or hits; an item id that is null counts
 as the empty string; repeated rows get the same result each; an empty benchmark or documents table gives no hits
-or no rows; other columns are ignored. The count of benchmark shingles decides between broadcast and shuffle.
+or no rows; other columns are ignored, whatever their names; very long texts are cut into words whole, in the JVM. The
+bytes of benchmark shingles decide between broadcast and shuffle, which give the same rows.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from .common import ascii_lower, small, stored
 
 WINDOW_WORDS = 13
 SHINGLE_WORDS = 3
+#: Bytes of a table of windows or shingles up to which it may be broadcast; they are measured first.
+BROADCAST_BYTES = 64 << 20
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words before letters are folded; Java finds them several times as fast as the complement of the separators.
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
@@ -56,7 +61,6 @@ def occurrences(documents: DataFrame, wins: DataFrame) -> DataFrame:
     lengths = sorted(r[0] for r in shingles.select("n").distinct().collect())  # 1 to 3 of them
     if not lengths:
         return documents.select("doc_id", "h", F.lit(0).alias("start"), F.lit(0).alias("len"), F.lit("").alias("win")).limit(0)
-    n_rows = shingles.count()
     d = documents.withColumn("words", F.split(folded(F.col("text")), SEPARATOR))
     d = d.select("doc_id", "h", "text", "words", F.posexplode_outer("words").alias("pos", "word"))
     if len(lengths) == 1:
@@ -64,13 +68,27 @@ def occurrences(documents: DataFrame, wins: DataFrame) -> DataFrame:
     else:
         d = d.withColumn("key", F.explode_outer(F.array(*[_key(F.col("words"), F.col("pos"), n) for n in lengths])))
     keys = shingles.select("key").distinct()
-    seen = d.select("key").join(small(keys, n_rows), "key").groupBy("key").agg(F.count("*").alias("seen"))
+    if shingles.count() * 8 <= BROADCAST_BYTES:
+        seen = d.select("key").join(F.broadcast(keys), "key").groupBy("key").agg(F.count("*").alias("seen"))
+    else:  # a common key is one row of each task
+        seen = d.groupBy("key").agg(F.count("*").alias("seen")).join(keys, "key")
     seen = stored(seen, "seen")
     rare = shingles.join(seen, "key", "left").groupBy("win", "fold", "len").agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "off", "key", "n")).alias("rarest"))
     # a window with a shingle that no document has is in none
     rare = stored(rare.filter("rarest.seen > 0").select("win", "fold", "len", "rarest.off", "rarest.key"), "rarest")
-    found = d.join(small(rare, rare.count()), "key").withColumn("start", F.col("pos") - F.col("off"))
-    found = found.filter((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.size("words")))
+    size = rare.agg(F.sum(2 * F.octet_length("win") + 64)).first()[0] or 0
+    start = F.col("pos") - F.col("off")
+    inside = (F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.size("words"))
+    if size <= BROADCAST_BYTES:
+        found = d.join(F.broadcast(rare), "key").withColumn("start", start).filter(inside)
+    else:
+        places = d.select("doc_id", "h", "pos", "key", F.size("words").alias("n_words")).join(rare.select("key", "win", "off", "len"), "key")
+        places = places.withColumn("start", start).filter((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n_words")))
+        places = stored(places.select(F.col("doc_id").alias("at_id"), F.col("h").alias("at_h"), "start", "win", "len").distinct(), "places")
+        whole = documents.dropDuplicates(["doc_id", "h"]).withColumn("words", F.split(folded(F.col("text")), SEPARATOR))
+        of = places.groupBy("at_id", "at_h").agg(F.collect_set(F.struct("start", "win", "len")).alias("places"))  # places of one document
+        found = whole.join(of, whole["doc_id"].eqNullSafe(of["at_id"]) & (whole["h"] == of["at_h"])).withColumn("place", F.explode("places"))
+        found = found.select("doc_id", "h", "text", "words", "place.start", "place.win", "place.len").join(rare.select("win", "fold"), "win")
     found = found.filter(F.slice("words", F.greatest(F.col("start"), F.lit(0)) + 1, F.col("len")) == F.col("fold"))
     exact = F.array_join(F.slice(F.split(ascii_lower(F.col("text")), SEPARATOR), F.greatest(F.col("start"), F.lit(0)) + 1, F.col("len")), " ") == F.col("win")
     found = found.filter((F.octet_length("text") == F.length("text")) | exact)

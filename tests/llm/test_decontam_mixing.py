@@ -133,3 +133,16 @@ def test_shards_are_drawn(spark):
     n = {(r["shard"], r["sid"]): r["n"] for r in mixing.slots(t, 10, 500).groupBy("shard", "sid").agg(F.count("*").alias("n")).collect()}
     assert all(n[s, 0] + n[s, 1] == 500 for s in range(20)) and len({n[s, 0] for s in range(20)}) > 5
     assert all(240 < n[s, 0] < 360 for s in range(20))
+
+
+def test_windows_beyond_the_broadcast_bound(spark, sf, monkeypatch):
+    """Joins by shuffle give the rows of joins by broadcast."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = docs.union(docs.limit(20)).union(docs.limit(3).withColumn("doc_id", F.lit(None).cast("long")))
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    rows = lambda: sorted(map(str, decontam.decontaminate(docs, bench).collect()))
+    want = rows()
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 0)
+    assert rows() == want and any("contaminated=True" in r for r in want)
