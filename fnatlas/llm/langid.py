@@ -5,34 +5,37 @@ the window goes through a ReLU to a softmax over the languages. A text is cut in
 is the largest mean of the windows' log-probabilities, weighted by their bytes, and its score is that class's
 probability. Windows that hold no letters don't vote.
 
-Training: the network is fitted by Adam to windows of at most TRAIN_DOCS labelled training documents, those of the
-smallest hash of doc_id and text, at most TRAIN_WINDOWS windows from hashed places of each whole text. The bound
-makes training cost the same at any size; prediction reads every byte of every text.
+Training: the languages are those of all labelled training documents. The network is fitted by Adam to all windows of a
+bounded sample of them: of each language those distinct texts that come first by hash, until they have train_bytes / languages
+bytes, and the text that goes beyond. The bound makes training cost the same at any size; prediction reads every byte of
+every text.
 
 Defined cases: a null text or one without letters gets `und` and score 0, and so does every text if no training
 document has a language; rows whose lang is null are predicted but not learned from; repeated rows get the same
-result each; an empty table gives no rows; other columns are ignored.
+result each and are learned from once; very long texts are learned from and predicted whole; of equally likely languages the
+first by name is taken; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import blas_threads
 from .common import ship
 from .spans import batch
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 EMBED, FILTERS = 8, 16
-TRAIN_DOCS, TRAIN_WINDOWS = 4096, 3
-EPOCHS, BATCH, RATE = 8, 64, 0.004
+#: The default of train_bytes.
+TRAIN_BYTES = 4 << 20
+EPOCHS, BATCH, RATE = 6, 64, 0.004
 UNKNOWN = "und"
 #: Windows whose responses are held at once, to stay in the CPU's cache.
 TILE = 24
@@ -131,31 +134,45 @@ def held_out(doc_id: Column, of: int = 4, remainder: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % of == remainder, F.lit(False))
 
 
-def _some_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("lang", pa.string()), ("window", pa.binary())])
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("lang", pa.string()), ("windows", pa.binary())])
     for b in batches:
-        rows = []
-        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            raw = text.encode("utf-8", "surrogatepass")
-            win, _ = cut(raw)
-            rows += [(lang, win[i].tobytes()) for i in dict.fromkeys((zlib.crc32(raw) + 7919 * j) % len(win) for j in range(TRAIN_WINDOWS))]
-        yield batch(schema, rows)
+        yield batch(schema, [(lang, cut(text.encode("utf-8", "surrogatepass"))[0].tobytes()) for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)])
 
 
-def trained(documents: DataFrame) -> ByteNet | None:
+def sampled(labelled: DataFrame, train_bytes: int = TRAIN_BYTES) -> tuple[list[str], DataFrame]:
+    """All languages of (lang, text), and the sample's distinct rows: of each language the first by hash, by an even share of bytes.
+
+    Rows beyond a bound of the hash, under which there are several times the share, are left out before the others are
+    sorted, so that no task gets a whole language. Copies of a text count once.
+    """
+    d = labelled.select("lang", "text", F.xxhash64("text", F.lit(4)).alias("h"), F.octet_length("text").alias("size"))
+    totals = d.select("lang", "h", "size").distinct().groupBy("lang").agg(F.sum("size").alias("size"), F.max("size").alias("largest")).collect()
+    languages = sorted(r["lang"] for r in totals)
+    if not languages:
+        return [], d.select("lang", "text").limit(0)
+    share, steps = train_bytes // len(languages), 1 << 30
+    upto = {r["lang"]: min(steps, 1 + int(4 * (share + r["largest"]) / r["size"] * steps)) for r in totals}
+    bound, at = F.create_map(*[F.lit(x) for pair in upto.items() for x in pair]), F.pmod("h", F.lit(steps))
+    d = d.filter(at < F.element_at(bound, F.col("lang"))).dropDuplicates(["lang", "text"])
+    before = F.sum("size").over(Window.partitionBy("lang").orderBy(at, "h", "text").rowsBetween(Window.unboundedPreceding, -1))
+    return languages, d.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < share).select("lang", "text")
+
+
+def trained(documents: DataFrame, train_bytes: int = TRAIN_BYTES) -> ByteNet | None:
     """A network fitted to a bounded sample of the labelled documents that aren't held out."""
     ship(documents.sparkSession)
     d = documents.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    h = F.xxhash64("doc_id", "text")
-    picked = d.select(h.alias("h")).orderBy("h").limit(TRAIN_DOCS).agg(F.max("h").alias("top")).first()["top"]
-    if picked is None:
+    languages, sample = sampled(d, train_bytes)
+    if not languages:
         return None
-    sample = d.filter(h <= picked).select("lang", "text").dropDuplicates().limit(TRAIN_DOCS).mapInArrow(_some_windows, "lang string, window binary")
-    rows = sorted((r["lang"], bytes(r["window"])) for r in sample.collect())
-    languages = sorted({r[0] for r in rows})
+    rows = sorted((r["lang"], bytes(r["windows"])) for r in sample.mapInArrow(_windows, "lang string, windows binary").collect())
     net = ByteNet(languages)
     if len(languages) > 1:
-        net.fit(np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(-1, WINDOW), np.array([languages.index(r[0]) for r in rows]))
+        before = blas_threads(1)
+        windows = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(-1, WINDOW)
+        net.fit(windows, np.repeat([languages.index(r[0]) for r in rows], [len(r[1]) // WINDOW for r in rows]))
+        blas_threads(before)
     return net
 
 
@@ -195,6 +212,7 @@ def identified(documents: DataFrame, net: ByteNet | None = None, *keep: str) ->
     out["lang_pred"].nullable = out["score"].nullable = True
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blas_threads(1)  # a task has one core
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
@@ -212,6 +230,7 @@ def accepted(documents: DataFrame, times_chance: float = 1.2) -> DataFrame:
     least = times_chance / len(net.languages) if net and len(net.languages) > 1 else 0.0
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blas_threads(1)  # a task has one core
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)

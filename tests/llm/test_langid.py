@@ -48,3 +48,19 @@ def test_gradients():
     before = -net.log_probabilities(x)[np.arange(12), y].mean()
     net.fit(x, y, epochs=60)
     assert -net.log_probabilities(x)[np.arange(12), y].mean() < before / 3
+
+
+def test_rare_languages_and_whole_texts_are_learned(spark, monkeypatch):
+    """A language of few short documents among many is learned, and the sample holds whole texts up to its share of bytes."""
+    words = {"xx": "zzor qqua xxil", "yy": "aba ebe ibi", "rare": "kukk lull momm"}
+    rows = [(i, " ".join([words["xx" if i % 2 else "yy"]] * (1 + i % 40)), "xx" if i % 2 else "yy") for i in range(3000)]
+    rows += [(9000 + i, " ".join([words["rare"][i % 7 :]] * 40), "rare") for i in range(28)]
+    d = spark.createDataFrame([r for r in rows for _ in range(2)], "doc_id long, text string, lang string")
+    languages, sample = langid.sampled(d, 12_000)  # copies count once: there are 20 distinct texts of each common language
+    got = [(r["lang"], r["text"]) for r in sample.collect()]
+    assert languages == ["rare", "xx", "yy"] and len(set(got)) == len(got) and set(got) <= {(lang, t) for _, t, lang in rows}
+    for lang in languages:
+        size = [len(t) for k, t in got if k == lang]
+        assert sum(size) - max(size) < 4000 and (lang == "rare" or sum(size) >= 2500)
+    net = langid.trained(d)
+    assert langid.predicted(net, ["momm lull kukk momm lull " * 9])[0][0] == "rare"
