@@ -5,16 +5,19 @@ or card numbers, addresses written out with "at" and "dot", social security numb
 after a title. Six labelers vote yes, no or nothing on each: the pattern's shape, its check digits or ranges,
 words before it, gazetteers, its neighbours, and signs of something else. The votes of all documents are counted by
 pattern of votes, so that expectation-maximisation, which estimates each labeler's reliability for a true and a
-false candidate, needs that bounded table only. A logistic span classifier is trained on the posteriors, over the
-votes, the kind and the length, and decides which candidates that aren't base spans are added.
+false candidate, needs that bounded table only. A logistic span classifier is trained on the posteriors of at most train_spans
+candidates, those of the smallest hash, and decides which candidates that aren't base spans are added. It sees what no
+labeler votes on besides the votes: the span's shape and ends, and the words around it, hashed to FEATURES weights.
 
 Defined cases: a null text counts as empty; long numbers and texts without white space are scanned in linear
-time; repeated rows get the same result each; an empty table gives no rows; other columns are ignored.
+time; of spans that overlap a base span none is added; repeated rows get the same result each; an empty table gives no
+rows; other columns are ignored, whatever their names; doc_id must be a number.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,8 +48,11 @@ COUNTRIES = frozenset("BE BR CH CZ DE DK ES FI FR GB GR HU IE IL IT LU NL NO PL
 FIRST_NAMES = frozenset("james mary john anna robert linda michael maria david elena thomas julia peter laura paul sarah mark emma jean marie pierre claire hans petra klaus sabine jose carmen juan lucia carlos sofia".split())
 
 LABELERS = 6
+#: Characters before a candidate in which the context labeler looks for words.
 MATCH_CHARS = 48
 EM_ROUNDS = 60
+#: Hashed features of spans and their context, and the default of train_spans.
+FEATURES, TRAIN_SPANS = 512, 20_000
 
 _DIGIT = re.compile(r"[0-9]")
 _EMAIL = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -164,6 +170,19 @@ def pattern(text: str, kind: str, a: int, b: int, base: bool) -> int:
     return code
 
 
+_SHAPES = str.maketrans({**{c: "0" for c in "0123456789"}, **{c: "a" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}})
+
+
+def span_features(text: str, kind: str, a: int, b: int) -> list[int]:
+    """Which of FEATURES a candidate has: its shape, how it begins and ends, its neighbours and the words around it."""
+    s, before, after = text[a:b], text[max(0, a - MATCH_CHARS) : a], text[b : b + MATCH_CHARS]
+    shape = re.sub(r"(.)\1+", r"\1+", s.translate(_SHAPES))
+    names = [f"shape {shape}", f"first {shape[:2]}", f"last {shape[-2:]}", f"sizes {' '.join(str(len(x)) for x in re.split(r'[^0-9A-Za-z]+', s))}"]
+    names += [f"before {before[-1:].translate(_SHAPES)}", f"after {after[:1].translate(_SHAPES)}"]
+    names += [f"left {w}" for w in before.lower().split()[-2:]] + [f"right {w}" for w in after.lower().split()[:2]]
+    return [zlib.crc32(f"{kind} {n}".encode("utf-8", "surrogatepass")) % FEATURES for n in names]
+
+
 def unpacked(code: int) -> tuple[int, int, list[int]]:
     got = []
     for _ in range(LABELERS):
@@ -215,8 +234,8 @@ def classifier(x: np.ndarray, p: np.ndarray, counts: np.ndarray, penalty: float
     return w
 
 
-_FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, cands array<struct<kind:string,a:long,b:long,code:long,base:boolean>>"
-_SPAN = pa.list_(pa.struct([("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("code", pa.int64()), ("base", pa.bool_())]))
+_FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, cands array<struct<kind:string,a:long,b:long,code:long,base:boolean,features:array<int>>>"
+_SPAN = pa.list_(pa.struct([("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("code", pa.int64()), ("base", pa.bool_()), ("features", pa.list_(pa.int32()))]))
 _FOUND_ARROW = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE), ("base", pa.string()), ("cands", _SPAN)])
 _OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 _OUT_ARROW = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64())])
@@ -230,12 +249,12 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base = base_spans(text)
             have = set(base)
             loose = [s for s in dict.fromkeys(loose_spans(text)) if s not in have]
-            cands = [{"kind": k, "a": x, "b": y, "code": pattern(text, k, x, y, i < len(base)), "base": i < len(base)} for i, (k, x, y) in enumerate(base + loose)]
+            cands = [{"kind": k, "a": x, "b": y, "code": pattern(text, k, x, y, i < len(base)), "base": i < len(base), "features": span_features(text, k, x, y)} for i, (k, x, y) in enumerate(base + loose)]
             rows.append((doc_id, *(sum(s[0] == k for s in base) for k in BASE), joined(base, ORDER), cands))
         yield batch(_FOUND_ARROW, rows)
 
 
-def _decided(found: DataFrame, chosen: dict[int, bool]) -> DataFrame:
+def _decided(found: DataFrame, by_code: dict[int, float], weights: np.ndarray) -> DataFrame:
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
@@ -243,7 +262,7 @@ def _decided(found: DataFrame, chosen: dict[int, bool]) -> DataFrame:
                 base = [(c["kind"], c["a"], c["b"]) for c in r["cands"] if c["base"]]
                 spans = list(base)
                 for c in r["cands"]:
-                    if not c["base"] and chosen.get(c["code"]) and not any(x < c["b"] and c["a"] < y for _, x, y in base):
+                    if not c["base"] and by_code[c["code"]] + weights[c["features"]].sum() > 0 and not any(x < c["b"] and c["a"] < y for _, x, y in base):
                         spans.append((c["kind"], c["a"], c["b"]))
                 rows.append((r["doc_id"], *(r[f"n_{k}"] for k in BASE), digest(r["base"]), joined(spans, ORDER), len(spans) - len(base)))
             yield batch(_OUT_ARROW, rows)
@@ -251,23 +270,30 @@ def _decided(found: DataFrame, chosen: dict[int, bool]) -> DataFrame:
     return found.mapInArrow(decide, _OUT)
 
 
-def learned(found: DataFrame) -> tuple[dict[int, bool], dict]:
-    """For each pattern of votes whether it is taken; what was estimated. Patterns are at most 7 * 4 * 3^6."""
+def learned(found: DataFrame, train_spans: int = TRAIN_SPANS) -> tuple[dict[int, float], np.ndarray, dict]:
+    """The classifier: its score of each pattern of votes and its weights of the hashed features; what was estimated. Patterns are at most 7 * 4 * 3^6."""
     c = found.select(F.explode("cands.code").alias("code")).groupBy("code").agg(F.count("*").alias("n")).orderBy("code").collect()
     codes, counts = np.array([r["code"] for r in c], np.int64), np.array([r["n"] for r in c], float)
     if not len(codes):
-        return {}, {}
+        return {}, np.zeros(FEATURES), {}
     kind, v, x = _features(codes)
     p, table, share = reliabilities(kind, v, counts)
-    w = classifier(x, p, counts)
-    return {int(code): bool(s > 0) for code, s in zip(codes, x @ w, strict=True)}, {"votes": table, "share": share, "weights": w}
+    one = found.select("doc_id", F.explode("cands").alias("c")).select("c.code", "c.features", F.xxhash64("doc_id", "c.kind", "c.a", "c.b").alias("h"))
+    sample = one.orderBy("h", "code", "features").limit(train_spans).collect()
+    at = np.searchsorted(codes, [r["code"] for r in sample])
+    hashed = np.zeros((len(sample), FEATURES))
+    for i, r in enumerate(sample):
+        np.add.at(hashed[i], r["features"], 1)
+    w = classifier(np.concatenate([x[at], hashed], 1), p[at], np.ones(len(sample)))
+    return dict(zip(codes.tolist(), (x @ w[: x.shape[1]]).tolist(), strict=True)), w[x.shape[1] :], {"votes": table, "share": share, "weights": w}
 
 
-def personal_data(documents: DataFrame) -> DataFrame:
+def personal_data(documents: DataFrame, train_spans: int = TRAIN_SPANS) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added for each document."""
     ship(documents.sparkSession)
     found = stored(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_find, _FOUND), "pii")
-    return _decided(found, learned(found)[0])
+    by_code, weights, _ = learned(found, train_spans)
+    return _decided(found, by_code, weights)
 
 
 def redacted(documents: DataFrame, spans: DataFrame) -> DataFrame:
