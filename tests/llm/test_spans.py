@@ -135,3 +135,20 @@ def test_long_runs_are_judged_by_all_characters():
     token = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(4096))
     assert secret_scan.randomness(token) > 2
     assert secret_scan.randomness("a".join(token)) < -5  # every second one is the same
+
+
+def test_offsets_in_texts_beyond_ascii_take_linear_time():
+    import time
+
+    part = "é ünïcode 日本 ABCDEF0123456789abcdef0123 😀 deadbeefdeadbeef00 "
+    for n in (1, 3):
+        t = part * n
+        base, cands, _ = secret_scan.scan(t)
+        assert [t[a:b] for _, a, b in base] == ["0123456789abcdef0123", "deadbeefdeadbeef00"] * n and [t[a:b] for a, b, *_ in cands] == ["ABCDEF0123456789abcdef0123"] * n
+        assert sorted(base) == sorted(plain_secrets(t))
+    took = []
+    for n in (1000, 8000):
+        began = time.process_time()
+        secret_scan.scan(part * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0]  # 8 times the text; 64 times the work if each span read the text again
