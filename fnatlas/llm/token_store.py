@@ -9,15 +9,18 @@ fixed size at the file's end, gives places, counts and a magic number.
 
 Rows are range-partitioned and sorted by document id; each partition streams its shards to the shared folder, cuts
 them at SHARD_BYTES, and returns a manifest row for each. A file's name is its attempt's own, so a task that runs
-twice leaves an unnamed file and no half-read one. White space never joins tokens in this vocabulary, so a chunk
-between ASCII white space is encoded once and remembered, about 2 * CHUNKS_KEPT chunks at most.
+twice leaves an unnamed file and no half-read one. Where a vocabulary cuts texts as CUTTING says, white space never joins
+tokens, so a chunk between ASCII white space is encoded once and remembered, about 2 * CHUNKS_KEPT chunks at most.
+With another vocabulary whole texts go through the tokenizer.
 
 Defined cases: a null text has the end id only; a null doc_id sorts first; repeated rows are entries of their own, next
-to each other; an empty table writes no shard and gives no rows; other columns are ignored.
+to each other; very long texts are values of their own length in one block; an empty table writes no shard and gives no
+rows; other columns are ignored, whatever their names; doc_id must be a number.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -45,6 +48,17 @@ _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 #: Characters that stand for bytes in byte-level models: printable ones for themselves, the others from 256 on.
 _SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+#: How a tokenizer has to normalise and cut texts so that chunks can be encoded by themselves, in the library's own terms.
+CUTTING = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 _FOOTER = struct.Struct("<QQQQQQB7x8s")
 _BIAS = 1 << 63
 
@@ -114,6 +128,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.piece = self.tokenizer.model.tokenize
+        spec = json.loads(self.tokenizer.to_str())
+        plain = not any(t["lstrip"] or t["rstrip"] or t["normalized"] or t["content"].split() != [t["content"]] for t in spec["added_tokens"])
+        self.by_chunks = plain and spec["model"]["type"] == "BPE" and all(spec[k] == v for k, v in CUTTING.items())
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -149,6 +166,9 @@ class Encoder:
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, with the end id."""
         end = np.array([END_ID], f"<u{self.width}").tobytes()
+        if not self.by_chunks:
+            whole = [text.encode("utf-8", "surrogatepass").decode("utf-8", "replace") if text else "" for text in texts]
+            return [np.array(e.ids, f"<u{self.width}").tobytes() + end for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
         cut = [text.encode("utf-8", "surrogatepass").split() if text else [] for text in texts]
         got = [list(map(self.young.get, chunks)) for chunks in cut]
         gaps = [(chunks, g, [i for i, v in enumerate(g) if v is None]) for chunks, g in zip(cut, got, strict=True) if None in g]

@@ -69,3 +69,18 @@ def test_keys_sort_like_ids():
 
 def test_empty(no_docs):
     assert ts.token_tables(no_docs).collect() == []
+
+
+def test_another_vocabulary(texts):
+    """Its own way to cut texts is kept: the library's ids of whole texts, whether or not chunks may be encoded by themselves."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    for name, by_chunks in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
+        path = public_tokenizers.path(name)
+        enc, plain = ts.Encoder(path), Tokenizer.from_file(path)
+        assert enc.by_chunks == by_chunks
+        some = [t for _, t, *_ in texts] + ["Two  spaces, don't JOIN\n\nlines <|endoftext|> 12", "a\u00a0b\u2003c"]
+        for t, got in zip(some, enc(some), strict=True):
+            want = plain.encode(t or "", add_special_tokens=False).ids
+            assert np.frombuffer(got, f"<u{enc.width}").tolist() == [*want, ts.END_ID]
