@@ -101,6 +101,20 @@ def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+#: Parts into which the rows of one key are dealt where a key may hold a large share of them.
+SALTS = 32
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """left joined with right, which has each value of key once, where left may have many rows of one value.
+
+    left's rows are dealt to SALTS parts of each value by a hash of the column `by`; right goes to the parts that occur.
+    """
+    l = left.withColumn("_fn_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    parts = l.select(key, "_fn_salt").filter(F.col(key).isNotNull()).distinct()  # at most SALTS rows of a value
+    return l.join(parts.join(right, key), [key, "_fn_salt"], how).drop("_fn_salt")
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -14,8 +14,12 @@ compare full sets and return links only. The rows of a band follow from the thre
 no bucket with probability (1 - 0.85^5)^25 = 5e-7 at 85 percent, (1 - 0.8^4)^32 = 5e-8 at 80.
 
 Defined cases: a null or wordless text has the empty set and links with nothing; with fewer than five words the
-whole sequence is the one shingle; a null doc_id takes no part (its component is null and it is kept); repeated
-rows are in one component, each with a result row; an empty table gives no rows; other columns are ignored.
+whole sequence is the one shingle; a null doc_id takes no part (its component is null and it is kept); rows with one
+doc_id are versions of one document: each has a result row, whatever links with one of its texts links with it, and one of
+them stays; very long texts are sketched whole, once each; an empty table gives no rows; other columns are ignored,
+whatever their names; doc_id must be a number.
+
+Skew: the rows of a set, of a bucket's smallest node and of a component are dealt to several tasks in joins.
 """
 
 from __future__ import annotations
@@ -28,10 +32,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, ship, stored
+from ..session import blas_threads
+from .common import SALTS, ship, small, spread_join, stored
 from .graph import components
 from .spans import batch
 
@@ -137,14 +142,14 @@ def sketches(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def _linking(percent: int):
     def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        near: dict[int, np.ndarray] = {}
+        near: dict[str, np.ndarray] = {}
         for pdf in batches:
             out = []
             for a, b, ta, tb in zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"], strict=True):
-                if b not in near:
+                if tb not in near:
                     near.clear()  # rows come by b
-                    near[b] = shingles(tb)
-                x, y = shingles(ta), near[b]
+                    near[tb] = shingles(tb)
+                x, y = shingles(ta), near[tb]
                 both = np.intersect1d(x, y, assume_unique=True).size
                 if both and 100 * both >= percent * (len(x) + len(y) - both):
                     out.append((a, b))
@@ -163,7 +168,10 @@ def confirmed(pairs: DataFrame, documents: DataFrame, percent: int = PERCENT) ->
     """The stored pairs (a, b) whose full sets are similar enough."""
     texts = texts_of(documents, stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids"))
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"))
-    rows = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
+    one = F.pmod(F.xxhash64("a"), F.lit(SALTS)).alias("part")  # a node may be the smallest of many buckets' members
+    pairs = pairs.select("a", "b", one)
+    far = pairs.select("b", "part").distinct().join(side("b"), "b")
+    rows = pairs.join(side("a"), "a").join(far, ["b", "part"]).select("a", "b", "ta", "tb")
     return stored(rows.mapInPandas(_linking(percent), "a long, b long"), "confirmed")
 
 
@@ -187,11 +195,29 @@ def common_counts(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def _forest(a: np.ndarray, b: np.ndarray, items: np.ndarray) -> list[int]:
+    """The items whose link (a, b) joins what those before it didn't."""
+    above: dict[int, int] = {}
+
+    def top(n: int) -> int:
+        while (m := above.get(n, n)) != n:
+            above[n] = n = above.get(m, m)
+        return n
+
+    out = []
+    for x, y, item in zip(a.tolist(), b.tolist(), items.tolist(), strict=True):
+        if (p := top(x)) != (q := top(y)):
+            above[max(p, q)] = min(p, q)
+            out.append(item)
+    return out
+
+
 _LINKS_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _cell_links(cell: pa.Table, percent: int) -> pa.Table:
-    """The links of a cell between a member of the rest and any member of another component, confirmed on full sets."""
+    """Links of a cell between members of the rest and of other components, confirmed on full sets: as many as join what the cell's links join."""
+    blas_threads(1)  # a task has one core
     node, comp, blk, rest = (cell.column(c).to_numpy() for c in ("node", "comp", "blk", "rest"))
     i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
     rows = np.flatnonzero(rest & (blk == i))
@@ -203,7 +229,10 @@ def _cell_links(cell: pa.Table, percent: int) -> pa.Table:
     near = 100 * both >= percent * (n[rows][:, None] + n[None] - both)
     near &= (comp[rows][:, None] != comp[None]) & ((rest & (blk == j)) if j >= 0 else ~rest)[None]
     x, y = np.nonzero(near)
-    return pa.table({"a": node[rows[x]], "b": node[y]}, schema=_LINKS_ARROW)
+    left, right = comp[rows[x]], comp[y]
+    _, first = np.unique(np.stack([np.minimum(left, right), np.maximum(left, right)]), axis=1, return_index=True)
+    first = _forest(left[first], right[first], first)
+    return pa.table({"a": node[rows[x[first]]], "b": node[y[first]]}, schema=_LINKS_ARROW)
 
 
 def remaining_links(buckets: DataFrame, labels: DataFrame, documents: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -212,13 +241,14 @@ def remaining_links(buckets: DataFrame, labels: DataFrame, documents: DataFrame,
     Buckets with the same members count once. A cell is two blocks of a bucket, so it is bounded whatever the
     bucket's size; cells return links, not pairs.
     """
-    b = buckets.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")).filter(F.col("node") != F.col("pivot"))
+    b = spread_join(buckets, labels, "node", "key", "left").withColumn("comp", F.coalesce("comp", "node")).filter(F.col("node") != F.col("pivot"))
     members = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("y"))
     mixed = b.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), members.alias("members")).filter("lo <> hi")
     mixed = mixed.groupBy("members").agg(F.min("key").alias("key")).select("key")
-    b = stored(b.join(mixed, "key", "left_semi"), "mixed")
+    b = stored(spread_join(b, mixed, "key", "node"), "mixed")
     sizes = b.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n"))
-    b = b.join(sizes.select("key", F.col("top.comp").alias("core"), (F.col("n") - F.col("top.n")).alias("n_rest"), F.col("top.n").alias("n_core")), "key")
+    sizes = sizes.select("key", F.col("top.comp").alias("core"), (F.col("n") - F.col("top.n")).alias("n_rest"), F.col("top.n").alias("n_core"))
+    b = spread_join(b, sizes, "key", "node")
     b = b.withColumn("rest", F.col("comp") != F.col("core"))
     rb, cb = F.ceil(F.col("n_rest") / BLOCK).cast("int"), F.ceil(F.col("n_core") / BLOCK).cast("int")
     b = b.withColumn("rb", rb).withColumn("cb", cb).withColumn("blk", F.pmod(F.xxhash64("node"), F.when(F.col("rest"), F.col("rb")).otherwise(F.col("cb"))).cast("int"))
@@ -241,20 +271,29 @@ def remaining_links(buckets: DataFrame, labels: DataFrame, documents: DataFrame,
 
 def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document."""
-    s = stored(sketches(documents, percent), "sketches")
-    groups = s.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    g = s.join(groups, "digest")
-    nodes = stored(g.filter("doc_id = node").select("node", "bands").dropDuplicates(["node"]), "nodes")
+    s = stored(sketches(documents, percent).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))), "sketches")
+    # a set's smallest document, by way of the parts of its rows, since a third of all rows may have one set
+    parts = s.filter("digest is not null and doc_id is not null").groupBy("digest", "part").agg(F.min("doc_id").alias("least"))
+    groups = stored(parts.select("digest", "part", F.min("least").over(Window.partitionBy("digest")).alias("node")), "groups")
+    of = s.drop("bands").join(groups, ["digest", "part"], "left").withColumn("node", F.coalesce("node", "doc_id"))
+    of = stored(of.select("doc_id", "n_shingles", "digest", "node"), "nodes_of")
+    nodes = stored(s.join(groups, ["digest", "part"]).filter("doc_id = node").select("node", "digest", "bands").dropDuplicates(["node", "digest"]), "nodes")
     rows = nodes.select("node", F.explode("bands").alias("key"))
-    pivots = rows.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select("key", "pivot")
-    buckets = stored(rows.join(pivots, "key"), "buckets")
+    # a bucket's smallest node the same way
+    rows, one = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(SALTS))), Window.partitionBy("key")
+    parts = rows.groupBy("key", "part").agg(F.min("node").alias("least"), F.count("*").alias("n"))
+    pivots = parts.select("key", "part", F.min("least").over(one).alias("pivot"), F.sum("n").over(one).alias("n")).filter("n > 1").drop("n")
+    buckets = stored(rows.join(pivots, ["key", "part"]).drop("part"), "buckets")
     pairs = stored(buckets.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
     links = confirmed(pairs, documents, percent)
+    # versions of one document: its id may be in several sets
+    ids = of.filter("digest is not null and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
+    versions = stored(of.filter("digest is not null").select("doc_id", "node").join(ids.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).filter("a <> b").distinct(), "versions")
+    links = links.union(versions)
     labels = components(links)
     more = remaining_links(buckets, labels, documents, percent)
     labels = components(links.union(more))
-    of = s.select("doc_id", "n_shingles", "digest").join(groups, "digest", "left").withColumn("node", F.coalesce("node", "doc_id"))
-    out = of.join(labels, "node", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "node")))
+    out = spread_join(of, labels, "node", "doc_id", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "node")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

@@ -104,3 +104,52 @@ def test_threshold_is_a_parameter(spark):
     assert {r["doc_id"] for r in minhash.deduplicated(d, 80).collect()} == want
     assert {r["doc_id"] for r in minhash.deduplicated(d).collect()} == {d for d, _ in rows}
     assert minhash.band_rows(85) == 5 and minhash.band_rows(80) == 4
+
+
+def test_cells_of_several_blocks(spark, monkeypatch):
+    """Buckets of several blocks of members: links between members that aren't the smallest, few of them returned."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    r = random.Random(6)
+    base = prose(60, 120).split()
+    rows = []
+    for i in range(220):
+        w = list(base)
+        for _ in range(1 + i % 7):
+            w[r.randrange(len(w))] = f"edit{r.randrange(10**6)}"
+        rows.append((5000 - i, " ".join(w)))
+    check(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows)
+
+
+def test_a_forest_joins_what_the_links_join():
+    r = np.random.default_rng(2)
+    a, b = r.integers(0, 60, 300), r.integers(0, 60, 300)
+    kept = minhash._forest(a, b, np.arange(300))
+
+    def parts(at):
+        of = {i: {i} for i in range(60)}
+        for i in at:
+            both = of[a[i]] | of[b[i]]
+            for n in both:
+                of[n] = both
+        return {frozenset(x) for x in of.values()}
+
+    assert parts(kept) == parts(range(300)) and len(kept) == 60 - len(parts(kept))
+
+
+def test_one_id_with_two_texts(spark):
+    """Versions of one document: the copies of each are in its component, and one row of it stays."""
+    one, two, other = prose(70, 80), prose(71, 80), prose(72, 80)
+    rows = [(3, one), (7, one), (7, two), (9, two), (11, other), (12, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(d).collect())
+    assert got == [(3, 76, 3, True), (7, 76, 3, False), (7, 76, 3, False), (9, 76, 3, False), (11, 76, 11, True), (12, 0, 12, True)]
+    assert sorted(r["doc_id"] for r in minhash.deduplicated(d).collect()) == [3, 11, 12]
+
+
+def test_hot_set_and_hub(spark):
+    """A third of the rows in one set, and a node that most others link with."""
+    rows = [(i, prose(80, 40)) for i in range(100, 150)] + [(i, prose(i, 40)) for i in range(100)]
+    check(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(5), rows)
+    links = [(0, i) for i in range(1, 300)] + [(i, 1000 + i) for i in range(1, 300)] + [(5000, 5001), (None, 3)]
+    got = {r["node"]: r["comp"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {0: 0, 5000: 5000, 5001: 5000, **{i: 0 for i in range(1, 300)}, **{1000 + i: 0 for i in range(1, 300)}}
