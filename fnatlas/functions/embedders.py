@@ -41,6 +41,40 @@ class HashedEmbedder:
         return out / np.where(n > 0, n, 1)
 
 
+def pooled(hidden: np.ndarray, mask: np.ndarray, how: str = "mean") -> np.ndarray:
+    """A model's states (n, tokens, dim) as one vector each: of the first token, or the mean over the tokens of the mask."""
+    if how == "first":
+        return hidden[:, 0]
+    m = mask[:, :, None].astype(float)
+    return (hidden * m).sum(1) / np.maximum(m.sum(1), 1e-9)
+
+
+@dataclass
+class PooledEmbedder:
+    """A model by its function states(codes, max_length) -> (hidden, mask), which is called for `batch` codes at once."""
+
+    states: Callable[[list[str], int], tuple[np.ndarray, np.ndarray]]
+    name: str
+    dim: int
+    how: str = "mean"
+    max_length: int = 512
+    batch: int = 8
+
+    def embed_batch(self, codes: list[str | None]) -> np.ndarray:
+        parts = [pooled(*self.states([c or "" for c in codes[i : i + self.batch]], self.max_length), self.how) for i in range(0, len(codes), self.batch)]
+        return np.concatenate(parts) if parts else np.zeros((0, self.dim))
+
+
+#: Pooling, limit of context in tokens, and codes at once of known kinds of models, for PooledEmbedder.
+KINDS = {"codebert": ("first", 512, 8), "qwen3": ("mean", 512, 4), "jina": ("mean", 4096, 4), "codesage": ("mean", 1024, 4), "nomic": ("mean", 4096, 4)}
+
+
+def register_states(kind: str, states: Callable[[], Callable], dim: int) -> None:
+    """Makes a model of a known kind available; states() loads it in a Python worker."""
+    how, max_length, batch = KINDS[kind]
+    register(kind, lambda: PooledEmbedder(states(), kind, dim, how, max_length, batch))
+
+
 REGISTRY: dict[str, Callable[[], object]] = {"hashed": HashedEmbedder}
 
 

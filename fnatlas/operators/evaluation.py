@@ -6,17 +6,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import doubles
 from ..session import blas_threads, ship
+from .learning import seeded_digest
 from .similarity import BLOCK, _blocks, _matrix
 
 
 def distribution(df: DataFrame, values: str, name: str = "value") -> DataFrame:
-    """How often each element of an array column occurs."""
-    return df.select(F.explode(values).alias(name)).groupBy(name).agg(F.count("*").alias("n"))
+    """How often each element of an array column occurs.
+
+    explode_outer, since for explode the optimizer adds a filter that evaluates the array's expression once more.
+    """
+    d = df.select(F.explode_outer(F.transform(values, lambda x: F.struct(x.alias("x")))).alias("one")).filter("one is not null")
+    return d.groupBy(F.col("one.x").alias(name)).agg(F.count("*").alias("n"))
 
 
 def combinations(df: DataFrame, values: str) -> DataFrame:
@@ -82,11 +87,12 @@ def misclassified(df: DataFrame, text: str, key: str, limit: int = 5, true: str
     return df.filter(wrong).withColumn("text_length", F.length(text)).orderBy("text_length", key).limit(limit)
 
 
-def failure_text(n_wrong: int, mean_length: float | None, n_conflicts: int) -> str:
+def failure_text(n_wrong: Column, mean_length: Column, n_conflicts: Column) -> Column:
     """A sentence for each kind of failure."""
-    out = [f"{n_wrong} functions were misclassified" + (f", {mean_length:.0f} characters long on average; short ones carry few signals." if mean_length else ".")]
-    out.append(f"{n_conflicts} pairs are alike but have other labels: vectors follow form more than effect." if n_conflicts else "No pair above the threshold has other labels.")
-    return " ".join(out)
+    short = F.when(mean_length.isNull(), ".").otherwise(F.format_string(", %.0f characters long on average; short ones carry few signals.", mean_length))
+    wrong = F.concat(F.format_string("%d functions were misclassified", n_wrong), short)
+    pairs = F.when(n_conflicts > 0, F.format_string("%d pairs are alike but have other labels: vectors follow form more than effect.", n_conflicts))
+    return F.concat_ws(" ", wrong, pairs.otherwise("No pair above the threshold has other labels."))
 
 
 def label_purity(df: DataFrame, cluster: str, values: str) -> DataFrame:
@@ -154,20 +160,33 @@ def overfit_status(train_f1: Column, test_f1: Column) -> Column:
 
 
 def hashed_sample(df: DataFrame, key: str, n: int = 10, seed: int = 42) -> DataFrame:
-    """The same n rows each time: those with the smallest hash of their key."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """The same n rows each time: those with the smallest digest of their key."""
+    return df.orderBy(seeded_digest(F.col(key), seed), key).limit(n)
 
 
-def report(df: DataFrame, neighbours_overlap: DataFrame, clusters: DataFrame, failures: DataFrame, effects: str = "y_true") -> DataFrame:
-    """One row of nested structs. df: y_true, y_pred; neighbours_overlap: q, overlap; clusters: cluster, n, purity; failures: any rows."""
-    whole = Window.partitionBy()
+def report(df: DataFrame, neighbours_overlap: DataFrame, clusters: DataFrame, failures: DataFrame, effects: str = "y_true", conflicts: DataFrame | None = None) -> DataFrame:
+    """One row of nested structs. df: y_true, y_pred; neighbours_overlap: q, overlap; clusters: cluster, n, purity; failures: some
+    misclassified rows, with text_length; conflicts: pairs q, c, sim of alike rows with other labels."""
     stats = distribution(df, effects).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "n")))).alias("side_effect_distribution"))
     stats = stats.crossJoin(df.agg(F.count("*").alias("total_functions"))).select(F.struct("total_functions", "side_effect_distribution").alias("dataset_stats"))
     r = classification_report(df)
     metrics = r.agg(F.max(F.when(F.col("class") == "macro avg", F.col("f1"))).alias("f1_macro"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("class", F.struct("precision", "recall", "f1", "support"))))).alias("classification_report"))
-    metrics = metrics.crossJoin(subset_accuracy(df).select("accuracy")).select(F.struct("f1_macro", "accuracy", "classification_report").alias("classification_metrics"))
+    accuracy = subset_accuracy(df).select("accuracy", F.round((1 - F.coalesce("accuracy", F.lit(1.0))) * F.col("n")).cast("long").alias("n_wrong"))
+    metrics = metrics.crossJoin(accuracy).select(F.struct("f1_macro", "accuracy", "classification_report").alias("classification_metrics"), "n_wrong")
     sim = neighbours_overlap.agg(F.struct(F.count("*").alias("num_queries"), F.avg("overlap").alias("average_side_effect_overlap")).alias("similarity_metrics"))
     clu = clusters.agg(F.struct(F.count("*").alias("n_clusters"), F.avg("purity").alias("average_label_purity"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("cluster").cast("string"), "n")))).alias("cluster_sizes")).alias("clustering_metrics"))
-    fail = failures.agg(F.to_json(F.collect_list(F.struct(*failures.columns))).alias("failure_analysis"))
-    del whole
-    return stats.crossJoin(metrics).crossJoin(sim).crossJoin(clu).crossJoin(fail)  # one row each
+    length = F.avg("text_length") if "text_length" in failures.columns else F.lit(None).cast("double")
+    fail = failures.agg(F.to_json(F.collect_list(F.struct(*failures.columns))).alias("failure_analysis"), length.alias("mean_length"))
+    some = conflicts if conflicts is not None else df.sparkSession.createDataFrame([], "q long, c long, sim double")
+    first = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("by"), "q", "c", "sim"))), 1, 5)
+    few = some.orderBy(F.desc("sim"), "q", "c").limit(5).agg(F.transform(first, lambda p: F.struct(p["q"].alias("q"), p["c"].alias("c"), p["sim"].alias("sim"))).alias("conflicting_pairs"))
+    few = few.crossJoin(some.agg(F.count("*").alias("n_conflicts")))
+    out = stats.crossJoin(metrics).crossJoin(sim).crossJoin(clu).crossJoin(fail).crossJoin(few)  # one row each
+    text = failure_text(F.col("n_wrong"), F.col("mean_length"), F.col("n_conflicts")).alias("failure_text")
+    return out.select("dataset_stats", "classification_metrics", "similarity_metrics", "clustering_metrics", "failure_analysis", "conflicting_pairs", text)
+
+
+def summary_scores(df: DataFrame) -> DataFrame:
+    """f1_macro, f1_micro, accuracy of y_true and y_pred, one row."""
+    f1 = lambda c: F.max(F.when(F.col("class") == f"{c} avg", F.col("f1"))).alias(f"f1_{c}")
+    return classification_report(df).agg(f1("macro"), f1("micro")).crossJoin(subset_accuracy(df).select("accuracy"))

@@ -167,9 +167,9 @@ def top_pairs(spark, sf):
     return S.top_k(u, u, 5, pairs_once=True, digits=6).select("q", "c", "sim")
 
 
-@query(f"WITH {_UNITS} SELECT q, coalesce(substr(d.text, 1, 40), 'Unknown purpose') AS summary FROM ranked LEFT JOIN documents d ON d.doc_id = c WHERE rank = 1")
+@query(f"WITH {_UNITS} SELECT q, coalesce(d.text, 'Unknown purpose') AS summary FROM ranked LEFT JOIN documents d ON d.doc_id = c WHERE rank = 1")
 def nn_summary(spark, sf):
-    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("text"))
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     return S.neighbour_summary(nearest(spark, sf, 1), texts)
 
 
@@ -489,11 +489,19 @@ def feature_concat(spark, sf):
     return j.select("fn_id", F.size("all").alias("dims"), F.round(F.aggregate("all", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
-@query("SELECT vec_id, CASE WHEN vec_id % 10 < 3 THEN 'test' ELSE 'train' END AS split FROM embeddings", "hash_split")
+@query("SELECT vec_id, CASE WHEN vec_id % 10 < 3 THEN 'test' ELSE 'train' END AS split FROM embeddings")
 def modulo_split(spark, sf):
     return vectors(spark, sf).select("vec_id", M.modulo_split(F.col("vec_id")).alias("split"))
 
 
+_DIGEST = "md5(CAST({} AS VARCHAR) || '-42')"
+
+
+@query(f"SELECT vec_id, CASE WHEN CAST('0x' || substr({_DIGEST.format('vec_id')}, 1, 8) AS BIGINT) % 100 < 30 THEN 'test' ELSE 'train' END AS split FROM embeddings")
+def hash_split(spark, sf):
+    return vectors(spark, sf).select("vec_id", M.hash_split(F.col("vec_id")).alias("split"))
+
+
 @query("""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 d AS (SELECT a.vec_id, a.label, b.label AS other, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS dist FROM e a JOIN e b ON a.vec_id <> b.vec_id),
 m AS (SELECT vec_id, label, other, avg(dist) AS m FROM d GROUP BY vec_id, label, other),
@@ -547,10 +555,10 @@ def split_metrics(spark, sf):
 @query()
 def silhouette_by_k(spark, sf):
     got = M.silhouette_sweep(vectors(spark, sf), "vec_id", "embedding")
-    return spark.createDataFrame([(k, round(s, 6)) for k, s in got], "k int, silhouette double")
+    return spark.createDataFrame([(k, round(s, 6), k == M.best_k(got)) for k, s in got], "k int, silhouette double, best boolean")
 
 
-@query()
+@query(f"WITH {_UNITS}, s AS (SELECT vec_id FROM embeddings ORDER BY {_DIGEST.format('vec_id')}, vec_id LIMIT 10) SELECT q, round(avg(CASE WHEN ql = cl THEN 1.0 ELSE 0.0 END), 6) AS overlap FROM ranked JOIN s ON s.vec_id = q WHERE rank <= 5 GROUP BY q")
 def sampled_overlap(spark, sf):
     """Overlap of ten hashed queries, the way the report samples."""
     u = units(spark, sf)
@@ -600,5 +608,33 @@ def evaluation_report(spark, sf):
     clusters = E.label_purity(_clustered(spark, sf), "cluster", "tags")
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text")
     wrong = E.misclassified(sets.join(d, "vec_id"), "text", "vec_id").select("vec_id", "y_true", "y_pred", "text_length")
-    r = E.report(sets, S.overlap_at_k(nearest(spark, sf, 5), labels), clusters, wrong)
+    conflicts = S.conflicting(nearest(spark, sf, 3), labels, 0.35).filter("q < c").select("q", "c", "sim")
+    r = E.report(sets, S.overlap_at_k(nearest(spark, sf, 5), labels), clusters, wrong, conflicts=conflicts)
     return r.select(F.to_json(F.struct(*r.columns)).alias("report"))
+
+
+@query()
+def stored_pipeline(spark, sf):
+    """Trains on the derived functions of nine files in ten, stores the pipeline, loads it and labels those of the others."""
+    import atexit
+    import contextlib
+    import tempfile
+    import uuid
+
+    from ..sources import trees
+
+    def swept() -> None:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            trees.delete(spark, folder)
+
+    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not set_dir and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = f"{set_dir or 'file://' + tempfile.mkdtemp(prefix='fnatlas-')}/pipeline-{uuid.uuid4().hex}"
+    atexit.register(swept)
+    fns = c_functions(spark, sf)
+    other = F.crc32(F.col("file_path").cast("binary")) % 10 == 0
+    pipeline.labeled(fns.filter(~other)).write.mode("overwrite").parquet(f"{folder}/labeled")
+    pipeline.run(spark, "", folder, skip_labeling=True, pca_dims=16)
+    p = pipeline.Predictor(spark, f"{folder}/pipeline")
+    return p.predicted(fns.filter(other)).select("fn_id", F.array_join("predicted_effects", ",").alias("effects"), F.col("predicted_complexity").alias("complexity"), F.col("predicted_errors").alias("errors"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -19,12 +22,43 @@ def labeled(functions_df: DataFrame) -> DataFrame:
     return functions_df.withColumn("labels", L.label_struct(F.col("function_name"), F.col("function_code")))
 
 
-def labeled_by(functions_df: DataFrame, ask=None) -> DataFrame:
-    """Labels from a model: `ask` maps a pandas Series of prompts (code of 4000 characters at most) to answers. Without it, rules."""
+#: What a language model is asked; the labels' names are fixed values.
+PROMPT = """Read the C function below and answer with one JSON object and nothing else. Its fields:
+- "high_level_purpose": one sentence on what the function does
+- "side_effects": an array of those that apply of "io", "memory", "hardware", "network", "global_state"; ["none"] if none does
+- "complexity": "low" (under 20 lines, few branches), "medium" (20 to 50 lines, some branches or loops) or "high" (over 50 lines, nested)
+- "error_handling": "returns_code", "uses_errno", "assertions" or "none"
+
+Function:
+"""
+PROMPT_CODE = 4000  # characters of a function that are sent: the limit is the model's, rules read whole functions
+
+
+def prompt(code: Column) -> Column:
+    return F.concat(F.lit(PROMPT), F.substring(F.coalesce(code, F.lit("")), 1, PROMPT_CODE), F.lit("\n"))
+
+
+def labeled_by(functions_df: DataFrame, ask=None, connect=None) -> DataFrame:
+    """Labels from a model: `ask` maps a pandas Series of prompts to answers; `connect` gives such a function.
+
+    Without them, or if connect fails, rules label. A batch whose call fails has the defaults of answers that can't be read.
+    """
+    if ask is None and connect is not None:
+        try:
+            ask = connect()
+        except Exception:  # noqa: BLE001  whatever keeps a client from starting
+            ask = None
     if ask is None:
         return labeled(functions_df)
-    answers = F.pandas_udf(ask, "string")(F.substring("function_code", 1, 4000))
-    return functions_df.withColumn("labels", L.parse_llm_labels(answers, F.col("function_code")))
+
+    def answers(prompts: pd.Series) -> pd.Series:
+        try:
+            return ask(prompts)
+        except Exception:  # noqa: BLE001  a service's failure must not end the job
+            return pd.Series([None] * len(prompts), index=prompts.index, dtype=object)
+
+    got = F.coalesce(F.pandas_udf(answers, "string")(prompt(F.col("function_code"))), F.lit(""))
+    return functions_df.withColumn("labels", L.parse_llm_labels(got, F.col("function_code")))
 
 
 def featured(df: DataFrame, hardware: bool = False, ast: bool = True, embedder: str = "hashed") -> DataFrame:
@@ -34,52 +68,154 @@ def featured(df: DataFrame, hardware: bool = False, ast: bool = True, embedder:
     return with_ast_features(out) if ast else out
 
 
+@dataclass
+class Assembly:
+    """How rows become feature vectors: the columns, means and deviations of those that are scaled, and a projection."""
+
+    parts: list[str]
+    scaling: dict[str, dict[str, list[float]]]
+    pca: object = None
+
+    @staticmethod
+    def fitted(train: DataFrame, pca_dims: int | None = None) -> Assembly:
+        scaled = [c for c in ("hybrid_features", "ast_features") if c in train.columns]
+        parts = ["embedding", *scaled] + ["purpose_embedding"] * ("purpose_embedding" in train.columns)
+        return Assembly(parts, {c: M.scaling(train, c) for c in scaled}, M.pca_fitted(train, "embedding", pca_dims) if pca_dims else None)
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        """df with `features`: the embedding or its projection, scaled hybrid and structure features, the purpose's embedding."""
+        out = M.pca_applied(self.pca, df, "embedding", "_pca") if self.pca else df
+        of = lambda c: M.scaled_by(F.col(c), self.scaling[c]) if c in self.scaling else F.col("_pca" if c == "embedding" and self.pca else c)
+        return out.withColumn("features", M.concatenated(*map(of, self.parts))).drop("_pca")
+
+
 def assembled(df: DataFrame, train: DataFrame, pca_dims: int | None = None) -> DataFrame:
-    """df with `features`: the embedding or its projection, scaled hybrid and structure features, the purpose's embedding."""
-    parts = ["embedding"]
-    if pca_dims:
-        df, _ = M.pca_projected(df, "embedding", pca_dims, train)
-        parts = ["pca"]
-    for c in ("hybrid_features", "ast_features"):
-        if c in df.columns:
-            df = M.standard_scaled(df, c, train, f"{c}_scaled")
-            parts.append(f"{c}_scaled")
-    if "purpose_embedding" in df.columns:
-        parts.append("purpose_embedding")
-    return df.withColumn("features", M.concatenated(*[F.col(p) for p in parts])).drop("pca", "hybrid_features_scaled", "ast_features_scaled")
-
-
-def run(spark: SparkSession, source: str, out: str, hardware: bool = False, kind: str = "lr", pca_dims: int | None = None, embedder: str = "hashed", skip_labeling: bool = False, skip_embedding: bool = False) -> DataFrame:
-    """Extracts, labels, embeds, trains, clusters, stores and evaluates; stage tables in `out` can be entered again. The report row."""
+    return Assembly.fitted(train, pca_dims)(df)
+
+
+LABELS = ("effects", "complexity", "errors")
+
+
+def run(
+    spark: SparkSession, source: str, out: str, hardware: bool = False, kind: str | dict[str, str] = "lr", pca_dims: int | None = None, embedder: str = "hashed", skip_labeling: bool = False,
+    skip_embedding: bool = False, ast: bool = True, tune: bool = True, strategy: str = "binary", balanced: bool = True, clusters: int = 4, threshold: float = 0.8, connect=None, glob: str = "*.c", clean: bool = False,
+) -> DataFrame:
+    """Extracts, labels, embeds, trains, clusters, stores and evaluates; stage tables in `out` can be entered again. The report row.
+
+    kind: of the classifiers, or one for each of effects, complexity and errors; tune: thresholds of the effects'
+    probabilities; strategy: of effects, see train_multilabel(); clusters: at most; threshold: from which similar functions
+    with other effects are conflicts; connect: see labeled_by(); clean: rare effects go, high complexity is merged.
+    """
+    kinds = {label: kind if isinstance(kind, str) else kind.get(label, "lr") for label in LABELS}
     if not (skip_labeling or skip_embedding):
-        functions_df = extract_functions(trees.read_tree(spark, source))
+        functions_df = extract_functions(trees.read_tree(spark, source, glob))
         keyed = functions_df.withColumn("fn_id", F.xxhash64("file_path", "start_line", "function_name"))
-        labeled(keyed).write.mode("overwrite").parquet(f"{out}/labeled")
+        labeled_by(keyed, connect=connect).write.mode("overwrite").parquet(f"{out}/labeled")
     if not skip_embedding:
         rows = spark.read.parquet(f"{out}/labeled")
         if rows.isEmpty():
             raise ValueError(f"no functions in {source}")
-        featured(rows, hardware, True, embedder).withColumn("split", M.hash_split(F.col("fn_id"))).write.mode("overwrite").parquet(f"{out}/featured")
+        rows = trees.clean_labels(rows, f"{out}/cleaned").drop("changed") if clean else rows
+        featured(rows, hardware, ast, embedder).withColumn("split", M.hash_split(F.col("fn_id"))).write.mode("overwrite").parquet(f"{out}/featured")
     df = spark.read.parquet(f"{out}/featured")
+    assembly = Assembly.fitted(df.filter("split = 'train'"), pca_dims)
+    df = assembly(df).withColumn("effects", F.col("labels.side_effects")).withColumn("complexity", F.col("labels.complexity")).withColumn("errors", F.col("labels.error_handling"))
     train = df.filter("split = 'train'")
-    df = assembled(df, train, pca_dims)
-    df = df.withColumn("effects", F.col("labels.side_effects")).withColumn("complexity", F.col("labels.complexity")).withColumn("errors", F.col("labels.error_handling"))
-    train = df.filter("split = 'train'")
-    models = M.train_multilabel(train, "features", "effects", kind)
-    singles = {c: M.train_single(train, "features", c, kind) for c in ("complexity", "errors") if train.select(c).distinct().count() > 1}
-    predicted = M.predict_multilabel(models, df, "features", "none", "predicted_effects")
-    k = M.adaptive_k(df.count())
+    models = M.train_multilabel(train, "features", "effects", kinds["effects"], balanced=balanced, strategy=strategy)
+    thresholds = M.tuned_thresholds(models, train, "features", "effects") if tune and kinds["effects"] != "svm" else {}
+    singles = {c: M.train_single(train, "features", c, kinds[c], balanced) for c in ("complexity", "errors") if train.select(c).distinct().count() > 1}
+    constant = {c: train.groupBy(c).count().orderBy(F.desc("count"), c).first()[c] for c in ("complexity", "errors") if c not in singles}
+    predicted = M.predict_multilabel(models, df, "features", "none", "predicted_effects", thresholds)
+    k = M.adaptive_k(df.count(), clusters)
     clustered = M.kmeans(predicted, "features", k) if k else predicted.withColumn("cluster", F.lit(0))
-    config = {"embedder": embedder, "hardware": hardware, "kind": kind, "pca_dims": pca_dims, "effect_classes": sorted(models), "singles": sorted(singles), "no_purpose": NO_PURPOSE}
-    trees.save_pipeline(clustered, config, f"{out}/pipeline", {f"effect_{c}": m for c, m in models.items()} | singles)
+    config = {
+        "embedder": embedder, "hardware": hardware, "ast": ast, "kinds": kinds, "pca_dims": pca_dims, "effect_classes": sorted(models), "singles": sorted(singles), "constant": constant,
+        "thresholds": thresholds, "no_purpose": NO_PURPOSE, "parts": assembly.parts, "scaling": assembly.scaling,
+    }
+    trees.save_pipeline(clustered, config, f"{out}/pipeline", {f"effect_{c}": m for c, m in models.items()} | singles | ({"pca": assembly.pca} if assembly.pca else {}))
     saved = spark.read.parquet(f"{out}/pipeline/functions")
     test = saved.filter("split = 'test'").select(F.col("effects").alias("y_true"), F.col("predicted_effects").alias("y_pred"))
     vectors = saved.select(F.col("fn_id").alias("id"), S.unit(F.col("embedding")).alias("v"))
-    overlap = S.overlap_at_k(S.top_k(E.hashed_sample(vectors, "id"), vectors, 5), saved.select(F.col("fn_id").alias("id"), F.col("effects").alias("tags")))
+    tags = saved.select(F.col("fn_id").alias("id"), F.col("effects").alias("tags"))
+    near = S.top_k(vectors, vectors, 3)
+    conflicts = S.conflicting(near, tags, threshold).filter("q < c").select("q", "c", "sim")
+    overlap = S.overlap_at_k(S.top_k(E.hashed_sample(vectors, "id"), vectors, 5), tags)
     wrong = E.misclassified(saved.withColumnsRenamed({"effects": "y_true", "predicted_effects": "y_pred"}), "function_code", "fn_id").select("function_name", "file_path", "y_true", "y_pred", "text_length", "split")
-    result = E.report(test, overlap, E.label_purity(saved, "cluster", "effects"), wrong)
+    result = E.report(test, overlap, E.label_purity(saved, "cluster", "effects"), wrong, conflicts=conflicts)
     result.write.mode("overwrite").json(f"{out}/report")
-    return result
+    return spark.read.schema(result.schema).json(f"{out}/report")
+
+
+class Predictor:
+    """A stored pipeline: labels functions that it hasn't seen, and finds the stored ones that are like them."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        got = trees.load_pipeline(spark, folder)
+        if got is None:
+            raise FileNotFoundError(f"no pipeline in {folder}")
+        self.rows, self.config, self.models = got
+        self.assembly = Assembly(self.config["parts"], self.config["scaling"], self.models.get("pca"))
+
+    def features(self, functions_df: DataFrame) -> DataFrame:
+        """functions with the vectors that the models take, assembled as in training; a function's name gives its purpose."""
+        purpose = F.struct(L.purpose(F.col("function_name")).alias("high_level_purpose"))
+        d = featured(functions_df.withColumn("labels", purpose), self.config["hardware"], self.config["ast"], self.config["embedder"])
+        return self.assembly(d).drop("labels", "purpose")
+
+    def predicted(self, functions_df: DataFrame) -> DataFrame:
+        """functions (function_name, function_code) with predicted_effects, predicted_complexity and predicted_errors."""
+        d, keep = self.features(functions_df), functions_df.columns
+        models = {c: self.models[f"effect_{c}"] for c in self.config["effect_classes"]}
+        d = M.predict_multilabel(models, d, "features", "none", "predicted_effects", self.config["thresholds"])
+        for c in ("complexity", "errors"):
+            d = M.predict_single(self.models[c], d, "features", f"predicted_{c}") if c in self.config["singles"] else d.withColumn(f"predicted_{c}", F.lit(self.config["constant"][c]))
+        return d.select(*keep, "predicted_effects", "predicted_complexity", "predicted_errors")
+
+    def __call__(self, functions_df: DataFrame) -> DataFrame:
+        """functions of files with `labels`, for analyzed(); the purpose is that of the most similar stored function."""
+        keyed = functions_df.withColumn("fn_id", F.xxhash64("file_path", "start_line", "function_name"))
+        corpus = self.rows.select("fn_id", "embedding", F.col("labels.high_level_purpose").alias("purpose"))
+        d = with_neighbour_summary(self.predicted(keyed), corpus, self.config["embedder"])
+        labels = F.struct(
+            F.col("summary").alias("high_level_purpose"), L.control_flow(F.col("function_code")).alias("control_flow_elements"), F.col("predicted_effects").alias("side_effects"),
+            F.col("predicted_complexity").alias("complexity"), F.col("predicted_errors").alias("error_handling"),
+        )
+        return d.select(*functions_df.columns, labels.alias("labels"))
+
+    def scores(self, labeled_df: DataFrame) -> DataFrame:
+        """f1_macro, f1_micro and accuracy of the effects of labelled functions from outside."""
+        d = self.predicted(labeled_df).select(F.col("labels.side_effects").alias("y_true"), F.col("predicted_effects").alias("y_pred"))
+        return E.summary_scores(d)
+
+    def alike(self, key: int | None = None, k: int = 3) -> DataFrame:
+        """The k stored functions most similar to one, the first by key if none is given."""
+        key = self.rows.agg(F.min("fn_id")).first()[0] if key is None else key
+        return S.similar_to_row(self.rows, key, k, "fn_id").select("fn_id", "function_name", "file_path", F.col("labels.high_level_purpose").alias("purpose"), "sim")
+
+
+def predictor(spark: SparkSession, folder: str):
+    """What labels functions: a stored pipeline, or the rules where there is none."""
+    try:
+        return Predictor(spark, folder)
+    except FileNotFoundError:
+        return labeled
+
+
+#: Functions that the demonstration predicts.
+SNIPPETS = (
+    ("read_line", 'int read_line(FILE *f, char *buf, int n) {\n    if (!fgets(buf, n, f)) { perror("read"); return -1; }\n    return 0;\n}'),
+    ("make_node", "struct node *make_node(int v) {\n    struct node *p = malloc(sizeof(*p));\n    if (p == NULL) { return NULL; }\n    p->v = v;\n    return p;\n}"),
+    ("add", "int add(int a, int b) {\n    return a + b;\n}"),
+)
+
+
+def demo(spark: SparkSession, folder: str) -> DataFrame:
+    """What a stored pipeline can do: the functions most like its first one, and the labels of a few functions."""
+    p = Predictor(spark, folder)
+    near = p.alike().select(F.lit("similar").alias("what"), F.col("function_name").alias("name"), F.format_string("%.4f %s", "sim", "purpose").alias("text"))
+    some = p.predicted(spark.createDataFrame(list(SNIPPETS), "function_name string, function_code string"))
+    text = F.concat_ws("; ", F.array_join("predicted_effects", ","), "predicted_complexity", "predicted_errors")
+    return near.unionByName(some.select(F.lit("predicted").alias("what"), F.col("function_name").alias("name"), text.alias("text")))
 
 
 def analyzed(files: DataFrame, predict=None) -> DataFrame:

@@ -38,8 +38,9 @@ def labeled_array(df: DataFrame) -> str:
     return json.dumps([json.loads(r[0]) for r in df.select(F.to_json(F.struct(*df.columns))).toLocalIterator()], indent=2)
 
 
-def pretty(result: Column) -> Column:
-    return F.to_json(result, {"pretty": "true"})
+def inference_json(analyzed: DataFrame, pretty: bool = True) -> DataFrame:
+    """file_path, json: what is known of each file, as it is printed or stored."""
+    return analyzed.select("file_path", F.to_json(F.struct(*analyzed.columns), {"pretty": str(pretty).lower()}).alias("json"))
 
 
 def _fs(spark: SparkSession, path: str):

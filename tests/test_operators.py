@@ -205,3 +205,101 @@ def test_whole_texts_are_embedded(spark):
     rows = [(1, same), (2, same + "later words differ"), (3, same + "in other ways")]
     got = [r["e"] for r in spark.createDataFrame(rows, "i int, t string").select("i", embedding(F.col("t")).alias("e")).orderBy("i").collect()]
     assert got[0] != got[1] and got[1] != got[2] and got[0] != got[2]
+
+
+def test_stored_pipeline_labels_what_it_has_not_seen(spark, tree, tmp_path):
+    """With a projection, scaling, tuned thresholds and a classifier for each label: stored, loaded, and used on other files."""
+    out = str(tmp_path / "out")
+    kinds = {"effects": "lr", "complexity": "rf", "errors": "lr"}
+    report = pipeline.run(spark, tree, out, hardware=True, kind=kinds, pca_dims=4, threshold=0.3).first()
+    assert "misclassified" in report["failure_text"] or "functions" in report["failure_text"]
+    assert report["conflicting_pairs"] and all(0.3 < p["sim"] and p["q"] < p["c"] for p in report["conflicting_pairs"])
+    p = pipeline.Predictor(spark, f"{out}/pipeline")
+    assert p.config["kinds"] == kinds and p.config["thresholds"] and p.assembly.pca is not None and set(p.assembly.scaling) == {"hybrid_features", "ast_features"}
+    # a function that was trained on gets the vector it had
+    stored = {r["fn_id"]: r for r in p.rows.collect()}
+    again = p.features(p.rows.select("fn_id", "function_name", "function_code", "file_path", "start_line")).collect()
+    assert all(np.allclose(r["features"], stored[r["fn_id"]]["features"]) for r in again) and len(again) == 17
+    assert {r["fn_id"]: r["predicted_effects"] for r in p.predicted(p.rows.select("fn_id", "function_name", "function_code")).collect()} == {k: r["predicted_effects"] for k, r in stored.items()}
+    (tmp_path / "new").mkdir()
+    (tmp_path / "new/unseen.c").write_text("int make_it(int a)\n{\n    p = malloc(a);\n    p = malloc(a);\n    return -1;\n}\n")
+    files = trees.read_tree(spark, str(tmp_path / "new"))
+    one = pipeline.analyzed(files, pipeline.predictor(spark, f"{out}/pipeline")).first()["functions"][0]
+    assert one["predicted_labels"]["side_effects"] == ["memory"] and one["predicted_labels"]["control_flow_elements"] == ["return"]
+    assert one["embedding_summary"] in {r["labels"]["high_level_purpose"] for r in stored.values()}
+    rules = pipeline.analyzed(files, pipeline.predictor(spark, str(tmp_path / "none"))).first()["functions"][0]
+    assert rules["predicted_labels"]["high_level_purpose"] == "Performs make it operation"
+    text = trees.inference_json(pipeline.analyzed(files)).first()["json"]
+    assert json.loads(text)["functions"][0]["name"] == "make_it" and "\n" in text and "\n" not in trees.inference_json(pipeline.analyzed(files), False).first()["json"]
+    outside = pipeline.labeled(pipeline.extract_functions(files))
+    assert p.scores(outside).first().asDict() == {"f1_macro": 1.0, "f1_micro": 1.0, "accuracy": 1.0}
+    shown = pipeline.demo(spark, f"{out}/pipeline").collect()
+    assert sorted(r["what"] for r in shown) == ["predicted"] * 3 + ["similar"] * 3
+    # stages can be entered again
+    assert pipeline.run(spark, "nowhere", out, skip_labeling=True, ast=False, strategy="columns", tune=False).first()["dataset_stats"]["total_functions"] > 0
+    assert pipeline.Predictor(spark, f"{out}/pipeline").config["parts"] == ["embedding", "hybrid_features", "purpose_embedding"]
+    assert pipeline.run(spark, "nowhere", out, skip_embedding=True).first()["dataset_stats"]["total_functions"] > 0
+
+
+def test_language_model_labels_and_fallbacks(spark, tree):
+    fns = pipeline.extract_functions(trees.read_tree(spark, tree))
+    purposes = lambda df: {r[0] for r in df.select("labels.high_level_purpose").collect()}
+
+    def ask(prompts):
+        return prompts.map(lambda p: '{"high_level_purpose": "' + str("error_handling" in p and "Function:" in p) + '"}')
+
+    def broken(prompts):
+        raise OSError("no service")
+
+    assert purposes(pipeline.labeled_by(fns, ask)) == {"True"} and purposes(pipeline.labeled_by(fns, connect=lambda: ask)) == {"True"}
+    assert purposes(pipeline.labeled_by(fns, broken)) == {"Unknown"}
+    rules = purposes(pipeline.labeled(fns))
+    assert purposes(pipeline.labeled_by(fns)) == rules == purposes(pipeline.labeled_by(fns, connect=lambda: broken(None)))
+
+
+def test_radial_kernel_and_thresholds(spark):
+    r = np.random.default_rng(4)
+    angle, far = r.uniform(0, 6.3, 300), np.arange(300) % 2
+    rows = [(i, [float((1 + 2 * f) * math.cos(a)), float((1 + 2 * f) * math.sin(a))], f"ring{f}", [f"ring{f}"]) for i, (a, f) in enumerate(zip(angle, far.tolist()))]
+    d = spark.createDataFrame(rows, "i int, v array<double>, name string, tags array<string>")
+    right = lambda **o: M.predict_single(M.train_single(d, "v", "name", "svm", **o), d, "v").filter("name = predicted").count()
+    assert right() > 290 and right(gamma=0.5, cosines=128) > 290 and right(kernel="linear") < 240
+    models = M.train_multilabel(d, "v", "tags", "rf", trees=10, max_depth=4)
+    t = M.tuned_thresholds(models, d, "v", "tags")
+    assert sorted(t) == ["ring0", "ring1"] and all(0 < x < 1 for x in t.values())
+    always = M.predict_multilabel(models, d, "v", thresholds={"ring0": 0.0, "ring1": 1.1})
+    assert {tuple(x["predicted"]) for x in always.collect()} == {("ring0",)}
+    some = d.withColumn("tags", F.when(F.col("i") == 0, F.array("name", F.lit("rare"))).otherwise(F.array("name")))
+    assert sorted(M.train_multilabel(some, "v", "tags", "lr", strategy="columns", max_iter=5)) == ["rare", "ring0", "ring1"]
+    assert M.best_k([(2, 0.5), (3, 0.7), (4, 0.7)]) == 3 and M.best_k([]) is None
+
+
+def test_pooling(spark):
+    from fnatlas.functions.embedders import KINDS, PooledEmbedder, factory, pooled, register_states
+
+    hidden = np.arange(24.0).reshape(2, 3, 4)
+    mask = np.array([[1, 1, 0], [0, 0, 0]])
+    assert (pooled(hidden, mask, "first") == hidden[:, 0]).all()
+    assert np.allclose(pooled(hidden, mask), [hidden[0, :2].mean(0), np.zeros(4)])
+    seen = []
+
+    def states(codes, limit):
+        seen.append((len(codes), limit))
+        return np.ones((len(codes), 2, 3)) * len(codes[0]), np.ones((len(codes), 2))
+
+    e = PooledEmbedder(states, "x", 3, "mean", 100, 2)
+    assert e.embed_batch(["a", None, "ccc"]).tolist() == [[1.0] * 3] * 2 + [[3.0] * 3] and seen == [(2, 100), (1, 100)] and e.embed_batch([]).shape == (0, 3)
+    for kind, (how, limit, _) in KINDS.items():
+        register_states(kind, lambda: states, 3)
+        model = factory(kind)()
+        assert (model.how, model.max_length) == (how, limit)
+    df = spark.createDataFrame([("int f() { }",)], "code string")
+    assert list(df.select(embedding(F.col("code"), "codebert")).first()[0]) == [11.0] * 3
+
+
+def test_patterns_run_once(spark, sf):
+    """Counting an array's elements doesn't evaluate the expressions that make it again."""
+    from fnatlas.plans import catalog
+
+    count = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("RLIKE")
+    assert count(catalog.QUERIES["side_effect_distribution"](spark, sf)) == count(catalog.QUERIES["side_effects"](spark, sf)) > 0
