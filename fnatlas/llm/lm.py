@@ -63,7 +63,10 @@ SCORE_TOKENS = 4 << 20
 WINDOW = 32
 #: Documents that go in step, and rows of a softmax at once, to stay in the CPU's cache.
 SCORE_DOCS, SCORE_ROWS = 512, 8192
+GRADIENT_ROWS = 2048
 FLOOR = 0.02
+#: The bound of an exponent, which only weights of no use could reach.
+MOST = 80
 
 UNSEEN = 0  # unit and class of unseen words; then the end, the tail by power, and the top
 _END_IN = 1
@@ -78,12 +81,14 @@ def sub_of(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % SUBS
 
 
-def softmax(s: np.ndarray) -> np.ndarray:
-    """Of each column, in place; states lie between -1 and 1, so only weights of no use could reach the bound of the exponent."""
-    np.minimum(s, 80, out=s)
+def exponentials(w: np.ndarray, c: np.ndarray, states: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of w times the states plus c, a column for each state, and their sums; most: what no such number exceeds."""
+    s = w @ states.T
+    s += c[:, None]
+    if most > MOST:
+        np.minimum(s, MOST, out=s)
     np.exp(s, out=s)
-    s /= s.sum(0) + 1e-30
-    return s
+    return s, s.sum(0) + 1e-30
 
 
 class _Index(dict):
@@ -213,10 +218,11 @@ class Model:
         self.unit_share = np.log10(np.maximum(self.unit_mass, 1e-9) / np.maximum(mass[self.class_of], 1e-9))
         self.unit_share[UNSEEN] = 0
         r = np.random.default_rng(seed)
-        self.x = r.normal(0, 0.1, (units, 3 * HIDDEN)).astype(np.float32)
-        self.u = r.normal(0, HIDDEN**-0.5, (HIDDEN, 3 * HIDDEN)).astype(np.float32)
-        self.b = np.zeros(3 * HIDDEN, np.float32)
-        self.b[:HIDDEN] = 1
+        # by gate: update, reset, new state; each gate's numbers lie together, so numpy takes them in long runs
+        self.x = r.normal(0, 0.1, (3, units, HIDDEN)).astype(np.float32)
+        self.u = r.normal(0, HIDDEN**-0.5, (3, HIDDEN, HIDDEN)).astype(np.float32)
+        self.b = np.zeros((3, 1, HIDDEN), np.float32)
+        self.b[0] = 1
         self.w = r.normal(0, 0.1, (HIDDEN, len(mass))).astype(np.float32)
         self.c = np.log(self.prior)
         self.w2 = r.normal(0, 0.1, (units, HIDDEN)).astype(np.float32)
@@ -247,90 +253,120 @@ class Model:
         return np.array(i, np.int32), np.array(k, np.int32), np.array(share)
 
     def step(self, inputs: np.ndarray, h: np.ndarray) -> tuple:
-        return self.gated(self.x[inputs], h)
+        return self.gated(self.x.take(inputs, 1), h)
 
     def gated(self, x: np.ndarray, h: np.ndarray) -> tuple:
-        """The new state, its gates, and what the gradient needs; sigmoids by tanh, which numpy has in vector form."""
-        u = h @ self.u
+        """The new state, its gates, and what the gradient needs. Sigmoids and tanh go by exp, which numpy has in vector form; one that overflows gives the limit."""
+        u = np.matmul(h, self.u)
         u += self.b
-        zr = x[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN]
-        zr *= 0.5
-        np.tanh(zr, out=zr)
+        zr = x[:2] + u[:2]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
         zr += 1
-        zr *= 0.5
-        z, r, un = zr[:, :HIDDEN], zr[:, HIDDEN:], u[:, 2 * HIDDEN :]
+        np.divide(1, zr, out=zr)
+        z, r, un = zr[0], zr[1], u[2]
         n = r * un
-        n += x[:, 2 * HIDDEN :]
-        np.tanh(n, out=n)
+        n += x[2]
+        n *= 2
+        np.exp(n, out=n)
+        n += 1
+        np.divide(-2, n, out=n)
+        n += 1
         new = h - n
         new *= z
         new += n
         return new, z, r, un, n
 
-    def within(self, hs: np.ndarray, units: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
-        """By class with several units: the places of its tokens, its first unit, the tokens' units in it, and all units' probabilities, a column for each token."""
-        classes = self.class_of[units]
+    def most(self) -> tuple[float, float]:
+        """What exponents of classes and of units in a class can't exceed, since states lie between -1 and 1."""
+        return float((np.abs(self.w).sum(0) + self.c).max()), float((np.abs(self.w2).sum(1) + self.c2).max())
+
+    def by_class(self, units: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+        """An order of tokens by class; and for each class with several units that occurs, where its tokens are in that order, and its units."""
+        classes = self.class_of.take(units)
         order = np.argsort(classes.astype(np.uint16), kind="stable")
-        ends = np.searchsorted(classes[order], np.arange(len(self.mass) + 1))
-        for k in np.flatnonzero((np.diff(ends) > 0) & (np.diff(self.edges) > 1)):
-            at, lo, hi = order[ends[k] : ends[k + 1]], self.edges[k], self.edges[k + 1]
-            s = self.w2[lo:hi] @ hs[at].T
-            s += self.c2[lo:hi, None]
-            yield at, lo, units[at] - lo, softmax(s)
+        ends = np.searchsorted(classes.take(order), np.arange(len(self.mass) + 1))
+        some = np.flatnonzero((np.diff(ends) > 0) & (np.diff(self.edges) > 1)).tolist()
+        return order, [(int(ends[k]), int(ends[k + 1]), int(self.edges[k]), int(self.edges[k + 1])) for k in some]
 
     def gradients(self, inputs: np.ndarray, classes: np.ndarray, units: np.ndarray | None, h: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
         """Loss (natural logarithm, summed), its gradients over the number of streams, and the last state, of (streams, time) arrays."""
         streams, steps = inputs.shape
         used = np.ascontiguousarray(inputs.T)
-        xs, goes_on = self.x[used], (used != _END_IN).astype(np.float32)[:, :, None]
-        kept, hs = [], np.empty((steps, streams, HIDDEN), self.u.dtype)
+        most, most_units = self.most()
+        xs, goes_on = self.x.take(used, 1), (used != _END_IN).astype(self.u.dtype)[:, :, None]
+        kept, before, hs = [], np.empty((steps, streams, HIDDEN), self.u.dtype), np.empty((steps, streams, HIDDEN), self.u.dtype)
         for t in range(steps):
-            h0 = h * goes_on[t]
-            h, z, r, un, n = self.gated(xs[t], h0)
-            kept.append((h0, z, r, un, n))
+            h0 = np.multiply(h, goes_on[t], out=before[t])
+            h, z, r, un, n = self.gated(xs[:, t], h0)
+            kept.append((z, r, un, n))
             hs[t] = h
         flat, y = hs.reshape(-1, HIDDEN), np.ascontiguousarray(classes.T).ravel()
-        p = self.w.T @ flat.T
-        p += self.c[:, None]
-        softmax(p)
-        each = np.arange(len(y))
-        loss = -float(np.log(p[y, each] + 1e-30).sum())
-        p[y, each] -= 1
-        dhs = p.T @ self.w.T
-        grads = {"w": (p @ flat).T, "c": p.sum(1), "w2": np.zeros_like(self.w2), "c2": np.zeros_like(self.c2)}
+        grads = {k: np.zeros_like(getattr(self, k)) for k in ("w", "c", "w2", "c2")}
+        dhs, loss, wt = np.empty_like(flat), 0.0, np.ascontiguousarray(self.w.T)
+        for lo in range(0, len(y), GRADIENT_ROWS):
+            some, own = flat[lo : lo + GRADIENT_ROWS], y[lo : lo + GRADIENT_ROWS]
+            each = np.arange(len(own))
+            p, total = exponentials(wt, self.c, some, most)
+            p *= 1 / total
+            loss -= float(np.log(p[own, each] + 1e-30).sum())
+            p[own, each] -= 1
+            dhs[lo : lo + GRADIENT_ROWS] = p.T @ wt
+            grads["w"] += (p @ some).T
+            grads["c"] += p.sum(1)
         if units is not None:
-            for at, lo, own, q in self.within(flat, np.ascontiguousarray(units.T).ravel()):
-                mine = np.arange(len(own))
-                loss -= float(np.log(q[own, mine] + 1e-30).sum())
-                q[own, mine] -= 1
-                grads["w2"][lo : lo + len(q)] = q @ flat[at]
-                grads["c2"][lo : lo + len(q)] = q.sum(1)
-                dhs[at] += q.T @ self.w2[lo : lo + len(q)]
+            unit = np.ascontiguousarray(units.T).ravel()
+            order, groups = self.by_class(unit)
+            states, unit, back, hit = flat.take(order, 0), unit.take(order), np.zeros_like(flat), np.ones(len(order), flat.dtype)
+            for a, e, lo, hi in groups:
+                own, each = unit[a:e] - lo, np.arange(e - a)
+                q, total = exponentials(self.w2[lo:hi], self.c2[lo:hi], states[a:e], most_units)
+                q *= 1 / total
+                hit[a:e] = q[own, each]
+                q[own, each] -= 1
+                np.matmul(q, states[a:e], out=grads["w2"][lo:hi])
+                q.sum(1, out=grads["c2"][lo:hi])
+                np.matmul(q.T, self.w2[lo:hi], out=back[a:e])
+            loss -= float(np.log(hit + 1e-30).sum())
+            dhs[order] += back
         dhs = dhs.reshape(steps, streams, HIDDEN)
-        dx, du = (np.empty((steps, streams, 3 * HIDDEN), self.u.dtype) for _ in range(2))
-        dh = np.zeros((streams, HIDDEN), self.u.dtype)
+        dx, du = (np.empty((3, steps, streams, HIDDEN), self.u.dtype) for _ in range(2))
+        dh, ut = np.zeros((streams, HIDDEN), self.u.dtype), np.ascontiguousarray(self.u.transpose(0, 2, 1))
         for t in range(steps - 1, -1, -1):
-            h0, z, r, un, n = kept[t]
+            z, r, un, n = kept[t]
             dh += dhs[t]
-            dn = dh * (1 - z)
-            dn *= 1 - n * n
-            g = dx[t]
-            g[:, :HIDDEN] = dh * (h0 - n) * z * (1 - z)
-            g[:, HIDDEN : 2 * HIDDEN] = dn * un * r * (1 - r)
-            g[:, 2 * HIDDEN :] = dn
-            du[t] = g
-            du[t, :, 2 * HIDDEN :] *= r
+            rest = 1 - z
+            dn, dz, dr, dun = dx[2, t], dx[0, t], dx[1, t], du[2, t]
+            np.multiply(n, n, out=dn)
+            np.subtract(1, dn, out=dn)
+            dn *= rest
+            dn *= dh
+            np.subtract(before[t], n, out=dz)
+            dz *= dh
+            dz *= z
+            dz *= rest
+            np.multiply(dn, r, out=dun)
+            np.subtract(1, r, out=dr)
+            dr *= dun
+            dr *= un
             dh *= z
-            dh += du[t] @ self.u.T
+            dh += dz @ ut[0]
+            dh += dr @ ut[1]
+            dh += dun @ ut[2]
             dh *= goes_on[t]
-        flat_in, dx, du = used.ravel(), dx.reshape(-1, 3 * HIDDEN), du.reshape(-1, 3 * HIDDEN)
+        du[:2] = dx[:2]
+        flat_in, dx, du = used.ravel(), dx.reshape(3, -1, HIDDEN), du.reshape(3, -1, HIDDEN)
         order = np.argsort(flat_in.astype(np.uint16), kind="stable")
         by = flat_in[order]
         first = np.flatnonzero(np.r_[True, by[1:] != by[:-1]])
         grads["x"] = np.zeros_like(self.x)
-        grads["x"][by[first]] = np.add.reduceat(dx[order], first, 0)
-        grads["u"] = np.concatenate([k[0] for k in kept]).T @ du
-        grads["b"] = du.sum(0)
+        side = np.empty((len(order), 3, HIDDEN), dx.dtype)
+        for k in range(3):
+            side[:, k] = dx[k].take(order, 0)
+        sums = np.add.reduceat(side.reshape(-1, 3 * HIDDEN), first, 0)
+        grads["x"][:, by[first]] = sums.reshape(-1, 3, HIDDEN).transpose(1, 0, 2)
+        grads["u"] = np.matmul(before.reshape(-1, HIDDEN).T, du)
+        grads["b"] = np.matmul(np.ones((1, len(order)), du.dtype), du)
         for g in grads.values():
             g /= streams
         return loss, grads, h
@@ -348,7 +384,8 @@ class Model:
             h, total, held = np.zeros((streams, HIDDEN), np.float32), 0.0, None
             for lo in range(0, length, STEPS):
                 at = slice(lo, min(length, lo + STEPS))
-                loss, grads, h = self.gradients(inputs[:, at], classes[:, at], None if units is None else units[:, at], h)
+                with np.errstate(over="ignore"):
+                    loss, grads, h = self.gradients(inputs[:, at], classes[:, at], None if units is None else units[:, at], h)
                 total += loss
                 if held:
                     for k in names:
@@ -407,7 +444,9 @@ class Model:
         out: list = [None] * len(inputs)
         for lo in range(0, len(order), SCORE_DOCS):
             some = order[lo : lo + SCORE_DOCS]
-            for i, got in zip(some, self._in_step(some, inputs, classes, units), strict=True):
+            with np.errstate(over="ignore"):
+                parts = self._in_step(some, inputs, classes, units)
+            for i, got in zip(some, parts, strict=True):
                 out[i] = got
         return out
 
@@ -420,6 +459,7 @@ class Model:
         got = np.empty(len(flat_in), np.float32)
         h = np.zeros((len(order), HIDDEN), np.float32)
         active, t = len(order), 0
+        (most, most_units), wt = self.most(), np.ascontiguousarray(self.w.T)
         while active:
             hs, places = [], []
             for _ in range(WINDOW):
@@ -436,15 +476,17 @@ class Model:
                 states = np.concatenate(hs)
                 for lo in range(0, len(at), SCORE_ROWS):
                     here, some = at[lo : lo + SCORE_ROWS], states[lo : lo + SCORE_ROWS]
-                    s = self.w.T @ some.T
-                    s += self.c[:, None]
+                    s, total = exponentials(wt, self.c, some, most)
                     y = flat_out[here]
-                    p = softmax(s)[y, np.arange(len(y))]
-                    got[here] = np.log10((1 - FLOOR) * p + FLOOR * self.prior[y])
+                    got[here] = np.log10((1 - FLOOR) * s[y, np.arange(len(y))] / total + FLOOR * self.prior[y])
                     if flat_unit is not None:
-                        for mine, first, own, q in self.within(some, flat_unit[here]):
-                            best = (1 - FLOOR) * q[own, np.arange(len(own))] + FLOOR * self.unit_prior[first + own]
-                            got[here[mine]] += np.log10(best) - self.unit_share[first + own]
+                        unit = flat_unit[here]
+                        order, groups = self.by_class(unit)
+                        some, unit, hit = some.take(order, 0), unit.take(order), np.ones(len(order), np.float32)
+                        for a, e, first, last in groups:
+                            q, total = exponentials(self.w2[first:last], self.c2[first:last], some[a:e], most_units)
+                            hit[a:e] = q[unit[a:e] - first, np.arange(e - a)] / total
+                        got[here[order]] += np.log10((1 - FLOOR) * hit + FLOOR * self.unit_prior[unit]) - self.unit_share[unit]
         return [got[a : a + n] for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
 
 
