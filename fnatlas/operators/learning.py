@@ -27,6 +27,8 @@ def seeded_digest(key: Column, seed: int = 42) -> Column:
 
 #: Cosines of the radial kernel.
 COSINES = 256
+#: Bytes of vectors that are worth a task: each step of a fit is a job, so small tables go in few partitions.
+PART_BYTES = 4 << 20
 
 
 def hash_split(key: Column, test_percent: int = 30, seed: int = 42) -> Column:
@@ -163,8 +165,12 @@ def train_single(df: DataFrame, vec: str, label: str, kind: str = "lr", balanced
         gamma = options.get("gamma", "scale")
         first, size = [RandomFourier.of(scale_gamma(df, vec) if gamma == "scale" else float(gamma), size, options.get("cosines", COSINES))], options.get("cosines", COSINES)
     d = indexer.transform(d)
+    if kind == "svm" and len(names) <= 2:  # without the indexer's place for unknown labels, which would be a third class
+        d = d.filter(F.col("_label") < 2).withColumn("_label", F.col("_label").alias("_label", metadata={}))
     for stage in first:
         d = stage.transform(d)
+    if (parts := -(-df.count() * size * 8 // PART_BYTES)) < df.sparkSession.sparkContext.defaultParallelism:
+        d = d.repartition(max(1, parts))
     model = classifier(kind, size, len(names), **options).fit(d)
     return PipelineModel(stages=[*first, model, IndexToString(inputCol="prediction", outputCol="predicted", labels=[*names, "?"])])
 

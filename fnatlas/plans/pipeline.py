@@ -158,9 +158,11 @@ class Predictor:
 
     def features(self, functions_df: DataFrame) -> DataFrame:
         """functions with the vectors that the models take, assembled as in training; a function's name gives its purpose."""
-        purpose = F.struct(L.purpose(F.col("function_name")).alias("high_level_purpose"))
-        d = featured(functions_df.withColumn("labels", purpose), self.config["hardware"], self.config["ast"], self.config["embedder"])
-        return self.assembly(d).drop("labels", "purpose")
+        purpose = F.struct(L.purpose(F.col("function_name")).alias("high_level_purpose")).alias("labels")
+        keep = [c for c in functions_df.columns if c != "features"]  # labels and vectors that they have stay theirs
+        d = functions_df.select("function_name", "function_code", purpose, F.struct(*keep).alias("_given"))
+        d = self.assembly(featured(d, self.config["hardware"], self.config["ast"], self.config["embedder"]))
+        return d.select(*[F.col(f"_given.`{c}`") for c in keep], "features")
 
     def predicted(self, functions_df: DataFrame) -> DataFrame:
         """functions (function_name, function_code) with predicted_effects, predicted_complexity and predicted_errors."""
