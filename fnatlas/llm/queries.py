@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, hnsw, langid, lexical, lm, minhash, mixing, pii, secret_scan, token_store
+from . import chat, decontam, hnsw, langid, lexical, lm, minhash, mixing, pii, runindex, secret_scan, token_store
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(_read(spark, sf_dir, "documents"))
 
 
+def op11_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runindex.without_repeats(_read(spark, sf_dir, "documents"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -97,7 +101,7 @@ FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_hnsw_neighbours, op3_chat_format, op4_language_id, op5_personal_data, op6_decontamination, op7_token_tables, op8_source_mixing, op9_secret_scan, op10_lm_scores, op12_lexical_search)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_hnsw_neighbours, op3_chat_format, op4_language_id, op5_personal_data, op6_decontamination, op7_token_tables, op8_source_mixing, op9_secret_scan, op10_lm_scores, op11_repeated_passages, op12_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
