@@ -45,9 +45,9 @@ from .spans import batch
 
 WINDOW, ANCHOR = 100, 32
 #: Bytes of text of a segment, of a bucket and of a cell; bytes that are gone through at once.
-SEGMENT_BYTES, BUCKET_BYTES, CELL_BYTES, CHUNK = 16 << 20, 16 << 20, 2 << 20, 1 << 20
+SEGMENT_BYTES, BUCKET_BYTES, CELL_BYTES, CHUNK = 16 << 20, 16 << 20, 7 << 18, 1 << 20
 #: Different pieces of an anchor beyond which its windows are dealt out.
-HOT = 20_000
+HOT = 50_000
 #: Pieces of an anchor in a segment from which they are counted over all segments, and the count from which they skip the buckets.
 LOCAL_HOT, VERY_HOT = 64, 1_000_000
 
@@ -115,8 +115,11 @@ def pairs_by_row(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndar
     return first, binaries(data, at[2 * np.r_[first, len(row)]])
 
 
-def pairs(data: bytes) -> np.ndarray:
-    return read(data).astype(np.int64).reshape(-1, 2)
+def pairs(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of all rows, and how many each row has."""
+    data = b"".join(rows)
+    n = np.cumsum(np.r_[0, np.frombuffer(data, np.uint8) < 128])[np.cumsum([0, *map(len, rows)])]
+    return read(data).astype(np.int64).reshape(-1, 2), np.diff(n) // 2
 
 
 # ---- segments: pieces of texts, collapsed among a task's texts
@@ -306,34 +309,53 @@ class RunIndex:
 
 def _remaining(n: int, ends: np.ndarray) -> np.ndarray:
     """How many bytes of its text stand at and after each place; 0 at the byte that ends a text."""
-    return ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
+    size = np.diff(np.r_[-1, ends])
+    return (np.repeat(ends, size) - np.arange(n)).astype(np.int32)
 
 
-def sorted_suffixes(word: np.ndarray, rem: np.ndarray, nul: bool) -> np.ndarray:
-    """The places of all suffixes of texts, sorted; equal ones in the order of the text. word: eight bytes, none beyond a text's end."""
+def sorted_suffixes(word: np.ndarray, rem: np.ndarray) -> np.ndarray:
+    """The places of all suffixes of texts, sorted; equal ones in the order of the text. word: eight bytes, none beyond a text's end.
+
+    Ranks by 5, 10, 20 bytes and so on; only places whose rank others share are sorted again. Numbers that hold a key and a place
+    sort several times faster than keys alone whose order is asked for.
+    """
     n = len(rem)
-    live = np.flatnonzero(rem > 0)
-    w = word[live]
-    order = np.lexsort((np.minimum(rem[live], 8), w)) if nul else np.argsort(w, kind="stable")
-    sa = live[order]
-    new = w[order][1:] != w[order][:-1]
-    if nul:  # a byte 0 isn't the end
-        short = np.minimum(rem[sa], 8)
-        new |= short[1:] != short[:-1]
-    rank = np.zeros(n, np.int64)
-    h, longest = 8, int(rem.max())
-    while True:
-        rank[sa] = np.cumsum(np.r_[1, new])
-        if new.all() or h >= longest:
-            return sa
-        after = np.zeros(len(live), np.int64)
-        far = rem[live] > h
-        after[far] = rank[live[far] + h]
-        key = rank[live] * np.int64(n + 1) + after
-        order = np.argsort(key, kind="stable")
-        sa, key = live[order], key[order]
-        new = key[1:] != key[:-1]
+    bits = n.bit_length()
+    sa = np.flatnonzero(rem > 0).astype(np.int32)
+    h, low = 5, _U((1 << 24) - 1)
+    w = (word[sa] & ~low) | (np.minimum(rem[sa], h).astype(np.uint64) << _U(21))  # a byte 0 isn't the end
+    if bits <= 21:
+        w = np.sort(w | np.arange(len(sa), dtype=np.uint64))
+        sa = sa[(w & _U((1 << 21) - 1)).astype(np.int64)]
+        w >>= _U(21)
+    else:
+        order = np.argsort(w)
+        sa, w = sa[order], w[order]
+    head = np.r_[True, w[1:] != w[:-1]]
+    # a rank is the first row of those that share it, from 1
+    rank = np.zeros(n, np.int32)
+    rank[sa] = np.maximum.accumulate(np.where(head, np.arange(1, len(sa) + 1), 0))
+    rows = np.flatnonzero(~(head & np.r_[head[1:], True]))
+    longest = int(rem.max(initial=0))
+    while len(rows) and h < longest:
+        m = sa[rows]
+        after = np.where(rem[m] > h, rank[np.minimum(m + h, n - 1)], 0)
+        key = (rank[m].astype(np.int64) << bits) | after
+        if 3 * bits <= 63:
+            key = np.sort((key << bits) | np.arange(len(m)))
+            m = m[key & ((1 << bits) - 1)]
+            key >>= bits
+        else:
+            order = np.argsort(key)
+            m, key = m[order], key[order]
+        head = np.r_[True, key[1:] != key[:-1]]
+        sa[rows] = m
+        rank[m] = np.maximum.accumulate(np.where(head, rows + 1, 0))
+        rows = rows[~(head & np.r_[head[1:], True])]
         h *= 2
+    m = sa[rows]
+    sa[rows] = (np.sort((rank[m].astype(np.int64) << bits) | m) & ((1 << bits) - 1)).astype(np.int32)
+    return sa
 
 
 def common_bytes(p: np.ndarray, q: np.ndarray, word: np.ndarray, rem: np.ndarray) -> np.ndarray:
@@ -362,10 +384,11 @@ def run_index(text: bytes, ends: np.ndarray) -> tuple[RunIndex, np.ndarray]:
     word = words8(text + bytes(7), ">")
     short = rem < 8
     word[short] &= ~((~_U(0)) >> (_U(8) * rem[short].astype(np.uint64)))
-    sa = sorted_suffixes(word, rem, b"\0" in text)
+    sa = sorted_suffixes(word, rem)
     t = np.frombuffer(text, np.uint8)
-    begins = np.r_[0, ends[:-1] + 1]
-    char = np.where(np.isin(sa, begins), 256, t[sa - 1].astype(np.int64))
+    begin = np.zeros(len(text), bool)
+    begin[np.r_[0, ends[:-1] + 1]] = True
+    char = np.where(begin[sa], np.int16(256), t[sa - 1])
     head = np.r_[True, (char[1:] != char[:-1]) | (char[1:] == 256)]
     at = np.flatnonzero(head)
     stop = np.r_[at[1:], len(sa)]
@@ -377,12 +400,12 @@ def run_index(text: bytes, ends: np.ndarray) -> tuple[RunIndex, np.ndarray]:
 
 def matching_statistics(index: RunIndex, n: int) -> tuple[np.ndarray, np.ndarray]:
     """For each place of the text, the place that is before it in sorted order and how many bytes they have in common."""
-    order = np.argsort(index.first)
-    at, common = index.first[order], index.common[order]
-    before = np.r_[index.first[:1], index.last[:-1]][order]
-    k = np.searchsorted(at, np.arange(n), "right") - 1
-    step = np.arange(n) - at[k]
-    return before[k] + step, common[k] - step
+    run = np.full(n, -1, np.int64)
+    run[index.first] = np.arange(len(index.first))
+    begins = np.maximum.accumulate(np.where(run >= 0, np.arange(n), 0))
+    run, step = run[begins], np.arange(n) - begins
+    before = np.r_[index.first[:1], index.last[:-1]]
+    return before[run] + step, index.common[run] - step
 
 
 def repeated_windows(text: bytes, ends: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -414,10 +437,14 @@ def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of a document's pieces, by cell; of hot pieces a digest of each window."""
     for b in batches:
         rows = []
-        for is_null, doc_id, version, text, cells in zip(*(b.column(c).to_pylist() for c in ("is_null", "doc_id", "version", "text", "cells")), strict=True):
+        given = b.column("cells").to_pylist()
+        found, n = pairs([c["spans"] for cells in given for c in cells])
+        found, stop, k = found.tolist(), np.cumsum(n).tolist(), 0
+        for is_null, doc_id, version, text, cells in zip(*(b.column(c).to_pylist() for c in ("is_null", "doc_id", "version", "text")), given, strict=True):
             raw = text.encode("utf-8", "surrogatepass")
             for c in cells:
-                at = pairs(c["spans"]).tolist()
+                at = found[stop[k - 1] if k else 0 : stop[k]]
+                k += 1
                 if c["cell"] >= 0:
                     rows.append((c["cell"], is_null, doc_id, version, c["spans"], b"".join(raw[p : p + n + WINDOW - 1] for p, n in at), None, None))
                 else:
@@ -431,18 +458,19 @@ def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def indexed(cell: pa.Table) -> pa.Table:
     """The spans of a cell's pieces that are removed."""
     nul, doc, ver = (cell.column(c).to_numpy() for c in ("is_null", "doc_id", "version"))
-    of = [pairs(s) for s in cell.column("spans").to_pylist()]
-    row = np.repeat(np.arange(len(of)), [len(x) for x in of])
-    pos, win = np.concatenate(of).T
+    both, n = pairs(cell.column("spans").to_pylist())
+    row = np.repeat(np.arange(len(n)), n)
+    pos, win = both.T
     size = win + WINDOW - 1
     data = cell.column("data").to_pylist()
     parts, k = [], 0
-    for raw, x in zip(data, of, strict=True):
+    sizes = size.tolist()
+    for raw, x in zip(data, n.tolist(), strict=True):
         a = 0
-        for n in size[k : k + len(x)].tolist():
-            parts.append(raw[a : a + n])
-            a += n
-        k += len(x)
+        for z in sizes[k : k + x]:
+            parts.append(raw[a : a + z])
+            a += z
+        k += x
     text = b"\xff".join(parts) + b"\xff"
     ends = np.cumsum(size + 1) - 1
     order = np.lexsort((doc, nul))
@@ -478,20 +506,19 @@ KEY = ["is_null", "doc_id", "version"]
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def removed(raw: bytes, spans: list[bytes]) -> tuple[list[tuple[int, int]], bytes]:
-    """The maximal removed runs of a text, and the remaining bytes."""
-    if not spans:
-        return [], raw
-    x = np.concatenate([pairs(s) for s in spans])
-    x = x[np.argsort(x[:, 0], kind="stable")]
-    top = np.maximum.accumulate(x[:, 1])
-    new = np.r_[True, x[1:, 0] > top[:-1]]
-    runs = list(zip(x[new, 0].tolist(), top[np.r_[np.flatnonzero(new)[1:], len(x)] - 1].tolist(), strict=True))
-    kept, a = [], 0
-    for b, e in runs:
-        kept.append(raw[a:b])
-        a = e
-    return runs, b"".join([*kept, raw[a:]])
+def removed(raw: bytes, spans: list[list[int]]) -> tuple[list[list[int]], bytes]:
+    """The maximal removed runs of a text, of any spans, and the remaining bytes."""
+    runs: list[list[int]] = []
+    for a, b in sorted(spans):
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(b, runs[-1][1])
+        else:
+            runs.append([a, b])
+    kept, at = [], 0
+    for a, b in runs:
+        kept.append(raw[at:a])
+        at = b
+    return runs, b"".join([*kept, raw[at:]])
 
 
 def _keyed(documents: DataFrame) -> tuple[DataFrame, bool]:
@@ -566,10 +593,13 @@ def without_repeats(documents: DataFrame, texts: bool = False) -> DataFrame:
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), *([("kept", _BYTES)] if texts else [])])
         for b in batches:
-            rows = []
-            for is_null, doc_id, text, found in zip(*(b.column(c).to_pylist() for c in ("is_null", "doc_id", "text", "spans")), strict=True):
+            rows, lists = [], [x or [] for x in b.column("spans").to_pylist()]
+            both, n = pairs([s for x in lists for s in x])
+            both, stop, k = both.tolist(), np.cumsum(np.r_[0, n]).tolist(), 0
+            for is_null, doc_id, text, x in zip(*(b.column(c).to_pylist() for c in ("is_null", "doc_id", "text")), lists, strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                runs, kept = removed(raw, found or [])
+                runs, kept = removed(raw, both[stop[k] : stop[k + len(x)]])
+                k += len(x)
                 rows.append((None if is_null else doc_id, len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), *([kept] if texts else [])))
             yield batch(out, rows)
 
