@@ -15,6 +15,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+_OWN: dict[str, str] = {}
 
 
 def session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -31,6 +32,20 @@ def session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) ->
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a folder of our own, in local mode only."""
+    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if set_dir:
+        return set_dir.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        _OWN[app] = tempfile.mkdtemp(prefix="fnatlas-")
+        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
+    return f"file://{_OWN[app]}"
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors' Python workers, once for each application."""
     app = spark.sparkContext.applicationId
