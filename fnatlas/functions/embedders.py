@@ -7,14 +7,17 @@ An embedder is any object with `name`, `dim`, `max_length` (its limit of context
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: One text for a purpose that is missing, in training and afterwards.
 NO_PURPOSE = "unknown purpose"
 
@@ -30,13 +33,14 @@ class HashedEmbedder:
     name: str = "hashed"
 
     def embed_batch(self, codes: list[str | None]) -> np.ndarray:
-        import zlib
-
-        out = np.zeros((len(codes), self.dim))
-        for i, code in enumerate(codes):
-            for m in _TOKEN.finditer(code or ""):
-                h = zlib.crc32(m[0].encode())
-                out[i, h % self.dim] += 1 if h >> 31 else -1
+        known: dict[str, int] = {}
+        tokens = [[known.setdefault(t, len(known)) for t in _TOKEN.findall(code or "")] for code in codes]
+        h = np.array([zlib.crc32(t.encode()) for t in known], np.int64)  # each distinct token once
+        at = np.array([t for x in tokens for t in x], np.int64)
+        row = np.repeat(np.arange(len(codes)), [len(x) for x in tokens])
+        sign = np.where(h[at] >> 31, 1.0, -1.0) if len(at) else np.zeros(0)
+        place = row * self.dim + (h[at] % self.dim if len(at) else at)
+        out = np.bincount(place, sign, len(codes) * self.dim).reshape(len(codes), self.dim)
         n = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(n > 0, n, 1)
 
@@ -89,6 +93,7 @@ def factory(name: str) -> Callable[[], object]:
 
 
 def embedding(text: Column, name: str = "hashed") -> Column:
+    ship(SparkSession.active())  # before the function is made: it takes the files that are known then
     make = factory(name)
 
     @F.pandas_udf("array<double>")

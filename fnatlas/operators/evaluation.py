@@ -106,44 +106,68 @@ def cluster_profile(df: DataFrame, cluster: str, values: str) -> DataFrame:
     return df.select(cluster, F.explode(values).alias("value")).groupBy(cluster, "value").agg(F.count("*").alias("n"))
 
 
-def silhouette_rows(df: DataFrame, key: str, vec: str, cluster: str) -> DataFrame:
-    """id, cluster, silhouette of each row, by Euclidean distance, exactly.
+def _distance_sums(df: DataFrame, key: str, vec: str, clusters: Column) -> DataFrame:
+    """id, which, cluster, other, total, n: how far each row is from each cluster's other rows, in sum, for each of its clusterings.
 
-    Blocks of rows meet in bounded cells that return a sum of distances for each row and cluster, never pairs.
+    Blocks of rows meet in bounded cells that return sums, never pairs. A cell is two blocks and is gone through once for both.
     """
     ship(df.sparkSession)
-    rows = df.select(F.col(key).cast("long").alias("id"), doubles(F.col(vec)).alias("v"), F.col(cluster).cast("int").alias("cluster"))
+    rows = df.select(F.col(key).cast("long").alias("id"), doubles(F.col(vec)).alias("v"), clusters.cast("array<int>").alias("clusters")).filter("v is not null")
     n = max(1, -(-rows.count() // BLOCK))
-    left = _blocks(rows.select("id", "v"), n, "qb")
-    right = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).groupBy(F.col("b").alias("rb")).agg(F.collect_list(F.struct("id", "v", "cluster")).alias("rows_rb"))
-    cells = left.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(right, "rb").repartition(max(1, min(n * n, 4096)), "qb", "rb")
-    schema = pa.schema([("id", pa.int64()), ("other", pa.int32()), ("total", pa.float64()), ("n", pa.int64())])
+    b = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    # a block goes to the cells (smaller number, larger number) that it is in
+    cell = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda x: F.struct(F.least(x, "b").alias("i"), F.greatest(x, "b").alias("j")))
+    packed = b.groupBy("b").agg(F.collect_list(F.struct("id", "v", "clusters")).alias("rows")).withColumn("cell", F.explode(cell)).select("cell.i", "cell.j", "b", "rows")
+    schema = pa.schema([("id", pa.int64()), ("which", pa.int32()), ("cluster", pa.int32()), ("other", pa.int32()), ("total", pa.float64()), ("n", pa.int64())])
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sums(cell: pa.Table) -> pa.Table:
         blas_threads(1)  # a task has one core
-        for b in batches:
-            for i in range(b.num_rows):
-                qi, qm = _matrix(b.column("rows_qb")[i].values)
-                ri, rm = _matrix(b.column("rows_rb")[i].values)
-                cl = b.column("rows_rb")[i].values.field("cluster").to_numpy(zero_copy_only=False)
-                d = np.sqrt(np.maximum((qm**2).sum(1)[:, None] + (rm**2).sum(1)[None] - 2 * qm @ rm.T, 0))
-                d[qi[:, None] == ri[None]] = 0
-                for c in np.unique(cl):
-                    at = cl == c
-                    yield pa.RecordBatch.from_arrays([pa.array(qi), pa.array(np.full(len(qi), c, np.int32)), pa.array(d[:, at].sum(1)), pa.array(np.full(len(qi), at.sum()))], schema=schema)
-
-    total = cells.mapInArrow(sums, "id long, other int, total double, n long").groupBy("id", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-    j = total.join(rows.select("id", "cluster"), "id")
+        blocks = []
+        for r in cell.sort_by("b").column("rows"):
+            ids, v = _matrix(r.values)
+            blocks.append((ids, v, r.values.field("clusters").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)))
+        out = []
+        (qi, qm, qc), (ri, rm, rc) = blocks[0], blocks[-1]
+        d = np.sqrt(np.maximum((qm**2).sum(1)[:, None] + (rm**2).sum(1)[None] - 2 * qm @ rm.T, 0))
+        d[qi[:, None] == ri[None]] = 0
+        for ids, own, other, dist in ((qi, qc, rc, d), (ri, rc, qc, d.T))[: len(blocks)]:
+            for w in range(own.shape[1]):
+                names, at = np.unique(other[:, w], return_inverse=True)
+                member = np.zeros((len(other), len(names)))
+                member[np.arange(len(other)), at] = 1
+                total, size = dist @ member, member.sum(0).astype(np.int64)
+                k = len(names)
+                cols = np.repeat(ids, k), np.full(len(ids) * k, w), np.repeat(own[:, w], k), np.tile(names, len(ids)), total.ravel(), np.tile(size, len(ids))
+                out.append(pa.table([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema))
+        return pa.concat_tables(out)
+
+    found = packed.groupBy("i", "j").applyInArrow(sums, "id long, which int, cluster int, other int, total double, n long")
+    return found.groupBy("id", "which", "cluster", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
+
+def _silhouette_rows(df: DataFrame, key: str, vec: str, clusters: Column) -> DataFrame:
+    """id, which, cluster, silhouette, by Euclidean distance, exactly."""
+    j = _distance_sums(df, key, vec, clusters)
     own = F.col("other") == F.col("cluster")
-    s = j.groupBy("id", "cluster").agg(F.max(F.when(own, F.col("n"))).alias("size"), F.max(F.when(own, _ratio(F.col("total"), F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"))
+    s = j.groupBy("id", "which", "cluster").agg(F.max(F.when(own, F.col("n"))).alias("size"), F.max(F.when(own, _ratio(F.col("total"), F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"))
     value = F.when((F.col("size") <= 1) | F.col("b").isNull(), 0.0).otherwise(_ratio(F.col("b") - F.col("a"), F.greatest("a", "b")))
-    return s.select("id", "cluster", value.alias("silhouette"))
+    return s.select("id", "which", "cluster", value.alias("silhouette"))
+
+
+def silhouette_rows(df: DataFrame, key: str, vec: str, cluster: str) -> DataFrame:
+    """id, cluster, silhouette of each row."""
+    return _silhouette_rows(df, key, vec, F.array(cluster)).select("id", "cluster", "silhouette")
 
 
 def silhouette(df: DataFrame, key: str, vec: str, cluster: str) -> DataFrame:
     return silhouette_rows(df, key, vec, cluster).agg(F.avg("silhouette").alias("silhouette"), F.count("*").alias("n"))
 
 
+def silhouettes(df: DataFrame, key: str, vec: str, clusters: str) -> DataFrame:
+    """which, silhouette, n: of several clusterings, an array column, from the same distances."""
+    return _silhouette_rows(df, key, vec, F.col(clusters)).groupBy("which").agg(F.avg("silhouette").alias("silhouette"), F.count("*").alias("n"))
+
+
 def threshold_search(scores: DataFrame, grid: tuple[float, ...] = tuple(i / 10 for i in range(1, 10)), default: float = 0.5) -> DataFrame:
     """class, threshold, f1: for each class the first threshold with the best F1. Of (class, score, truth boolean)."""
     s = scores.withColumn("threshold", F.explode(F.array(*map(F.lit, grid))))

@@ -8,7 +8,6 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, IndexToString, StandardScaler, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -183,16 +182,21 @@ def predict_single(model: PipelineModel, df: DataFrame, vec: str, out: str = "pr
 def train_multilabel(df: DataFrame, vec: str, values: str, kind: str = "lr", least: int = 2, balanced: bool = True, strategy: str = "binary", **options) -> dict[str, PipelineModel]:
     """A binary model for each class, a closed domain. By strategy "binary", of classes with at least `least` positives; by
     "columns", of every class that some rows have and some don't. Other classes are always predicted as no."""
-    least = least if strategy == "binary" else 1
     out = {}
-    for c in classes_of(df, values):
+    for c in trainable(df, values, strategy, least):
         d = df.withColumn("_y", F.array_contains(values, c).cast("int").cast("string"))
-        n = d.agg(F.count_if(F.col("_y") == "1").alias("n"), F.count("*").alias("all")).first()
-        if least <= n["n"] < n["all"]:
-            out[c] = train_single(d, vec, "_y", kind, balanced, **options)
+        out[c] = train_single(d, vec, "_y", kind, balanced, **options)
     return out
 
 
+def trainable(df: DataFrame, values: str, strategy: str = "binary", least: int = 2) -> list[str]:
+    """The classes that a model can be fitted for, sorted: see train_multilabel(). Counted in one pass."""
+    n = df.count()
+    c = df.select(F.explode(F.array_distinct(values)).alias("c")).groupBy("c").count().filter("c is not null")
+    least = least if strategy == "binary" else 1
+    return sorted(r["c"] for r in c.collect() if least <= r["count"] < n)
+
+
 def _with_scores(model: PipelineModel, df: DataFrame, vec: str, out: str) -> DataFrame:
     """df with the probability of yes, or 1 and 0 by the prediction where a model has none."""
     d = model.transform(df.withColumn("_features", array_to_vector(doubles(F.col(vec)))))
@@ -228,13 +232,14 @@ def predict_multilabel(models: dict[str, PipelineModel], df: DataFrame, vec: str
     return d.select(*keep, F.when(F.size(got) > 0, got).otherwise(F.array(F.lit(none))).alias(out))
 
 
-def kmeans(df: DataFrame, vec: str, k: int, seed: int = 42, n_init: int = 10, out: str = "cluster") -> DataFrame:
-    """df with clusters of the best of n_init starts."""
-    d = df.withColumn("_features", array_to_vector(doubles(F.col(vec)))).cache()
-    best = min((KMeans(k=k, seed=seed + i, maxIter=50, featuresCol="_features").fit(d) for i in range(n_init)), key=lambda m: m.summary.trainingCost)
-    result = best.transform(d).select(*[c for c in df.columns if c != out], F.col("prediction").alias(out))
-    d.unpersist()
-    return result
+def kmeans(df: DataFrame, vec: str, k: int, seed: int = 42, n_init: int = 10, out: str = "cluster", key: str | None = None) -> DataFrame:
+    """df with clusters of the best of n_init starts, which are gone through together; starts come from a pool of rows by digests of key."""
+    from .clustering import Clusterings
+
+    keyed = df.select(F.xxhash64(vec).alias("_fn_key") if key is None else F.col(key).alias("_fn_key"), vec)
+    found = Clusterings.fitted(keyed, "_fn_key", vec, [k], n_init, seed)
+    keep = [c for c in df.columns if c != out]
+    return found.assigned(df.select(*keep), vec, "_fn_clusters").select(*keep, F.get("_fn_clusters", F.lit(0)).alias(out))
 
 
 def adaptive_k(n: int, most: int = 4) -> int | None:
@@ -243,15 +248,11 @@ def adaptive_k(n: int, most: int = 4) -> int | None:
     return k if k >= 2 else None
 
 
-def silhouette_sweep(df: DataFrame, key: str, vec: str, most: int = 8, n_init: int = 3) -> list[tuple[int, float]]:
+def silhouette_sweep(df: DataFrame, key: str, vec: str, most: int = 8, n_init: int = 10) -> list[tuple[int, float]]:
     """The silhouette of each k from 2; best_k() chooses."""
-    from .evaluation import silhouette
+    from .clustering import sweep
 
-    d = df.select(key, vec).cache()  # read once for all k and starts
-    n = d.count()
-    out = [(k, silhouette(kmeans(d, vec, k, n_init=n_init), key, vec, "cluster").first()["silhouette"]) for k in range(2, min(most, n // 3) + 1)]
-    d.unpersist()
-    return out
+    return sweep(df, key, vec, most, n_init)
 
 
 def best_k(sweep: list[tuple[int, float]]) -> int | None:

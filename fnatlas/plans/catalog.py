@@ -17,6 +17,7 @@ from ..operators import evaluation as E
 from ..operators import learning as M
 from ..operators import similarity as S
 from ..operators.extract import extract_functions, function_totals, functions_per_file, with_ast_features
+from ..operators.joint import JointLogistic
 from . import derived as D
 from . import pipeline
 
@@ -572,7 +573,7 @@ def sampled_overlap(spark, sf):
 @query()
 def kmeans_clusters(spark, sf):
     v = vectors(spark, sf)
-    return M.kmeans(v, "embedding", 4).select("vec_id", "cluster")
+    return M.kmeans(v, "embedding", 4, key="vec_id").select("vec_id", "cluster")
 
 
 @query()
@@ -597,8 +598,8 @@ for _kind, _options in (("lr", {}), ("svm", {}), ("rf", {}), ("mlp", {"max_iter"
 @query()
 def multilabel_binary(spark, sf):
     t = doc_tags(spark, sf).join(vectors(spark, sf).select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
-    models = M.train_multilabel(t, "embedding", "tags", "lr")
-    return M.predict_multilabel(models, t, "embedding").select("doc_id", F.array_join("tags", ",").alias("tags"), F.array_join("predicted", ",").alias("predicted"))
+    model = JointLogistic.fitted(t, "embedding", "tags", M.trainable(t, "tags"))
+    return model.predicted(t, "embedding").select("doc_id", F.array_join("tags", ",").alias("tags"), F.array_join("predicted", ",").alias("predicted"))
 
 
 @query()
@@ -618,19 +619,16 @@ def stored_pipeline(spark, sf):
     """Trains on the derived functions of nine files in ten, stores the pipeline, loads it and labels those of the others."""
     import atexit
     import contextlib
-    import tempfile
     import uuid
 
+    from ..session import shared_dir
     from ..sources import trees
 
     def swept() -> None:
         with contextlib.suppress(Exception):  # the session may have ended before
             trees.delete(spark, folder)
 
-    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not set_dir and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = f"{set_dir or 'file://' + tempfile.mkdtemp(prefix='fnatlas-')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     atexit.register(swept)
     fns = c_functions(spark, sf)
     other = F.crc32(F.col("file_path").cast("binary")) % 10 == 0

@@ -12,8 +12,10 @@ from ..functions import labels as L
 from ..functions.embedders import NO_PURPOSE, with_embeddings
 from ..functions.features import feature_vector
 from ..operators import evaluation as E
+from ..operators import joint
 from ..operators import learning as M
 from ..operators import similarity as S
+from ..operators.clustering import Clusterings
 from ..operators.extract import extract_functions, with_ast_features
 from ..sources import trees
 
@@ -94,17 +96,20 @@ def assembled(df: DataFrame, train: DataFrame, pca_dims: int | None = None) -> D
 
 
 LABELS = ("effects", "complexity", "errors")
+#: Percent of the training rows that thresholds are tuned on.
+VALIDATION = 20
 
 
 def run(
     spark: SparkSession, source: str, out: str, hardware: bool = False, kind: str | dict[str, str] = "lr", pca_dims: int | None = None, embedder: str = "hashed", skip_labeling: bool = False,
-    skip_embedding: bool = False, ast: bool = True, tune: bool = True, strategy: str = "binary", balanced: bool = True, clusters: int = 4, threshold: float = 0.8, connect=None, glob: str = "*.c", clean: bool = False,
+    skip_embedding: bool = False, ast: bool = True, tune: bool = True, strategy: str = "binary", balanced: bool = True, clusters: int = 4, threshold: float = 0.8, connect=None, glob: str = "*.c", clean: bool = False, c: float = 1.0,
 ) -> DataFrame:
     """Extracts, labels, embeds, trains, clusters, stores and evaluates; stage tables in `out` can be entered again. The report row.
 
     kind: of the classifiers, or one for each of effects, complexity and errors; tune: thresholds of the effects'
     probabilities; strategy: of effects, see train_multilabel(); clusters: at most; threshold: from which similar functions
-    with other effects are conflicts; connect: see labeled_by(); clean: rare effects go, high complexity is merged.
+    with other effects are conflicts; connect: see labeled_by(); clean: rare effects go, high complexity is merged; c: the inverse
+    of the penalty of the effects' logistic regressions, which are fitted together.
     """
     kinds = {label: kind if isinstance(kind, str) else kind.get(label, "lr") for label in LABELS}
     if not (skip_labeling or skip_embedding):
@@ -120,16 +125,32 @@ def run(
     df = spark.read.parquet(f"{out}/featured")
     assembly = Assembly.fitted(df.filter("split = 'train'"), pca_dims)
     df = assembly(df).withColumn("effects", F.col("labels.side_effects")).withColumn("complexity", F.col("labels.complexity")).withColumn("errors", F.col("labels.error_handling"))
+    df.write.mode("overwrite").parquet(f"{out}/assembled")  # every fit reads vectors, and none computes them again
+    df = spark.read.parquet(f"{out}/assembled")
     train = df.filter("split = 'train'")
-    models = M.train_multilabel(train, "features", "effects", kinds["effects"], balanced=balanced, strategy=strategy)
-    thresholds = M.tuned_thresholds(models, train, "features", "effects") if tune and kinds["effects"] != "svm" else {}
-    singles = {c: M.train_single(train, "features", c, kinds[c], balanced) for c in ("complexity", "errors") if train.select(c).distinct().count() > 1}
-    constant = {c: train.groupBy(c).count().orderBy(F.desc("count"), c).first()[c] for c in ("complexity", "errors") if c not in singles}
-    predicted = M.predict_multilabel(models, df, "features", "none", "predicted_effects", thresholds)
+    # thresholds are tuned on rows that the effects' models aren't fitted to
+    held = F.pmod(F.xxhash64("fn_id", F.lit("validation")), F.lit(100)) < VALIDATION if tune and kinds["effects"] != "svm" else F.lit(False)
+    singles_of = {c: M.classes_of(train.select(F.array(c).alias(c)), c) for c in ("complexity", "errors")}
+    constant = {c: names[0] for c, names in singles_of.items() if len(names) < 2}
+    heads = [joint.Head("effects", M.trainable(train.filter(~held), "effects", strategy), rows=~held)] if kinds["effects"] == "lr" else []
+    heads += [joint.Head(c, names, one=True) for c, names in singles_of.items() if kinds[c] == "lr" and c not in constant]
+    fits = dict(zip([h.column for h in heads], joint.fitted(train, "features", heads, c, balanced), strict=True)) if heads else {}
+    models = {} if "effects" in fits else M.train_multilabel(train.filter(~held), "features", "effects", kinds["effects"], balanced=balanced, strategy=strategy)
+    thresholds = {}
+    if tune and kinds["effects"] != "svm":
+        checked = train.filter(held)
+        thresholds = fits["effects"].tuned(checked, "features", "effects") if "effects" in fits else M.tuned_thresholds(models, checked, "features", "effects")
+    singles = {x: M.train_single(train, "features", x, kinds[x], balanced) for x in singles_of if x not in fits and x not in constant}
+    if "effects" in fits:
+        predicted = fits["effects"].predicted(df, "features", "none", "predicted_effects", thresholds)
+    else:
+        predicted = M.predict_multilabel(models, df, "features", "none", "predicted_effects", thresholds)
     k = M.adaptive_k(df.count(), clusters)
-    clustered = M.kmeans(predicted, "features", k) if k else predicted.withColumn("cluster", F.lit(0))
+    centres = Clusterings.fitted(df, "fn_id", "features", [k]) if k else None
+    clustered = centres.assigned(predicted, "features", "_fn_c").withColumn("cluster", F.get("_fn_c", F.lit(0))).drop("_fn_c") if k else predicted.withColumn("cluster", F.lit(0))
     config = {
-        "embedder": embedder, "hardware": hardware, "ast": ast, "kinds": kinds, "pca_dims": pca_dims, "effect_classes": sorted(models), "singles": sorted(singles), "constant": constant,
+        "embedder": embedder, "hardware": hardware, "ast": ast, "kinds": kinds, "pca_dims": pca_dims, "effect_classes": sorted(fits["effects"].classes if "effects" in fits else models), "joint": {x: m.as_dict() for x, m in fits.items()},
+        "singles": sorted(singles), "constant": constant,
         "thresholds": thresholds, "no_purpose": NO_PURPOSE, "parts": assembly.parts, "scaling": assembly.scaling,
     }
     trees.save_pipeline(clustered, config, f"{out}/pipeline", {f"effect_{c}": m for c, m in models.items()} | singles | ({"pca": assembly.pca} if assembly.pca else {}))
@@ -167,10 +188,19 @@ class Predictor:
     def predicted(self, functions_df: DataFrame) -> DataFrame:
         """functions (function_name, function_code) with predicted_effects, predicted_complexity and predicted_errors."""
         d, keep = self.features(functions_df), functions_df.columns
-        models = {c: self.models[f"effect_{c}"] for c in self.config["effect_classes"]}
-        d = M.predict_multilabel(models, d, "features", "none", "predicted_effects", self.config["thresholds"])
+        fits = {x: joint.JointLogistic.of_dict(m) for x, m in self.config.get("joint", {}).items()}
+        if "effects" in fits:
+            d = fits["effects"].predicted(d, "features", "none", "predicted_effects", self.config["thresholds"])
+        else:
+            models = {c: self.models[f"effect_{c}"] for c in self.config["effect_classes"]}
+            d = M.predict_multilabel(models, d, "features", "none", "predicted_effects", self.config["thresholds"])
         for c in ("complexity", "errors"):
-            d = M.predict_single(self.models[c], d, "features", f"predicted_{c}") if c in self.config["singles"] else d.withColumn(f"predicted_{c}", F.lit(self.config["constant"][c]))
+            if c in fits:
+                d = fits[c].chosen(d, "features", f"predicted_{c}")
+            elif c in self.config["singles"]:
+                d = M.predict_single(self.models[c], d, "features", f"predicted_{c}")
+            else:
+                d = d.withColumn(f"predicted_{c}", F.lit(self.config["constant"][c]))
         return d.select(*keep, "predicted_effects", "predicted_complexity", "predicted_errors")
 
     def __call__(self, functions_df: DataFrame) -> DataFrame:
