@@ -95,7 +95,7 @@ class _Part:
     search: _Search
 
 
-def fitted(df: DataFrame, vec: str, heads: list[Head], c: float = 1.0, balanced: bool = True, max_iter: int = 100, tol: float = 1e-5) -> list[JointLogistic]:
+def fitted(df: DataFrame, vec: str, heads: list[Head], c: float = 1.0, balanced: bool = True, max_iter: int = 100, tol: float = 1e-4) -> list[JointLogistic]:
     """A model for each head. balanced: the labels of a softmax, and the two sides of a label of its own, weigh the same in sum."""
     truth = [x for h in heads for x in h.truth()]
     with Packed(df, vec, F.array(*truth)) as rows:
@@ -167,7 +167,7 @@ class JointLogistic:
     one: bool = False
 
     @staticmethod
-    def fitted(df: DataFrame, vec: str, values: str, classes: list[str], c: float = 1.0, balanced: bool = True, max_iter: int = 100, tol: float = 1e-5) -> JointLogistic:
+    def fitted(df: DataFrame, vec: str, values: str, classes: list[str], c: float = 1.0, balanced: bool = True, max_iter: int = 100, tol: float = 1e-4) -> JointLogistic:
         """Of df's vectors and one array column."""
         return fitted(df, vec, [Head(values, classes)], c, balanced, max_iter, tol)[0] if classes else JointLogistic([], np.zeros((0, 0)), np.zeros(0))
 
