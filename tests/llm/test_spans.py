@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -152,3 +153,96 @@ def test_offsets_in_texts_beyond_ascii_take_linear_time():
         secret_scan.scan(part * n)
         took.append(time.process_time() - began)
     assert took[1] < 24 * took[0]  # 8 times the text; 64 times the work if each span read the text again
+
+
+_WORD_LIST = "get set user account balance order item total count list create update delete remove find search query result value name type index buffer stream reader writer config manager service handler request response session token cache store file path node tree graph edge vertex matrix vector image pixel color shape size width height depth length offset parse format encode decode convert compute render".split()
+_ALPHABETS = {
+    "lower": "abcdefghijklmnopqrstuvwxyz", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "lower and digits": "abcdefghijklmnopqrstuvwxyz0123456789", "upper and digits": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
+    "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "alphanumeric": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", "hex": "0123456789ABCDEF",
+}
+
+
+def names_and_secrets():
+    import uuid
+
+    r = random.Random(9)
+    some = lambda a, b: [r.choice(_WORD_LIST) for _ in range(r.randint(a, b))]
+
+    def camel():
+        first, *rest = some(4, 7)
+        return first + "".join(w.capitalize() for w in rest)
+
+    made = {
+        "camel with number": lambda: f"{camel()}{r.randint(1, 999)}", "camel": camel, "snake": lambda: "_".join(some(4, 7)), "upper snake": lambda: "_".join(some(4, 6)).upper(), "path": lambda: "/".join(some(4, 7)),
+        "path with numbers": lambda: "/usr/lib/" + "/".join(f"{w}{r.randint(1, 9)}" for w in some(4, 4)), "uuid": lambda: str(uuid.UUID(int=r.getrandbits(128))), "kebab": lambda: "-".join(some(4, 6)),
+        "version": lambda: "release-{}-{}-{}-beta{}-build{}".format(*(r.randint(0, 30) for _ in range(5))),
+    }
+    out = []
+    for kind, f in made.items():
+        found = [x for x in (f() for _ in range(150)) if len(x) >= 20][:60]
+        out += [(kind, False, x) for x in found]
+    for kind, chars in _ALPHABETS.items():
+        out += [(kind, True, "".join(r.choice(chars) for _ in range(n))) for n in (32, 40, 48) for _ in range(12)]
+    r.shuffle(out)
+    return out
+
+
+def test_false_discoveries_are_controlled(spark):
+    """Names in all the ways that programs write them are left alone, and random strings of 32 characters or more are found."""
+    planted_ = names_and_secrets()
+    docs = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").select("text").collect()]
+    own = {}
+    for i, p in enumerate(planted_):
+        docs[i % len(docs)] += f" {p[2]} end"
+        own.setdefault(i % len(docs), []).append(p)
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)
+    found, of = {}, {}
+    false = 0
+    for r in secret_scan.secrets(df).collect():
+        spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r["spans"].split(",") if x)]
+        text = docs[r["doc_id"]]
+        random_ = {text[a:b] for k, a, b in spans if k == "random"}
+        for kind, secret, x in own.get(r["doc_id"], []):
+            p = text.index(x)
+            if any(k != "random" and a < p + len(x) and p < b for k, a, b in spans):
+                continue  # a base span already
+            of[kind] = of.get(kind, 0) + 1
+            found[kind] = found.get(kind, 0) + (x in random_)
+            false += (x in random_) and not secret
+    n = sum(found.values())
+    assert n > 250 and false <= 0.01 * n
+    assert {k: found[k] / of[k] for k in _ALPHABETS if found[k] < 0.9 * of[k]} == {}
+
+
+def test_added_spans_follow_the_rule(spark):
+    """Against p-values and the step-up rule, computed for each candidate from the scores of all decoys."""
+    planted_ = names_and_secrets()[::2]
+    r = random.Random(4)
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 8))) for _ in range(400)]
+    docs = [" ".join(r.choice(words) for _ in range(90)) + f" {x}" for *_, x in planted_]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    cands, null = [], {}
+    for i, t in enumerate(docs):
+        base, c, decoys = secret_scan.scan(t)
+        cands += [(i, *x, base) for x in c]
+        for n in secret_scan.LENGTHS:
+            for cell, b in secret_scan.judged([d[:n] for d in decoys if len(d) >= n]):
+                null.setdefault(cell, []).append(b)
+    want = set()
+    for cell in {c[3] for c in cands}:
+        here = sorted((c for c in cands if c[3] == cell), key=lambda c: -c[4])
+        scores = null.get(cell, [])
+        p = [(sum(s >= c[4] for s in scores) + 1) / (len(scores) + 1) for c in here]
+        # as many as stand at least as high, for equal scores
+        ok = [c[4] for c, q in zip(here, p, strict=True) if q <= secret_scan.FALSE_RATE * sum(x[4] >= c[4] for x in here) / len(here)]
+        want |= {(c[0], c[1], c[2]) for c in here if ok and c[4] >= min(ok) and not any(a < c[2] and c[1] < b for _, a, b in c[5])}
+    got = {(g["doc_id"], int(x.split(":")[1]), int(x.split(":")[2])) for g in secret_scan.secrets(df).collect() for x in g["spans"].split(",") if x.startswith("random:")}
+    assert got == want and len(got) > 50
+
+
+def test_scores_of_many_are_those_of_each():
+    found = [x.encode() for *_, x in names_and_secrets()]
+    assert [b for _, b in secret_scan.judged(found)] == [int(secret_scan.score_bin(secret_scan.randomness(x.decode()))) for x in found]
+    for e, chars in enumerate(secret_scan.ENCODINGS):
+        assert secret_scan.encodings(np.frombuffer(chars.encode(), np.uint8)[None]).tolist() == [e]
