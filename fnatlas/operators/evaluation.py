@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import doubles
 from ..session import blas_threads, ship
 from .learning import seeded_digest
-from .similarity import BLOCK, _blocks, _matrix
+from .similarity import BLOCK, _matrix
 
 
 def distribution(df: DataFrame, values: str, name: str = "value") -> DataFrame:

@@ -1,23 +1,27 @@
-"""Nearest neighbours by cosine: a query set against all rows in blocks, and statistics over the neighbours.
-
-Vectors go in blocks of a bounded number of rows; each pair of a query block and a row block is one matrix product in a Python
-worker, which returns the block's top k only. So k rows leave each cell, pairs are never rows of a plan, and no side
-needs to fit in one place.
+"""Nearest neighbours by cosine: a query set against all rows in bounded cells, and statistics over the neighbours.
+
+Vectors are grouped about pivots, a bounded number of rows, and groups are cut into blocks of a bounded number of rows. Some consecutive
+blocks are a tile; each tile of queries meets each tile of rows in one cell, so a vector is shipped once for each tile of the
+other side, and all is shuffled once. In a cell, a block is left out for the queries that are too far from it: by the triangle inequality
+for angles, none of its rows is nearer than its centre less its radius. What is near enough is known from a first round over the
+cells that a tile has with itself. k rows leave each cell for a query, pairs are never rows of a plan, and no side needs to fit
+in one place. The result is exact.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import doubles, jaccard, unit
 from ..session import blas_threads, ship
 
-BLOCK = 2048
+#: Rows of a block, blocks of a tile, pivots at most.
+BLOCK, TILE, PIVOTS = 2048, 8, 256
 #: Digits that similarities are rounded to before ties go to the smaller key.
 DIGITS = 9
 
@@ -29,52 +33,183 @@ def unit_vectors(df: DataFrame, key: str = "vec_id", vec: str = "embedding") ->
     return df.select(F.col(key).cast("long").alias("id"), unit(F.col(vec)).alias("v"))
 
 
-def _blocks(df: DataFrame, n: int, key: str) -> DataFrame:
-    """One row for each block: ids and the vectors, flat."""
-    b = df.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    return b.groupBy(F.col("b").alias(key)).agg(F.collect_list(F.struct("id", "v")).alias(f"rows_{key}"))
-
-
 def _matrix(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ids, v = rows.field("id").to_numpy(zero_copy_only=False), rows.field("v")
     return ids, v.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
 
 
-def top_k(queries: DataFrame, rows: DataFrame, k: int, pairs_once: bool = False, digits: int = DIGITS) -> DataFrame:
+class _Block:
+    """Rows of a block by id, the direction of their sum, and the largest angle that one has to it."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray) -> None:
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.v = ids[order], v[order]
+        centre = v.sum(0)
+        n = np.linalg.norm(centre)
+        self.centre = centre / n if n > 0 else centre
+        whole = (v**2).sum(1) > 0
+        cos = np.clip(v[whole] @ self.centre, -1, 1)
+        self.radius = float(np.arccos(cos.min())) if n > 0 and whole.any() else np.pi
+        self.zeros = not whole.all()  # they have similarity 0 to all
+
+    def bound(self, q: np.ndarray) -> np.ndarray:
+        """What no similarity of a row to each of q exceeds."""
+        out = np.cos(np.maximum(0, np.arccos(np.clip(q @ self.centre, -1, 1)) - self.radius - 1e-7))
+        return np.maximum(out, 0) if self.zeros else out
+
+
+def nearest_in(queries: _Block, floor: np.ndarray, blocks: list[_Block], k: int, digits: int) -> tuple[list[np.ndarray], int]:
+    """Rows (q, c, sim) of the k nearest of some blocks to each query, as far as they reach the query's floor; how many products it took."""
+    floor, hits, products = floor.copy(), [], 0
+    bounds = [b.bound(queries.v) for b in blocks]
+    for i in sorted(range(len(blocks)), key=lambda i: -float(bounds[i].mean())):
+        b = blocks[i]
+        live = np.flatnonzero(bounds[i] >= floor - 10.0**-digits)
+        if not len(live):
+            continue
+        products += len(live) * len(b.ids)
+        sim = np.round(queries.v[live] @ b.v.T, digits)
+        sim[queries.ids[live][:, None] == b.ids[None]] = -np.inf
+        kth = -np.partition(-sim, k - 1, axis=1)[:, k - 1] if k <= sim.shape[1] else np.full(len(live), -np.inf)
+        floor[live] = np.maximum(floor[live], kth)
+        more = sim > kth[:, None]
+        ties = (sim == kth[:, None]) & np.isfinite(sim)  # of these the first by id
+        ties &= ties.cumsum(1) <= (k - more.sum(1))[:, None]
+        x, y = np.nonzero((more | ties) & (sim >= floor[live][:, None]))
+        hits.append((queries.ids[live[x]], b.ids[y], sim[x, y]))
+    if not hits:
+        return [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)], products
+    q, c, s = (np.concatenate(h) for h in zip(*hits, strict=True))
+    order = np.lexsort((c, -s, q))
+    q, c, s = q[order], c[order], s[order]
+    first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+    keep = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)])) < k
+    return [q[keep], c[keep], s[keep]], products
+
+
+def pairs_in(left: list[_Block], right: list[_Block], same: bool, floor: float, k: int, digits: int) -> tuple[list[np.ndarray], int]:
+    """The k most similar pairs q < c of left and right blocks, of the same list each two blocks once; and how many products it took."""
+    best, products = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)], 0
+    for i, a in enumerate(left):
+        for b in right[i:] if same else right:
+            live = np.flatnonzero(b.bound(a.v) >= floor - 10.0**-digits)
+            if not len(live):
+                continue
+            products += len(live) * len(b.ids)
+            sim = np.round(a.v[live] @ b.v.T, digits)
+            ids = a.ids[live]
+            if a is b:
+                sim[ids[:, None] >= b.ids[None]] = -np.inf
+            else:
+                sim[ids[:, None] == b.ids[None]] = -np.inf
+            cut = max(floor, -np.partition(-sim.ravel(), k - 1)[k - 1]) if sim.size >= k else floor
+            x, y = np.nonzero((sim >= cut) & np.isfinite(sim))
+            p, r, s = (np.concatenate(z) for z in zip(best, (np.minimum(ids[x], b.ids[y]), np.maximum(ids[x], b.ids[y]), sim[x, y]), strict=True))
+            order = np.lexsort((r, p, -s))[:k]
+            best = [p[order], r[order], s[order]]
+            if len(order) == k:
+                floor = max(floor, float(best[2][-1]))
+    return best, products
+
+
+def _blocked(df: DataFrame, pivots: np.ndarray, first: dict[int, int], blocks: dict[int, int]) -> DataFrame:
+    """df with its block: of the pivot that it is nearest to, by a hash of its id."""
+
+    @F.pandas_udf("int")
+    def pivot(v: pd.Series) -> pd.Series:
+        return pd.Series((np.array(v.tolist(), float).reshape(len(v), pivots.shape[1]) @ pivots.T).argmax(1).astype(np.int32), index=v.index)
+
+    of = F.create_map(*[F.lit(x) for p in first for x in (p, first[p])])
+    size = F.create_map(*[F.lit(x) for p in blocks for x in (p, blocks[p])])
+    d = df.withColumn("_p", pivot("v"))
+    return d.withColumn("b", (F.element_at(of, F.col("_p")) + F.pmod(F.xxhash64("id"), F.element_at(size, F.col("_p")))).cast("int")).drop("_p")
+
+
+def top_k(queries: DataFrame, rows: DataFrame, k: int, pairs_once: bool = False, digits: int = DIGITS, products: Accumulator | None = None) -> DataFrame:
     """q, c, sim, rank: the k rows nearest to each query, itself excluded. Of (id, v) with unit vectors.
 
-    With pairs_once, pairs of q < c only, and the k best of all instead of each query.
+    With pairs_once, pairs of q < c only, and the k best of all instead of each query; queries and rows are then the same table.
+    products: gets the number of products that are made.
     """
     spark = queries.sparkSession
     ship(spark)
-    nq, nr = (max(1, -(-df.count() // BLOCK)) for df in (queries, rows))
-    q, r = _blocks(queries, nq, "qb"), _blocks(rows, nr, "rb")
-    # each query block goes to each row block; the join is on the row block's number
-    cells = q.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(nr - 1)))).join(r, "rb").repartition(max(1, min(nq * nr, 4096)), "qb", "rb")
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = rows.filter("v is not null and id is not null")
+    queries = rows if pairs_once else queries.filter("v is not null and id is not null")
+    n = rows.count()
+    some = rows.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, max(1, -(-n // BLOCK)))).select("v").collect()
+    if not some:
+        return spark.createDataFrame([], _OUT + ("" if pairs_once else ", rank int"))
+    pivots = np.array([r["v"] for r in some], float)
+    one = {0: 1}
+    if len(pivots) == 1:
+        first, blocks, nb = {0: 0}, one, 1
+    else:
+        plain = {p: 1 for p in range(len(pivots))}
+        numbered = {p: p for p in plain}
+        count = {r["b"]: r["count"] for r in _blocked(rows, pivots, numbered, plain).groupBy("b").count().collect()}  # a row for each pivot
+        blocks = {p: max(1, -(-count.get(p, 0) // BLOCK)) for p in plain}
+        first = dict(zip(plain, np.cumsum([0, *blocks.values()]).tolist(), strict=False))
+        nb = sum(blocks.values())
+    tiles = max(-(-nb // TILE), min(nb, int(np.ceil(np.sqrt(2 * spark.sparkContext.defaultParallelism)))))
+    tile = F.floor(F.col("b") * tiles / nb).cast("int")
+    r = _blocked(rows, pivots, first, blocks).withColumn("t", tile)
+    q = _blocked(queries, pivots, first, blocks).withColumn("t", tile)
+    every = F.sequence(F.lit(0), F.lit(tiles - 1))
+    own = F.array("t")
+
+    def work(cell: pa.Table) -> pa.Table:
         blas_threads(1)  # a task has one core
-        for b in batches:
-            for i in range(b.num_rows):
-                qi, qm = _matrix(b.column("rows_qb")[i].values)
-                ri, rm = _matrix(b.column("rows_rb")[i].values)
-                sim = np.round(qm @ rm.T, digits)
-                sim[(qi[:, None] >= ri[None]) if pairs_once else (qi[:, None] == ri[None])] = -np.inf
-                if pairs_once:
-                    flat = sim.ravel()
-                    cut = flat if k >= flat.size else flat[flat >= np.partition(flat, -k)[-k]]
-                    x, y = np.nonzero((sim >= cut.min()) & np.isfinite(sim))
-                    order = np.lexsort((ri[y], qi[x], -sim[x, y]))[:k]
-                    x, y = x[order], y[order]
-                else:
-                    order = np.lexsort((np.broadcast_to(ri, sim.shape), -sim), axis=1)[:, :k]
-                    x = np.repeat(np.arange(len(qi)), order.shape[1])
-                    y = order.ravel()
-                    keep = np.isfinite(sim[x, y])
-                    x, y = x[keep], y[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(qi[x]), pa.array(ri[y]), pa.array(sim[x, y])], schema=_ARROW)
-
-    found = cells.select("qb", "rb", "rows_qb", "rows_rb").mapInArrow(nearest, _OUT)
+        ids = cell.column("id").to_numpy()
+        v = cell.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        b, side = cell.column("b").to_numpy(), cell.column("side").to_numpy()
+        floor = cell.column("floor").to_numpy()
+
+        def blocked(at: np.ndarray) -> list[tuple[_Block, np.ndarray]]:
+            out = []
+            for x in np.unique(b[at]):
+                here = at[b[at] == x]
+                out.append((_Block(ids[here], v[here]), floor[here][np.argsort(ids[here], kind="stable")]))
+            return out
+
+        left, right = blocked(np.flatnonzero(side == 0)), [x for x, _ in blocked(np.flatnonzero(side == 1))]
+        if pairs_once:
+            same = cell.column("i")[0] == cell.column("j")[0]
+            found, made = pairs_in([x for x, _ in left], [x for x, _ in left] if same else right, same, float(floor.max()), k, digits)
+            out = [found]
+        else:
+            out, made = [], 0
+            for x, f in left:
+                found, m = nearest_in(x, f, right, k, digits)
+                out.append(found)
+                made += m
+        if products is not None:
+            products.add(made)
+        return pa.concat_tables([pa.table([pa.array(x) for x in h], schema=_ARROW) for h in out]) if out else _ARROW.empty_table()
+
+    def round_of(q: DataFrame, js, is_) -> DataFrame:
+        """The hits of queries that go to the tiles js of rows; rows go to the tiles is_ of queries."""
+        left = q.select("id", "v", "b", "floor", F.lit(0).alias("side"), F.col("t").alias("i"), F.explode(js).alias("j"))
+        right = r.select("id", "v", "b", F.lit(float("-inf")).alias("floor"), F.lit(1).alias("side"), F.explode(is_).alias("i"), F.col("t").alias("j"))
+        return left.unionByName(right).groupBy("i", "j").applyInArrow(work, _OUT)
+
+    low = F.lit(float("-inf"))
+    if tiles > 1:
+        near = round_of(q.withColumn("floor", low), own, own)  # hits are few rows for each query
+        if pairs_once:
+            worst = _ranked(near, k, True).agg(F.count("*").alias("n"), F.min("sim").alias("sim")).first()
+            low = F.lit(worst["sim"] if worst["n"] == k else float("-inf"))
+            q = q.withColumn("floor", low)
+        else:
+            floors = near.groupBy("q").agg(F.count("*").alias("n"), F.min("sim").alias("at")).filter(F.col("n") == k).select(F.col("q").alias("id"), F.col("at").alias("floor"))
+            q = q.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", low))
+    else:
+        q = q.withColumn("floor", low)
+    if pairs_once:
+        return _ranked(round_of(q, F.filter(every, lambda x: x >= F.col("t")), F.filter(every, lambda x: x <= F.col("t"))), k, True)
+    return _ranked(round_of(q, every, every), k, False)
+
+
+def _ranked(found: DataFrame, k: int, pairs_once: bool) -> DataFrame:
     if pairs_once:
         return found.orderBy(F.desc("sim"), "q", "c").limit(k)
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "c"))
