@@ -20,8 +20,8 @@ from ..functions.vectors import doubles
 from ..session import blas_threads, ship
 from .packed import Packed
 
-#: Steps that a search remembers.
-MEMORY = 10
+#: Steps that a search remembers; digits of probabilities, so that one at a threshold is there whatever batch it is computed in.
+MEMORY, DIGITS = 10, 9
 
 
 class _Search:
@@ -181,7 +181,7 @@ class JointLogistic:
             for s in batches:
                 z = np.array(s.tolist(), float).reshape(len(s), coef.shape[0]) @ coef + intercept
                 p = np.exp(z - z.max(1, keepdims=True)) if one else 1 / (1 + np.exp(-z))
-                yield pd.Series(list(p / p.sum(1, keepdims=True) if one else p), index=s.index)
+                yield pd.Series(list(np.round(p / p.sum(1, keepdims=True) if one else p, DIGITS)), index=s.index)
 
         return score(doubles(vector))
 
