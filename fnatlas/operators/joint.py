@@ -21,7 +21,7 @@ from ..session import blas_threads, ship
 from .packed import Packed
 
 #: Steps that a search remembers; digits of probabilities, so that one at a threshold is there whatever batch it is computed in.
-MEMORY, DIGITS = 10, 9
+MEMORY, DIGITS = 10, 12
 
 
 class _Search:

@@ -18,6 +18,7 @@ from ..operators import learning as M
 from ..operators import similarity as S
 from ..operators.extract import extract_functions, function_totals, functions_per_file, with_ast_features
 from ..operators.joint import JointLogistic
+from ..operators.sampling import oversampled
 from . import derived as D
 from . import pipeline
 
@@ -602,6 +603,20 @@ def multilabel_binary(spark, sf):
     return model.predicted(t, "embedding").select("doc_id", F.array_join("tags", ",").alias("tags"), F.array_join("predicted", ",").alias("predicted"))
 
 
+@query("""WITH c AS (SELECT toxic AS class, count(*) AS n FROM labels JOIN embeddings ON vec_id = doc_id GROUP BY 1)
+SELECT class, n, (SELECT max(n) FROM c) - n AS n_made, (SELECT max(n) FROM c) - n AS n_between, CAST(0 AS BIGINT) AS n_of_others FROM c""")
+def oversampled_classes(spark, sf):
+    """Rows of each class, rows made for it, those that stand between their two rows, and those that a row of another class took part in."""
+    d = table(spark, sf, "labels").join(vectors(spark, sf).withColumnRenamed("vec_id", "doc_id").drop("label"), "doc_id").select("doc_id", "embedding", F.col("toxic").alias("class"))
+    rows = oversampled(d, "doc_id", "embedding", "class")
+    one = lambda c: d.select(F.col("doc_id").alias(c), doubles(F.col("embedding")).alias(f"v_{c}"), F.col("class").alias(f"class_{c}"))
+    made = rows.filter("made_of is not null").join(one("made_of"), "made_of").join(one("towards"), "towards")
+    off = F.aggregate(F.zip_with("embedding", F.zip_with("v_made_of", "v_towards", lambda a, b: a + F.col("share") * (b - a)), lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: F.greatest(s, x))
+    m = made.groupBy("class").agg(F.count("*").alias("n_made"), F.count_if((off < 1e-9) & F.col("share").between(0, 1)).alias("n_between"), F.count_if((F.col("class_made_of") != F.col("class")) | (F.col("class_towards") != F.col("class"))).alias("n_of_others"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return d.groupBy("class").agg(F.count("*").alias("n")).join(m, "class", "left").select("class", "n", *map(zero, ("n_made", "n_between", "n_of_others")))
+
+
 @query()
 def evaluation_report(spark, sf):
     sets = _sets(spark, sf)

@@ -174,3 +174,31 @@ def test_sweep_chooses_the_clouds(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(clouds(3))], "id long, v array<double>")
     got = M.silhouette_sweep(df, "id", "v")
     assert [k for k, _ in got] == list(range(2, 9)) and M.best_k(got) == 4
+
+
+def test_oversampling(spark):
+    from fnatlas.operators.sampling import oversampled
+
+    r = np.random.default_rng(5)
+    rows = [(i, r.normal(0, 1, 4).tolist(), "big" if i < 60 else "small" if i < 83 else "lone") for i in range(84)]
+    x = {i: np.array(v) for i, v, _ in rows}
+    name = {i: c for i, _, c in rows}
+    extra = [(None, [1.0] * 4, "small"), (200, None, "small"), (201, [1.0] * 4, None)]
+    df = spark.createDataFrame(rows + extra, "id long, v array<double>, class string").repartition(3)
+    got = oversampled(df, "id", "v", "class", k=3).collect()
+    made = [g for g in got if g["made_of"] is not None]
+    assert len(got) - len(made) == 87
+    assert {c: sum(g["class"] == c for g in made) for c in ("big", "small", "lone")} == {"big": 0, "small": 37, "lone": 59}
+    unit = {i: v / np.linalg.norm(v) for i, v in x.items()}
+    for g in made:
+        a, b = g["made_of"], g["towards"]
+        assert name[a] == name[b] == g["class"] and np.allclose(g["v"], x[a] + g["share"] * (x[b] - x[a]))
+        if g["class"] == "small":
+            others = sorted((i for i in x if name[i] == "small" and i != a), key=lambda i: (-round(float(unit[a] @ unit[i]), 9), i))
+            assert b in others[:3]
+    starts = [g["made_of"] for g in made if g["class"] == "small"]
+    assert max(map(starts.count, starts)) == 2 and len(set(starts)) == 23  # dealt evenly
+    again = oversampled(df.repartition(7), "id", "v", "class", k=3).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+    assert sum(g["class"] == "small" for g in oversampled(df, "id", "v", "class", upto=30).collect() if g["made_of"] is not None) == 7
+    assert oversampled(df.filter("false"), "id", "v", "class").count() == 0
