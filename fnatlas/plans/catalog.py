@@ -12,6 +12,7 @@ from ..functions import features as X
 from ..functions import labels as L
 from ..functions import patterns as P
 from ..functions.embedders import with_embeddings
+from ..functions.sql import register as register_sql
 from ..functions.vectors import doubles
 from ..operators import evaluation as E
 from ..operators import learning as M
@@ -281,6 +282,15 @@ def parse_llm_json(spark, sf):
     return g.select("fn_id", F.col("g.high_level_purpose").alias("purpose"), F.array_join("g.side_effects", ",").alias("effects"), F.col("g.complexity").alias("complexity"))
 
 
+@query(f"WITH {_LABELED} SELECT fn_id, array_to_string(flow, ',') AS flow, array_to_string(effects, ',') AS effects, complexity, errors FROM lab")
+def labels_in_sql(spark, sf):
+    """Labels by the functions that are registered for SQL."""
+    register_sql(spark)
+    view = f"fns_{zlib.crc32(sf.encode()):08x}"
+    c_functions(spark, sf).createOrReplaceTempView(view)
+    return spark.sql(f"SELECT fn_id, array_join(c_control_flow(function_code), ',') AS flow, array_join(c_side_effects(function_code), ',') AS effects, c_complexity(function_code) AS complexity, c_error_handling(function_code) AS errors FROM {view}")
+
+
 # ---------------------------------------------------------------- features
 
 
@@ -374,6 +384,15 @@ def extract_functions_pattern(spark, sf):
     return extract_functions(c_files(spark, sf), "pattern")
 
 
+@query(f"WITH {_FNS}, {_PLACED} SELECT function_name, function_code, file_path, CAST(first AS INT) AS start_line, CAST(first + {_LINE_COUNT} - 1 AS INT) AS end_line FROM placed")
+def functions_in_sql(spark, sf):
+    """Extraction by the table function that is registered for SQL."""
+    register_sql(spark)
+    view = f"files_{zlib.crc32(sf.encode()):08x}"
+    c_files(spark, sf).createOrReplaceTempView(view)
+    return spark.sql(f"SELECT t.function_name, t.function_code, f.file_path, t.start_line, t.end_line FROM {view} f, LATERAL c_functions(f.content) t")
+
+
 @query(f"WITH {_FNS} SELECT file_path, count(*) AS n_functions FROM f GROUP BY file_path", "functions_per_file")
 def functions_by_file(spark, sf):
     return functions_per_file(extract_functions(c_files(spark, sf)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 import pandas as pd
@@ -20,6 +21,9 @@ from ..operators.extract import extract_functions, with_ast_features
 from ..sources import trees
 
 
+LOG = logging.getLogger(__name__)
+
+
 def labeled(functions_df: DataFrame) -> DataFrame:
     return functions_df.withColumn("labels", L.label_struct(F.col("function_name"), F.col("function_code")))
 
@@ -153,8 +157,8 @@ def run(
         "singles": sorted(singles), "constant": constant,
         "thresholds": thresholds, "no_purpose": NO_PURPOSE, "parts": assembly.parts, "scaling": assembly.scaling,
     }
-    trees.save_pipeline(clustered, config, f"{out}/pipeline", {f"effect_{c}": m for c, m in models.items()} | singles | ({"pca": assembly.pca} if assembly.pca else {}))
-    saved = spark.read.parquet(f"{out}/pipeline/functions")
+    version = trees.save_pipeline(clustered, config, f"{out}/pipeline", {f"effect_{c}": m for c, m in models.items()} | singles | ({"pca": assembly.pca} if assembly.pca else {}))
+    saved = spark.read.parquet(f"{version}/functions")
     test = saved.filter("split = 'test'").select(F.col("effects").alias("y_true"), F.col("predicted_effects").alias("y_pred"))
     vectors = saved.select(F.col("fn_id").alias("id"), S.unit(F.col("embedding")).alias("v"))
     tags = saved.select(F.col("fn_id").alias("id"), F.col("effects").alias("tags"))
@@ -226,11 +230,14 @@ class Predictor:
 
 
 def predictor(spark: SparkSession, folder: str):
-    """What labels functions: a stored pipeline, or the rules where there is none."""
+    """What labels functions: a stored pipeline, or the rules where there is none or it can't be loaded."""
     try:
         return Predictor(spark, folder)
     except FileNotFoundError:
         return labeled
+    except Exception:  # noqa: BLE001  whatever is wrong with its files
+        LOG.warning("the pipeline in %s can't be loaded; rules label", folder, exc_info=True)
+        return labeled
 
 
 #: Functions that the demonstration predicts.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,25 +59,40 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def save_pipeline(rows: DataFrame, config: dict, folder: str, models: dict | None = None) -> None:
-    """Rows as parquet, one row of configuration, and fitted models by name; what an earlier save left goes first."""
+def _versions(spark: SparkSession, folder: str) -> list[str]:
+    """The versions of a pipeline that are whole, the last one first: those whose configuration, which is written last, is there."""
+    fs, p = _fs(spark, folder)
+    names = sorted((x.getPath().getName() for x in fs.listStatus(p) if x.isDirectory()), reverse=True) if fs.exists(p) else []
+    return [f"{folder}/{n}" for n in names if n.startswith("version=") and exists(spark, f"{folder}/{n}/config/_SUCCESS")]
+
+
+def save_pipeline(rows: DataFrame, config: dict, folder: str, models: dict | None = None) -> str:
+    """Rows as parquet, fitted models by name and one row of configuration, as a new version; its folder.
+
+    A version counts once its configuration is written, which comes last: until then load_pipeline() gives the version before. That one
+    goes afterwards, with what broken saves left.
+    """
     spark = rows.sparkSession
-    for part in ("models", "config", "functions"):
-        delete(spark, f"{folder}/{part}")
-    rows.write.parquet(f"{folder}/functions")
+    new = f"{folder}/version={time.time_ns():020d}"
+    rows.write.parquet(f"{new}/functions")
     for name, model in (models or {}).items():
-        model.write().overwrite().save(f"{folder}/models/{name}")
-    spark.createDataFrame([(json.dumps(config | {"models": sorted(models or {})}, sort_keys=True),)], "config string").coalesce(1).write.parquet(f"{folder}/config")
+        model.write().overwrite().save(f"{new}/models/{name}")
+    spark.createDataFrame([(json.dumps(config | {"models": sorted(models or {})}, sort_keys=True),)], "config string").coalesce(1).write.parquet(f"{new}/config")
+    fs, p = _fs(spark, folder)
+    for x in fs.listStatus(p):
+        if x.getPath().getName() < new.rpartition("/")[2] and x.getPath().getName().startswith("version="):
+            fs.delete(x.getPath(), True)
+    return new
 
 
 def load_pipeline(spark: SparkSession, folder: str) -> tuple[DataFrame, dict, dict] | None:
-    """Rows, configuration and models; None unless all that a pipeline needs is there, so callers fall back to rules."""
+    """Rows, configuration and models of the last whole version; None if there is none, so callers fall back to rules."""
     from pyspark.ml import PipelineModel
 
-    if not (exists(spark, f"{folder}/functions") and exists(spark, f"{folder}/config")):
-        return None
-    config = json.loads(spark.read.parquet(f"{folder}/config").first()["config"])
-    return spark.read.parquet(f"{folder}/functions"), config, {n: PipelineModel.load(f"{folder}/models/{n}") for n in config["models"]}
+    for at in _versions(spark, folder)[:1]:
+        config = json.loads(spark.read.parquet(f"{at}/config").first()["config"])
+        return spark.read.parquet(f"{at}/functions"), config, {n: PipelineModel.load(f"{at}/models/{n}") for n in config["models"]}
+    return None
 
 
 def clean_labels(src: DataFrame, out: str) -> DataFrame:

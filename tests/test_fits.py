@@ -202,3 +202,54 @@ def test_oversampling(spark):
     assert sorted(map(str, again)) == sorted(map(str, got))
     assert sum(g["class"] == "small" for g in oversampled(df, "id", "v", "class", upto=30).collect() if g["made_of"] is not None) == 7
     assert oversampled(df.filter("false"), "id", "v", "class").count() == 0
+
+
+def test_a_save_that_breaks_off_leaves_the_version_before(spark, tmp_path):
+    from fnatlas.plans import pipeline
+    from fnatlas.sources import trees
+
+    folder = f"file://{tmp_path}/p"
+    rows = spark.range(3)
+
+    class Broken:
+        def write(self):
+            raise OSError("no space")
+
+    assert trees.load_pipeline(spark, folder) is None
+    with pytest.raises(OSError):
+        trees.save_pipeline(rows, {"a": 0}, folder, {"m": Broken()})
+    assert trees.load_pipeline(spark, folder) is None
+    trees.save_pipeline(rows, {"a": 1}, folder)
+    with pytest.raises(OSError):
+        trees.save_pipeline(spark.range(9), {"a": 2}, folder, {"m": Broken()})
+    got, config, _ = trees.load_pipeline(spark, folder)
+    assert config["a"] == 1 and got.count() == 3
+    trees.save_pipeline(spark.range(5), {"a": 3}, folder)
+    got, config, _ = trees.load_pipeline(spark, folder)
+    assert config["a"] == 3 and got.count() == 5 and len(list((tmp_path / "p").iterdir())) == 1
+    # one that can't be loaded: rules label
+    fns = spark.createDataFrame([("f", "{ printf(1); }")], "function_name string, function_code string")
+    assert pipeline.predictor(spark, folder)(fns).first()["labels"]["side_effects"] == ["io"]
+
+
+def test_no_query_needs_the_package_on_workers():
+    """From another folder and without PYTHONPATH, each in a session of its own."""
+    import os
+    import subprocess
+    import sys
+
+    code = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from fnatlas.plans import catalog
+from fnatlas.session import session
+for name in sys.argv[2:]:
+    s = session(4, 4)
+    assert catalog.QUERIES[name](s, "/root/testdata/sf0.001").count() > 0, name
+    s.stop()
+"""
+    root = __file__.rsplit("/tests/", 1)[0]
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    names = ["hashed_embedding", "ast_features", "functions_in_sql", "knn_top5", "silhouette", "kmeans_clusters", "multilabel_binary"]
+    r = subprocess.run([sys.executable, "-c", code, root, *names], cwd="/", env=env, capture_output=True, text=True, timeout=600)
+    assert r.returncode == 0, r.stderr[-2000:]
