@@ -5,6 +5,8 @@ They must equal those that the results are defined by, so each list is written o
 
 from __future__ import annotations
 
+import re
+
 # Closed vocabularies and defaults.
 CONTROL_FLOW = ("if", "for", "while", "switch", "goto", "return")
 SIDE_EFFECTS = ("io", "memory", "hardware", "network", "global_state")
@@ -130,5 +132,18 @@ HARDWARE_GROUPS = (("mmio", MMIO, 4), ("regmap", REGMAP, 3), ("irq", IRQ, 3), ("
 PRESENT_GROUPS = (("spi", SPI), ("i2c", I2C), ("gpio", GPIO), ("wdt_timer", WATCHDOG))
 
 
+#: Shapes of patterns that share what stands about a name, so names can be tried together.
+_SHAPES = ((re.compile(r"\\b(\w+)\\b"), r"\b(?:{})\b"), (re.compile(r"\\b(\w+)\\s\*\\\("), r"\b(?:{})\s*\("))
+
+
 def any_of(patterns: list[str]) -> str:
-    return "(?:" + "|".join(patterns) + ")"
+    """One pattern that matches where any of them does; names with the same surroundings are put together."""
+    names: dict[str, list[str]] = {}
+    for p in patterns:
+        for shape, out in _SHAPES:
+            if m := shape.fullmatch(p):
+                names.setdefault(out, []).append(m[1])
+                break
+        else:
+            names[p] = []
+    return "(?:" + "|".join(out.replace("{}", "|".join(found)) if found else out for out, found in names.items()) + ")"

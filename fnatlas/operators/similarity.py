@@ -136,24 +136,20 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, pairs_once: bool = False,
     rows = rows.filter("v is not null and id is not null")
     queries = rows if pairs_once else queries.filter("v is not null and id is not null")
     n = rows.count()
-    some = rows.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, max(1, -(-n // BLOCK)))).select("v").collect()
-    if not some:
+    if not n:
         return spark.createDataFrame([], _OUT + ("" if pairs_once else ", rank int"))
-    pivots = np.array([r["v"] for r in some], float)
-    one = {0: 1}
-    if len(pivots) == 1:
-        first, blocks, nb = {0: 0}, one, 1
+    if n <= BLOCK:
+        nb, blocked = 1, lambda df: df.withColumn("b", F.lit(0))
     else:
-        plain = {p: 1 for p in range(len(pivots))}
-        numbered = {p: p for p in plain}
-        count = {r["b"]: r["count"] for r in _blocked(rows, pivots, numbered, plain).groupBy("b").count().collect()}  # a row for each pivot
+        some = rows.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, -(-n // BLOCK))).select("v").collect()
+        pivots, plain = np.array([r["v"] for r in some], float), dict.fromkeys(range(len(some)), 1)
+        count = {r["b"]: r["count"] for r in _blocked(rows, pivots, {p: p for p in plain}, plain).groupBy("b").count().collect()}  # a row for each pivot
         blocks = {p: max(1, -(-count.get(p, 0) // BLOCK)) for p in plain}
         first = dict(zip(plain, np.cumsum([0, *blocks.values()]).tolist(), strict=False))
-        nb = sum(blocks.values())
+        nb, blocked = sum(blocks.values()), lambda df: _blocked(df, pivots, first, blocks)
     tiles = max(-(-nb // TILE), min(nb, int(np.ceil(np.sqrt(2 * spark.sparkContext.defaultParallelism)))))
     tile = F.floor(F.col("b") * tiles / nb).cast("int")
-    r = _blocked(rows, pivots, first, blocks).withColumn("t", tile)
-    q = _blocked(queries, pivots, first, blocks).withColumn("t", tile)
+    r, q = blocked(rows).withColumn("t", tile), blocked(queries).withColumn("t", tile)
     every = F.sequence(F.lit(0), F.lit(tiles - 1))
     own = F.array("t")
 
@@ -164,14 +160,14 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, pairs_once: bool = False,
         b, side = cell.column("b").to_numpy(), cell.column("side").to_numpy()
         floor = cell.column("floor").to_numpy()
 
-        def blocked(at: np.ndarray) -> list[tuple[_Block, np.ndarray]]:
+        def side_of(at: np.ndarray) -> list[tuple[_Block, np.ndarray]]:
             out = []
             for x in np.unique(b[at]):
                 here = at[b[at] == x]
                 out.append((_Block(ids[here], v[here]), floor[here][np.argsort(ids[here], kind="stable")]))
             return out
 
-        left, right = blocked(np.flatnonzero(side == 0)), [x for x, _ in blocked(np.flatnonzero(side == 1))]
+        left, right = side_of(np.flatnonzero(side == 0)), [x for x, _ in side_of(np.flatnonzero(side == 1))]
         if pairs_once:
             same = cell.column("i")[0] == cell.column("j")[0]
             found, made = pairs_in([x for x, _ in left], [x for x, _ in left] if same else right, same, float(floor.max()), k, digits)

@@ -19,6 +19,7 @@ from ..operators import learning as M
 from ..operators import similarity as S
 from ..operators.extract import extract_functions, function_totals, functions_per_file, with_ast_features
 from ..operators.joint import JointLogistic
+from ..operators.mlp import Perceptron
 from ..operators.sampling import oversampled
 from . import derived as D
 from . import pipeline
@@ -611,8 +612,16 @@ def _trained(kind: str, **options) -> Query:
     return run
 
 
-for _kind, _options in (("lr", {}), ("svm", {}), ("rf", {}), ("mlp", {"max_iter": 500})):
-    QUERIES[f"train_{_kind}"] = _trained(_kind, **_options)
+for _kind in ("lr", "svm", "rf"):
+    QUERIES[f"train_{_kind}"] = _trained(_kind)
+
+
+@query()
+def train_mlp(spark, sf):
+    v = vectors(spark, sf).withColumn("label_name", F.col("label").cast("string")).drop("label").withColumn("split", M.modulo_split(F.col("vec_id")))
+    train = v.filter("split = 'train'")
+    model = Perceptron.fitted(train, "embedding", "label_name", M.classes_of(train.select(F.array("label_name").alias("c")), "c"))
+    return model.predicted(v, "embedding").select("vec_id", "split", "label_name", "predicted")
 
 
 @query()

@@ -253,3 +253,42 @@ for name in sys.argv[2:]:
     names = ["hashed_embedding", "ast_features", "functions_in_sql", "knn_top5", "silhouette", "kmeans_clusters", "multilabel_binary"]
     r = subprocess.run([sys.executable, "-c", code, root, *names], cwd="/", env=env, capture_output=True, text=True, timeout=600)
     assert r.returncode == 0, r.stderr[-2000:]
+
+
+@pytest.mark.parametrize("one", [True, False])
+def test_perceptron_gradients(one):
+    from fnatlas.operators import mlp
+
+    r = np.random.default_rng(2)
+    of = mlp.shapes(4, (6, 5), 3)
+    flat, x = mlp.start(of, 1), r.normal(0, 1, (9, 4))
+    y = np.eye(3)[r.integers(0, 3, 9)] if one else (r.random((9, 3)) < 0.4).astype(float)
+    _, g = mlp.gradients(flat, of, x, y, one, 0.3)
+    for i in r.choice(len(flat), 40, replace=False):
+        e = np.zeros_like(flat)
+        e[i] = 1e-6
+        slope = (mlp.gradients(flat + e, of, x, y, one, 0.3)[0] - mlp.gradients(flat - e, of, x, y, one, 0.3)[0]) / 2e-6
+        assert abs(slope - g[i]) < 1e-6 * max(1, abs(slope))
+
+
+def test_perceptron_learns_and_stops(spark, monkeypatch):
+    from fnatlas.operators import mlp
+
+    r = np.random.default_rng(4)
+    x = r.normal(0, 1, (900, 2))
+    ring = (np.linalg.norm(x, axis=1) > 1.1).astype(int)
+    rows = [(i, v.tolist(), f"ring{c}", [f"ring{c}"] if c else []) for i, (v, c) in enumerate(zip(x, ring.tolist(), strict=True))]
+    df = spark.createDataFrame(rows, "i int, v array<double>, name string, tags array<string>")
+    options = {"layers": (24,), "rate": 0.02, "max_rounds": 80}
+    model = mlp.Perceptron.fitted(df.filter("i < 600"), "v", "name", ["ring0", "ring1"], **options)
+    test = df.filter("i >= 600")
+    assert model.predicted(test, "v").filter("name = predicted").count() > 280
+    assert min(model.held_losses) < 0.3 * model.held_losses[0]
+    assert model.rounds < 80 and min(model.held_losses) >= min(model.held_losses[:-9]) - 1e-3  # it stopped when nothing got better
+    # several blocks, dealt in any way, give one result
+    monkeypatch.setattr(packed, "ROWS", 100)
+    two = [mlp.Perceptron.fitted(df.filter("i < 600").coalesce(1), "v", "name", ["ring0", "ring1"], **(options | {"max_rounds": 30})) for _ in range(2)]
+    assert np.array_equal(two[0].flat, two[1].flat)
+    assert two[0].predicted(test, "v").filter("name = predicted").count() > 270
+    many = mlp.Perceptron.fitted(df.filter("i < 600"), "v", "tags", ["ring1"], one=False, **options)
+    assert many.predicted(test, "v").filter(F.when(F.size("tags") > 0, F.col("tags")).otherwise(F.array(F.lit("none"))) == F.col("predicted")).count() > 280

@@ -99,3 +99,35 @@ def test_model_answers(spark):
     assert [g["high_level_purpose"] for g in got] == ["A", "B", "Unknown", "Unknown", "Unknown", "Unknown", "Unknown"]
     assert [g["side_effects"] for g in got] == [["io"]] + [["none"]] * 6
     assert {g["complexity"] for g in got[1:]} == {"medium"} and all(g["control_flow_elements"] == ["if", "return"] for g in got)
+
+
+def test_literal_codes_and_labels(spark):
+    """Inputs and outputs written out, so that the lists can't drift with the tests that are made from them."""
+    rows = [
+        ("read_line", 'int read_line(FILE *f) {\n  if (!fgets(buf, 9, f)) { perror("x"); return -1; }\n  return 0;\n}', ["if", "return"], ["io"], "low", "returns_code", "Reads line"),
+        ("make_node", "struct n *make_node(int v) {\n  struct n *p = malloc(8);\n  g_count++;\n  return p;\n}", ["return"], ["global_state", "memory"], "low", "none", "Performs make node operation"),
+        ("sendAll", "int sendAll(int s) {\n  while (n) { for (;;) { switch (n) { case 1: goto out; } } }\n  send(s, b, n, 0);\n  errno = 0;\nout:\n  return n;\n}", ["for", "while", "switch", "goto", "return"], ["network"], "high", "uses_errno", "Performs send all operation"),
+        ("initIrq", "static inline void initIrq(void) {\n  writel(1, dev->regs);\n  BUG_ON(x);\n}", [], ["hardware"], "low", "assertions", "Initializes irq"),
+        ("add", "int add(int a, int b) { return a + b; }", ["return"], ["none"], "low", "none", "Performs add operation"),
+        ("free_buffer", "void free_buffer(char *b) { KFREE(b); free_it(b); }", [], ["memory"], "low", "none", "Cleans up or frees free buffer"),
+        ("notes", "// reprintf, mallocs, xsocket and rebind are no calls", [], ["none"], "low", "none", "Performs notes operation"),
+    ]
+    df = spark.createDataFrame([(r[0], r[1]) for r in rows], "function_name string, function_code string")
+    got = {r["function_name"]: r["l"] for r in df.select("function_name", L.label_struct(F.col("function_name"), F.col("function_code")).alias("l")).collect()}
+    for name, _, flow, effects, cx, errors, purpose in rows:
+        l = got[name]
+        assert (name, l["control_flow_elements"], l["side_effects"], l["complexity"], l["error_handling"], l["high_level_purpose"]) == (name, flow, effects, cx, errors, purpose)
+
+
+def test_names_tried_together_match_as_alone():
+    import random
+    import re
+
+    r = random.Random(1)
+    lists = [*P.EFFECT_PATTERNS.values(), *P.ERROR_PATTERNS.values(), P.MEMORY, P.IO, P.SYNC, P.REGMAP]
+    words = [w for v in lists for p in v for w in re.findall(r"\w{3,}", p)]
+    for v in lists:
+        one, many = re.compile(P.any_of(v)), [re.compile(p) for p in v]
+        for _ in range(2000):
+            t = r.choice(["", "x", "_", " "]) + r.choice(words) + r.choice(["", " (", "(", "_x", " ", "1"]) + r.choice(["", ";", "x"])
+            assert bool(one.search(t)) == any(m.search(t) for m in many)
