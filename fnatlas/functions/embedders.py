@@ -6,6 +6,7 @@ An embedder is any object with `name`, `dim`, `max_length` (its limit of context
 
 from __future__ import annotations
 
+import logging
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
+LOG = logging.getLogger(__name__)
+
 #: One text for a purpose that is missing, in training and afterwards.
 NO_PURPOSE = "unknown purpose"
 
@@ -80,15 +83,35 @@ def register_states(kind: str, states: Callable[[], Callable], dim: int) -> None
 
 
 REGISTRY: dict[str, Callable[[], object]] = {"hashed": HashedEmbedder}
+#: What tells whether a model can be loaded, and the name that takes its place if not.
+CHECKS: dict[str, tuple[Callable[[], object], str]] = {}
+
 
+def register(name: str, factory: Callable[[], object], usable: Callable[[], object] | None = None, instead: str = "hashed") -> None:
+    """Makes a model available by name: its factory is called in the Python workers.
 
-def register(name: str, factory: Callable[[], object]) -> None:
-    """Makes a model available by name: its factory is called in the Python workers."""
+    usable is asked on the driver before a model is used: if it fails or says no, `instead` takes its place, for all rows alike.
+    """
     REGISTRY[name] = factory
+    CHECKS.pop(name, None)
+    if usable is not None:
+        CHECKS[name] = (usable, instead)
 
 
 def factory(name: str) -> Callable[[], object]:
-    """The factory of a name; unknown names get the hashed embedder, so a pipeline always runs."""
+    """The factory of a name, or of what stands in for it; unknown names get the hashed embedder, so a pipeline always runs."""
+    for _ in range(len(CHECKS)):  # what stands in may be checked too
+        if name not in CHECKS:
+            break
+        usable, instead = CHECKS[name]
+        try:
+            fine = bool(usable())
+        except Exception:  # noqa: BLE001  whatever keeps a model from loading
+            LOG.warning("embedder %s can't be used; %s takes its place", name, instead, exc_info=True)
+            fine = False
+        if fine:
+            break
+        name = instead
     return REGISTRY.get(name, HashedEmbedder)
 
 

@@ -169,3 +169,10 @@ class Perceptron:
             got = F.array_compact(F.array(*[F.when(F.get("_fn_scores", F.lit(i)) >= 0.5, F.lit(self.classes[i])) for i in order]))
             value = F.when(F.size(got) > 0, got).otherwise(F.array(F.lit(none)))
         return d.select(*[c for c in df.columns if c != out], value.alias(out))
+
+    def as_dict(self) -> dict:
+        return {"kind": "mlp", "classes": self.classes, "layers": list(self.layers), "width": self.width, "one": self.one, "flat": self.flat.tolist()}
+
+    @staticmethod
+    def of_dict(d: dict) -> Perceptron:
+        return Perceptron(d["classes"], tuple(d["layers"]), d["width"], d["one"], np.array(d["flat"]))

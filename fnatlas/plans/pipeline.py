@@ -18,6 +18,7 @@ from ..operators import learning as M
 from ..operators import similarity as S
 from ..operators.clustering import Clusterings
 from ..operators.extract import extract_functions, with_ast_features
+from ..operators.mlp import Perceptron
 from ..sources import trees
 
 
@@ -104,17 +105,55 @@ LABELS = ("effects", "complexity", "errors")
 VALIDATION = 20
 
 
+@dataclass(frozen=True)
+class Options:
+    """Options of the models, by the kind that has them."""
+
+    c: float = 1.0  # lr, svm: the inverse of the penalty, over the sum of weights
+    max_iter: int = 100  # lr
+    kernel: str = "rbf"  # svm
+    gamma: str | float = "scale"
+    cosines: int = M.COSINES
+    trees: int = 100  # rf
+    max_depth: int | None = 20  # none is as deep as can be
+    min_leaf: int = 1
+    layers: tuple[int, ...] = (256, 128)  # mlp
+    learning_rate: float = 1e-3
+    max_rounds: int = 500
+    early_stopping: bool = True
+
+    def of(self, kind: str, rows: int) -> dict:
+        """What train_single() takes for a kind, on so many rows."""
+        if kind == "svm":
+            return {"kernel": self.kernel, "gamma": self.gamma, "cosines": self.cosines, "reg": 1 / (self.c * max(1, rows))}
+        return {"trees": self.trees, "max_depth": self.max_depth, "min_leaf": self.min_leaf} if kind == "rf" else {}
+
+
+def _fits(train: DataFrame, held: Column, kinds: dict[str, str], classes: dict[str, list[str]], balanced: bool, o: Options) -> dict[str, joint.JointLogistic | Perceptron]:
+    """The models of labels whose kind is lr, fitted together, and those whose kind is mlp. Effects aren't fitted to the rows held."""
+    heads = [joint.Head(x, names, x != "effects", ~held if x == "effects" else None) for x, names in classes.items() if kinds[x] == "lr"]
+    out: dict = dict(zip([h.column for h in heads], joint.fitted(train, "features", heads, o.c, balanced, o.max_iter), strict=True)) if heads else {}
+    for x, names in classes.items():
+        if kinds[x] == "mlp" and names:
+            rows = train.filter(~held) if x == "effects" else train
+            out[x] = Perceptron.fitted(rows, "features", x, names, x != "effects", o.layers, o.learning_rate, max_rounds=o.max_rounds, early_stopping=o.early_stopping and x != "effects")
+    return out
+
+
 def run(
     spark: SparkSession, source: str, out: str, hardware: bool = False, kind: str | dict[str, str] = "lr", pca_dims: int | None = None, embedder: str = "hashed", skip_labeling: bool = False,
-    skip_embedding: bool = False, ast: bool = True, tune: bool = True, strategy: str = "binary", balanced: bool = True, clusters: int = 4, threshold: float = 0.8, connect=None, glob: str = "*.c", clean: bool = False, c: float = 1.0,
+    skip_embedding: bool = False, ast: bool = True, tune: bool = True, strategy: str = "binary", balanced: bool = True, clusters: int = 4, threshold: float = 0.8, connect=None, glob: str = "*.c", clean: bool = False,
+    options: Options | None = None, test_percent: int = 30, conflicts_of: int | None = None,
 ) -> DataFrame:
     """Extracts, labels, embeds, trains, clusters, stores and evaluates; stage tables in `out` can be entered again. The report row.
 
-    kind: of the classifiers, or one for each of effects, complexity and errors; tune: thresholds of the effects'
-    probabilities; strategy: of effects, see train_multilabel(); clusters: at most; threshold: from which similar functions
-    with other effects are conflicts; connect: see labeled_by(); clean: rare effects go, high complexity is merged; c: the inverse
-    of the penalty of the effects' logistic regressions, which are fitted together.
+    kind: of the classifiers (lr, svm, rf, mlp), or one for each of effects, complexity and errors; options: of these models; tune:
+    thresholds of the effects' probabilities, on rows that they aren't fitted to (not of svm and mlp); strategy: of effects, see
+    train_multilabel(); clusters: at most; threshold: from which similar functions with other effects are conflicts; conflicts_of: only of
+    the first so many functions by key; test_percent: of the rows, by a digest of their key; connect: see labeled_by(); clean: rare
+    effects go, high complexity is merged.
     """
+    o = options or Options()
     kinds = {label: kind if isinstance(kind, str) else kind.get(label, "lr") for label in LABELS}
     if not (skip_labeling or skip_embedding):
         functions_df = extract_functions(trees.read_tree(spark, source, glob))
@@ -125,7 +164,7 @@ def run(
         if rows.isEmpty():
             raise ValueError(f"no functions in {source}")
         rows = trees.clean_labels(rows, f"{out}/cleaned").drop("changed") if clean else rows
-        featured(rows, hardware, ast, embedder).withColumn("split", M.hash_split(F.col("fn_id"))).write.mode("overwrite").parquet(f"{out}/featured")
+        featured(rows, hardware, ast, embedder).withColumn("split", M.hash_split(F.col("fn_id"), test_percent)).write.mode("overwrite").parquet(f"{out}/featured")
     df = spark.read.parquet(f"{out}/featured")
     assembly = Assembly.fitted(df.filter("split = 'train'"), pca_dims)
     df = assembly(df).withColumn("effects", F.col("labels.side_effects")).withColumn("complexity", F.col("labels.complexity")).withColumn("errors", F.col("labels.error_handling"))
@@ -133,20 +172,20 @@ def run(
     df = spark.read.parquet(f"{out}/assembled")
     train = df.filter("split = 'train'")
     # thresholds are tuned on rows that the effects' models aren't fitted to
-    held = F.pmod(F.xxhash64("fn_id", F.lit("validation")), F.lit(100)) < VALIDATION if tune and kinds["effects"] != "svm" else F.lit(False)
+    held = F.pmod(F.xxhash64("fn_id", F.lit("validation")), F.lit(100)) < VALIDATION if tune and kinds["effects"] in ("lr", "rf") else F.lit(False)
     singles_of = {c: M.classes_of(train.select(F.array(c).alias(c)), c) for c in ("complexity", "errors")}
     constant = {c: names[0] for c, names in singles_of.items() if len(names) < 2}
-    heads = [joint.Head("effects", M.trainable(train.filter(~held), "effects", strategy), rows=~held)] if kinds["effects"] == "lr" else []
-    heads += [joint.Head(c, names, one=True) for c, names in singles_of.items() if kinds[c] == "lr" and c not in constant]
-    fits = dict(zip([h.column for h in heads], joint.fitted(train, "features", heads, c, balanced), strict=True)) if heads else {}
-    models = {} if "effects" in fits else M.train_multilabel(train.filter(~held), "features", "effects", kinds["effects"], balanced=balanced, strategy=strategy)
+    classes = {"effects": M.trainable(train.filter(~held), "effects", strategy)} | {x: names for x, names in singles_of.items() if x not in constant}
+    fits = _fits(train, held, kinds, classes, balanced, o)
+    n = train.count()
+    models = {} if "effects" in fits else M.train_multilabel(train.filter(~held), "features", "effects", kinds["effects"], balanced=balanced, strategy=strategy, **o.of(kinds["effects"], n))
     thresholds = {}
-    if tune and kinds["effects"] != "svm":
+    if tune and kinds["effects"] in ("lr", "rf"):
         checked = train.filter(held)
         thresholds = fits["effects"].tuned(checked, "features", "effects") if "effects" in fits else M.tuned_thresholds(models, checked, "features", "effects")
-    singles = {x: M.train_single(train, "features", x, kinds[x], balanced) for x in singles_of if x not in fits and x not in constant}
+    singles = {x: M.train_single(train, "features", x, kinds[x], balanced, **o.of(kinds[x], n)) for x in singles_of if x not in fits and x not in constant}
     if "effects" in fits:
-        predicted = fits["effects"].predicted(df, "features", "none", "predicted_effects", thresholds)
+        predicted = _effects(fits["effects"], df, thresholds)
     else:
         predicted = M.predict_multilabel(models, df, "features", "none", "predicted_effects", thresholds)
     k = M.adaptive_k(df.count(), clusters)
@@ -162,8 +201,9 @@ def run(
     test = saved.filter("split = 'test'").select(F.col("effects").alias("y_true"), F.col("predicted_effects").alias("y_pred"))
     vectors = saved.select(F.col("fn_id").alias("id"), S.unit(F.col("embedding")).alias("v"))
     tags = saved.select(F.col("fn_id").alias("id"), F.col("effects").alias("tags"))
-    near = S.top_k(vectors, vectors, 3)
-    conflicts = S.conflicting(near, tags, threshold).filter("q < c").select("q", "c", "sim")
+    asked = vectors.orderBy("id").limit(conflicts_of) if conflicts_of else vectors
+    near = S.top_k(asked, vectors, 3)
+    conflicts = S.conflicting(near, tags, threshold).filter("q < c" if conflicts_of is None else "true").select("q", "c", "sim")
     overlap = S.overlap_at_k(S.top_k(E.hashed_sample(vectors, "id"), vectors, 5), tags)
     wrong = E.misclassified(saved.withColumnsRenamed({"effects": "y_true", "predicted_effects": "y_pred"}), "function_code", "fn_id").select("function_name", "file_path", "y_true", "y_pred", "text_length", "split")
     result = E.report(test, overlap, E.label_purity(saved, "cluster", "effects"), wrong, conflicts=conflicts)
@@ -171,6 +211,13 @@ def run(
     return spark.read.schema(result.schema).json(f"{out}/report")
 
 
+def _effects(model: joint.JointLogistic | Perceptron, df: DataFrame, thresholds: dict[str, float]) -> DataFrame:
+    """df with predicted_effects."""
+    if isinstance(model, Perceptron):
+        return model.predicted(df, "features", "predicted_effects", "none")
+    return model.predicted(df, "features", "none", "predicted_effects", thresholds)
+
+
 class Predictor:
     """A stored pipeline: labels functions that it hasn't seen, and finds the stored ones that are like them."""
 
@@ -192,15 +239,15 @@ class Predictor:
     def predicted(self, functions_df: DataFrame) -> DataFrame:
         """functions (function_name, function_code) with predicted_effects, predicted_complexity and predicted_errors."""
         d, keep = self.features(functions_df), functions_df.columns
-        fits = {x: joint.JointLogistic.of_dict(m) for x, m in self.config.get("joint", {}).items()}
+        fits = {x: (Perceptron if m.get("kind") == "mlp" else joint.JointLogistic).of_dict(m) for x, m in self.config.get("joint", {}).items()}
         if "effects" in fits:
-            d = fits["effects"].predicted(d, "features", "none", "predicted_effects", self.config["thresholds"])
+            d = _effects(fits["effects"], d, self.config["thresholds"])
         else:
             models = {c: self.models[f"effect_{c}"] for c in self.config["effect_classes"]}
             d = M.predict_multilabel(models, d, "features", "none", "predicted_effects", self.config["thresholds"])
         for c in ("complexity", "errors"):
             if c in fits:
-                d = fits[c].chosen(d, "features", f"predicted_{c}")
+                d = fits[c].predicted(d, "features", f"predicted_{c}") if isinstance(fits[c], Perceptron) else fits[c].chosen(d, "features", f"predicted_{c}")
             elif c in self.config["singles"]:
                 d = M.predict_single(self.models[c], d, "features", f"predicted_{c}")
             else:

@@ -1,11 +1,13 @@
 """Every registered query of the engine against its SQL oracle, and the contract without the optional subpackage."""
 
+import inspect
 import subprocess
 import sys
 
 import duckdb
 import pytest
 
+from fnatlas.operators import clustering, mlp
 from fnatlas.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -69,18 +71,26 @@ def test_models_are_of_full_size(spark, sf, monkeypatch):
         made[kind] = make(kind, *a, **options)
         raise Stop
 
-    class KMeans(catalog.M.KMeans):
-        def fit(self, d):
-            starts.append(self.getSeed())
-            return super().fit(d)
+    def rounds(self, work):
+        raise Stop
+
+    def spread(pool, k, rng, make=clustering.spread_start):
+        starts.append(make(pool, k, rng))
+        return starts[-1]
 
     monkeypatch.setattr(catalog.M, "classifier", classifier)
-    monkeypatch.setattr(catalog.M, "KMeans", KMeans)
-    for kind in ("svm", "rf", "mlp"):
+    monkeypatch.setattr(clustering, "spread_start", spread)
+    for kind in ("svm", "rf"):
         with pytest.raises(Stop):
             catalog.QUERIES[f"train_{kind}"](spark, sf)
+    fitted = mlp.Perceptron.fitted
+    monkeypatch.setattr(mlp.Perceptron, "fitted", staticmethod(lambda *a, **o: made.update(mlp=inspect.signature(fitted).bind(*a, **o)) or fitted(*a, **o)))
+    with monkeypatch.context() as m, pytest.raises(Stop):
+        m.setattr(mlp.Packed, "summed", rounds)
+        catalog.QUERIES["train_mlp"](spark, sf)
+    made["mlp"].apply_defaults()
     svm = made["svm"].getClassifier() if hasattr(made["svm"], "getClassifier") else made["svm"]
     assert svm.getMaxIter() == 50 and (made["rf"].getNumTrees(), made["rf"].getMaxDepth()) == (100, 20)
-    assert list(made["mlp"].getLayers())[1:-1] == [256, 128] and made["mlp"].getMaxIter() == 500
+    assert (made["mlp"].arguments["layers"], made["mlp"].arguments["max_rounds"]) == ((256, 128), 500)
     catalog.QUERIES["kmeans_clusters"](spark, sf)
-    assert len(set(starts)) == 10
+    assert len({x.tobytes() for x in starts}) == len(starts) == 10
