@@ -45,11 +45,36 @@ def test_stages(spark, sf):
         start += len(ids)
 
 
+def test_awkward_rows_go_through(spark, sf, docs, texts):
+    """Nulls, empty and long texts, repeated ids and rows, extra columns with clashing names."""
+    columns, kept = docs.columns, {}
+    for name, f in corpus_pipeline.STAGES:
+        docs = stored(f(spark, docs, sf), name)
+        kept[name] = docs.collect()
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert docs.columns == columns
+            assert all((r["h"], r["size"], r["key"]) == ("x", "y", "k") for r in kept[name])
+    ids = lambda name: [r["doc_id"] for r in kept[name]]
+    assert not {5, 6, 7, 13} & set(ids("language_id"))  # no letters
+    assert {1, 2, 3, 11, 12, 14, -5, 2**60 + 1, None} <= set(ids("language_id"))
+    assert 2 not in ids("near_dedup") and ids("near_dedup").count(14) == 1 and None in ids("near_dedup") and 11 in ids("near_dedup")
+    long = next(r for r in kept["source_mixing"] if r["doc_id"] == 11)
+    assert len(long["text"].split()) > 10_000
+    assert sorted(map(str, ids("token_output"))) == sorted(map(str, ids("source_mixing")))
+
+
+def test_empty_table_goes_through(spark, sf, no_docs):
+    docs = no_docs
+    for name, f in corpus_pipeline.STAGES:
+        docs = stored(f(spark, docs, sf), name)
+        assert docs.count() == 0
+
+
 def test_registered():
     import __spark_entry__ as entry
 
     q = entry.queries()
     assert "pipeline" in q
-    for n in range(1, 11):
+    for n in range(1, 13):
         assert sum(k.startswith(f"op{n}_") for k in q) == 1
     assert set(entry.oracle_sql()) <= set(q)
