@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents.
+
+Defined cases, of all stages: an empty table gives an empty one; other columns go along to the last stage, whatever their names; rows that are
+repeated are rows of one document each; a very long text is one document like others. What becomes of null ids and texts is said
+at each stage.
 """
 
 from __future__ import annotations
@@ -13,22 +17,27 @@ from fnatlas.llm.common import stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents but those whose language can't be told: null texts, texts without letters, and scores close to chance."""
     return langid.accepted(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies; of rows with one id, one. A null id takes no part and stays; a null text is like no other."""
     return minhash.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that benchmark items don't make up a twentieth of or more; one without words stays."""
     return decontam.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, so that each source comes near its target; one without words is never taken."""
     return mixing.mixed_documents(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The written tables' documents as they are read back: places, numbers of tokens and checksums; a null text has its end token only."""
     return token_store.token_tables(docs)
 
 
