@@ -38,6 +38,8 @@ from .packed import binaries, coded, from_steps, read, steps
 SHARD_BYTES, SPAN, BLOCK_TERMS = 16 << 20, 1024, 50_000
 #: Bytes of a side up to which it is broadcast; they are always measured first.
 BROADCAST_BYTES = 8 << 20
+#: Tasks at most that go through cells.
+CELL_TASKS = 4096
 #: Documents for each item.
 BEST = 50
 
@@ -195,7 +197,7 @@ def search(index: DataFrame, items: DataFrame, most: int = BEST, block_terms: in
     result = f"item_id {kind.simpleString()}, doc_id long, score long"
     item_terms = asked = stored(items.select("item_id", "text").mapInArrow(split, f"item_id {kind.simpleString()}, term string").distinct(), "item_terms")
     of_shards = index.filter("term is null").select("shard", "ids", "lens")
-    sizes = of_shards.agg(F.sum(F.size("lens")).alias("n"), F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("total")).first()
+    sizes = of_shards.agg(F.count("*").alias("shards"), F.sum(F.size("lens")).alias("n"), F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("total")).first()
     n, total = sizes["n"] or 0, sizes["total"] or 0
     n_terms, n_bytes = _bytes(asked, "term")
     if not n or not n_terms:
@@ -218,6 +220,8 @@ def search(index: DataFrame, items: DataFrame, most: int = BEST, block_terms: in
     cells = cells.join(F.broadcast(blocks), "block") if few else spread_join(cells, blocks, "block", "shard")
     cells = found.unionByName(cells, allowMissingColumns=True)
     out = pa.schema([("item_id", to_arrow_type(kind)), ("doc_id", pa.int64()), ("score", pa.int64())])
+    # cells are work more than bytes: as many tasks as cells, up to a bound
+    cells = cells.repartition(min(CELL_TASKS, sizes["shards"] * n_blocks), "shard", "block")
     best = cells.groupBy("shard", "block").applyInArrow(_searched(n, total, most, out), result)
     by = [F.desc("score"), F.asc_nulls_last("doc_id")]
     best = best.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))

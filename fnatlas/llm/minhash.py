@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import blas_threads
-from .common import SALTS, ship, small, spread_join, stored
+from .common import SALTS, drop_stored, ship, small, spread_join, stored
 from .graph import components
 from .spans import batch
 
@@ -141,18 +141,26 @@ def sketches(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def _linking(percent: int):
+    """Of rows in the order of (b, part): the texts of a node b without a, then those of nodes a that are compared with it."""
+
     def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        near: dict[str, np.ndarray] = {}
+        near: dict[str, np.ndarray] = {}  # versions of one document
+        of, members = None, False
         for pdf in batches:
             out = []
-            for a, b, ta, tb in zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"], strict=True):
-                if tb not in near:
-                    near.clear()  # rows come by b
-                    near[tb] = shingles(tb)
-                x, y = shingles(ta), near[tb]
-                both = np.intersect1d(x, y, assume_unique=True).size
-                if both and 100 * both >= percent * (len(x) + len(y) - both):
-                    out.append((a, b))
+            for a, b, text in zip(pdf["a"].tolist(), pdf["b"].tolist(), pdf["text"], strict=True):
+                if not isinstance(a, str):
+                    if members or b != of:
+                        near.clear()
+                    of, members = b, False
+                    near.setdefault(text, shingles(text))
+                    continue
+                members, x = True, shingles(text)
+                for y in near.values():
+                    both = np.intersect1d(x, y, assume_unique=True).size
+                    if both and 100 * both >= percent * (len(x) + len(y) - both):
+                        out.append((int(a), b))
+                        break
             yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return linked
@@ -165,14 +173,20 @@ def texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, documents: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The stored pairs (a, b) whose full sets are similar enough."""
-    texts = texts_of(documents, stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids"))
-    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"))
-    one = F.pmod(F.xxhash64("a"), F.lit(SALTS)).alias("part")  # a node may be the smallest of many buckets' members
-    pairs = pairs.select("a", "b", one)
-    far = pairs.select("b", "part").distinct().join(side("b"), "b")
-    rows = pairs.join(side("a"), "a").join(far, ["b", "part"]).select("a", "b", "ta", "tb")
-    return stored(rows.mapInPandas(_linking(percent), "a long, b long"), "confirmed")
+    """The stored pairs (a, b) whose full sets are similar enough.
+
+    A node b may be the smallest of many buckets' members: those are dealt to parts by a, b's text goes once to each part, and a
+    part is gone through in order, so only one text's set is held.
+    """
+    ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+    texts = texts_of(documents, ids)
+    pairs = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(SALTS)).alias("part"))
+    far = pairs.select("b", "part").distinct().join(texts.withColumnRenamed("doc_id", "b"), "b").select(F.lit(None).cast("string").alias("a"), "b", "part", "text")
+    own = pairs.join(texts.withColumnRenamed("doc_id", "a"), "a").select(F.col("a").cast("string").alias("a"), "b", "part", "text")
+    rows = far.unionByName(own).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+    found = stored(rows.select("a", "b", "text").mapInPandas(_linking(percent), "a long, b long"), "confirmed")
+    drop_stored(ids, texts)
+    return found
 
 
 def common_counts(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
@@ -245,7 +259,7 @@ def remaining_links(buckets: DataFrame, labels: DataFrame, documents: DataFrame,
     members = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("y"))
     mixed = b.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), members.alias("members")).filter("lo <> hi")
     mixed = mixed.groupBy("members").agg(F.min("key").alias("key")).select("key")
-    b = stored(spread_join(b, mixed, "key", "node"), "mixed")
+    b = several = stored(spread_join(b, mixed, "key", "node"), "mixed")
     sizes = b.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n"))
     sizes = sizes.select("key", F.col("top.comp").alias("core"), (F.col("n") - F.col("top.n")).alias("n_rest"), F.col("top.n").alias("n_core"))
     b = spread_join(b, sizes, "key", "node")
@@ -261,12 +275,14 @@ def remaining_links(buckets: DataFrame, labels: DataFrame, documents: DataFrame,
     core_cells = F.transform(F.sequence(F.lit(0), F.col("rb") - 1), lambda x: F.struct(x.alias("i"), (-1 - own).alias("j")))
     cells = b.withColumn("cell", F.explode(F.when(F.col("rest"), rest_cells).otherwise(core_cells))).select("key", "node", "comp", "rest", "blk", "cell.i", "cell.j")
     ids = stored(b.select(F.col("node").alias("id")).distinct(), "ids")
-    texts = texts_of(documents, ids).withColumnRenamed("doc_id", "node")
+    texts = texts_of(documents, ids)
 
     def cell_links(cell: pa.Table) -> pa.Table:
         return _cell_links(cell, percent)
 
-    return stored(cells.join(texts, "node").groupBy("key", "i", "j").applyInArrow(cell_links, "a long, b long").distinct(), "remaining")
+    found = stored(cells.join(texts.withColumnRenamed("doc_id", "node"), "node").groupBy("key", "i", "j").applyInArrow(cell_links, "a long, b long").distinct(), "remaining")
+    drop_stored(several, ids, texts)
+    return found
 
 
 def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -285,14 +301,17 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     pivots = parts.select("key", "part", F.min("least").over(one).alias("pivot"), F.sum("n").over(one).alias("n")).filter("n > 1").drop("n")
     buckets = stored(rows.join(pivots, ["key", "part"]).drop("part"), "buckets")
     pairs = stored(buckets.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
-    links = confirmed(pairs, documents, percent)
+    confirmed_links = confirmed(pairs, documents, percent)
     # versions of one document: its id may be in several sets
     ids = of.filter("digest is not null and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
     versions = stored(of.filter("digest is not null").select("doc_id", "node").join(ids.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).filter("a <> b").distinct(), "versions")
-    links = links.union(versions)
+    drop_stored(s, groups, nodes, pairs)
+    links = confirmed_links.union(versions)
     labels = components(links)
     more = remaining_links(buckets, labels, documents, percent)
+    drop_stored(buckets, labels)
     labels = components(links.union(more))
+    drop_stored(confirmed_links, versions, more)
     out = spread_join(of, labels, "node", "doc_id", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "node")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
