@@ -16,7 +16,7 @@ from __future__ import annotations
 import sys
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fnatlas.operators import similarity as S
@@ -78,14 +78,13 @@ def summarised(rows: DataFrame) -> DataFrame:
 
 def run(spark: SparkSession, config: Config) -> dict:
     """Audits and writes; how many rows were read and written."""
-    seen = {n: Observation() for n in ("texts", "labels", "vectors")}
-    tables = [spark.read.parquet(getattr(config, n)).observe(o, F.count("*").alias("n")) for n, o in seen.items()]
-    out = Observation()
-    rows = audited(*tables, config).observe(out, F.count("*").alias("n"))
+    tables = {n: spark.read.parquet(getattr(config, n)) for n in ("texts", "labels", "vectors")}
+    rows = audited(*tables.values(), config)
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("partition").parquet(f"{config.output}/rows")
     whole = spark.read.schema(rows.schema).parquet(f"{config.output}/rows")
     summarised(whole).write.mode("overwrite").parquet(f"{config.output}/summary")
-    done = {f"{n}_read": o.get["n"] for n, o in seen.items()} | {"rows_written": out.get["n"]}
+    own = whole.filter(F.col("partition").isin(*config.only)) if config.only else whole
+    done = {f"{n}_read": t.count() for n, t in tables.items()} | {"rows_written": own.count()}
     LOG.info("read %(texts_read)d texts, %(labels_read)d labels, %(vectors_read)d vectors, wrote %(rows_written)d rows", done)
     LOG.info("output in %s/rows and %s/summary", config.output, config.output)
     return done

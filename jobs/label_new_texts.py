@@ -17,7 +17,7 @@ from __future__ import annotations
 import sys
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fnatlas.functions import labels as L
@@ -90,12 +90,10 @@ def run(spark: SparkSession, config: Config) -> dict:
     done = {"batches": 0, "rows_read": 0, "rows_written": 0, "partitions_counted": 0}
 
     def write(batch: DataFrame, number: int) -> None:
-        seen, out = Observation(), Observation()
-        found = labeled(batch.observe(seen, F.count("*").alias("n")), config).withColumn("batch", F.lit(number).cast("long")).observe(out, F.count("*").alias("n"))
-        _replace(found, f"{config.output}/rows", "partition", "batch")
-        n_in, n_out = seen.get["n"], out.get["n"]
-        done.update(batches=done["batches"] + 1, rows_read=done["rows_read"] + n_in, rows_written=done["rows_written"] + n_out)
-        LOG.info("batch %d: read %d rows of %s, wrote %d to %s/rows", number, n_in, config.input, n_out, config.output)
+        _replace(labeled(batch, config).withColumn("batch", F.lit(number).cast("long")), f"{config.output}/rows", "partition", "batch")
+        n = rows(spark, config).filter(F.col("batch") == number).count()  # of the batch's own folders; each row that is read is one that is written
+        done.update(batches=done["batches"] + 1, rows_read=done["rows_read"] + n, rows_written=done["rows_written"] + n)
+        LOG.info("batch %d: read %d rows of %s, wrote %d to %s/rows", number, n, config.input, n, config.output)
 
     # the folders are there even if nothing ever comes
     spark.createDataFrame([], _schema(spark, config)).write.mode("append").partitionBy("partition", "batch").parquet(f"{config.output}/rows")
@@ -123,9 +121,8 @@ def recount(spark: SparkSession, config: Config) -> int:
     if n:
         fresh = counted(latest(rows(spark, config).join(new.select("p"), F.col("partition").eqNullSafe(F.col("p")), "left_semi")))
         fresh = fresh.join(new, F.col("partition").eqNullSafe(F.col("p"))).select("label", "value", "n", F.col("last").alias("upto"), "partition")
-        out = Observation()
-        _replace(fresh.observe(out, F.count("*").alias("n")), f"{config.output}/totals", "partition")
-        LOG.info("counted %d partitions again, wrote %d rows to %s/totals", n, out.get["n"], config.output)
+        _replace(fresh, f"{config.output}/totals", "partition")
+        LOG.info("counted %d partitions again, %s/totals has %d rows", n, config.output, totals(spark, config).count())
     return n
 
 

@@ -68,7 +68,7 @@ r AS (
   SELECT t.doc_id, t.lang, array_to_string(t.tags, ',') AS tags, CAST(t.n_chars AS INT) AS n_chars, overlap, coalesce(bad.n, 0) AS n, coalesce(bad.c, -1) AS worst_id, coalesce(bad.sim, -1) AS worst_sim
   FROM t JOIN v ON v.id = t.doc_id LEFT JOIN agree ON agree.q = t.doc_id LEFT JOIN bad ON bad.q = t.doc_id AND bad.k = 1)
 SELECT 'row' AS kind, doc_id, lang, tags, n_chars, overlap, n, worst_id, worst_sim FROM r
-UNION ALL SELECT 'summary', -1, lang, '', -1, round(avg(overlap), 6), count_if(n > 0), -1, round((SELECT count(*) / CAST(count(DISTINCT lang) AS DOUBLE) FROM r) / count(*), 6) FROM r GROUP BY lang
+UNION ALL SELECT 'summary', -1, lang, '', -1, round(avg(overlap), 6), CAST(count_if(n > 0) AS BIGINT), -1, round((SELECT count(*) / CAST(count(DISTINCT lang) AS DOUBLE) FROM r) / count(*), 6) FROM r GROUP BY lang
 """
 
 QUERIES = {f.__name__: f for f in (job1_label_new_texts, job2_audit_labels)}
