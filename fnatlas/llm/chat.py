@@ -12,8 +12,10 @@ and the pieces of a conversation in order are its rendering.
 
 Defined cases: turns are ordered by turn, null first, then a hash of role and text; repeated rows are turns of their
 own; a null text counts as empty; roles are trimmed and lower-cased, aliases are mapped, null and others are unknown
-and cheap to relabel; a null conv_id is a conversation; an empty table gives no rows; other columns are ignored. Ties
-go to keeping, then merging, then relabelling. In texts "<|" is written "<\\|", so they can't forge a turn.
+and cheap to relabel; a null conv_id is a conversation; an empty table gives no rows; other columns are ignored; very long
+texts go whole, and a chunk is as large as its turns. Ties go to keeping, then merging, then relabelling; where a
+conversation lies over several chunks, to the smaller state at their border, so of repairs that cost the same another may be
+chosen if rows are partitioned otherwise. In texts "<|" is written "<\\|", so they can't forge a turn.
 """
 
 from __future__ import annotations
@@ -115,34 +117,37 @@ def role_number(role: Column) -> Column:
     return F.coalesce(F.try_element_at(table, F.lower(F.trim(role))), F.lit(0))
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, at = TaskContext.get().partitionId(), 0
-    for b in batches:
-        pos = np.arange(at, at + b.num_rows)
-        at += b.num_rows
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array((part << 32) + pos // CHUNK), pa.array((part << 40) + pos)], [*b.schema.names, "chunk", "at"])
+def _numbered(chunk: int):
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = TaskContext.get().partitionId(), 0
+        for b in batches:
+            pos = np.arange(at, at + b.num_rows)
+            at += b.num_rows
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array((part << 32) + pos // chunk), pa.array((part << 40) + pos)], [*b.schema.names, "chunk", "at"])
+
+    return number
 
 
 def _segments(rows: pa.Table) -> pa.Table:
-    """One matrix for each conversation of a chunk."""
+    """One matrix for each conversation of a chunk, and how many turns it is of."""
     rows = rows.sort_by("at")
-    out, conv, m = [], object(), None
+    out, conv, m, n = [], object(), None, 0
     chunk = rows.column("chunk")[0].as_py()
     for c, r in zip(rows.column("conv_id").to_pylist(), rows.column("role").to_pylist(), strict=True):
         if c != conv or m is None:
             if m is not None:
-                out.append((conv, chunk, m.reshape(-1).tolist()))
-            conv, m = c, MATRICES[r]
+                out.append((conv, chunk, m.reshape(-1).tolist(), n))
+            conv, m, n = c, MATRICES[r], 1
         else:
-            m = times(m, MATRICES[r])
-    out.append((conv, chunk, m.reshape(-1).tolist()))
+            m, n = times(m, MATRICES[r]), n + 1
+    out.append((conv, chunk, m.reshape(-1).tolist(), n))
     return pa.Table.from_batches([batch(_SEG_ARROW, out)])
 
 
-_SEG = "conv_id long, chunk long, costs array<long>"
-_SEG_ARROW = pa.schema([("conv_id", pa.int64()), ("chunk", pa.int64()), ("costs", pa.list_(pa.int64()))])
-_BORDER = "conv_id long, chunk long, enter int, leave int"
-_BORDER_ARROW = pa.schema([("conv_id", pa.int64()), ("chunk", pa.int64()), ("enter", pa.int32()), ("leave", pa.int32())])
+_SEG = "conv_id long, chunk long, costs array<long>, n long"
+_SEG_ARROW = pa.schema([("conv_id", pa.int64()), ("chunk", pa.int64()), ("costs", pa.list_(pa.int64())), ("n", pa.int64())])
+_BORDER = "conv_id long, chunk long, enter int, leave int, before long"
+_BORDER_ARROW = pa.schema([("conv_id", pa.int64()), ("chunk", pa.int64()), ("enter", pa.int32()), ("leave", pa.int32()), ("before", pa.int64())])
 
 
 def _joined(conv, segs: list[tuple[int, list[int]]]) -> list[tuple]:
@@ -162,18 +167,18 @@ def _joined(conv, segs: list[tuple[int, list[int]]]) -> list[tuple]:
 
 
 def _borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    conv, segs, first = None, [], True
+    conv, segs, before, turns, first = None, [], {}, 0, True
     for b in batches:
         out = []
-        for c, chunk, costs in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+        for c, chunk, costs, n in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
             if first or c != conv:
-                if segs:
-                    out += _joined(conv, segs)
-                conv, segs, first = c, [], False
+                out += [(*row, before[row[1]]) for row in _joined(conv, segs)] if segs else []
+                conv, segs, before, turns, first = c, [], {}, 0, False
             segs.append((chunk, costs))
+            before[chunk], turns = turns, turns + n
         yield batch(_BORDER_ARROW, out)
     if segs:
-        yield batch(_BORDER_ARROW, _joined(conv, segs))
+        yield batch(_BORDER_ARROW, [(*row, before[row[1]]) for row in _joined(conv, segs)])
 
 
 _OUT = "conv_id long, turn long, at long, role string, action string, n_inserted int, piece string"
@@ -183,27 +188,27 @@ _ACTIONS = ("keep", "merge", "relabel")
 
 def _rendered(turns: pa.Table, borders: pa.Table) -> pa.Table:
     rows = turns.sort_by("at").to_pylist()
-    states = {b["conv_id"]: (b["enter"], b["leave"]) for b in borders.to_pylist()}
+    states = {b["conv_id"]: (b["enter"], b["leave"], b["before"]) for b in borders.to_pylist()}
     out, i = [], 0
     while i < len(rows):
         j = i
         while j < len(rows) and rows[j]["conv_id"] == rows[i]["conv_id"]:
             j += 1
-        enter, leave = states[rows[i]["conv_id"]]
+        enter, leave, before = states[rows[i]["conv_id"]]
         for k, (s, q, action) in enumerate(repair([r["role"] for r in rows[i:j]], enter, leave), i):
             text, n = piece(rows[k]["text"], s, q, action, leave is None and k == j - 1)
-            out.append((rows[k]["conv_id"], rows[k]["turn"], rows[k]["at"], NAMES[q], _ACTIONS[action], n, text))
+            out.append((rows[k]["conv_id"], rows[k]["turn"], before + k - i, NAMES[q], _ACTIONS[action], n, text))
         i = j
     return pa.Table.from_batches([batch(_OUT_ARROW, out)])
 
 
-def formatted(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, at, role, action, n_inserted, piece for each turn; `at` orders the pieces of a conversation."""
+def formatted(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """conv_id, turn, at, role, action, n_inserted, piece for each turn; `at` numbers the pieces of a conversation, from 0."""
     ship(conversations.sparkSession)
     c = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role_number(F.col("role")).alias("role"), "text", F.xxhash64("role", "text").alias("h"))
     order = ["conv_id", "turn", "h"]
     c = c.repartitionByRange(*order).sortWithinPartitions(*order).drop("h")
-    turns = stored(c.mapInArrow(_numbered, "conv_id long, turn long, role int, text string, chunk long, at long"), "turns")
+    turns = stored(c.mapInArrow(_numbered(chunk), "conv_id long, turn long, role int, text string, chunk long, at long"), "turns")
     segments = turns.select("conv_id", "role", "chunk", "at").groupBy("chunk").applyInArrow(_segments, _SEG)
     borders = segments.repartition("conv_id").sortWithinPartitions("conv_id", "chunk").mapInArrow(_borders, _BORDER)
     return turns.groupBy("chunk").cogroup(borders.groupBy("chunk")).applyInArrow(_rendered, _OUT)

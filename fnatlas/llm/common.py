@@ -106,7 +106,7 @@ SALTS = 32
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
-    """left joined with right, which has each value of key once, where left may have many rows of one value.
+    """left joined with right, which has few rows of each value of key, where left may have many of one value.
 
     left's rows are dealt to SALTS parts of each value by a hash of the column `by`; right goes to the parts that occur.
     """

@@ -5,8 +5,9 @@ A document holds it only if it holds all of them, so the prefix that has to matc
 over all documents. The first scan counts the windows' shingles in the documents; the second joins document
 shingles to the rarest ones, drops places where the window would leave the document (position and length
 bounds) and compares all words of the window there. Up to BROADCAST_BYTES the windows go to the documents; beyond, only
-places (document, position, key) are shuffled, counted by key before they are joined, and the texts of documents with
-places come back for the comparison.
+places (document, position, key) are shuffled, counted by key before they are joined. Places get their windows' words, and only the
+texts of documents with places come back for the comparison, once each: the ids of these documents go to the texts while they
+are few, so other texts aren't shuffled at all.
 
 Both scans fold letters with lower(), which is fast and finds at least the places that match after lower-casing
 A-Z; texts that are not all ASCII are compared again under the exact rule.
@@ -22,12 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, small, stored
+from .common import ascii_lower, spread_join, stored
 
 WINDOW_WORDS = 13
 SHINGLE_WORDS = 3
 #: Bytes of a table of windows or shingles up to which it may be broadcast; they are measured first.
 BROADCAST_BYTES = 64 << 20
+#: Bytes of a broadcast row of a document's id and digest.
+ID_BYTES = 32
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words before letters are folded; Java finds them several times as fast as the complement of the separators.
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
@@ -85,10 +88,12 @@ def occurrences(documents: DataFrame, wins: DataFrame) -> DataFrame:
         places = d.select("doc_id", "h", "pos", "key", F.size("words").alias("n_words")).join(rare.select("key", "win", "off", "len"), "key")
         places = places.withColumn("start", start).filter((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n_words")))
         places = stored(places.select(F.col("doc_id").alias("at_id"), F.col("h").alias("at_h"), "start", "win", "len").distinct(), "places")
-        whole = documents.dropDuplicates(["doc_id", "h"]).withColumn("words", F.split(folded(F.col("text")), SEPARATOR))
-        of = places.groupBy("at_id", "at_h").agg(F.collect_set(F.struct("start", "win", "len")).alias("places"))  # places of one document
-        found = whole.join(of, whole["doc_id"].eqNullSafe(of["at_id"]) & (whole["h"] == of["at_h"])).withColumn("place", F.explode("places"))
-        found = found.select("doc_id", "h", "text", "words", "place.start", "place.win", "place.len").join(rare.select("win", "fold"), "win")
+        ids = places.select("at_id", "at_h").distinct()
+        few = F.broadcast(ids) if ids.count() * ID_BYTES <= BROADCAST_BYTES else ids
+        whole = documents.join(few, documents["doc_id"].eqNullSafe(few["at_id"]) & (documents["h"] == few["at_h"]), "left_semi")
+        whole = whole.dropDuplicates(["doc_id", "h"]).withColumn("words", F.split(folded(F.col("text")), SEPARATOR))
+        of = spread_join(places, rare.select("win", "fold"), "win", "at_h")
+        found = whole.join(of, whole["doc_id"].eqNullSafe(of["at_id"]) & (whole["h"] == of["at_h"]))
     found = found.filter(F.slice("words", F.greatest(F.col("start"), F.lit(0)) + 1, F.col("len")) == F.col("fold"))
     exact = F.array_join(F.slice(F.split(ascii_lower(F.col("text")), SEPARATOR), F.greatest(F.col("start"), F.lit(0)) + 1, F.col("len")), " ") == F.col("win")
     found = found.filter((F.octet_length("text") == F.length("text")) | exact)
@@ -105,7 +110,10 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, share: int = 20) -
     new = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(before, F.col("start"))))
     hit = places.withColumn("new", new).groupBy("doc_id", "h").agg(F.sum("new").alias("n_hit"))
     of = wins.select("win", "item").distinct()
-    items = found.select("doc_id", "h", "win").distinct().join(small(of, wins.count()), "win").groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    held = found.select("doc_id", "h", "win").distinct()
+    size = wins.agg(F.sum(F.octet_length("win") + F.octet_length("item") + 64)).first()[0] or 0
+    held = held.join(F.broadcast(of), "win") if size <= BROADCAST_BYTES else spread_join(held, of, "win", "h")
+    items = held.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("item")).alias("items"))
     hit = hit.join(items, hit["doc_id"].eqNullSafe(items["doc_id"]) & (hit["h"] == items["h"])).select(hit["*"], "items")
     n = docs.select("doc_id", "h", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
     out = n.join(hit, n["doc_id"].eqNullSafe(hit["doc_id"]) & (n["h"] == hit["h"]), "left").select(n["*"], "n_hit", "items")

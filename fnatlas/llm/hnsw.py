@@ -10,7 +10,8 @@ original vectors. A search whose K-th distance is also that of the farthest vert
 shard, so that of equally near vectors the smaller ids are taken, however many they are.
 
 Defined cases: vectors that are null, empty, zero or have null or non-finite parts take no part; vectors of another
-length are searched among their own kind; repeated ids count once, at their smallest distance; with fewer
+length are searched among their own kind; repeated ids count once, at the smallest distance between any two of the
+query's and the candidate's vectors; with fewer
 candidates than K all are returned; an empty table gives no rows; other columns are ignored. Ties go to the smaller id.
 """
 
@@ -242,4 +243,4 @@ def searched(index: DataFrame, queries: DataFrame, k: int = K, ef: int = SEARCH,
 def neighbours(embeddings: DataFrame, every: int = 100, k: int = K) -> DataFrame:
     """The k nearest vectors of each whose id is divisible by `every`, among all others."""
     v = stored(usable(embeddings), "vectors")
-    return searched(built(v), v.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), k)
+    return searched(built(v), v.filter(F.col("vec_id") % every == 0).distinct(), k)

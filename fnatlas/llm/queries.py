@@ -22,7 +22,7 @@ def op2_hnsw_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.formatted(_read(spark, sf_dir, "conversations")).drop("at")
+    return chat.formatted(_read(spark, sf_dir, "conversations"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,5 +93,29 @@ def test_long_conversation_over_chunks(spark, monkeypatch):
     assert cost_of(roles, ways) == whole
 
 
+def test_chunks_change_nothing(spark):
+    """Conversations that lie over many chunks and partitions are repaired at the same cost; pieces are numbered without gaps."""
+    r = random.Random(3)
+    roles = ["system", "user", "assistant", None]
+    rows = [(c, t, r.choice(roles), f"{c}-{t}") for c in (1, 2, None) for t in range(90)] + [(3, None, r.choice(roles), "same") for _ in range(40)]
+    rows = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    whole, cut = chat.formatted(rows).collect(), chat.formatted(rows, 4).collect()
+    given = {(x["conv_id"], x["turn"]): chat.NAMES.index(x["role"] or "") for x in rows.filter("turn is not null").collect()}
+
+    def cost(pieces, conv):
+        mine = [x for x in pieces if x["conv_id"] == conv]
+        own = lambda x: given[x["conv_id"], x["turn"]]
+        other = lambda x: 0 if chat.NAMES[own(x)] == x["role"] else chat.RELABEL if own(x) else chat.GUESS
+        return sum(chat.INSERT * x["n_inserted"] + other(x) + chat.MERGE * (x["action"] == "merge") for x in mine)
+
+    for conv in (1, 2, None):
+        assert cost(cut, conv) == cost(whole, conv) > 0
+    for conv, n in ((1, 90), (2, 90), (None, 90), (3, 40)):
+        mine = sorted((x for x in cut if x["conv_id"] == conv), key=lambda x: x["at"])
+        assert [x["at"] for x in mine] == list(range(n))
+        assert [x["turn"] for x in mine] == (list(range(n)) if conv != 3 else [None] * n)
+        assert legal("".join(x["piece"] for x in mine))
+
+
 def test_empty(spark):
     assert chat.formatted(table(spark, []).limit(0)).collect() == []

@@ -79,3 +79,14 @@ def test_recall_on_a_table(spark):
     for q, g in got.groupby("query_id"):
         hit += len(set(brute(x, ids, q)) & set(g["vec_id"]))
     assert hit >= 0.9 * len(got) and len(got) == 10 * sum(i % 100 == 0 for i in ids)
+
+
+def test_query_id_of_several_vectors(spark):
+    """A candidate's score is the smallest distance from any of the query id's vectors, however rows are dealt."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(60, 5))
+    rows = [(100, x[0].tolist()), (100, x[1].tolist()), (100, x[1].tolist())] + [(i, x[i].tolist()) for i in range(2, 60)]
+    want = sorted((min(float(np.sqrt(((x[q] - x[i]) ** 2).sum())) for q in (0, 1)), i) for i in range(2, 60))[:10]
+    for parts in (1, 4):
+        got = sorted(hnsw.neighbours(frame(spark, rows).repartition(parts)).filter("query_id = 100").collect(), key=lambda g: g["rank"])
+        assert [g["vec_id"] for g in got] == [i for _, i in want] and np.allclose([g["score"] for g in got], [s for s, _ in want], atol=1e-6)
