@@ -67,12 +67,13 @@ class _Search:
 
 @dataclass
 class Head:
-    """Labels of a column: an array, or with `one` a single value. Rows where `rows` isn't true aren't fitted to."""
+    """Labels of a column: an array, or with `one` a single value. Rows where `rows` isn't true aren't fitted to; c: its own, if any."""
 
     column: str
     classes: list[str]
     one: bool = False
     rows: Column | None = None
+    c: float | None = None
 
     def truth(self) -> list[Column]:
         """For each label 1 or 0, and then 1 if the row counts."""
@@ -93,6 +94,54 @@ class _Part:
     weights: np.ndarray  # of the labels; for a label of its own of no and yes
     total: float
     search: _Search
+    c: float
+
+
+def part_of(head: int, a: int, b: int, flag: int, one: bool, n: float, seen: np.ndarray, width: int, c: float, balanced: bool) -> _Part:
+    """The search for outputs a to b, of n rows that count; seen: how many have each of these labels."""
+    if one:
+        w = n / ((b - a) * np.maximum(seen, 1)) if balanced else np.ones(b - a)
+        return _Part(head, a, b, flag, True, w, float(w @ seen), _Search((width + 1) * (b - a)), c)
+    yes = seen[0]
+    w = np.array([n / (2 * max(n - yes, 1)), n / (2 * max(yes, 1))]) if balanced else np.ones(2)
+    return _Part(head, a, b, flag, False, w, float(w @ [n - yes, yes]), _Search(width + 1), c)
+
+
+def advance(rows: Packed, parts: list[_Part], most: int, tol: float) -> int:
+    """Takes all searches that aren't done on, by as many passes over the rows as it returns."""
+    passes = 0
+    while passes < most and (live := [p for p in parts if not p.search.done]):
+        at = [(p.a, p.b, p.flag, p.one, p.weights, p.search.at.reshape(rows.width + 1, -1)) for p in live]
+
+        def gradients(x: np.ndarray, y: np.ndarray, _, at=at) -> np.ndarray:
+            b = np.concatenate([m for *_, m in at], axis=1)
+            z = x @ b[:-1] + b[-1]
+            loss, r, k = [], np.empty_like(z), 0
+            for lo, hi, flag, one, weights, _m in at:
+                t, u = y[:, lo:hi], z[:, k : k + hi - lo]
+                if one:
+                    u = u - u.max(1, keepdims=True)
+                    total = np.log(np.exp(u).sum(1, keepdims=True))
+                    w = (t @ weights) * y[:, flag]
+                    loss.append((w * (total[:, 0] - (u * t).sum(1))).sum())
+                    r[:, k : k + hi - lo] = w[:, None] * (np.exp(u - total) - t)
+                else:
+                    w = weights[t.astype(np.intp)] * y[:, flag, None]
+                    loss.append((w * (np.logaddexp(0, u) - t * u)).sum())
+                    r[:, k : k + 1] = w * (1 / (1 + np.exp(-u)) - t)
+                k += hi - lo
+            return np.array(np.concatenate([x.T @ r, r.sum(0)[None]]).ravel().tolist() + loss)
+
+        got = rows.summed(gradients)
+        passes += 1
+        g, k = got[: -len(live)].reshape(rows.width + 1, -1), 0
+        for p, loss in zip(live, got[-len(live) :], strict=True):
+            w = p.search.at.reshape(rows.width + 1, -1)
+            own = g[:, k : k + p.b - p.a] / max(p.total, 1e-12)
+            k += p.b - p.a
+            own[:-1] += w[:-1] / (p.c * max(p.total, 1e-12))
+            p.search.take((loss + (w[:-1] ** 2).sum() / (2 * p.c)) / max(p.total, 1e-12), own.ravel(), tol)
+    return passes
 
 
 def fitted(df: DataFrame, vec: str, heads: list[Head], c: float = 1.0, balanced: bool = True, max_iter: int = 100, tol: float = 1e-4) -> list[JointLogistic]:
@@ -108,46 +157,9 @@ def fitted(df: DataFrame, vec: str, heads: list[Head], c: float = 1.0, balanced:
         parts: list[_Part] = []
         for i, h in enumerate(heads):
             n, k, at = counts[flags[i]], len(h.classes), int(first[i])
-            if h.one and k:
-                seen = counts[at : at + k]
-                w = n / (k * np.maximum(seen, 1)) if balanced else np.ones(k)
-                parts.append(_Part(i, at, at + k, flags[i], True, w, float(w @ seen), _Search((rows.width + 1) * k)))
-            for j in range(0 if h.one else k):
-                yes = counts[at + j]
-                w = np.array([n / (2 * max(n - yes, 1)), n / (2 * max(yes, 1))]) if balanced else np.ones(2)
-                parts.append(_Part(i, at + j, at + j + 1, flags[i], False, w, float(w @ [n - yes, yes]), _Search(rows.width + 1)))
-        passes = 0
-        while passes < max_iter and (live := [p for p in parts if not p.search.done]):
-            at = [(p.a, p.b, p.flag, p.one, p.weights, p.search.at.reshape(rows.width + 1, -1)) for p in live]
-
-            def gradients(x: np.ndarray, y: np.ndarray, _, at=at) -> np.ndarray:
-                b = np.concatenate([m for *_, m in at], axis=1)
-                z = x @ b[:-1] + b[-1]
-                loss, r, k = [], np.empty_like(z), 0
-                for lo, hi, flag, one, weights, _m in at:
-                    t, u = y[:, lo:hi], z[:, k : k + hi - lo]
-                    if one:
-                        u = u - u.max(1, keepdims=True)
-                        total = np.log(np.exp(u).sum(1, keepdims=True))
-                        w = (t @ weights) * y[:, flag]
-                        loss.append((w * (total[:, 0] - (u * t).sum(1))).sum())
-                        r[:, k : k + hi - lo] = w[:, None] * (np.exp(u - total) - t)
-                    else:
-                        w = weights[t.astype(np.intp)] * y[:, flag, None]
-                        loss.append((w * (np.logaddexp(0, u) - t * u)).sum())
-                        r[:, k : k + 1] = w * (1 / (1 + np.exp(-u)) - t)
-                    k += hi - lo
-                return np.concatenate([x.T @ r, r.sum(0)[None]]).ravel().tolist() + loss
-
-            got = rows.summed(lambda x, y, key: np.array(gradients(x, y, key)))
-            passes += 1
-            g, k = got[: -len(live)].reshape(rows.width + 1, -1), 0
-            for p, loss in zip(live, got[-len(live) :], strict=True):
-                w = p.search.at.reshape(rows.width + 1, -1)
-                own = g[:, k : k + p.b - p.a] / p.total
-                k += p.b - p.a
-                own[:-1] += w[:-1] / (c * p.total)
-                p.search.take(loss / p.total + (w[:-1] ** 2).sum() / (2 * c * p.total), own.ravel(), tol)
+            own, n_own = h.c or c, [(at, at + k)] * (k > 0) if h.one else [(at + j, at + j + 1) for j in range(k)]
+            parts += [part_of(i, lo, hi, flags[i], h.one, n, counts[lo:hi], rows.width, own, balanced) for lo, hi in n_own]
+        passes = advance(rows, parts, max_iter, tol)
     out = []
     for i, h in enumerate(heads):
         best = [p.search.x.reshape(rows.width + 1, -1) for p in parts if p.head == i]

@@ -17,6 +17,7 @@ from ..functions.vectors import doubles
 from ..operators import evaluation as E
 from ..operators import learning as M
 from ..operators import similarity as S
+from ..operators import gridsearch as G
 from ..operators.extract import extract_functions, function_totals, functions_per_file, with_ast_features
 from ..operators.joint import JointLogistic
 from ..operators.mlp import Perceptron
@@ -631,6 +632,23 @@ def multilabel_binary(spark, sf):
     return model.predicted(t, "embedding").select("doc_id", F.array_join("tags", ",").alias("tags"), F.array_join("predicted", ",").alias("predicted"))
 
 
+GRID = [G.Point(c, balanced) for c in (0.01, 0.1, 1.0, 10.0) for balanced in (True, False)]
+
+
+@query("""WITH f AS (SELECT (CAST('0x' || substr(md5(vec_id || '-42'), 1, 8) AS BIGINT)) % 3 AS fold FROM embeddings WHERE label IS NOT NULL)
+SELECT 'fold ' || fold AS what, count(*) AS n FROM f GROUP BY fold
+UNION ALL SELECT 'points in round ' || r, n FROM (VALUES (0, 8), (1, 4), (2, 2)) t(r, n) UNION ALL SELECT 'best points', 1""")
+def grid_search(spark, sf):
+    """How many rows the folds hold, how many points each round, and that one is best; what is best is tested against separate fits."""
+    v = vectors(spark, sf).withColumn("name", F.col("label").cast("string"))
+    names = M.classes_of(v.select(F.array("name").alias("c")).filter("name is not null"), "c")
+    t = G.searched(v, "vec_id", "embedding", "name", names, GRID, one=True, refit=False).table(spark, GRID)
+    folds = t.filter("round = 0").groupBy("fold").agg(F.max("n").alias("n")).select(F.concat(F.lit("fold "), "fold").alias("what"), "n")
+    points = t.groupBy("round").agg(F.count_distinct("point").alias("n")).select(F.concat(F.lit("points in round "), "round").alias("what"), "n")
+    best = t.filter("best").agg(F.count_distinct("point").alias("n")).select(F.lit("best points").alias("what"), "n")
+    return folds.unionByName(points).unionByName(best)
+
+
 @query("""WITH c AS (SELECT toxic AS class, count(*) AS n FROM labels JOIN embeddings ON vec_id = doc_id GROUP BY 1)
 SELECT class, n, (SELECT max(n) FROM c) - n AS n_made, (SELECT max(n) FROM c) - n AS n_between, CAST(0 AS BIGINT) AS n_of_others FROM c""")
 def oversampled_classes(spark, sf):

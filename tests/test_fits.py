@@ -7,6 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from fnatlas.operators import evaluation as E
+from fnatlas.operators import gridsearch as G
 from fnatlas.operators import joint
 from fnatlas.operators import learning as M
 from fnatlas.operators import packed
@@ -293,3 +294,47 @@ def test_perceptron_learns_and_stops(spark, monkeypatch):
     assert two[0].predicted(test, "v").filter("name = predicted").count() > 270
     many = mlp.Perceptron.fitted(df.filter("i < 600"), "v", "tags", ["ring1"], one=False, **(options | {"rate": 0.05, "tol": 1e-4}))
     assert many.predicted(test, "v").filter(F.when(F.size("tags") > 0, F.col("tags")).otherwise(F.array(F.lit("none"))) == F.col("predicted")).count() > 280
+
+
+@pytest.mark.parametrize("one", [False, True])
+def test_grid_search(spark, labelled, one):
+    """Scores of all points and folds equal those of separate fits; with points dropped on the way the same point is best."""
+    d = labelled.withColumn("one", F.when(F.array_contains("tags", "a"), "x").when(F.array_contains("tags", "b"), "y").otherwise("z"))
+    column, classes = ("one", ["x", "y", "z"]) if one else ("tags", ["a", "b", "c"])
+    grid = [G.Point(c, b) for c in (1e-4, 1e-2, 1.0) for b in (True, False)]
+    full = G.searched(d, "i", "v", column, classes, grid, one, rounds=(), max_iter=300, tol=1e-8)
+    fold = F.conv(F.substring(F.md5(F.concat(F.col("i").cast("string"), F.lit("-42")).cast("binary")), 1, 8), 16, 10).cast("long") % 3
+    mean = {}
+    for _, p, f, _, n, f1 in full.scores:
+        mean.setdefault(p, []).append(f1)
+        if p in (1, 4):
+            m = joint.fitted(d.filter(fold != f), "v", [joint.Head(column, classes, one)], grid[p].c, grid[p].balanced, 300, 1e-8)[0]
+            held = d.filter(fold == f)
+            got = (m.chosen(held, "v") if one else m.predicted(held, "v")).select(column, "predicted").collect()
+            assert len(got) == n
+            sets = [({t} if one else set(t), {g} if one else set(g)) for t, g in got]
+            each = [(sum(c in t and c in g for t, g in sets), sum((c in t) != (c in g) for t, g in sets)) for c in classes]
+            assert abs(f1 - np.mean([2 * tp / max(1, 2 * tp + off) for tp, off in each])) < 1e-9
+    best = max(range(len(grid)), key=lambda p: (round(np.mean(mean[p]), 9), -p))
+    assert full.best == grid[best] and len(full.scores) == 18
+    whole = joint.fitted(d, "v", [joint.Head(column, classes, one)], full.best.c, full.best.balanced)[0]
+    assert np.allclose(whole.coef, full.model.coef, atol=1e-2)
+    spark.sparkContext.setJobGroup(f"grid-{one}", "grid")
+    halved = G.searched(d, "i", "v", column, classes, grid, one, refit=False)
+    n_jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"grid-{one}"))
+    spark.sparkContext.setJobGroup("other", "other")
+    assert halved.best == full.best and {r: sum(x[0] == r for x in halved.scores) // 3 for r in range(3)} == {0: 6, 1: 3, 2: 2}
+    assert n_jobs <= max(x[3] for x in halved.scores) + 10  # a job for each pass, whatever the grid
+    assert halved.table(spark, grid).filter("best").select("point").distinct().count() == 1
+
+
+def test_grid_search_of_odd_rows(spark, labelled):
+    d = labelled.withColumn("one", F.when(F.col("i") % 3 == 0, "x").when(F.col("i") % 3 == 1, "y"))
+    d = d.union(d.filter("i < 20")).withColumn("i", F.when(F.col("i") > 5, F.col("i")))  # null labels, null keys, repeated rows
+    got = G.searched(d, "i", "v", "one", ["x", "y"], [G.Point()], one=True)
+    assert got.best == G.Point() and sum(n for r, _, _, _, n, _ in got.scores if r == 0) == d.filter("one is not null").count()
+    assert G.searched(d, "i", "v", "one", [], [G.Point(2.0)], one=True) == G.Found(G.Point(2.0), None, [])
+    with pytest.raises(ValueError, match="no rows"):
+        G.searched(d.limit(0), "i", "v", "one", ["x"], [G.Point()], one=True)
+    with pytest.raises(ValueError, match="no point"):
+        G.searched(d, "i", "v", "one", ["x"], [])
