@@ -23,6 +23,10 @@ def _kinds(given: list[str]) -> str | dict[str, str]:
     return plain[0] if plain else dict(g.split("=", 1) for g in given)
 
 
+#: Options of several values, and their type.
+LISTS = {"layers": int, "grid": float}
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="fnatlas", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     sub = p.add_subparsers(dest="command", required=True)
@@ -45,8 +49,8 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--demo", action="store_true", help="show what the stored pipeline can do")
     for f in dataclasses.fields(pipeline.Options):
         name = f"--{f.name.replace('_', '-')}"
-        if f.name == "layers":
-            r.add_argument(name, nargs="+", type=int, default=list(f.default))
+        if f.name in LISTS:
+            r.add_argument(name, nargs="+", type=LISTS[f.name], default=list(f.default))
         elif isinstance(f.default, bool):
             r.add_argument(f"--no-{f.name.replace('_', '-')}", dest=f.name, action="store_false")
         elif f.name == "gamma":
@@ -72,7 +76,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("fnatlas").getOrCreate()
     try:
         if a.command == "run":
-            o = pipeline.Options(**{f.name: tuple(getattr(a, f.name)) if f.name == "layers" else getattr(a, f.name) for f in dataclasses.fields(pipeline.Options)})
+            o = pipeline.Options(**{f.name: tuple(getattr(a, f.name)) if f.name in LISTS else getattr(a, f.name) for f in dataclasses.fields(pipeline.Options)})
             report = pipeline.run(
                 spark, a.source, a.out, a.hardware, _kinds(a.kind), a.pca_dims, a.embedder, a.skip_labeling, a.skip_embedding, a.ast, a.tune, a.strategy, a.balanced, a.clusters, a.threshold, glob=a.glob, clean=a.clean,
                 options=o, test_percent=a.test_percent, conflicts_of=a.conflicts_of,

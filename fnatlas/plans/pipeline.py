@@ -13,7 +13,7 @@ from ..functions import labels as L
 from ..functions.embedders import NO_PURPOSE, with_embeddings
 from ..functions.features import feature_vector
 from ..operators import evaluation as E
-from ..operators import joint
+from ..operators import gridsearch, joint
 from ..operators import learning as M
 from ..operators import similarity as S
 from ..operators.clustering import Clusterings
@@ -111,6 +111,7 @@ class Options:
 
     c: float = 1.0  # lr, svm: the inverse of the penalty, over the sum of weights
     max_iter: int = 100  # lr
+    grid: tuple[float, ...] = ()  # lr: values of c to choose from for each label, by cross-validation; none is c itself
     kernel: str = "rbf"  # svm
     gamma: str | float = "scale"
     cosines: int = M.COSINES
@@ -129,15 +130,25 @@ class Options:
         return {"trees": self.trees, "max_depth": self.max_depth, "min_leaf": self.min_leaf} if kind == "rf" else {}
 
 
-def _fits(train: DataFrame, held: Column, kinds: dict[str, str], classes: dict[str, list[str]], balanced: bool, o: Options) -> dict[str, joint.JointLogistic | Perceptron]:
-    """The models of labels whose kind is lr, fitted together, and those whose kind is mlp. Effects aren't fitted to the rows held."""
-    heads = [joint.Head(x, names, x != "effects", ~held if x == "effects" else None) for x, names in classes.items() if kinds[x] == "lr"]
+def _chosen(train: DataFrame, held: Column, label: str, names: list[str], balanced: bool, o: Options) -> float:
+    """The c of a label's regressions."""
+    if len(o.grid) < 2 or not names:
+        return o.grid[0] if o.grid else o.c
+    rows = train.filter(~held) if label == "effects" else train
+    best = gridsearch.searched(rows, "fn_id", "features", label, names, [gridsearch.Point(c, balanced) for c in o.grid], label != "effects", max_iter=o.max_iter, refit=False).best.c
+    LOG.info("%s: c %s of %s", label, best, o.grid)
+    return best
+
+
+def _fits(train: DataFrame, held: Column, kinds: dict[str, str], classes: dict[str, list[str]], balanced: bool, o: Options) -> tuple[dict[str, joint.JointLogistic | Perceptron], dict[str, float]]:
+    """The models of labels whose kind is lr, fitted together, and those whose kind is mlp; the c of the former. Effects aren't fitted to the rows held."""
+    heads = [joint.Head(x, names, x != "effects", ~held if x == "effects" else None, _chosen(train, held, x, names, balanced, o)) for x, names in classes.items() if kinds[x] == "lr"]
     out: dict = dict(zip([h.column for h in heads], joint.fitted(train, "features", heads, o.c, balanced, o.max_iter), strict=True)) if heads else {}
     for x, names in classes.items():
         if kinds[x] == "mlp" and names:
             rows = train.filter(~held) if x == "effects" else train
             out[x] = Perceptron.fitted(rows, "features", x, names, x != "effects", o.layers, o.learning_rate, max_rounds=o.max_rounds, early_stopping=o.early_stopping and x != "effects")
-    return out
+    return out, {h.column: h.c for h in heads}
 
 
 def run(
@@ -176,7 +187,7 @@ def run(
     singles_of = {c: M.classes_of(train.select(F.array(c).alias(c)), c) for c in ("complexity", "errors")}
     constant = {c: names[0] for c, names in singles_of.items() if len(names) < 2}
     classes = {"effects": M.trainable(train.filter(~held), "effects", strategy)} | {x: names for x, names in singles_of.items() if x not in constant}
-    fits = _fits(train, held, kinds, classes, balanced, o)
+    fits, chosen = _fits(train, held, kinds, classes, balanced, o)
     n = train.count()
     models = {} if "effects" in fits else M.train_multilabel(train.filter(~held), "features", "effects", kinds["effects"], balanced=balanced, strategy=strategy, **o.of(kinds["effects"], n))
     thresholds = {}
@@ -192,7 +203,7 @@ def run(
     centres = Clusterings.fitted(df, "fn_id", "features", [k]) if k else None
     clustered = centres.assigned(predicted, "features", "_fn_c").withColumn("cluster", F.get("_fn_c", F.lit(0))).drop("_fn_c") if k else predicted.withColumn("cluster", F.lit(0))
     config = {
-        "embedder": embedder, "hardware": hardware, "ast": ast, "kinds": kinds, "pca_dims": pca_dims, "effect_classes": sorted(fits["effects"].classes if "effects" in fits else models), "joint": {x: m.as_dict() for x, m in fits.items()},
+        "embedder": embedder, "hardware": hardware, "ast": ast, "kinds": kinds, "pca_dims": pca_dims, "effect_classes": sorted(fits["effects"].classes if "effects" in fits else models), "joint": {x: m.as_dict() for x, m in fits.items()}, "c": chosen,
         "singles": sorted(singles), "constant": constant,
         "thresholds": thresholds, "no_purpose": NO_PURPOSE, "parts": assembly.parts, "scaling": assembly.scaling,
     }

@@ -36,6 +36,10 @@ def test_run_and_infer(spark, tree, tmp_path, capsys):
     assert len(lines) == 24 and lines[0]["functions"][0]["predicted_labels"]["side_effects"]
     assert cli.main(["infer", tree, "--pipeline", str(tmp_path / "none"), "--output", str(tmp_path / "json")], spark) == 0
     assert spark.read.json(str(tmp_path / "json")).count() == 24
+    # penalties by grid search, from the stage tables that are there
+    assert cli.main(["run", tree, out, "--skip-labeling", "--skip-embedding", "--grid", "0.01", "1", "10", "--max-iter", "40"], spark) == 0
+    assert set(pipeline.Predictor(spark, f"{out}/pipeline").config["c"].values()) <= {0.01, 1.0, 10.0}
+    assert set(pipeline.Predictor(spark, f"{out}/pipeline").config["c"]) == {"effects", "complexity", "errors"}
 
 
 def test_kinds_and_options():
