@@ -94,3 +94,11 @@ def test_models_are_of_full_size(spark, sf, monkeypatch):
     assert (made["mlp"].arguments["layers"], made["mlp"].arguments["max_rounds"]) == ((256, 128), 500)
     catalog.QUERIES["kmeans_clusters"](spark, sf)
     assert len({x.tobytes() for x in starts}) == len(starts) == 10
+
+
+def test_functions_are_dealt_over_tasks(spark, sf, tmp_path):
+    """A key is a few bytes and a function made of it is much work: one small file of keys must not be one task, nor its rows lie in a few."""
+    spark.range(20000).withColumnRenamed("id", "p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for d in (catalog.c_functions(spark, str(tmp_path)), catalog.QUERIES["ast_counts"](spark, str(tmp_path))):
+        sizes = d.select(catalog.F.spark_partition_id().alias("p")).groupBy("p").count().toPandas()["count"]
+        assert len(sizes) == spark.sparkContext.defaultParallelism and sizes.max() < 20000 / len(sizes) * 1.2
