@@ -87,3 +87,25 @@ def test_bounds_hold():
         q = np.concatenate([v, r.normal(0, 1, (20, 8))])
         q /= np.linalg.norm(q, axis=1, keepdims=True)
         assert (b.bound(q)[:, None] >= q @ v.T - 1e-12).all()
+
+
+@pytest.mark.parametrize("copies", [False, True])
+@pytest.mark.parametrize("known", [False, True])
+def test_few_products_are_made_in_double(monkeypatch, copies, known):
+    """Those that single precision leaves in question; with large groups of copies whole blocks. The hits are those of double precision."""
+    r = np.random.default_rng(5)
+    v = r.normal(0, 1, (1200, 16))
+    if copies:
+        v[::2] = v[0]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    blocks = [S._Block(np.arange(a, a + 400), v[a : a + 400]) for a in range(0, 1200, 400)]
+    exact, einsum = [], np.einsum
+    monkeypatch.setattr(S.np, "einsum", lambda f, a, b: exact.append(len(a)) or einsum(f, a, b))
+    want = plain(v, 4, range(400))
+    floor = np.array([want[q][-1][1] for q in range(400)]) - 1e-6 if known else np.full(400, -np.inf)
+    (q, c, s), _ = S.nearest_in(blocks[0], floor, blocks, 4, 9)
+    found = {}
+    for x, y, z in zip(q, c, s, strict=True):
+        found.setdefault(int(x), []).append((int(y), round(float(z), 6)))
+    assert found == want
+    assert copies or 0 < sum(exact) < 400 * 1200 / 20
