@@ -102,3 +102,14 @@ def test_functions_are_dealt_over_tasks(spark, sf, tmp_path):
     for d in (catalog.c_functions(spark, str(tmp_path)), catalog.QUERIES["ast_counts"](spark, str(tmp_path))):
         sizes = d.select(catalog.F.spark_partition_id().alias("p")).groupBy("p").count().toPandas()["count"]
         assert len(sizes) == spark.sparkContext.defaultParallelism and sizes.max() < 20000 / len(sizes) * 1.2
+
+
+@pytest.mark.parametrize(("name", "searches"), [("classification_report", 1), ("split_metrics", 1), ("evaluation_report", 1)])
+def test_neighbours_are_searched_once(spark, sf, monkeypatch, name, searches):
+    """However many figures a report has: products are counted while it runs."""
+    made, once = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    top_k = catalog.S.top_k
+    top_k(*[catalog.units(spark, sf)] * 2, 1, digits=6, products=once).count()
+    monkeypatch.setattr(catalog.S, "top_k", lambda *a, **o: top_k(*a, **o, products=made))
+    assert catalog.QUERIES[name](spark, sf).collect()
+    assert made.value == searches * once.value > 0

@@ -338,3 +338,19 @@ def test_grid_search_of_odd_rows(spark, labelled):
         G.searched(d.limit(0), "i", "v", "one", ["x"], [G.Point()], one=True)
     with pytest.raises(ValueError, match="no point"):
         G.searched(d, "i", "v", "one", ["x"], [])
+
+
+def test_silhouettes_shuffle_a_vector_once_for_each_tile(spark, monkeypatch):
+    """Rows reach the cells of tiles as they are, and a row of sums for each leaves them, however many blocks a tile has."""
+    monkeypatch.setattr(E, "BLOCK", 25)
+    r = np.random.default_rng(3)
+    x, c = r.normal(0, 1, (600, 4)), np.arange(600) % 3
+    df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, c, strict=True))], "id long, v array<double>, c int")
+    sums, sizes = E._distance_sums(df, "id", "v", E.F.array("c"))
+    plan = sums._jdf.queryExecution().optimizedPlan().toString()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    want = np.stack([d[:, c == k].sum(1) for k in range(3)], axis=1)
+    got = {s["id"]: s["totals"] for s in sums.collect()}
+    assert sizes == [(0, k, 200) for k in range(3)] and np.allclose([got[i] for i in range(600)], want)
+    cells = [s for s in plan.split("\n") if "FlatMapGroupsInArrow" in s]
+    assert len(cells) == 1 and "collect_list" not in plan
