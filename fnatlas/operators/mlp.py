@@ -106,6 +106,7 @@ class Perceptron:
                 raise ValueError("no rows or classes to fit")
             of = shapes(rows.width, layers, len(classes))
             flat = start(of, seed)
+            rows.numbers = 3 * len(flat) + 5
             m, v, t = np.zeros_like(flat), np.zeros_like(flat), 0
             best, best_flat, stale, seen = np.inf, flat, 0, []
             rounds = 0

@@ -1,7 +1,8 @@
 """Vectors in blocks of rows that Python workers take as matrices, and sums over all blocks that reach the driver as a few rows.
 
 A fit that goes through the same rows again and again packs them once and then runs one job for each pass: every
-partition returns one row of sums, partitions are added up in groups before the driver gets them, so it gets FAN rows at most.
+partition returns one row of sums, partitions are added up in groups before the driver gets them, so it gets FAN rows at most, and
+fewer of long sums: SUM_BYTES, or one row.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from ..session import blas_threads, ship
 
 #: Rows of a block; bytes of vectors that are worth a task; rows of sums that the driver takes at once.
 ROWS, PART_BYTES, FAN = 4096, 4 << 20, 64
+#: Bytes of sums that the driver takes at once, if a row of them isn't more.
+SUM_BYTES = 2 << 20
 
 _PACKED = pa.schema([("n", pa.int64()), ("x", pa.binary()), ("y", pa.binary()), ("key", pa.binary())])
 _SUMS = pa.schema([("part", pa.int64()), ("sums", pa.binary())])
@@ -30,6 +33,7 @@ class Packed:
 
     def __init__(self, df: DataFrame, vec: str, y: Column | None = None, key: Column | None = None) -> None:
         ship(df.sparkSession)
+        self.numbers = 0
         y = y if y is not None else F.array().cast("array<double>")
         rows = df.select(doubles(F.col(vec)).alias("x"), y.cast("array<double>").alias("y"), (key if key is not None else F.lit(0)).cast("long").alias("key"))
 
@@ -58,7 +62,7 @@ class Packed:
         self.blocks.unpersist()
 
     def summed(self, work: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-        """The sum of work(x, y, keys) over all blocks; it returns arrays of one shape."""
+        """The sum of work(x, y, keys) over all blocks; it returns arrays of one shape, of so many `numbers`, where they are many."""
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blas_threads(1)  # a task has one core
@@ -75,8 +79,9 @@ class Packed:
             return pa.Table.from_pylist([{"part": rows[0][0], "sums": sum(np.frombuffer(s) for _, s in rows).tobytes()}], schema=_SUMS)
 
         sums, parts = self.blocks.mapInArrow(each, "part long, sums binary"), self.blocks.rdd.getNumPartitions()
-        while parts > FAN:
-            parts = max(FAN // 2, math.isqrt(parts))
+        fan = max(1, min(FAN, SUM_BYTES // max(1, 8 * self.numbers)))
+        while parts > fan:
+            parts = max(fan // 2, math.isqrt(parts), 1)
             sums = sums.groupBy(F.pmod("part", F.lit(parts)).alias("g")).applyInArrow(lambda t: add(t.drop_columns(["g"]) if "g" in t.column_names else t), "part long, sums binary")
         rows = sorted((r["part"], bytes(r["sums"])) for r in sums.collect())
         return np.sum([np.frombuffer(s) for _, s in rows], axis=0)

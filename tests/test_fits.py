@@ -354,3 +354,38 @@ def test_silhouettes_shuffle_a_vector_once_for_each_tile(spark, monkeypatch):
     assert sizes == [(0, k, 200) for k in range(3)] and np.allclose([got[i] for i in range(600)], want)
     cells = [s for s in plan.split("\n") if "FlatMapGroupsInArrow" in s]
     assert len(cells) == 1 and "collect_list" not in plan
+
+
+def test_a_forest_is_fitted_some_trees_at_a_time(spark, monkeypatch):
+    """No fit holds more trees than the driver's share of nodes, all trees vote, and the classes are right."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    from fnatlas.operators import forest
+
+    monkeypatch.setattr(forest, "NODES", 1600)
+    r = np.random.default_rng(8)
+    x = r.normal(0, 1, (200, 4))
+    df = spark.createDataFrame([(i, v.tolist(), "a" if v[0] > 0 else "b") for i, v in enumerate(x)], "id long, v array<double>, name string")
+    sizes, fit = [], RandomForestClassifier.fit
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, d: sizes.append((self.getNumTrees(), self.getSeed())) or fit(self, d))
+    got = forest.predicted(df, df, "v", "name", trees=10, max_depth=6).collect()
+    assert [n for n, _ in sizes] == [4, 4, 2] and len({s for _, s in sizes}) == 3
+    assert len(got) == 200 and np.mean([g["name"] == g["predicted"] for g in got]) > 0.97
+
+
+def test_long_sums_reach_the_driver_as_one_row(spark):
+    """However many partitions there are; the sums are the same."""
+    from fnatlas.operators.packed import Packed
+
+    df = spark.createDataFrame([([float(i)],) for i in range(1000)], "v array<double>").repartition(9)
+    with Packed(df, "v") as rows:
+        rows.blocks = rows.blocks.repartition(9).persist()
+        taken, of = [], type(rows.blocks).collect
+        try:
+            type(rows.blocks).collect = lambda self: taken.append(of(self)) or taken[-1]
+            got = []
+            for rows.numbers in (0, 300_000):
+                got.append(rows.summed(lambda x, _, __: np.full(100_000, x.sum())))
+        finally:
+            type(rows.blocks).collect = of
+    assert [g[0] for g in got] == [999 * 500.0] * 2 and len(taken[0]) > 1 and len(taken[1]) == 1
