@@ -389,3 +389,8 @@ def test_long_sums_reach_the_driver_as_one_row(spark):
         finally:
             type(rows.blocks).collect = of
     assert [g[0] for g in got] == [999 * 500.0] * 2 and len(taken[0]) > 1 and len(taken[1]) == 1
+
+
+def test_machines_of_many_classes_are_fitted_at_once():
+    """A pass over few rows leaves most cores idle, so those of several classes go side by side."""
+    assert M.classifier("svm", 4, 5).getParallelism() > 1
