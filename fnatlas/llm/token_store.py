@@ -41,10 +41,14 @@ from .spans import batch
 END_ID = 1
 BLOCK_BYTES = 64 << 10
 SHARD_BYTES = 64 << 20
-CHUNKS_KEPT = 600_000
+#: With a batch's new chunks a generation stays under 349,525, beyond which Python's table of it takes twice the memory.
+CHUNKS_KEPT = 300_000
+#: Of texts that a task's Python worker and the JVM beside it hold at once.
+TEXT_BYTES = 2 << 20
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 MAGIC = b"FNSST001"
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_ASCII = re.compile(rb"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
 #: Characters that stand for bytes in byte-level models: printable ones for themselves, the others from 256 on.
 _SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
@@ -139,14 +143,14 @@ class Encoder:
         for chunk, e in zip(chunks, self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False), strict=True):
             self.young[chunk] = np.array(e.ids, kind).tobytes()
 
-    def _part(self, part: str) -> bytes:
+    def _part(self, key: bytes) -> bytes:
         """The ids of lower-case letters or punctuation, one piece for the model."""
-        key = part.encode()
         v = self.young.get(key)
         if v is None:
             v = self.old.get(key)
-            if v is None:
-                v = np.array([t.id for t in self.piece(key.decode("latin-1").translate(_BYTE_CHARS))], f"<u{self.width}").tobytes()
+            if v is None:  # printable ASCII stands for itself
+                ids = [t.id for t in self.piece(key.decode() if key.isascii() else key.decode("latin-1").translate(_BYTE_CHARS))]
+                v = struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
             self.young[key] = v
         return v
 
@@ -156,9 +160,12 @@ class Encoder:
         for c in chunks:
             if (v := old.get(c)) is not None:
                 young[c] = v
-            elif m := _SIMPLE.fullmatch(c.decode("utf-8", "replace")):
+            elif m := _ASCII.fullmatch(c):
                 letters = self._part(m[1].lower())
                 young[c] = letters + self._part(m[2]) if m[2] else letters
+            elif m := _SIMPLE.fullmatch(c.decode("utf-8", "replace")):
+                letters = self._part(m[1].lower().encode())
+                young[c] = letters + self._part(m[2].encode()) if m[2] else letters
             else:
                 direct.append(c)
         self._encoded(direct)
@@ -305,7 +312,7 @@ _MANIFEST = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.st
 
 def write_tables(documents: DataFrame, folder: str, vocabulary: str | None = None) -> DataFrame:
     """Writes all documents' ids to shards in folder. The stored manifest: part, seq, path, first_id, last_id, n_docs, n_tokens."""
-    ship(documents.sparkSession)
+    ship(documents.sparkSession, TEXT_BYTES)
     vocabulary = vocabulary or default_vocabulary()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

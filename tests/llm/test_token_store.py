@@ -1,3 +1,4 @@
+import sys
 import zlib
 
 import numpy as np
@@ -84,3 +85,11 @@ def test_another_vocabulary(texts):
         for t, got in zip(some, enc(some), strict=True):
             want = plain.encode(t or "", add_special_tokens=False).ids
             assert np.frombuffer(got, f"<u{enc.width}").tolist() == [*want, ts.END_ID]
+
+
+def test_remembered_chunks_take_bounded_memory():
+    enc = ts.Encoder(ts.default_vocabulary())
+    for lo in range(0, 900_000, 10_000):
+        enc([" ".join("".join(chr(97 + (i // 26**k) % 26) for k in range(5)) for i in range(lo, lo + 10_000))])
+    held = {id(x): sys.getsizeof(x) for g in (enc.young, enc.old) for kv in g.items() for x in kv}
+    assert sum(held.values()) + sys.getsizeof(enc.young) + sys.getsizeof(enc.old) < 100 << 20
