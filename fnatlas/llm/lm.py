@@ -58,7 +58,7 @@ ROUNDS, TRAIN_BYTES, BLOCK_STREAMS, LEAST_STEPS, BLOCK_RATE = 4, 8 << 20, 256, 6
 BLOCK_WINDOWS = 2
 #: Groups in which a round's parameters are summed before the driver gets them.
 SUMS = 8
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 SCORE_TOKENS = 4 << 20
 WINDOW = 32
 #: Documents that go in step, and rows of a softmax at once, to stay in the CPU's cache.
@@ -91,12 +91,27 @@ def exponentials(w: np.ndarray, c: np.ndarray, states: np.ndarray, most: float)
     return s, s.sum(0) + 1e-30
 
 
-class _Index(dict):
-    """Numbers words as they come."""
+_SPACE = np.isin(np.arange(256), (0x20, *range(0x09, 0x0E)))
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
 
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
+
+def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, as words_of() cuts them, one after another in one array; and how many each text has. No word is a Python object."""
+    texts = texts.fill_null("").cast(pa.binary())
+    _, places, data = texts.buffers()
+    ends = np.frombuffer(places, np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    raw = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    inside = ~_SPACE[raw]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    begins = ends[:-1][ends[:-1] < len(raw)]
+    first[begins] = inside[begins]  # words end where texts end
+    at = np.flatnonzero(first)
+    offsets = np.r_[np.cumsum(inside, dtype=np.int32)[at] - 1, np.count_nonzero(inside)].astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(_LOWER[raw[inside]])])
+    return words, np.diff(np.searchsorted(at, ends))
 
 
 def planes(numbers: np.ndarray) -> bytes:
@@ -112,31 +127,36 @@ _PARTS = "block long, doc_id long, held_out boolean, codes binary, idx int, word
 _PARTS_ARROW = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("codes", pa.binary()), ("idx", pa.int32()), ("word", pa.binary()), ("c", pa.int64())])
 
 
-def _parts_of(block: int, docs: list[tuple], index: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-    yield batch(_PARTS_ARROW, [(block, d, held, planes(codes), None, None, None) for d, held, codes in docs])
-    training = [codes for _, held, codes in docs if not held]
-    counts = np.bincount(np.concatenate(training), minlength=len(index)) if training else np.zeros(len(index), np.int64)
-    words = pa.array(list(index), pa.binary())
-    for lo in range(0, len(index), 100_000):
-        n = min(100_000, len(index) - lo)
+def _parts_of(block: int, cut: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """cut: of each batch the ids, which are held out, the words, and how many each document has."""
+    coded = pa.concat_arrays([words for _, _, words, _ in cut]).dictionary_encode()
+    numbers, a, docs = coded.indices.to_numpy() + np.int32(1), 0, []  # number 0 is the end
+    for ids, held, _, each in cut:
+        for d, h, n in zip(ids.to_pylist(), held.to_pylist(), each.tolist(), strict=True):
+            docs.append((d, h, np.append(numbers[a : a + n], np.int32(0))))
+            a += n
+    yield batch(_PARTS_ARROW, [(block, d, h, planes(codes), None, None, None) for d, h, codes in docs])
+    words = pa.concat_arrays([pa.array([END], pa.binary()), coded.dictionary])
+    training = [codes for _, h, codes in docs if not h]
+    counts = np.bincount(np.concatenate(training), minlength=len(words)) if training else np.zeros(len(words), np.int64)
+    for lo in range(0, len(words), 100_000):
+        n = min(100_000, len(words) - lo)
         nulls = [pa.nulls(n, _PARTS_ARROW.field(c).type) for c in ("doc_id", "held_out", "codes")]
         yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), *nulls, pa.array(np.arange(lo, lo + n, dtype=np.int32)), words.slice(lo, n), pa.array(counts[lo : lo + n].astype(np.int64))], schema=_PARTS_ARROW)
 
 
 def _lex(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     block = TaskContext.get().partitionId() << 32
-    docs, index, size = [], _Index({END: 0}), 0
+    cut, size = [], 0
     for b in batches:
-        for doc_id, held, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            words = words_of(text)
-            words.append(END)
-            docs.append((doc_id, held, np.fromiter(map(index.__getitem__, words), np.int32, len(words))))
-            size += len(text or "")
-            if size >= BLOCK_BYTES:
-                yield from _parts_of(block, docs, index)
-                block, docs, index, size = block + 1, [], _Index({END: 0}), 0
-    if docs:
-        yield from _parts_of(block, docs, index)
+        if b.num_rows:
+            cut.append((b.column(0), b.column(1), *words_in(b.column(2))))
+            size += b.column(2).nbytes
+        if size >= BLOCK_BYTES:
+            yield from _parts_of(block, cut)
+            block, cut, size = block + 1, [], 0
+    if cut:
+        yield from _parts_of(block, cut)
 
 
 def lexed(documents: DataFrame, remainder: int = 1) -> DataFrame:
@@ -508,20 +528,25 @@ def untrained(counts: Counts) -> Model:
     return Model(n, v, [(bytes(r["word"]), r["c"]) for r in top if r["c"] > 1], end, tail, once, subs)
 
 
-def _window(codes: bytes) -> np.ndarray:
-    """At most SAMPLE_TOKENS codes from a hashed place; a window that ends within its text gets an end."""
-    w = np.frombuffer(codes, np.uint16)
-    a = zlib.crc32(codes) % max(1, len(w) - SAMPLE_TOKENS + 1)
-    w = w[a : a + SAMPLE_TOKENS]
-    return w if w[-1] == _END_IN else np.r_[w, np.uint16(_END_IN)]
+def _window(codes: str = "codes") -> Column:
+    """At most SAMPLE_TOKENS of the codes, two bytes each, from a hashed place."""
+    last = F.greatest(F.lit(0), F.octet_length(codes) / 2 - SAMPLE_TOKENS).cast("long") + 1
+    return F.substring(F.col(codes), (2 * (F.crc32(codes) % last) + 1).cast("int"), F.lit(2 * SAMPLE_TOKENS))
+
+
+def sampled(training: DataFrame) -> DataFrame:
+    """h, codes: windows of the SAMPLE_DOCS documents of the smallest hash. Only the hashes are sorted, so what reaches the driver is the sample."""
+    d = training.select(F.xxhash64("doc_id", "codes").alias("h"), _window().alias("codes"))
+    most = d.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
+    return d.filter(F.col("h") <= F.lit(most)).orderBy("h", "codes").limit(SAMPLE_DOCS)
 
 
 def started(model: Model, training: DataFrame) -> Model:
     """The model fitted to a bounded sample of the encoded training documents; trained() goes on from it."""
-    h = F.xxhash64("doc_id", "codes")
-    rows = training.select(h.alias("h"), "codes").orderBy("h", "codes").limit(SAMPLE_DOCS).collect()
+    rows = sampled(training).collect()
     if rows:
-        codes = np.concatenate([_window(bytes(r["codes"])) for r in sorted(rows, key=lambda r: (r["h"], bytes(r["codes"])))])
+        windows = [np.frombuffer(bytes(r["codes"]), np.uint16) for r in sorted(rows, key=lambda r: (r["h"], bytes(r["codes"])))]
+        codes = np.concatenate([w if w[-1] == _END_IN else np.r_[w, np.uint16(_END_IN)] for w in windows])  # a window that ends within its text gets an end
         before = blas_threads(1)
         model.learn(codes, min(STREAMS, max(1, len(codes) // (2 * STEPS))), EPOCHS, RATE)
         blas_threads(before)

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fnatlas.llm import lm
 
@@ -177,3 +178,23 @@ def test_lexing_and_blocks(spark, docs, texts, monkeypatch):
     assert [sorted(model.top), model.n, model.v] == [sorted(lm.untrained(counts).top), lm.untrained(counts).n, lm.untrained(counts).v]
     two = sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["share"], 9), bytes(r["codes"])) for r in lm.encoded(docs, counts, model, 10).collect())
     assert one == two and len(one) == len(texts)
+
+
+def test_words_of_a_batch_are_those_of_each_text():
+    import pyarrow as pa
+
+    texts = [None, "", " A\u00c4b\tc  ", "x", "\x1cY\x1f Z\x0b\x0c\r\n", "\u00a0\u2003 q", "end", "Start", " "]
+    for some in (texts, texts[:2], [], ["abc"]):
+        words, n = lm.words_in(pa.array(["zz z", *some], pa.string())[1:])
+        assert words.to_pylist() == [w for t in some for w in lm.words_of(t)] and n.tolist() == [len(lm.words_of(t)) for t in some]
+
+
+def test_the_sample_is_chosen_without_the_texts_codes(spark):
+    rows = [(i, (b"%05d" % i) * 2 * (1 + i % 900) + b"\1\0") for i in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id long, codes binary")
+    got = lm.sampled(d).collect()
+    want = d.select(F.xxhash64("doc_id", "codes").alias("h"), "codes").orderBy("h", "codes").limit(lm.SAMPLE_DOCS).collect()
+    assert [r["h"] for r in got] == [r["h"] for r in want]
+    for r, w in zip(got, want, strict=True):
+        codes, at = bytes(w["codes"]), zlib.crc32(bytes(w["codes"])) % max(1, len(w["codes"]) // 2 - lm.SAMPLE_TOKENS + 1)
+        assert bytes(r["codes"]) == codes[2 * at : 2 * (at + lm.SAMPLE_TOKENS)]
