@@ -43,11 +43,11 @@ class Config:
 
 def labeled(texts: DataFrame, config: Config) -> DataFrame:
     """The job's rows: key, what goes along, lines, labels; and the partition."""
-    code: Column = F.coalesce(F.col(config.text), F.lit(""))
+    code: Column = L.plain(F.coalesce(F.col(config.text), F.lit("")))
     d = texts.select(F.col(config.key).alias("key"), *[F.col(c) for c in config.carry], F.col(config.partition).alias("partition"), code.alias("code"))
-    return d.select(
-        "key", *config.carry, L.line_count(F.col("code")).alias("lines"), L.control_flow(F.col("code")).alias("control_flow"), L.side_effects(F.col("code")).alias("side_effects"),
-        L.complexity(F.col("code")).alias("complexity"), L.error_handling(F.col("code")).alias("error_handling"), "partition",
+    return d.withColumn("lower", F.lower("code")).select(
+        "key", *config.carry, L.line_count(F.col("code")).alias("lines"), L.control_flow(F.col("code")).alias("control_flow"), L.side_effects(F.col("lower"), True).alias("side_effects"),
+        L.complexity(F.col("code")).alias("complexity"), L.error_handling(F.col("lower"), True).alias("error_handling"), "partition",
     )
 
 

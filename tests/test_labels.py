@@ -131,3 +131,13 @@ def test_names_tried_together_match_as_alone():
         for _ in range(2000):
             t = r.choice(["", "x", "_", " "]) + r.choice(words) + r.choice(["", " (", "(", "_x", " ", "1"]) + r.choice(["", ";", "x"])
             assert bool(one.search(t)) == any(m.search(t) for m in many)
+
+
+def test_plain_text_has_the_labels_of_its_code(spark):
+    odd = ["e\u00e4tern", "ext\u00e9rn", "extern\u00e9", "\u00a0extern\u3000", "\u0131f", "\u0130f if\u00df", "if\u2014for", "mem\u017fet", "\u212afree", "\u212amalloc \u212aMALLOC", "as\u017fert", "kmalloc", "\u212aMALLOC(", "g\u00e4x", "g_\u00e4", "return \u00e4 error",
+           "return\u20030\u00b7 error", "return -1\u0661", "return\u2003-1", "static\u00a0int\u00a0x\u0308 =", "volatile\u2028u32 *", "pr\u0131ntf", "PR\u0130NTF(", "while\u0301", "goto\u200d", "\U0001f600for\U00010400", "a\u0085\nb\u2028c\n", "{\u00e4{\u2014}", "\u4f60if\u597d", "return\u1680NULL", "r->regs[0]", "Inet_aton x", "BUG_ON(x)", "Volatile int *p", "STATIC int y =", "s_\u00df", "a\u00e4 s_\u00e4 ="]
+    rows = [(x,) for x in odd] + [(f"{a} {b}\n{c}",) for a, b, c in zip(odd, odd[5:] + odd[:5], odd[11:] + odd[:11], strict=True)]
+    d = spark.createDataFrame(rows, "code string").withColumn("plain", L.plain(F.col("code"))).withColumn("low", F.lower("plain"))
+    of = lambda c, low: F.struct(L.line_count(F.col(c)), L.control_flow(F.col(c)), L.side_effects(F.col(low), low == "low"), L.complexity(F.col(c)), L.error_handling(F.col(low), low == "low"), L.brace_depth(F.col(c)))
+    for r in d.select("code", "plain", of("code", "code").alias("a"), of("plain", "low").alias("b")).collect():
+        assert r["plain"].isascii() and tuple(r["a"]) == tuple(r["b"]), r["code"]
