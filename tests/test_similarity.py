@@ -109,3 +109,35 @@ def test_few_products_are_made_in_double(monkeypatch, copies, known):
         found.setdefault(int(x), []).append((int(y), round(float(z), 6)))
     assert found == want
     assert copies or 0 < sum(exact) < 400 * 1200 / 20
+
+
+def test_a_length_is_computed_once_for_a_vector(spark):
+    d = spark.createDataFrame([(0, [3.0, 4.0]), (1, [0.0, 0.0]), (2, None)], "vec_id long, embedding array<double>")
+    u = S.unit_vectors(d)
+    assert {r["id"]: r["v"] for r in u.collect()} == {0: [0.6, 0.8], 1: [0.0, 0.0], 2: None}
+    plan = u._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "sqrt" in plan and "/ sqrt" not in plan  # which would be in the lambda of a place
+
+
+def test_leaves_are_left_out(spark, clustered, monkeypatch):
+    """Blocks that hold several groups: of these only the near ones are gone through."""
+    u, df = clustered
+    monkeypatch.setattr(S, "BLOCK", 400)
+    monkeypatch.setattr(S, "LEAF", 20)
+    products = spark.sparkContext.accumulator(0)
+    assert got(S.top_k(df, df, 5, products=products)) == plain(u, 5)
+    assert 0 < products.value < len(u) ** 2 / 2
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_equal_vectors_are_searched_once(spark, clustered, small, k):
+    u, _ = clustered
+    v = u.copy()
+    v[600:1100] = u[:500]  # pairs of copies
+    v[1100:1150] = u[7]  # a group of more than k + 1
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>").repartition(4)
+    alone, products = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    want = plain(v, k)
+    assert got(S.top_k(df, df, k, products=alone)) == want
+    assert got(S.top_k_of_all(df, S.copies(df, k), k, products=products)) == want
+    assert 0 < products.value < alone.value * 2 / 3
