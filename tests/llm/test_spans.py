@@ -246,3 +246,14 @@ def test_scores_of_many_are_those_of_each():
     assert [b for _, b in secret_scan.judged(found)] == [int(secret_scan.score_bin(secret_scan.randomness(x.decode()))) for x in found]
     for e, chars in enumerate(secret_scan.ENCODINGS):
         assert secret_scan.encodings(np.frombuffer(chars.encode(), np.uint8)[None]).tolist() == [e]
+
+
+def test_decoys_are_made_of_the_whole_text():
+    words = ["".join(chr(97 + (i * p + p) % 26) for p in (1, 3, 5, 7, 11)) + chr(97 + i // 26 % 26) * 2 for i in range(2000)]
+    made = [d.lower() for d in secret_scan.decoys(" ".join(words).encode())]
+    for part in range(0, 2000, 100):  # but for what is a hex dump or beyond the longest class
+        assert sum(any(w.encode() in d for d in made) for w in words[part : part + 100]) > 70
+    assert all(len(d) <= secret_scan.LENGTHS[-1] for d in made) and len(made) >= 200
+    assert len(secret_scan.decoys(b"a few words that are a short text")) == 1 and secret_scan.decoys(b"too short") == []
+    long_word = secret_scan.decoys(b"x" * 10**6)
+    assert len(long_word) == 1 and len(long_word[0]) <= secret_scan.LENGTHS[-1]
