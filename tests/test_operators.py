@@ -303,3 +303,21 @@ def test_patterns_run_once(spark, sf):
 
     count = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("RLIKE")
     assert count(catalog.QUERIES["side_effect_distribution"](spark, sf)) == count(catalog.QUERIES["side_effects"](spark, sf)) > 0
+
+
+def test_failure_text_has_all_steps(spark):
+    """Counts, what failures have in common and why, and improvements, of all misclassified rows and not of those listed."""
+    rows = [(i, "x" * (10 + i), ["a"], ["a"] if i >= 20 else ["b"]) for i in range(40)]
+    df = spark.createDataFrame(rows, "k int, text string, y_true array<string>, y_pred array<string>")
+    assert E.failure_sizes(df, "text").first().asDict() == {"n_failing": 20, "mean_length": 19.5, "usual_length": 29.5}
+    overlap = spark.createDataFrame([(0, 0.5)], "q long, overlap double")
+    clusters = spark.createDataFrame([(0, 40, 1.0)], "cluster int, n long, purity double")
+    conflicts = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.95)], "q long, c long, sim double")
+    said = lambda d, c: E.report(d, overlap, clusters, E.misclassified(d, "text", "k"), conflicts=c, sizes=E.failure_sizes(d, "text")).first()["failure_text"]
+    parts = said(df, conflicts).split("\n\n")
+    assert parts[0].startswith("20 functions were misclassified. 2 pairs")
+    assert [p.split(":")[0] for p in parts[1:]] == ["Classification failures", "Similarity failures", "Recommended improvements"]
+    assert "20 characters long on average, all functions 30." in parts[1] and "shorter than usual" in parts[1] and parts[1].count("\n- ") == 3
+    assert parts[2].count("\n- ") == 3 and parts[3].count("\n") == 3
+    fine = said(df.filter("k >= 20"), conflicts.filter("q < 0")).split("\n\n")
+    assert fine[0] == "0 functions were misclassified. No pair above the threshold has other labels." and fine[1].startswith("Recommended") and len(fine) == 2
